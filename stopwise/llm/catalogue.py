@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sstable
+from . import packing, quality, sstable
 from .common import table
 from .tokens import default_file
 
@@ -20,8 +20,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_file("byte_bpe_50k.json"))
 
 
+def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_sorted_string_tables, op8_best_fit_packing)
+    own = (op2_sorted_string_tables, op8_best_fit_packing, op10_robust_outliers)
     return {f.__name__: f for f in own}
 
 
