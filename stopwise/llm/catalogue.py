@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality, sstable
+from . import fingerprint, mixing, packing, quality, sharding, sstable
 from .common import table
 from .tokens import default_file
 
@@ -16,18 +17,40 @@ def op2_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_tables(manifest)
 
 
+def op3_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.two_pass_shuffle(table(spark, sf_dir, "documents"), 40)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return shards.select("doc_id", "size", crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op7_consistent_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_file("byte_bpe_50k.json"))
 
 
+def op9_poisson_replication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.replicate(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.round("mix_rate", 9).alias("mix_rate"), "mix_copy", "mix_order")
+
+
 def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_sorted_string_tables, op8_best_fit_packing, op10_robust_outliers)
+    own = (
+        op2_sorted_string_tables,
+        op3_two_pass_shuffle,
+        op7_consistent_weighted_sampling,
+        op8_best_fit_packing,
+        op9_poisson_replication,
+        op10_robust_outliers,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_poisson_replication": mixing.ORACLE}
