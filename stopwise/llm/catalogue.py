@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, packing, quality, sharding, sstable
+from . import fingerprint, mixing, neardup, packing, quality, sharding, sstable
 from .common import table
 from .tokens import default_file
 
@@ -23,6 +23,10 @@ def op3_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op7_consistent_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op2_sorted_string_tables,
         op3_two_pass_shuffle,
+        op5_minhash_near_dedup,
         op7_consistent_weighted_sampling,
         op8_best_fit_packing,
         op9_poisson_replication,
@@ -53,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_poisson_replication": mixing.ORACLE}
+    return {"op5_minhash_near_dedup": neardup.ORACLE, "op9_poisson_replication": mixing.ORACLE}
