@@ -227,12 +227,12 @@ def keep_firsts(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
 
 ORACLE = """
 with recursive worded as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x != '') as w
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x != '') as w
   from documents),
 sets as (
   select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
-    else list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) end as s from worded),
-class as (select min(doc_id) as head, list_sort(s) as s, len(s) as n from sets group by list_sort(s)),
+    else list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) end as s from worded),
+class as (select min(doc_id) as head, s, len(s) as n from sets group by s),
 items as (select head, n, unnest(s) as g from class where n > 0),
 common as (
   select a.head as u, b.head as v, any_value(a.n) as nu, any_value(b.n) as nv, count(*) as shared
@@ -243,5 +243,5 @@ reach as (select u as node, u as seen from (select u from ways) union select rea
 least as (select node, min(seen) as component from reach group by node)
 select d.doc_id, len(d.s)::bigint as n_shingles, case when len(d.s) = 0 then d.doc_id else coalesce(l.component, c.head) end as component_id,
   d.doc_id = case when len(d.s) = 0 then d.doc_id else coalesce(l.component, c.head) end as kept
-from sets d join class c on list_sort(d.s) = c.s left join least l on l.node = c.head
+from sets d join class c on d.s = c.s left join least l on l.node = c.head
 """
