@@ -7,11 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, neardup, packing, quality, sharding, sstable
+from . import fingerprint, mixing, neardup, packing, quality, sharding, sstable, toxicity
 from .common import table
 from .tokens import default_file
 
 
+def op1_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = lambda key: F.crc32(key.cast("string").cast("binary")) % 3
+    scored = toxicity.score(docs, toxicity.train(docs, labels, usable=fold(F.col("key")) != 1))
+    return scored.select(
+        "doc_id",
+        (fold(F.col("doc_id")) == 1).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op2_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write_tables(table(spark, sf_dir, "documents"), default_file("word_bpe_49k.json"))
     return sstable.read_tables(manifest)
@@ -46,6 +58,7 @@ def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
+        op1_string_kernel_toxicity,
         op2_sorted_string_tables,
         op3_two_pass_shuffle,
         op5_minhash_near_dedup,
