@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, neardup, packing, quality, sharding, sstable, toxicity
+from . import fingerprint, mixing, neardup, packing, quality, sharding, sstable, toxicity, urls
 from .common import table
 from .tokens import default_file
 
@@ -35,6 +35,10 @@ def op3_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.RULES)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_string_kernel_toxicity,
         op2_sorted_string_tables,
         op3_two_pass_shuffle,
+        op4_redirect_equivalence,
         op5_minhash_near_dedup,
         op7_consistent_weighted_sampling,
         op8_best_fit_packing,
@@ -71,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_near_dedup": neardup.ORACLE, "op9_poisson_replication": mixing.ORACLE}
+    return {"op4_redirect_equivalence": urls.ORACLE, "op5_minhash_near_dedup": neardup.ORACLE, "op9_poisson_replication": mixing.ORACLE}
