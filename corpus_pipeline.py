@@ -1,8 +1,63 @@
-"""The corpus pipeline: quality rules, toxicity, near-duplicates, mixing, packing."""
+"""The corpus pipeline: quality rules, toxicity, near-duplicates, mixing to target weights, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from stopwise.llm import mixing, neardup, packing, quality, toxicity
+from stopwise.llm.common import table, written
+from stopwise.llm.tokens import default_file
+
+#: A document goes when its toxicity score reaches this.
+TOXIC = 0.7
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or are outliers of their language and source, go."""
+    return quality.keep_good(docs)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go. The machine learns from all labelled rows of the corpus."""
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model, TOXIC)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, 0.8) the document with the least identifier stays."""
+    return neardup.keep_firsts(docs)
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated by Poisson counts towards tempered source shares, in random order."""
+    return mixing.replicate(docs).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens."""
+    return packing.pack_documents(docs, default_file("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("near_duplicates", near_duplicates),
+    ("source_mixture", source_mixture),
+    ("packing", packed),
+]
+
+#: The machine and the tokenizer are beyond SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written to the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, name)
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, neardup, packing, quality, sharding, sstable, toxicity, urls
+from . import extract, fingerprint, mixing, neardup, packing, quality, sharding, sstable, toxicity, urls
 from .common import table
 from .tokens import default_file
 
@@ -43,6 +43,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op6_recurrent_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_consistent_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_two_pass_shuffle,
         op4_redirect_equivalence,
         op5_minhash_near_dedup,
+        op6_recurrent_block_labeller,
         op7_consistent_weighted_sampling,
         op8_best_fit_packing,
         op9_poisson_replication,
