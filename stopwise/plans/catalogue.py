@@ -1,19 +1,664 @@
-"""The registered queries over the planning operators and their oracle SQL."""
+"""The registered queries over the planning operators and, where SQL can express them, their oracle SQL.
+
+A query is added with :func:`query`; its SQL, if any, is given there too, with the common table expressions it needs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import geo, text
+from ..operators import clean, density, growth, match, metrics, overnight, pairs, slices, tours
+from ..sources import tables
+from . import exports
+from . import fixtures as fx
+from .planner import Planner
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of every nation: tours, days, plan figures."""
+    points = fx.customers(spark, sf_dir)
+    stops = tours.split_days(tours.nearest_tour(points), points, fx.LIMITS)
+    return tours.plan_metrics(tours.day_rollup(stops, points, fx.LIMITS), fx.LIMITS)
+
+
+# Sources, filters, functions
+
+_MAPPED = {"name": "name_raw", "coordinates": "coord_micro", "metadata": {"nation": "nation"}}
+_SQL_MAPPED = fx.SQL_RAW + """,
+ cells as (select row_no, trim(name_raw) as name, coord_micro from raw),
+ mapped as (select row_no, name, try_cast(split_part(coord_micro,',',1) as double) as lng, try_cast(split_part(coord_micro,',',2) as double) as lat,
+  row_number() over (order by row_no)-1 as point_idx from cells where name<>'' and lower(name)<>'nan')"""
+
+
+@query("with " + _SQL_MAPPED + " select cast(point_idx as int) as point_idx, cast(row_no as varchar) as point_id, name, lng, case when coord_micro_ok then lat end as lat from (select *, lng is not null as coord_micro_ok from mapped)")
+def src_points_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.points(fx.raw_rows(spark, sf_dir), _MAPPED).select("point_idx", "point_id", "name", "lng", "lat")
+
+
+@query("with " + fx.SQL_RAW + " select row_no-3 as row_no, name_raw from raw where row_no>=3")
+def src_skip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.skip_rows(fx.raw_rows(spark, sf_dir), 3).select("row_no", "name_raw")
+
+
+@query("with " + fx.SQL_CUSTOMERS + " select problem_id, point_idx from (select *, row_number() over (partition by problem_id,lng,lat order by point_idx) as n from pts) where n=1")
+def src_dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.first_per_place(fx.customers(spark, sf_dir)).select("problem_id", "point_idx")
+
+
+@query("with " + _SQL_MAPPED + " select row_no, lng/1e6 as lng, lat/1e6 as lat from mapped where lng is not null and lat is not null and lng<>0 and lat<>0")
+def flt_coord_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tables.placed(tables.points(fx.raw_rows(spark, sf_dir), _MAPPED))
+    return found.select(F.col("point_id").cast("long").alias("row_no"), (F.col("lng") / 1e6).alias("lng"), (F.col("lat") / 1e6).alias("lat"))
+
+
+@query("with n as (select o_custkey, count(*) as n, sum(o_totalprice) as t from orders group by o_custkey) select o_custkey, n+1<=12 as count_ok, round(t,2)<=1500000 as distance_ok, true as unlimited_ok, n*900<=9000 as time_ok from n")
+def flt_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("t"))
+    return n.select("o_custkey", tours.fits_count(F.col("n"), 12).alias("count_ok"), tours.fits_distance(F.col("t"), 1_500_000).alias("distance_ok"), tours.fits_distance(F.col("t"), 0).alias("unlimited_ok"), tours.fits_time(F.col("n") * 900, 9000).alias("time_ok"))
+
+
+@query("with " + ",".join([fx.SQL_MANY, fx.SQL_PAIRS, fx.SQL_BOTH]) + ", nn as (select problem_id,i,min(km) as km from both_ways group by 1,2) select p.problem_id, point_idx, km as nearest_km, coalesce(km>5,false) as is_outlier from pts p left join nn on nn.problem_id=p.problem_id and nn.i=p.point_idx")
+def flt_outlier_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.split_outliers(fx.many(spark, sf_dir), 5.0).select("problem_id", "point_idx", "nearest_km", "is_outlier")
+
+
+@query("with " + fx.SQL_CUSTOMERS + ", c as (select problem_id, avg(lat) as lat, avg(lng) as lng from pts group by 1) select p.problem_id, point_idx, round(" + fx.SQL_KM.format(a="p", b="c") + ",4) as centre_km, " + fx.SQL_KM.format(a="p", b="c") + ">20 as is_outlier from pts p join c on p.problem_id=c.problem_id")
+def flt_outlier_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.centroid_outliers(fx.customers(spark, sf_dir), 20.0).select("problem_id", "point_idx", F.round("centre_km", 4).alias("centre_km"), "is_outlier")
+
+
+_SQL_TYPED = ", typed as (select p.*, " + fx.SQL_KM.format(a="p", b="d") + " as base_km, case when " + fx.SQL_KM.format(a="p", b="d") + ">25 then 'overnight' else 'single_day' end as trip_type from pts p, (select 107.08e0 as lng, 29.85e0 as lat) d)"
+
+
+@query("with " + fx.SQL_CUSTOMERS + _SQL_TYPED + " select problem_id, point_idx, base_km, trip_type from typed")
+def flt_overnight_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overnight.classify(fx.customers(spark, sf_dir), fx.BASE_LAT, fx.BASE_LNG, 25.0).select("problem_id", "point_idx", "base_km", "trip_type")
+
+
+_SQL_STATUS = ", judged as (select *, case when given<>'OK' then 'FAIL' when contains(district,'NATION_1') or contains(formatted,'NATION_1') then 'OK' else 'WRONG' end as status, case when given<>'OK' then '匹配失败' when not contains(district,'NATION_1') then '区域不符' when formatted=district then '定位模糊' else '匹配成功' end as category from found)"
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = [F.col(c) for c in ("given", "district", "formatted")]
+    return fx.validated(spark, sf_dir).withColumns({"status": clean.status(*cols, "NATION_1"), "category": clean.category(*cols, "NATION_1")})
+
+
+@query("with " + fx.SQL_VALIDATED + _SQL_STATUS + " select row_id, status, category from judged")
+def flt_validation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).select("row_id", "status", "category")
+
+
+@query("with " + fx.SQL_VALIDATED + _SQL_STATUS + " select count(*) as total, count(*) filter (status='OK') as ok, count(*) filter (status='FAIL') as fail, count(*) filter (status='WRONG') as wrong from judged")
+def agg_validation_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.counters(_judged(spark, sf_dir))
+
+
+@query("with " + fx.SQL_VALIDATED + _SQL_STATUS + " select category, count(*) as n, case category when '匹配失败' then 0 when '区域不符' then 1 when '定位模糊' then 2 else 3 end as priority from judged group by category")
+def agg_category_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("n")).withColumn("priority", clean.problem_order(F.col("category"))).orderBy("priority")
+
+
+@query("with " + fx.SQL_ONE + " select point_idx, round(" + fx.SQL_KM.format(a="p", b="d") + ",6) as km, round(sqrt(pow((p.lat-d.lat)*111,2)+pow((p.lng-d.lng)*85,2)),6) as plane_km, round(sqrt(pow(p.lat-d.lat,2)+pow(p.lng-d.lng,2)),9) as deg, round(" + fx.SQL_KM.format(a="p", b="d") + "/35*3600,3) as drive_s from pts p, (select 107.08e0 as lng, 29.85e0 as lat) d")
+def fn_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = (F.col("lat"), F.col("lng"), F.lit(fx.BASE_LAT), F.lit(fx.BASE_LNG))
+    km = geo.haversine_km(*at)
+    return fx.one(spark, sf_dir).select("point_idx", km.alias("km"), F.round(geo.planar_km(*at), 6).alias("plane_km"), F.round(geo.degrees_apart(*at), 9).alias("deg"), F.round(geo.drive_seconds(km, 35.0), 3).alias("drive_s"))
+
+
+@query("select s_suppkey, round(29.85e0+(('0x'||substr(md5(s_name),1,4))::int/65535.0e0-0.5e0)*0.5e0,9) as lat, round(107.08e0+(('0x'||substr(md5(s_name),5,4))::int/65535.0e0-0.5e0)*0.5e0,9) as lng from supplier")
+def fn_hash_coord(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lat, lng = geo.hashed_coordinate(F.col("s_name"), fx.BASE_LAT, fx.BASE_LNG)
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.round(lat, 9).alias("lat"), F.round(lng, 9).alias("lng"))
+
+
+@query("with e as (select p_partkey, p_size/25.0e0 as la, p_size/40.0e0 as ln from part), z as (select p_partkey, z from e, range(6,19) r(z) where greatest(ln*1.4e0,0.005e0)*pow(2.0e0,z)*256/360<=800 and greatest(la*1.4e0,0.005e0)*pow(2.0e0,z)*256/360<=600) select p_partkey, cast(coalesce(max(z),6) as int) as zoom from part left join z using (p_partkey) group by p_partkey")
+def fn_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", geo.zoom_level(F.col("p_size") / 25.0, F.col("p_size") / 40.0).alias("zoom"))
+
+
+@query("select p_partkey, cast(p_size as double) as first_lat, cast(p_partkey as double) as last_lng, 2::int as n from part")
+def fn_polyline_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = geo.polyline(F.format_string("%d,%d;%d,%d;bad", F.col("p_size") + 1, F.col("p_size"), F.col("p_partkey"), F.col("p_size")))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", line[0]["lat"].alias("first_lat"), F.element_at(line, -1)["lng"].alias("last_lng"), F.size(line).alias("n"))
+
+
+@query("select p_partkey, translate(n,'.-·小区（）()','') as loose, replace(replace(replace(n,'小区',''),'（','('),'）',')') as older, right(p_name,20) as tail, case when contains(k,'号') and split_part(k,'号',2)<>'' then split_part(k,'号',2) else k end as short from (select *, concat('A-小区（',p_name,'）') as n, concat(p_brand,'号',p_type) as k from part)")
+def fn_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, k = F.concat(F.lit("A-小区（"), "p_name", F.lit("）")), F.concat("p_brand", F.lit("号"), "p_type")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", text.loose(n).alias("loose"), text.loose_older(n).alias("older"), text.label_tail(F.col("p_name")).alias("tail"), text.simplified(k).alias("short"))
+
+
+@query("select p_partkey, concat('第',p_size,'天') as label, p_size as day from part")
+def fn_day_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = text.day_label(F.col("p_size"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", label.alias("label"), text.day_number(label).alias("day"))
+
+
+# Pairs and matching
+
+
+@query("with " + ",".join([fx.SQL_MANY, fx.SQL_PAIRS]) + " select problem_id, i, j, km from pairs")
+def jn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.pairs(fx.many(spark, sf_dir))
+
+
+@query("with " + ",".join([fx.SQL_MANY, fx.SQL_PAIRS]) + " select problem_id, i, j, km from pairs where i%3<>0 and j%3<>0")
+def jn_active_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = fx.many(spark, sf_dir)
+    return pairs.among(pairs.pairs(points), points.filter("point_idx % 3 != 0"))
+
+
+@query("with " + ",".join([fx.SQL_CUSTOMERS, fx.SQL_PAIRS, fx.SQL_BOTH]) + ", r as (select *, row_number() over (partition by problem_id,i order by km,j) as n from both_ways) select p.problem_id, point_idx, j as nearest_idx, km as nearest_km from pts p left join r on r.problem_id=p.problem_id and i=point_idx and n=1")
+def jn_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.nearest(fx.customers(spark, sf_dir))
+
+
+@query("with " + ",".join([fx.SQL_CUSTOMERS, fx.SQL_PAIRS]) + " select problem_id, i, j, km from pairs where km<=3")
+def jn_range_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.within(fx.customers(spark, sf_dir), 3.0)
+
+
+@query("with " + ",".join([fx.SQL_MANY, fx.SQL_PAIRS, fx.SQL_ROAD]) + " select p.problem_id, p.i, p.j, round(coalesce(km*detour,km),8) as km, detour is not null as by_road from pairs p left join road r on r.problem_id=p.problem_id and r.i=p.i and r.j=p.j")
+def jn_road_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = pairs.pairs(fx.many(spark, sf_dir))
+    known = edges.join(fx.road(spark, sf_dir), ["problem_id", "i", "j"]).select("problem_id", "i", "j", (F.col("km") * F.col("detour")).alias("road_km"))
+    return pairs.road_pairs(edges, known).withColumn("km", F.round("km", 8))
+
+
+_SQL_MATCH = fx.SQL_SURVEY + """,
+ named as (select s_suppkey as row_id, concat('Zone.',s_name) as name, s_name as short from supplier),
+ fixes as (select concat('Zone.',s_name) as corrected, concat('old-',cast(s_suppkey as varchar)) as original from supplier where s_suppkey%4=2),
+ m1 as (select row_id, org from named join survey on key=short),
+ m2 as (select row_id, org from named join fixes on corrected=name join survey on key=original where row_id not in (select row_id from m1)),
+ m3 as (select row_id, arg_min(org, seq) as org from named n join survey on (contains(key,short) or contains(short,key) or contains(translate(key,'.-·小区（）()',''),translate(short,'.-·小区（）()','')) or contains(translate(short,'.-·小区（）()',''),translate(key,'.-·小区（）()','')))
+  where row_id not in (select row_id from m1) and row_id not in (select row_id from m2) group by row_id),
+ told as (select *, 'exact' as matched_by from m1 union all select *, 'correction' from m2 union all select *, 'fuzzy' from m3)"""
+
+
+@query("with " + _SQL_MATCH + " select named.row_id, org, matched_by from named left join told using (row_id)")
+def jn_match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = match.cascade(fx.named(spark, sf_dir), fx.survey_rows(spark, sf_dir), fx.corrections(spark, sf_dir), "Zone.")
+    return found.select("row_id", F.col("attrs")["org"].alias("org"), "matched_by")
+
+
+@query("with " + _SQL_MATCH + " select row_id, org from m1")
+def jn_match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.exact(fx.named(spark, sf_dir), fx.survey_rows(spark, sf_dir), "Zone.").select("row_id", F.col("attrs")["org"].alias("org"))
+
+
+@query("with " + _SQL_MATCH + " select row_id, org from named join fixes on corrected=name join survey on key=original")
+def jn_match_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.by_correction(fx.named(spark, sf_dir), fx.survey_rows(spark, sf_dir), fx.corrections(spark, sf_dir), "Zone.").select("row_id", F.col("attrs")["org"].alias("org"))
+
+
+@query("with " + _SQL_MATCH + ", o as (select row_id, org, seq, key, short, replace(replace(replace(key,'小区',''),'（','('),'）',')') as k2 from named, survey) select row_id, arg_min(org, seq) as org from o where contains(key,short) or contains(short,key) or contains(k2,short) or contains(short,k2) group by row_id")
+def jn_match_fuzzy_older(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.fuzzy(fx.named(spark, sf_dir), fx.survey_rows(spark, sf_dir), "Zone.", older=True).select("row_id", F.col("attrs")["org"].alias("org"))
+
+
+def _addresses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    rows = s.selectExpr("s_suppkey as row_id", "s_name as address", "case when s_suppkey%3=0 then 0D else cast(s_suppkey as double) end as lng", "cast(s_nationkey+1 as double) as lat")
+    fixes = s.filter("s_suppkey%4=1").selectExpr("s_name as address", "case when s_suppkey%8=1 then ' ' else concat('new ',s_name) end as fixed")
+    places = s.filter("s_suppkey%5<>0").selectExpr("explode(array(s_name, concat('new ',s_name))) as address", "cast(s_suppkey*2 as double) as lng", "cast(s_suppkey*3 as double) as lat")
+    return rows, fixes, places
+
+
+_SQL_ADDRESSES = """rows_ as (select s_suppkey as row_id, s_name as address, case when s_suppkey%3=0 then 0e0 else cast(s_suppkey as double) end as lng, cast(s_nationkey+1 as double) as lat from supplier),
+ places as (select unnest([s_name, concat('new ',s_name)]) as address, cast(s_suppkey*2 as double) as lng, cast(s_suppkey*3 as double) as lat from supplier where s_suppkey%5<>0)"""
+
+
+@query("with " + _SQL_ADDRESSES + ", f as (select s_name as address, concat('new ',s_name) as fixed from supplier where s_suppkey%4=1 and s_suppkey%8<>1) select row_id, coalesce(fixed,r.address) as address, case when fixed is null then r.lng else p.lng end as lng, case when fixed is null then r.lat else p.lat end as lat, fixed is not null as changed, fixed is not null and p.address is not null as found from rows_ r left join f on f.address=r.address left join places p on p.address=fixed")
+def jn_correction_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.merge_corrections(*_addresses(spark, sf_dir))
+
+
+@query("with " + _SQL_ADDRESSES + ", k as (select r.row_id, case when r.lng<>0 and r.lat<>0 then 'data' when p.address is not null then 'geocoded' else 'fallback' end as coord_source from rows_ r left join places p on p.address=r.address) select coord_source, count(*) as n from k group by coord_source")
+def agg_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, places = _addresses(spark, sf_dir)
+    return clean.resolve_coordinates(rows, places, fx.BASE_LAT, fx.BASE_LNG).groupBy("coord_source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with asked as (select s_suppkey as row_id, concat('D',s_name) as k, 0 as way from supplier union all select s_suppkey, s_name, 1 from supplier),
+ places as (select case when s_suppkey%2=0 then concat('D',s_name) else s_name end as keyword, r.rank, concat('hit ',r.rank) as name, case when (s_suppkey+r.rank)%3=0 then 'D' else 'E' end as place_district from supplier, (values (1),(2)) r(rank) where s_suppkey%7<>0),
+ hits as (select row_id, way, place_district<>'D' as outside, rank, name, place_district, row_number() over (partition by row_id order by way, place_district<>'D', rank) as n from asked join places on keyword=k)
+ select s_suppkey as row_id, case when name is null then 'FAIL' when outside then 'OK_OTHER' else 'OK' end as status, name, place_district from supplier left join hits on row_id=s_suppkey and n=1""")
+def jn_poi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    places = s.filter("s_suppkey%7<>0").selectExpr("case when s_suppkey%2=0 then concat('D',s_name) else s_name end as keyword", "s_suppkey", "explode(array(1,2)) as rank")
+    places = places.selectExpr("keyword", "rank", "concat('hit ',rank) as name", "case when (s_suppkey+rank)%3=0 then 'D' else 'E' end as place_district")
+    return clean.repair_by_search(s.selectExpr("s_suppkey as row_id", "s_name as keyword"), places, "D").drop("keyword")
+
+
+# Tours, days, plans
+
+_SQL_NN = """,
+ walk as (
+  select problem_id, 1 as stop_seq, min(point_idx) as point_idx, [min(point_idx)] as seen from pts group by problem_id
+  union all
+  select problem_id, stop_seq, point_idx, seen from (
+   select w.problem_id, w.stop_seq+1 as stop_seq, b.point_idx, list_append(w.seen,b.point_idx) as seen,
+    row_number() over (partition by w.problem_id order by {km}, b.point_idx) as n
+   from walk w join pts a on a.problem_id=w.problem_id and a.point_idx=w.point_idx
+   join pts b on b.problem_id=w.problem_id and not list_contains(w.seen,b.point_idx)) where n=1)""".replace("{km}", fx.SQL_KM.format(a="a", b="b"))
+
+
+@query("with recursive " + fx.SQL_MANY + _SQL_NN + " select problem_id, cast(stop_seq as int) as stop_seq, point_idx from walk")
+def tour_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tours.nearest_tour(fx.many(spark, sf_dir))
+
+
+_SQL_DAYS = _SQL_NN + """,
+ way as (select w.problem_id, w.stop_seq, w.point_idx, coalesce({km},0) as km from walk w join pts b on b.problem_id=w.problem_id and b.point_idx=w.point_idx
+  left join walk v on v.problem_id=w.problem_id and v.stop_seq=w.stop_seq-1 left join pts a on a.problem_id=v.problem_id and a.point_idx=v.point_idx),
+ split as (
+  select problem_id, stop_seq, point_idx, 1 as day, 1 as n, 900e0 as sec from way where stop_seq=1
+  union all
+  select w.problem_id, w.stop_seq, w.point_idx, case when s.n+1<=5 and s.sec+w.km/35*3600+900<=5100 then s.day else s.day+1 end,
+   case when s.n+1<=5 and s.sec+w.km/35*3600+900<=5100 then s.n+1 else 1 end, case when s.n+1<=5 and s.sec+w.km/35*3600+900<=5100 then s.sec+w.km/35*3600+900 else 900e0 end
+  from split s join way w on w.problem_id=s.problem_id and w.stop_seq=s.stop_seq+1),
+ daily as (select s.problem_id, s.day, count(*) as point_count, round(sum(case when s.n>1 then w.km else 0 end),6) as km from split s join way w on w.problem_id=s.problem_id and w.stop_seq=s.stop_seq group by 1,2),
+ days as (select problem_id, day, point_count, round(km,1) as drive_distance_km, round(km/35*60,1) as drive_time_min, round(point_count*15.0e0,1) as stop_time_min, round((km/35*60+point_count*15.0e0+155)/60,1) as total_time_hours from daily)""".replace("{km}", fx.SQL_KM.format(a="a", b="b"))
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    points = fx.many(spark, sf_dir)
+    return points, tours.split_days(tours.nearest_tour(points), points, fx.LIMITS)
+
+
+@query("with recursive " + fx.SQL_MANY + _SQL_DAYS + " select problem_id, cast(day as int) as day, cast(n as int) as stop_seq, point_idx from split")
+def sch_day_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planned(spark, sf_dir)[1]
+
+
+@query("with recursive " + fx.SQL_MANY + _SQL_DAYS + " select problem_id, cast(day as int) as day, point_count, drive_distance_km, drive_time_min, stop_time_min, total_time_hours from days")
+def agg_day_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, stops = _planned(spark, sf_dir)
+    return tours.day_rollup(stops, points, fx.LIMITS)
+
+
+_SQL_METRICS = "select problem_id, count(*) as total_days, cast(sum(point_count) as bigint) as total_points, round(sum(drive_distance_km),6) as total_distance_km, round(sum(total_time_hours),6) as total_hours, max(point_count) as max_day_points, round(sum(drive_distance_km)/count(*),6) as avg_day_distance, count(*) filter (total_time_hours>4) as overtime_days from days group by problem_id"
+
+
+@query("with recursive " + fx.SQL_MANY + _SQL_DAYS + " " + _SQL_METRICS)
+def agg_plan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, stops = _planned(spark, sf_dir)
+    return tours.plan_metrics(tours.day_rollup(stops, points, fx.LIMITS), fx.LIMITS)
+
+
+@query("with recursive " + fx.SQL_MANY + _SQL_DAYS + " select problem_id, cast(day as int) as day, point_count, drive_distance_km, total_time_hours from days union all select problem_id, null, cast(sum(point_count) as bigint), round(sum(drive_distance_km),6), round(sum(total_time_hours),6) from days group by problem_id")
+def agg_totals_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, stops = _planned(spark, sf_dir)
+    return tours.with_totals(tours.day_rollup(stops, points, fx.LIMITS))
+
+
+@query("with recursive " + fx.SQL_MANY + _SQL_DAYS + ", c as (select *, count(*) over (partition by problem_id,day) as m from split) select problem_id, cast(day as int) as day, cast(n as int) as stop_seq, point_idx, case when n=1 then 'start' when n=m then 'return' else concat('stop ',n-1) end as role from c")
+def win_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tours.roles(_planned(spark, sf_dir)[1])
+
+
+@query("with recursive " + fx.SQL_MANY + _SQL_DAYS + ", l as (select s.problem_id, s.day, s.n, s.point_idx, lead(w.km) over (partition by s.problem_id,s.day order by s.n) as km from split s join way w on w.problem_id=s.problem_id and w.stop_seq=s.stop_seq) select problem_id, cast(day as int) as day, cast(n as int) as stop_seq, point_idx, coalesce(km,0) as leg_km from l")
+def win_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, stops = _planned(spark, sf_dir)
+    return pairs.legs(stops, points).select("problem_id", "day", "stop_seq", "point_idx", "leg_km")
+
+
+@query("with recursive " + fx.SQL_MANY + _SQL_DAYS + " select s.problem_id, cast(s.day as varchar) as day, cast(n as varchar) as \"index\", name, case when n=1 then drive_distance_km end as day_km, case when n=1 then total_time_hours end as day_hours from split s join pts p on p.problem_id=s.problem_id and p.point_idx=s.point_idx join days d on d.problem_id=s.problem_id and d.day=s.day")
+def win_first_row_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, stops = _planned(spark, sf_dir)
+    return exports.rows(stops, points, tours.day_rollup(stops, points, fx.LIMITS), ["day", "index", "name"])
+
+
+@query("with recursive " + fx.SQL_MANY + _SQL_DAYS + ", o as (select * from days where problem_id%2=0), n as (select problem_id, day, point_count, drive_distance_km from days where day<>2) select n.problem_id, cast(n.day as int) as day, o.point_count as old_point_count, o.drive_distance_km as old_drive_distance_km, n.point_count as new_point_count, n.drive_distance_km as new_drive_distance_km from n left join o on o.problem_id=n.problem_id and o.day=n.day")
+def jn_day_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, stops = _planned(spark, sf_dir)
+    days = tours.day_rollup(stops, points, fx.LIMITS)
+    return metrics.zipped_days(days.filter("problem_id % 2 = 0"), days.filter("day != 2"))
+
+
+@query()
+def tour_two_opt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tours.improved_tour(fx.many(spark, sf_dir))
+
+
+@query("select problem_id, true as not_longer from (select distinct cast(s_nationkey as bigint) as problem_id from supplier)")
+def tour_two_opt_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = fx.many(spark, sf_dir)
+
+    def closed(tour: DataFrame) -> DataFrame:
+        ends = tour.withColumn("day", F.lit(1))
+        last = tour.groupBy("problem_id").agg((F.max("stop_seq") + 1).cast("int").alias("stop_seq"), F.min_by("point_idx", "stop_seq").alias("point_idx")).withColumn("day", F.lit(1))
+        return pairs.legs(ends.unionByName(last), points).groupBy("problem_id").agg(F.sum("leg_km").alias("km"))
+
+    before, after = closed(tours.nearest_tour(points)), closed(tours.improved_tour(points)).withColumnRenamed("km", "after")
+    return before.join(after, "problem_id").select("problem_id", (F.col("after") <= F.col("km") + 1e-6).alias("not_longer"))
+
+
+# Groupings
+
+_SQL_FENCE = "fenced as (select problem_id, point_idx, cast(floor((row_number() over (partition by problem_id order by lng,point_idx)-1)/ceil(count(*) over (partition by problem_id)/4.0e0)) as int) as label from pts)"
+
+
+@query("with " + fx.SQL_CUSTOMERS + ", " + _SQL_FENCE + " select * from fenced")
+def cl_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slices.fence(fx.customers(spark, sf_dir), 4)
+
+
+@query("with " + fx.SQL_CUSTOMERS + ", n as (select *, row_number() over (partition by problem_id order by lng,point_idx) as r, count(*) over (partition by problem_id) as n from pts) select problem_id, point_idx, cast(floor((r-1)/ceil(n/ceil(n/15.0e0))) as int) as label from n")
+def cl_river(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slices.river(fx.customers(spark, sf_dir), 15)
+
+
+@query("with " + fx.SQL_CUSTOMERS + ", m as (select *, avg(lat) over (partition by problem_id) as mla, min(lat) over (partition by problem_id) as y, min(lng) over (partition by problem_id) as x from pts), c as (select problem_id, point_idx, floor((lat-y)/(5e0/111e0)) as r, floor((lng-x)/(5e0/(111e0*cos(radians(mla))))) as c from m) select problem_id, point_idx, cast(dense_rank() over (partition by problem_id order by r,c)-1 as int) as label from c")
+def cl_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slices.grid(fx.customers(spark, sf_dir), 5.0)
+
+
+@query("with n as (select c_nationkey, count(*) as n from customer group by 1) select c_nationkey, cast(greatest(1,least(9,n//10)) as int) as k, 10::int as least, 20::int as most, cast(greatest(4,n//12) as int) as groups from n")
+def cl_kclamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("c_nationkey", slices.clamp_groups(F.col("n"), 9, 10, 20).alias("c"), slices.group_count(F.col("n")).alias("groups")).select("c_nationkey", "c.k", "c.least", "c.most", "groups")
+
+
+_SQL_DBSCAN = """,
+ near as (select problem_id,i,j from both_ways where km<={eps}),
+ core as (select problem_id, i as p from near group by 1,2 having count(*)+1>=3),
+ links as (select n.problem_id,i,j from near n join core a on a.problem_id=n.problem_id and a.p=i join core b on b.problem_id=n.problem_id and b.p=j),
+ reach as (select problem_id, p as a, p as b from core union select r.problem_id, r.a, l.j from reach r join links l on l.problem_id=r.problem_id and l.i=r.b),
+ low as (select problem_id, a as p, min(b) as low from reach group by 1,2),
+ numbered as (select problem_id, p, dense_rank() over (partition by problem_id order by low)-1 as label from low),
+ border as (select n.problem_id, n.i as p, min(label) as label from near n join numbered c on c.problem_id=n.problem_id and c.p=n.j group by 1,2)
+ select t.problem_id, point_idx, cast(coalesce(c.label,b.label,-1) as int) as label from pts t left join numbered c on c.problem_id=t.problem_id and c.p=point_idx left join border b on b.problem_id=t.problem_id and b.p=point_idx"""
+
+
+@query("with recursive " + ",".join([fx.SQL_ONE, fx.SQL_PAIRS, fx.SQL_BOTH]) + _SQL_DBSCAN.replace("{eps}", "4"))
+def cl_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.dbscan(fx.one(spark, sf_dir), 4.0, 3, "/tmp/checkpoints")
+
+
+@query("with recursive " + ",".join([fx.SQL_MANY, fx.SQL_PAIRS.replace("pairs as", "plain as"), fx.SQL_ROAD, "pairs as (select p.problem_id,p.i,p.j,round(coalesce(km*detour,km),8) as km from plain p left join road r on r.problem_id=p.problem_id and r.i=p.i and r.j=p.j)", fx.SQL_BOTH]) + _SQL_DBSCAN.replace("{eps}", "25"))
+def cl_road(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.road_dbscan(fx.many(spark, sf_dir), jn_road_fallback(spark, sf_dir), 25.0, 3, "/tmp/checkpoints")
+
+
+def _labels(kernel: growth.Kernel) -> Query:
+    return lambda spark, sf_dir: growth.grouped(fx.many(spark, sf_dir), kernel)
+
+
+_SQL_CHAIN = """,
+ depot as (select p.*, {base} as base_km from pts p, (select 107.08e0 as lng, 29.85e0 as lat) d),
+ grow as (
+  select problem_id, point_idx, 0 as label, 0 as seq, [point_idx] as seen from (select *, row_number() over (partition by problem_id order by base_km, point_idx) as n from depot) where n=1
+  union all
+  select problem_id, point_idx, label, seq, seen from (
+   select g.problem_id, b.point_idx, case when g.seq=4 then g.label+1 else g.label end as label, case when g.seq=4 then 0 else g.seq+1 end as seq, list_append(g.seen,b.point_idx) as seen,
+    row_number() over (partition by g.problem_id order by case when g.seq=4 then b.base_km else {km} end, b.point_idx) as n
+   from grow g join depot a on a.problem_id=g.problem_id and a.point_idx=g.point_idx join depot b on b.problem_id=g.problem_id and not list_contains(g.seen,b.point_idx)) where n=1)
+ select problem_id, point_idx, cast(label as int) as label, cast(seq as int) as seq from grow""".replace("{base}", fx.SQL_KM.format(a="p", b="d")).replace("{km}", fx.SQL_KM.format(a="a", b="b"))
+
+
+@query("with recursive " + fx.SQL_MANY + _SQL_CHAIN)
+def cl_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return growth.grouped(fx.many(spark, sf_dir), growth.chain_greedy(5, (fx.BASE_LAT, fx.BASE_LNG)))
+
+
+_SQL_SEEDS = """,
+ centre as (select problem_id, avg(lat) as lat, avg(lng) as lng from pts group by 1),
+ seeds as (
+  select problem_id, 0 as k, point_idx, [point_idx] as chosen from (select p.problem_id, p.point_idx, row_number() over (partition by p.problem_id order by {mid}, p.point_idx) as n from pts p join centre c on c.problem_id=p.problem_id) where n=1
+  union all
+  select problem_id, k, point_idx, chosen from (
+   select s.problem_id, s.k+1 as k, p.point_idx, list_append(s.chosen,p.point_idx) as chosen,
+    row_number() over (partition by s.problem_id order by (select min({km}) from pts b where b.problem_id=s.problem_id and list_contains(s.chosen,b.point_idx)) desc, p.point_idx) as n
+   from seeds s join pts p on p.problem_id=s.problem_id and not list_contains(s.chosen,p.point_idx) where s.k<2) where n=1)
+ select problem_id, point_idx, cast(k as int) as label from seeds""".replace("{mid}", fx.SQL_KM.format(a="p", b="c")).replace("{km}", fx.SQL_KM.format(a="p", b="b"))
+
+
+@query("with recursive " + fx.SQL_MANY + _SQL_SEEDS)
+def cl_farthest_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return growth.grouped(fx.many(spark, sf_dir), growth.seeded(3)).filter("label >= 0").select("problem_id", "point_idx", "label")
+
+
+@query("with recursive " + fx.SQL_MANY + _SQL_SEEDS.replace(" select problem_id, point_idx, cast(k as int) as label from seeds", ", r as (select p.problem_id, p.point_idx, k, row_number() over (partition by p.problem_id,p.point_idx order by {km}, k) as n from pts p join seeds s on s.problem_id=p.problem_id join pts b on b.problem_id=s.problem_id and b.point_idx=s.point_idx) select problem_id, point_idx, cast(k as int) as label from r where n=1".replace("{km}", fx.SQL_KM.format(a="p", b="b"))))
+def cl_voronoi_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = fx.many(spark, sf_dir)
+    seeds = cl_farthest_seeds(spark, sf_dir).join(points.drop("name"), ["problem_id", "point_idx"]).select("problem_id", F.col("label").alias("seed"), "lat", "lng")
+    return pairs.nearest_seed(points, seeds)
+
+
+for _name, _kernel in {
+    "cl_centroid": growth.centroid_greedy(5),
+    "cl_isolation": growth.isolation_greedy(6),
+    "cl_capped_link": growth.capped_link(6, 25.0),
+    "cl_voronoi": growth.voronoi(3, 6),
+    "cl_kmeans_split": growth.kmeans_capped(6),
+    "cl_kmeans_separated": growth.kmeans_separated(3, 6),
+    "cl_grid_merged": growth.grid_merged(10.0, 3, 6),
+    "cl_balance": growth.voronoi_balanced(2, 1, 3),
+    "cl_chain_growth": growth.chain_growth(2),
+    "cl_greedy46": growth.greedy_between(4, 6),
+    "cl_region_grow": growth.region_growth(2, 40.0),
+    "cl_area": growth.area_expansion(300.0, 2, 6),
+    "cl_jstyle": growth.compact_circles(2, 1, 4, rounds=10),
+    "cl_overnight_chain": growth.chain_greedy(5, (fx.BASE_LAT, fx.BASE_LNG), farthest=True),
+}.items():
+    _QUERIES[_name] = _labels(_kernel)
+
+
+@query()
+def tour_group_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = fx.many(spark, sf_dir)
+    return tours.group_tours(points, growth.grouped(points, growth.centroid_greedy(5)))
+
+
+# Geometry and metrics
+
+
+def _fenced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    points = fx.one(spark, sf_dir)
+    return points, slices.fence(points, 4)
+
+
+_SQL_F = "with " + fx.SQL_ONE + ", " + _SQL_FENCE
+_SQL_CIRCLES = _SQL_F + """, l as (select * from pts join fenced using (problem_id, point_idx)),
+ mean as (select problem_id, label, avg(lat) as c_lat, avg(lng) as c_lng from l group by 1,2),
+ circles as (select problem_id, label, round(any_value(c_lat),9) as lat, round(any_value(c_lng),9) as lng, round(max(sqrt(pow(lat-c_lat,2)+pow(lng-c_lng,2))),9) as r from l join mean using (problem_id,label) group by 1,2)"""
+
+
+@query(_SQL_CIRCLES + " select * from circles")
+def geo_group_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.circles(*_fenced(spark, sf_dir))
+
+
+@query(_SQL_CIRCLES + """, cp as (select a.problem_id, a.label as label_a, b.label as label_b, sqrt(pow(b.lat-a.lat,2)+pow(b.lng-a.lng,2)) as d, a.r as ra, b.r as rb from circles a join circles b on a.problem_id=b.problem_id and a.label<b.label)
+ select problem_id, label_a, label_b, round(greatest(0,ra+rb-d),6) as depth, round((ra+rb)/d,6) as term,
+ round(case when d>=ra+rb then 0 when d<=abs(ra-rb) then pi()*pow(least(ra,rb),2) else ra*ra*acos(greatest(-1,least(1,(d*d+ra*ra-rb*rb)/(2*d*ra))))+rb*rb*acos(greatest(-1,least(1,(d*d+rb*rb-ra*ra)/(2*d*rb))))-sqrt(greatest(0,(-d+ra+rb)*(d+ra-rb)*(d-ra+rb)*(d+ra+rb)))/2 end,6) as shared from cp""")
+def geo_lens_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.circle_pairs(metrics.circles(*_fenced(spark, sf_dir)))
+    return found.select("problem_id", "label_a", "label_b", *[F.round(c, 6).alias(c) for c in ("depth", "term", "shared")])
+
+
+@query()
+def geo_circle_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.circle_cost(metrics.circles(*_fenced(spark, sf_dir)))
+
+
+@query("with " + fx.SQL_ONE + " select point_idx, cast(k as int) as k, round(lat+0.01e0*sin(radians(k*10.0e0)),9) as lat, round(lng+0.01e0*cos(radians(k*10.0e0)),9) as lng from pts, range(0,36) t(k)")
+def geo_circle_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ring = fx.one(spark, sf_dir).select("point_idx", F.posexplode(geo.circle_polygon(F.col("lat"), F.col("lng"), F.lit(0.01))).alias("k", "c"))
+    return ring.select("point_idx", "k", F.round("c.lat", 9).alias("lat"), F.round("c.lng", 9).alias("lng"))
+
+
+@query("with " + fx.SQL_MANY + """, n as (select *, row_number() over (partition by problem_id order by point_idx) as n from pts),
+ t as (select a.problem_id, a.lat as ax, a.lng as ay, b.lat as bx, b.lng as by_, c.lat as cx, c.lng as cy from n a join n b on a.problem_id=b.problem_id and a.n=1 and b.n=2 join n c on c.problem_id=a.problem_id and c.n=3),
+ d as (select *, 2*(ax*(by_-cy)+bx*(cy-ay)+cx*(ay-by_)) as d, ax*ax+ay*ay as sa, bx*bx+by_*by_ as sb, cx*cx+cy*cy as sc from t),
+ o as (select *, (sa*(by_-cy)+sb*(cy-ay)+sc*(ay-by_))/d as x, (sa*(cx-bx)+sb*(ax-cx)+sc*(bx-ax))/d as y from d)
+ select problem_id, round(x,4) as x, round(y,4) as y, round(sqrt(pow(x-ax,2)+pow(y-ay,2)),4) as r from o""")
+def geo_circumcircle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    three = fx.many(spark, sf_dir).groupBy("problem_id").agg(F.sort_array(F.collect_list(F.struct("point_idx", "lat", "lng"))).alias("p")).filter(F.size("p") >= 3)
+    at = [F.col("p")[k][c] for k in range(3) for c in ("lat", "lng")]
+    return three.select("problem_id", geo.circumcircle(*at).alias("c")).select("problem_id", *[F.round(f"c.{k}", 4).alias(k) for k in ("x", "y", "r")])
+
+
+@query()
+def geo_mec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return growth.circle_of_groups(*_fenced(spark, sf_dir))
+
+
+@query()
+def geo_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return growth.hulls(*_fenced(spark, sf_dir)).select("problem_id", "label", F.size("corners").alias("corners"), "area_km2")
+
+
+_SQL_QUALITY = _SQL_F + ", " + fx.SQL_PAIRS + """, lp as (select p.*, a.label as la, b.label as lb from pairs p join fenced a on a.point_idx=p.i join fenced b on b.point_idx=p.j),
+ inside as (select f.problem_id, f.label, coalesce(max(km),0) as max_km from (select distinct problem_id,label from fenced) f left join lp on la=f.label and lb=f.label group by 1,2),
+ between_ as (select problem_id, least(la,lb) as label_a, greatest(la,lb) as label_b, min(km) as min_km from lp where la<>lb group by 1,2,3),
+ sz as (select problem_id, label, count(*) as n from fenced group by 1,2)"""
+
+
+@query(_SQL_QUALITY + """ select s.problem_id, groups, mean_size, min_size, max_size, std_size, variation, mean_spread, max_spread, mean_gap, min_gap, has_overlap, round(mean_gap/mean_spread,6) as separation
+ from (select problem_id, count(*) as groups, round(avg(n),6) as mean_size, min(n) as min_size, max(n) as max_size, round(stddev_pop(n),6) as std_size, round(stddev_pop(n)/avg(n),6) as variation from sz group by 1) s
+ join (select problem_id, round(avg(max_km),6) as mean_spread, max(max_km) as max_spread from inside group by 1) i on i.problem_id=s.problem_id
+ join (select problem_id, round(avg(min_km),6) as mean_gap, min(min_km) as min_gap, bool_or(min_km<1) as has_overlap from between_ group by 1) b on b.problem_id=s.problem_id""")
+def met_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.quality(*_fenced(spark, sf_dir))
+
+
+@query(_SQL_QUALITY + " select problem_id, label, max_km from inside")
+def agg_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.spread(*_fenced(spark, sf_dir))
+
+
+@query(_SQL_QUALITY + " select problem_id, label_a, label_b, min_km from between_")
+def met_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.gaps(*_fenced(spark, sf_dir))
+
+
+@query()
+def met_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = metrics.quality(*_fenced(spark, sf_dir))
+    scored = [q.select("problem_id", F.lit(k).alias("kind"), F.lit(n).alias("ordinal"), metrics.score(k, F.col("mean_spread"), F.col("separation"), F.col(metrics.SCORES[k][4]), F.col("has_overlap")).alias("score")) for n, k in enumerate(metrics.SCORES)]
+    out = scored[0]
+    for s in scored[1:]:
+        out = out.unionByName(s)
+    return metrics.ranked(out)
+
+
+@query(_SQL_F + ", s as (select problem_id, label, count(*) as n from fenced group by 1,2) select problem_id, bool_or(n>20) as \"over\", bool_or(n<4) as \"under\" from s group by 1")
+def met_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.violations(_fenced(spark, sf_dir)[1], 4, 20)
+
+
+@query(_SQL_F + ", sp as (select problem_id, label, min(lng) as lo, max(lng) as hi from pts join fenced using (problem_id,point_idx) group by 1,2) select problem_id, coalesce(bool_or(lo<reach),false) as lng_overlap from (select *, max(hi) over (partition by problem_id order by lo,label rows between unbounded preceding and 1 preceding) as reach from sp) group by 1")
+def met_lng_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.longitude_overlap(*_fenced(spark, sf_dir))
+
+
+@query(_SQL_F + ", l as (select *, avg(lat) over (partition by problem_id,label) as cla, avg(lng) over (partition by problem_id,label) as cln from pts join fenced using (problem_id,point_idx)) select problem_id, round(avg(sqrt(pow(lat-cla,2)+pow(lng-cln,2))),9) as continuity from l group by 1")
+def met_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.continuity(*_fenced(spark, sf_dir))
+
+
+@query("with " + fx.SQL_CUSTOMERS + ", c as (select *, avg(lat) over (partition by problem_id) as cla, avg(lng) over (partition by problem_id) as cln from pts), d as (select *, sqrt(pow((cla-lat)*111,2)+pow((cln-lng)*85,2)) as d from c) select problem_id, min(lat) as min_lat, max(lat) as max_lat, min(lng) as min_lng, max(lng) as max_lng, round((max(lng)-min(lng))*85,6) as width_km, round((max(lat)-min(lat))*111,6) as height_km, round(avg(d),6) as mean_km, round(max(d),6) as max_km, round(min(d),6) as min_km from d group by 1")
+def agg_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.extent(fx.customers(spark, sf_dir))
+
+
+@query(_SQL_CIRCLES + ", cd as (select a.problem_id, a.label as la, b.label as lb, " + fx.SQL_KM.format(a="a", b="b") + " as km from circles a join circles b on a.problem_id=b.problem_id and a.label<>b.label), r as (select *, row_number() over (partition by problem_id,la order by km,lb) as n from cd) select problem_id, la as label_a, lb as label_b from r where n<=2 union select problem_id, lb, la from r where n<=2")
+def ord_topk_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.nearest_groups(*_fenced(spark, sf_dir), k=2)
+
+
+@query("with " + ",".join([fx.SQL_MANY, fx.SQL_PAIRS, fx.SQL_BOTH]) + ", nn as (select problem_id,i,min(km) as km from both_ways group by 1,2) select p.problem_id, point_idx, name, km as nearest_km from pts p join nn on nn.problem_id=p.problem_id and nn.i=p.point_idx where km>5")
+def set_unassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Planner(spark, fx.CONFIG).run(fx.many(spark, sf_dir), "cluster").unassigned
+
+
+# Nights away and whole plans
+
+
+@query(_SQL_F + """, l as (select * from pts join fenced using (problem_id, point_idx)), h as (select problem_id, label, round(avg(lat),9) as lat, round(avg(lng),9) as lng from l group by 1,2),
+ r as (select l.problem_id, l.label, h.lat, h.lng, l.point_idx, {km} as km, row_number() over (partition by l.problem_id,l.label order by {km}, l.point_idx) as n from l join h on h.problem_id=l.problem_id and h.label=l.label)
+ select problem_id, label, lat, lng, point_idx as near_idx, km as near_km, km<=3 as within_radius from r where n=1""".replace("{km}", fx.SQL_KM.format(a="l", b="h")))
+def sch_hotel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overnight.hotels(*_fenced(spark, sf_dir))
+
+
+@query(_SQL_F + ", t as (select problem_id, label, row_number() over (partition by label order by point_idx) as r, count(*) over (partition by label) as n, point_idx from fenced) select problem_id, label, cast(case when r<=n//2 then 1 else 2 end as int) as part, cast(case when r<=n//2 then r else r-n//2 end as int) as stop_seq, point_idx from t")
+def sch_half_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overnight.halves(_in_index_order(spark, sf_dir))
+
+
+def _in_index_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    labels = _fenced(spark, sf_dir)[1]
+    return labels.withColumn("stop_seq", F.row_number().over(Window.partitionBy("problem_id", "label").orderBy("point_idx")))
+
+
+@query()
+def sch_overnight_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, labels = _fenced(spark, sf_dir)
+    return overnight.two_day_totals(overnight.halves(_in_index_order(spark, sf_dir)), points, overnight.hotels(points, labels), fx.BASE_LAT, fx.BASE_LNG, 15.0)
+
+
+def _plan(strategy: str) -> Query:
+    return lambda spark, sf_dir: Planner(spark, fx.CONFIG).run(fx.many(spark, sf_dir), strategy).metrics
+
+
+for _name in ("tsp", "cluster", "overnight", "area_expansion", "fence"):
+    _QUERIES[f"plan_{_name}"] = _plan(_name)
+
+
+@query()
+def cmp_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Planner(spark, fx.CONFIG).compare(["tsp", "cluster", "fence"], fx.many(spark, sf_dir))
+
+
+@query()
+def snk_plan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Planner(spark, fx.CONFIG).run(fx.many(spark, sf_dir), "cluster")
+    return exports.plan_json(p.days, p.stops, p.points, p.unassigned, p.strategy)
+
+
+@query()
+def snk_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, stops = _planned(spark, sf_dir)
+    return exports.geojson(points, stops)
+
+
+@query()
+def snk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, stops = _planned(spark, sf_dir)
+    return exports.report(tours.day_rollup(stops, points, fx.LIMITS), stops, points)
+
+
+@query()
+def src_made_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.made_points(spark)
