@@ -30,17 +30,17 @@ def _value(term: Column, log_weight: Column, k: int) -> Column:
 
 
 def samples(texts: DataFrame, keys: list[str], text_col: str, n: int = SAMPLES) -> DataFrame:
-    """``keys`` and ``samples`` (array of ``n`` longs) for every row with a word in its text; ``keys`` must be unique."""
+    """``keys`` and ``samples`` (array of ``n`` integers) for every row with a word in its text; ``keys`` must be unique."""
     terms = texts.select(*keys, F.explode(F.split(text_col, WORD_BREAK)).alias("cws_word")).filter("cws_word != ''")
     terms = terms.select(*keys, F.xxhash64("cws_word").alias("cws_term"))
     weighted = terms.groupBy(*keys, "cws_term").agg(F.ln(F.count(F.lit(1))).alias("cws_weight"))
     least = weighted.groupBy(*keys).agg(*[F.min(_value(F.col("cws_term"), F.col("cws_weight"), k)).alias(f"cws_{k}") for k in range(n)])
-    return least.select(*keys, F.array(*[F.xxhash64(f"cws_{k}") for k in range(n)]).alias("samples"))
+    return least.select(*keys, F.array(*[F.hash(f"cws_{k}") for k in range(n)]).alias("samples"))
 
 
 def as_text(found: Column) -> Column:
     """Eight hexadecimal digits a sample; '' for a text without words."""
-    digits = F.transform(found, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
+    digits = F.transform(found, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
     return F.coalesce(F.concat_ws("", digits), F.lit(""))
 
 
@@ -89,13 +89,14 @@ def fingerprints(docs: DataFrame, n: int = SAMPLES, id_col: str = "doc_id", text
     flat = lambda df, i, h, p: df.withColumns({f"{p}_none": F.col(i).isNull(), f"{p}_key": F.coalesce(F.col(i), F.lit(0))}).withColumnRenamed(h, f"{p}_hash")
     at, to = ["at_none", "at_key", "at_hash"], ["to_none", "to_key", "to_hash"]
     order = flat(flat(order, "fp_id", "fp_hash", "at"), "next_id", "next_hash", "to")
-    texts = flat(own, "fp_id", "fp_hash", "at").select(*at, "fp_text")
-    follow = texts.select(*[F.col(a).alias(b) for a, b in zip(at, to, strict=True)], F.col("fp_text").alias("next_text"))
+    # both sides rename every column alike, so that Spark shuffles the texts once and uses that exchange twice
+    side = lambda names, body: flat(own, "fp_id", "fp_hash", "at").select(*[F.col(a).alias(b) for a, b in zip(at, names, strict=True)], F.col("fp_text").alias(body))
+    texts, follow = side(at, "own_text"), side(to, "next_text")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     tails = order.select(*at, *to, "n_chars").join(follow, to).select(*at, "n_chars", F.expr("substring(next_text, 1, cast(n_chars div 2 as int))").alias("tail"))
     both = texts.join(tails, at)
-    edited = F.concat(F.substring("fp_text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.col("tail"))
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("fp_text").alias("body")), F.struct(F.lit(1).alias("side"), edited.alias("body"))))
+    edited = F.concat(F.substring("own_text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.col("tail"))
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("own_text").alias("body")), F.struct(F.lit(1).alias("side"), edited.alias("body"))))
     sided = both.select(*at, sides.alias("s")).select(*at, "s.side", "s.body")
     drawn = samples(sided, [*at, "side"], "body", n)
     paired = drawn.groupBy(*at).agg(F.max(F.when(F.col("side") == 0, F.col("samples"))).alias("own"), F.max(F.when(F.col("side") == 1, F.col("samples"))).alias("other"))

@@ -3,10 +3,14 @@
 1. Every whole text becomes its set of word shingles (64-bit hashes) and 360 minima in 60 bands of six; documents with
    equal sets are one class, represented by the least identifier. At a similarity of 0.8 a pair shares no band with a
    chance of (1 - 0.8^6)^60, about 10^-8.
-2. Every member of a band bucket is paired with one centre of the bucket, another in each bucket. Pairs whose minima
-   agree too rarely are out; each class's best pairs are confirmed on full sets and joined to components.
-3. Bucket mates that are still in different components are paired and go the same way, so no link that could change a
-   component is left untested, while a large group of copies never gives all its pairs.
+2. Small buckets of a band give all their pairs. Pairs whose minima agree too rarely are out, the others are confirmed on
+   full sets.
+3. A large bucket gives no pairs but those of each member with a pivot, the member that shares most buckets. The full
+   overlap o = |x & p| and the rest x - p are kept. Of two members a, b, |a & b| <= min(o_a, o_b) + |rest_a & rest_b|. So
+   a pair that is not joined yet can only be a link if min(o_a, o_b) reaches what a link needs, found by an equality
+   join on set sizes, or if the rests share a shingle, found by an equality join on those. Such pairs are confirmed too.
+   No link of a large group is lost, and its pairs are never all made.
+4. Components of the links, by alternating large-star and small-star.
 """
 
 from __future__ import annotations
@@ -17,17 +21,17 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, written
 from .components import components
 
 BANDS, ROWS = 60, 6
-#: Pairs whose minima agree this far below the threshold are not confirmed: six standard errors of 360 minima at 0.8.
-SLACK = 0.13
-#: A class's confirmed pairs in the first round.
-BEST = 3
+#: Pairs whose minima agree this far below the threshold are not confirmed: five standard errors of 360 minima at 0.8.
+SLACK = 0.105
+#: Members up to which a bucket gives all its pairs; beyond, it is compared by way of a pivot.
+SMALL = 20
 
 
 @lru_cache
@@ -127,8 +131,11 @@ def _likely(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "m_a", "m_b").mapInArrow(run, "a long, b long, guess double")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets have 100 x intersection >= percent x union. Sets are made again for these alone."""
+def _measured(pairs: DataFrame, docs: DataFrame, width: int, rest: bool) -> DataFrame:
+    """``a, b, n_a, n_b, both`` (sizes and overlap of the full sets) and, with ``rest``, the shingles of ``b`` not in ``a``.
+
+    Sets are made again, for the documents of these pairs alone.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,19 +147,54 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
-                part, holds = batch.slice(lo, 500), []
+                part = batch.slice(lo, 500)
+                rows: list[list] = [[], [], [], []]
                 for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    at = np.searchsorted(y, x)
-                    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                    holds.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(holds, pa.bool_()))
+                    common = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                    values = (len(x), len(y), int(common.sum()), y[~common].view(np.int64) if rest else None)
+                    for r, v in zip(rows, values, strict=True):
+                        r.append(v)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                cols = [part.column(0), part.column(1), *[pa.array(r, k) for r, k in zip(rows, kinds, strict=True)]]
+                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "n_a", "n_b", "both", "rest"])
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     made = docs.join(asked, "key", "left_semi").select("key", "body").mapInArrow(sets, "key long, found binary")
     one = made.select(F.col("key").alias("a"), F.col("found").alias("f_a"))
     two = made.select(F.col("key").alias("b"), F.col("found").alias("f_b"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "f_a", "f_b").mapInArrow(run, "a long, b long")
+    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "f_a", "f_b").filter("length(f_a) > 0 and length(f_b) > 0")
+    return joined.mapInArrow(run, "a long, b long, n_a long, n_b long, both long, rest array<long>")
+
+
+def _linked(percent: int):
+    return F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent
+
+
+def _crossing(spokes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of spokes of one pivot that may be links and are in different components."""
+    t = percent / 100
+    own = spokes.join(joined.select(F.col("node").alias("b"), "component"), "b", "left")
+    own = own.select("a", "b", F.coalesce("component", "b").alias("part"), F.col("n_b").alias("n"), F.col("both").alias("o"), "hit", "rest", F.when(_linked(percent), "L").when(F.col("both") >= (F.col("n_a") + F.col("n_b") - F.col("both")) * (2 * t - 1), "M").otherwise("F").alias("kind"))
+    own = written(own, "spokes")
+    pair = (F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b"))
+    # by size: the other's size is between t n and what the own overlap allows; most members allow none
+    top = F.floor(F.col("o") * (1 + t) / t + 1e-9) - F.col("n")
+    low = F.ceil(F.col("n") * t - 1e-9)
+    open_ = own.filter("kind != 'L'").withColumn("low", low).withColumn("top", F.least(top, F.floor(F.col("n") / t + 1e-9))).filter("low <= top")
+    open_ = open_.select("a", F.col("b").alias("b1"), F.col("part").alias("p1"), F.col("o").alias("o1"), F.col("n").alias("n1"), F.explode(F.sequence("low", "top")).alias("n"))
+    sized = own.select("a", F.col("b").alias("b2"), F.col("part").alias("p2"), F.col("o").alias("o2"), "n")
+    enough = F.least("o1", "o2") * (1 + t) + 1e-9 >= (F.col("n1") + F.col("n")) * t
+    by_size = open_.join(sized, ["a", "n"]).filter((F.col("p1") != F.col("p2")) & enough).select(*pair)
+    # by rest: a shared shingle outside the pivot; shingles within one component are no use
+    spread = own.select("a", "b", "part", "kind", F.explode("rest").alias("g"))
+    useful = spread.groupBy("a", "g").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.max(F.col("kind") != "L").alias("k")).filter("x != y and k").select("a", "g")
+    spread = spread.join(useful, ["a", "g"], "left_semi")
+    left, right = (spread.select("a", "g", F.col("b").alias(f"b{k}"), F.col("part").alias(f"p{k}"), F.col("kind").alias(f"k{k}")) for k in (1, 2))
+    # by the triangle inequality a member far from the pivot has no link with one that the pivot has
+    fair = "p1 < p2 and not (k1 = 'L' and k2 in ('L', 'F')) and not (k2 = 'L' and k1 = 'F')"
+    by_rest = left.join(right, ["a", "g"]).filter(fair).select(*pair)
+    return by_size.union(by_rest).distinct()
 
 
 def near_duplicates(
@@ -176,26 +218,21 @@ def near_duplicates(
     heads = live.join(classes.select(F.col("same").alias("own"), "head"), (F.col("doc_id") == F.col("head")) & (F.col("same") == F.col("own")), "left_semi")
     heads = written(heads.select("doc_id", "bands", "minima"), "heads")
     placed = heads.select("doc_id", F.explode("bands").alias("bucket"))
-    centre = F.min(F.struct(F.xxhash64("bucket", "doc_id").alias("draw"), F.col("doc_id").alias("id")))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), centre.alias("centre")).filter("n > 1")
-    mates = written(placed.join(shared.select("bucket", F.col("centre.id").alias("centre")), "bucket"), "mates")
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = mates.filter("doc_id != centre").select(*pair(F.col("doc_id"), F.col("centre"))).distinct()
-    likely = written(_likely(stars, heads, percent / 100 - SLACK), "likely")
-    ends = likely.select("a", "b", "guess", F.explode(F.array("a", "b")).alias("end"))
-    # the centre of a large bucket is an end of many pairs, so the best are found by partial aggregation, not by a sort per end
-    best = ends.groupBy("end").agg(*[F.max_by(F.struct("a", "b"), F.struct(F.col("guess"), F.xxhash64("a", "b", F.lit(k)))).alias(f"p{k}") for k in range(BEST)])
-    first = written(best.select(F.explode(F.array(*[f"p{k}" for k in range(BEST)])).alias("p")).select("p.*").distinct(), "first")
-    links = written(_confirmed(first, docs, width, percent), "links")
+    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    mates = written(placed.join(shared, "bucket"), "mates")
+    small, large = mates.filter(F.col("n") <= SMALL), mates.filter(F.col("n") > SMALL)
+    left, right = (small.select("bucket", F.col("doc_id").alias(k)) for k in "ab")
+    close = left.join(right, "bucket").filter("a < b").select("a", "b").distinct()
+    close = written(_likely(close, heads, percent / 100 - SLACK), "likely")
+    links = written(_measured(close, docs, width, False).filter(_linked(percent)).select("a", "b"), "links")
+    central = large.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    ranked = large.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct("times", F.xxhash64("doc_id").alias("draw"), "doc_id")).alias("m"))
+    spokes = large.join(ranked.select("bucket", F.col("m.doc_id").alias("pivot")), "bucket").filter("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    spokes = written(_measured(spokes, docs, width, True).withColumn("hit", _linked(percent)), "spokes")
+    links = links.union(spokes.filter("hit").select("a", "b"))
     joined = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined")
-    grouped = mates.join(joined, mates["doc_id"] == joined["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-    grouped = written(grouped, "grouped")
-    mixed = grouped.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("bucket")
-    open_ = grouped.join(mixed, "bucket", "left_semi")
-    left, right = (open_.select("bucket", F.col("doc_id").alias(f"d{k}"), F.col("part").alias(f"p{k}")) for k in (1, 2))
-    crossing = left.join(right, "bucket").filter("p1 < p2").select(*pair(F.col("d1"), F.col("d2"))).distinct().join(first, ["a", "b"], "left_anti")
-    second = written(_likely(crossing, heads, percent / 100 - SLACK), "second")
-    more = written(_confirmed(second, docs, width, percent), "links")
+    second = written(_likely(_crossing(spokes, joined, percent), heads, percent / 100 - SLACK), "second")
+    more = written(_measured(second, docs, width, False).filter(_linked(percent)).select("a", "b"), "links")
     # components of components: joined parts are nodes already
     part_of = joined.select(F.col("node"), F.col("component"))
     ends = more.join(part_of.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(part_of.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
@@ -212,7 +249,7 @@ def near_duplicates(
         ties = out.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
         tied = components(ties).withColumnsRenamed({"node": "from", "component": "into"})
         out = out.join(tied, out["component_id"] == tied["from"], "left").withColumn("component_id", F.coalesce("into", "component_id")).drop("from", "into")
-    for done in (mates, likely, first, links, grouped, second):
+    for done in (mates, close, second):
         drop_written(done)
     kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))

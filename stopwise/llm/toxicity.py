@@ -31,7 +31,7 @@ _READ_AS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"
 CLEAN_SHARE = 1 / 4000
 #: Bounds of the sample that the machine is fitted on: documents of each label, bytes of text, word
 #: types, landmarks; the bar is set on 500 clean documents of the sample.
-SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_WORDS, LANDMARKS = 3000, 48 << 20, 30_000, 256
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_WORDS, LANDMARKS = 2500, 24 << 20, 18_000, 256
 
 
 def _classes() -> np.ndarray:
@@ -205,13 +205,14 @@ def fit(texts: list[str | None], labels: list[int], words: int = SAMPLE_WORDS, l
     good = values > 1e-5 * values[-1]
     whiten = vectors[:, good] / np.sqrt(values[good])
     project = at_marks.T @ whiten  # codes -> Nystroem features
-    x = np.concatenate([_matrix(chosen[lo : lo + 2000], codes) @ project for lo in range(0, len(chosen), 2000)])
+    x = np.concatenate([_matrix(chosen[lo : lo + 500], codes) @ project for lo in range(0, len(chosen), 500)])
     x = np.hstack([np.ones((len(x), 1)), x])
     in_pos, in_neg = (np.array([m[w] for w in chosen], float) for m in (merged_pos, merged_neg))
     # words that single toxic documents hold say nothing; what a word's count exceeds its due by clean ones makes it toxic
     due = in_neg * n_pos / n_neg
     weight_pos, weight_neg = np.maximum(0, in_pos - 1.5 - 2 * due), due + 0.1
-    w = _newton(np.vstack([x, x]), np.concatenate([np.ones(len(x)), -np.ones(len(x))]), np.concatenate([weight_pos, weight_neg]), 0.05, True)
+    some = weight_pos > 0
+    w = _newton(np.vstack([x[some], x]), np.repeat([1.0, -1.0], [some.sum(), len(x)]), np.concatenate([weight_pos[some], weight_neg]), 0.05, True)
     table = np.zeros(_KINDS**3, np.float32)
     table[codes] = project @ w[1:]
     model = Model(table, float(w[0]), 0.0, np.zeros(3))
@@ -224,7 +225,7 @@ def fit(texts: list[str | None], labels: list[int], words: int = SAMPLE_WORDS, l
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fits on a bounded sample: per label at most ``sample_docs`` documents by hash of the identifier, and 48 MB of text.
+    """Fits on a bounded sample: per label at most ``sample_docs`` documents by hash of the identifier, and 24 MB of text.
 
     ``usable`` limits the labelled rows by their identifier, named ``key``. Rows with a null label or identifier are left out.
     """
@@ -243,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     if not picked:
         return fit([], [])
     asked = docs.sparkSession.createDataFrame(picked, "key long, label int")
-    rows = texts.join(F.broadcast(asked), "key").select("key", "label", "body").collect()  # at most 2 x sample_docs, 48 MB
+    rows = texts.join(F.broadcast(asked), "key").select("key", "label", "body").collect()  # at most 2 x sample_docs, 24 MB
     rows.sort(key=lambda r: (r["key"], r["body"]))
     return fit([r["body"] for r in rows], [r["label"] for r in rows])
 
