@@ -5,7 +5,8 @@
    chance of (1 - 0.8^6)^60, about 10^-8.
 2. Small buckets of a band give all their pairs. Pairs whose minima agree too rarely are out, the others are confirmed on
    full sets.
-3. A large bucket gives no pairs but those of each member with a pivot, the member that shares most buckets. The full
+3. A large bucket gives no pairs but those of each member with a pivot, the member that shares most buckets, or one that
+   all members have from other buckets. The full
    overlap o = |x & p| and the rest x - p are kept. Of two members a, b, |a & b| <= min(o_a, o_b) + |rest_a & rest_b|. So
    a pair that is not joined yet can only be a link if min(o_a, o_b) reaches what a link needs, found by an equality
    join on set sizes, or if the rests share a shingle, found by an equality join on those. Such pairs are confirmed too.
@@ -131,11 +132,8 @@ def _likely(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "m_a", "m_b").mapInArrow(run, "a long, b long, guess double")
 
 
-def _measured(pairs: DataFrame, docs: DataFrame, width: int, rest: bool) -> DataFrame:
-    """``a, b, n_a, n_b, both`` (sizes and overlap of the full sets) and, with ``rest``, the shingles of ``b`` not in ``a``.
-
-    Sets are made again, for the documents of these pairs alone.
-    """
+def _sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """``key, found``: the full sets, made again, of the documents of these pairs alone. Texts are shuffled here and nowhere else."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,6 +142,13 @@ def _measured(pairs: DataFrame, docs: DataFrame, width: int, rest: bool) -> Data
                 found = [shingles(t, width).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["key", "found"])
 
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    return docs.join(asked, "key", "left_semi").select("key", "body").mapInArrow(sets, "key long, found binary")
+
+
+def _measured(pairs: DataFrame, sets: DataFrame, rest: bool) -> DataFrame:
+    """``a, b, n_a, n_b, both`` (sizes and overlap of the full ``sets``) and, with ``rest``, the shingles of ``b`` not in ``a``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -159,10 +164,8 @@ def _measured(pairs: DataFrame, docs: DataFrame, width: int, rest: bool) -> Data
                 cols = [part.column(0), part.column(1), *[pa.array(r, k) for r, k in zip(rows, kinds, strict=True)]]
                 yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "n_a", "n_b", "both", "rest"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    made = docs.join(asked, "key", "left_semi").select("key", "body").mapInArrow(sets, "key long, found binary")
-    one = made.select(F.col("key").alias("a"), F.col("found").alias("f_a"))
-    two = made.select(F.col("key").alias("b"), F.col("found").alias("f_b"))
+    one = sets.select(F.col("key").alias("a"), F.col("found").alias("f_a"))
+    two = sets.select(F.col("key").alias("b"), F.col("found").alias("f_b"))
     joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "f_a", "f_b").filter("length(f_a) > 0 and length(f_b) > 0")
     return joined.mapInArrow(run, "a long, b long, n_a long, n_b long, both long, rest array<long>")
 
@@ -175,7 +178,7 @@ def _crossing(spokes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` of spokes of one pivot that may be links and are in different components."""
     t = percent / 100
     own = spokes.join(joined.select(F.col("node").alias("b"), "component"), "b", "left")
-    own = own.select("a", "b", F.coalesce("component", "b").alias("part"), F.col("n_b").alias("n"), F.col("both").alias("o"), "hit", "rest", F.when(_linked(percent), "L").when(F.col("both") >= (F.col("n_a") + F.col("n_b") - F.col("both")) * (2 * t - 1), "M").otherwise("F").alias("kind"))
+    own = own.select("a", "b", F.coalesce("component", "b").alias("part"), F.col("n_b").alias("n"), F.col("both").alias("o"), "rest", F.when(_linked(percent), "L").when(F.col("both") >= (F.col("n_a") + F.col("n_b") - F.col("both")) * (2 * t - 1), "M").otherwise("F").alias("kind"))
     own = written(own, "spokes")
     pair = (F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b"))
     # by size: the other's size is between t n and what the own overlap allows; most members allow none
@@ -187,7 +190,19 @@ def _crossing(spokes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     enough = F.least("o1", "o2") * (1 + t) + 1e-9 >= (F.col("n1") + F.col("n")) * t
     by_size = open_.join(sized, ["a", "n"]).filter((F.col("p1") != F.col("p2")) & enough).select(*pair)
     # by rest: a shared shingle outside the pivot; shingles within one component are no use
-    spread = own.select("a", "b", "part", "kind", F.explode("rest").alias("g"))
+    near, far = F.col("kind") == "L", F.col("kind") == "F"
+    around = own.groupBy("a").agg(
+        F.max(F.when(near, F.col("part"))).alias("home"),
+        *[f(F.when(c, F.col("part"))).alias(k) for c, of in ((~near, "n"), (~near & ~far, "m")) for k, f in ((f"lo_{of}", F.min), (f"hi_{of}", F.max))],
+    )
+    # members without a partner of a fit kind in another component are left out before their shingles are listed
+    other = lambda of: (F.col(f"lo_{of}") != F.col("part")) | (F.col(f"hi_{of}") != F.col("part"))
+    partnered = F.when(near, other("m")).when(far, other("n")).otherwise(F.coalesce(F.col("home") != F.col("part"), F.lit(False)) | other("n"))
+    # a link needs |a & b| >= t n of either, min(o_a, o_b) at most of it from the pivot: the rests share that many more, so
+    # already their first |rest| - more + 1 shingles, in the one order that all rests have, share one
+    more = F.greatest(F.lit(1), F.ceil(F.col("n") * t - 1e-9) - F.col("o")).cast("int")
+    first = F.slice("rest", 1, F.greatest(F.lit(0), F.size("rest") - more + 1))
+    spread = own.join(around, "a").filter(partnered).select("a", "b", "part", "kind", F.explode(first).alias("g"))
     useful = spread.groupBy("a", "g").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.max(F.col("kind") != "L").alias("k")).filter("x != y and k").select("a", "g")
     spread = spread.join(useful, ["a", "g"], "left_semi")
     left, right = (spread.select("a", "g", F.col("b").alias(f"b{k}"), F.col("part").alias(f"p{k}"), F.col("kind").alias(f"k{k}")) for k in (1, 2))
@@ -224,15 +239,23 @@ def near_duplicates(
     left, right = (small.select("bucket", F.col("doc_id").alias(k)) for k in "ab")
     close = left.join(right, "bucket").filter("a < b").select("a", "b").distinct()
     close = written(_likely(close, heads, percent / 100 - SLACK), "likely")
-    links = written(_measured(close, docs, width, False).filter(_linked(percent)).select("a", "b"), "links")
     central = large.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
     ranked = large.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct("times", F.xxhash64("doc_id").alias("draw"), "doc_id")).alias("m"))
-    spokes = large.join(ranked.select("bucket", F.col("m.doc_id").alias("pivot")), "bucket").filter("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    spokes = written(_measured(spokes, docs, width, True).withColumn("hit", _linked(percent)), "spokes")
-    links = links.union(spokes.filter("hit").select("a", "b"))
+    own = written(large.join(ranked.select("bucket", F.col("m.doc_id").alias("pivot")), "bucket").select("bucket", "doc_id", "pivot"), "pivots")
+    # a bucket whose members are all with one larger pivot is left to that one, so that few members have several pivots
+    held = own.select("doc_id", "pivot").distinct()
+    widest = held.join(held.groupBy("pivot").agg(F.count(F.lit(1)).alias("width")), "pivot").groupBy("doc_id").agg(F.max(F.struct("width", "pivot")).alias("w"))
+    agreed = own.join(widest.select("doc_id", F.col("w.pivot").alias("wide")), "doc_id").groupBy("bucket").agg(F.min("wide").alias("lo"), F.max("wide").alias("hi"))
+    spokes = own.join(agreed, "bucket").withColumn("pivot", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("pivot")))
+    spokes = spokes.filter("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    spokes = written(spokes, "spokes")
+    sets = written(_sets(docs, close.select("a", "b").union(spokes), width), "sets")  # later pairs are of these documents too
+    links = written(_measured(close, sets, False).filter(_linked(percent)).select("a", "b"), "links")
+    spokes = written(_measured(spokes, sets, True), "spokes")
+    links = links.union(spokes.filter(_linked(percent)).select("a", "b"))
     joined = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined")
     second = written(_likely(_crossing(spokes, joined, percent), heads, percent / 100 - SLACK), "second")
-    more = written(_measured(second, docs, width, False).filter(_linked(percent)).select("a", "b"), "links")
+    more = written(_measured(second, sets, False).filter(_linked(percent)).select("a", "b"), "links")
     # components of components: joined parts are nodes already
     part_of = joined.select(F.col("node"), F.col("component"))
     ends = more.join(part_of.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(part_of.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
@@ -249,7 +272,7 @@ def near_duplicates(
         ties = out.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
         tied = components(ties).withColumnsRenamed({"node": "from", "component": "into"})
         out = out.join(tied, out["component_id"] == tied["from"], "left").withColumn("component_id", F.coalesce("into", "component_id")).drop("from", "into")
-    for done in (mates, close, second):
+    for done in (mates, own, close, second, sets):
         drop_written(done)
     kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
