@@ -33,6 +33,8 @@ BANDS, ROWS = 60, 6
 SLACK = 0.105
 #: Members up to which a bucket gives all its pairs; beyond, it is compared by way of a pivot.
 SMALL = 20
+#: Identifiers of documents to confirm up to which they are sent to all tasks (some 64 MB); beyond, texts are shuffled.
+SENT_IDS = 2_000_000
 
 
 @lru_cache
@@ -133,7 +135,10 @@ def _likely(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
 
 
 def _sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """``key, found``: the full sets, made again, of the documents of these pairs alone. Texts are shuffled here and nowhere else."""
+    """``key, found``: the full sets, made again, of the documents of these pairs alone.
+
+    Their identifiers are counted: up to ``SENT_IDS`` they are broadcast and no text is shuffled; beyond, Spark joins by key.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +147,8 @@ def _sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
                 found = [shingles(t, width).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["key", "found"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "asked")
+    asked = F.broadcast(asked) if asked.count() <= SENT_IDS else asked
     return docs.join(asked, "key", "left_semi").select("key", "body").mapInArrow(sets, "key long, found binary")
 
 
