@@ -16,17 +16,21 @@ from .common import WORD_BREAK, written
 
 #: Samples of a fingerprint; the likeness has a standard error of at most 1 / (2 sqrt(SAMPLES)).
 SAMPLES = 64
+#: An odd number whose odd multiples tell the samples' hashes of one term apart.
+_STEP = 0x1E3779B97F4A7C15
 
 
 def _value(term: Column, log_weight: Column, k: int) -> Column:
     """The logarithm of a term's sampling value: ln c - ln y - r with r, c ~ Gamma(2, 1) and b uniform."""
-    a, b = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+    a = F.xxhash64(term.bitwiseXOR(F.lit(_STEP * (2 * k + 1) % (1 << 62))))
+    b = F.xxhash64(a)
     high = lambda h: (F.shiftrightunsigned(h, 32).cast("double") + 0.5) * (2.0**-32)
     low = lambda h: (h.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) * (2.0**-32)
     r = -F.ln(high(a) * low(a))
     log_c = F.ln(-F.ln(high(b) * low(b)))
-    beta = (F.shiftrightunsigned(F.xxhash64(a, b), 11).cast("double") + 0.5) * (2.0**-53)
-    return log_c - r * (F.floor(log_weight / r + beta).cast("double") - beta) - r
+    beta = (F.shiftrightunsigned(F.xxhash64(b), 11).cast("double") + 0.5) * (2.0**-53)
+    level = (log_weight / r + beta).cast("long").cast("double")  # never negative, so the cast is the floor
+    return log_c - r * (level - beta) - r
 
 
 def samples(texts: DataFrame, keys: list[str], text_col: str, n: int = SAMPLES) -> DataFrame:
