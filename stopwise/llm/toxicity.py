@@ -258,126 +258,6 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     return Model(np.frombuffer(made["table"], np.float32), made["bias"], made["bar"], np.array(made["logistic"])) if made else fit([], [])
 
 
-def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.describe(text) @ self.logistic, -30, 30))))
-
-
-def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, hinge: bool) -> np.ndarray:
-    """Weighted squared hinge (or logistic loss) with an L2 penalty on all but the first column, by Newton steps."""
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    penalty[0] = 1e-8
-
-    def loss(w: np.ndarray) -> float:
-        z = y * (x @ w)
-        each = np.maximum(0, 1 - z) ** 2 if hinge else np.logaddexp(0, -z)
-        return float(weight @ each + penalty @ (w * w) / 2)
-
-    now = loss(w)
-    for _ in range(40):
-        z = y * (x @ w)
-        if hinge:
-            active = z < 1
-            g = -2 * (weight * y * np.maximum(0, 1 - z)) @ x + penalty * w
-            h = 2 * (x[active] * weight[active, None]).T @ x[active]
-        else:
-            p = 1 / (1 + np.exp(np.clip(z, -40, 40)))
-            g = -(weight * y * p) @ x + penalty * w
-            h = (x * (weight * p * (1 - p))[:, None]).T @ x
-        step, size = np.linalg.solve(h + np.diag(penalty + 1e-9), g), 1.0
-        while size > 1e-4 and loss(w - size * step) > now:
-            size /= 2
-        w = w - size * step
-        last, now = now, loss(w)
-        if last - now < 1e-7 * max(1.0, abs(last)):
-            break
-    return w
-
-
-def _order(word: str) -> bytes:
-    return hashlib.blake2b(word.encode(), digest_size=8).digest()
-
-
-def fit(texts: list[str | None], labels: list[int], words: int = SAMPLE_WORDS, landmarks: int = LANDMARKS) -> Model:
-    """Fits the machine on labelled texts. Without both labels the model scores everything 0."""
-    pos, neg = Counter(), Counter()
-    for text, label in zip(texts, labels, strict=True):
-        (pos if label else neg).update({w for w in (text or "").lower().split() if any(_CLASSES[min(ord(c), 0xFFFF)] not in (0, 255) for c in w)})
-    n_pos, n_neg = sum(map(bool, labels)), len(labels) - sum(map(bool, labels))
-    if not n_pos or not n_neg:
-        return Model(np.zeros(_KINDS**3, np.float32), -2.0, 0.0, np.array([-9.0, 0.0, 0.0]))
-    clean = lambda w: "".join(c for c in w if _CLASSES[min(ord(c), 0xFFFF)] not in (0, 255))
-    merged_pos, merged_neg = Counter(), Counter()
-    for merged, counted in ((merged_pos, pos), (merged_neg, neg)):
-        for w, n in counted.items():
-            if len(w := clean(w)) > 1:
-                merged[w] += n
-    # a word's lift: how much more often it is in toxic documents, shrunk by its count
-    lift = {w: merged_pos[w] * np.log((merged_pos[w] + 0.1) / (n_pos + 1) / ((merged_neg[w] + 0.1) / (n_neg + 1))) for w in merged_pos}
-    ranked = sorted(lift, key=lambda w: (-lift[w], w))
-    often = sorted(merged_neg, key=lambda w: (-merged_neg[w], w))
-    rest = sorted({*ranked[words // 3 :], *often[words // 3 :]}, key=_order)
-    chosen = list(dict.fromkeys([*ranked[: words // 3], *often[: words // 3], *rest[: words // 3]]))
-    marks = list(dict.fromkeys([*ranked[: landmarks // 2], *sorted(merged_neg, key=_order)[: landmarks // 2]]))
-    letters, word, _ = spans(" ".join(marks))
-    codes = np.unique(np.concatenate([c for _, c, _ in _features(letters, word)]))
-    at_marks = _matrix(marks, codes).astype(np.float64)
-    values, vectors = np.linalg.eigh(at_marks @ at_marks.T)
-    good = values > 1e-5 * values[-1]
-    whiten = vectors[:, good] / np.sqrt(values[good])
-    project = at_marks.T @ whiten  # codes -> Nystroem features
-    x = np.concatenate([_matrix(chosen[lo : lo + 500], codes) @ project for lo in range(0, len(chosen), 500)])
-    x = np.hstack([np.ones((len(x), 1)), x])
-    in_pos, in_neg = (np.array([m[w] for w in chosen], float) for m in (merged_pos, merged_neg))
-    # words that single toxic documents hold say nothing; what a word's count exceeds its due by clean ones makes it toxic
-    due = in_neg * n_pos / n_neg
-    weight_pos, weight_neg = np.maximum(0, in_pos - 1.5 - 2 * due), due + 0.1
-    some = weight_pos > 0
-    w = _newton(np.vstack([x[some], x]), np.repeat([1.0, -1.0], [some.sum(), len(x)]), np.concatenate([weight_pos[some], weight_neg]), 0.05, True)
-    table = np.zeros(_KINDS**3, np.float32)
-    table[codes] = project @ w[1:]
-    model = Model(table, float(w[0]), 0.0, np.zeros(3))
-    clean_words = np.concatenate([[-1.0], *[model.margins(t or "") for t, label in zip(texts, labels, strict=True) if not label][:500]])
-    model.bar = float(np.clip(np.quantile(clean_words, 1 - CLEAN_SHARE), 0.0, 0.6))
-    described = np.array([model.describe(t) for t in texts])
-    y = np.where(np.array(labels) > 0, 1.0, -1.0)
-    model.logistic = _newton(described, y, np.ones(len(y)), 0.02, False)
-    return model
-
-
-def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fits on a bounded sample: per label at most ``sample_docs`` documents by hash of the identifier, and 24 MB of text.
-
-    ``usable`` limits the labelled rows by their identifier, named ``key``. Rows with a null label or identifier are left out.
-    The machine is fitted in one task over the sample, sorted, so a repeated task gives the same one; the driver gets the
-    identifiers of the sample and the model of fixed size, no texts.
-    """
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for b in batches for r in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True))
-        made = fit([r[1] for r in rows], [r[2] for r in rows])
-        cols = [pa.array([made.table.tobytes()], pa.binary()), *[pa.array([x], pa.float64()) for x in (made.bias, made.bar)], pa.array([made.logistic.tolist()], pa.list_(pa.float64()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["table", "bias", "bar", "logistic"])
-
-    marked = labels.select(F.col(id_col).cast("long").alias("key"), F.col(label_col).cast("int").alias("label")).dropna()
-    marked = marked.groupBy("key").agg(F.max("label").alias("label"))
-    marked = marked.filter(usable) if usable is not None else marked
-    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    sized = marked.join(texts.select("key", F.octet_length("body").alias("size")), "key")
-    picked, budget = [], SAMPLE_BYTES
-    for label in (1, 0):
-        some = sized.filter(F.col("label") == label).orderBy(F.xxhash64("key"), "key").limit(sample_docs).collect()
-        for row in some:
-            if row["size"] <= budget // (2 if label else 1):
-                budget -= row["size"]
-                picked.append((row["key"], label))
-    if not picked:
-        return fit([], [])
-    asked = docs.sparkSession.createDataFrame(picked, "key long, label int")
-    rows = texts.join(F.broadcast(asked), "key").select("key", "label", "body").collect()  # at most 2 x sample_docs, 24 MB
-    rows.sort(key=lambda r: (r["key"], r["body"]))
-    return fit([r["body"] for r in rows], [r["label"] for r in rows])
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score`` of every row's whole text.
 
