@@ -27,8 +27,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the document with the least identifier stays."""
-    return neardup.keep_firsts(docs)
+    """Of each group of near copies (five words, 0.8) one row stays, that of the least identifier."""
+    return neardup.keep_single(docs)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -291,6 +291,25 @@ def keep_firsts(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     return docs.join(gone, docs[id_col].cast("long") == gone["gone_id"], "left_anti")
 
 
+def keep_single(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` of each component, all columns kept: that of the least identifier, null ones last.
+
+    Rows are linked and kept by a key of their own, given in a table in the shared folder, so copies go whether they share
+    an identifier, have none, or are rows that are equal throughout. Rows that share an identifier and are no near copies
+    are different documents and stay, as do all texts without words.
+    """
+    key = "row_key"
+    while key.lower() in {c.lower() for c in docs.columns}:
+        key += "_"
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, width, percent, key, text_col).select(F.col("doc_id").alias("own"), "component_id")
+    ids = rows.select(F.col(key).alias("own"), F.col(id_col).cast("long").alias("id"))
+    placed = written(found.join(ids, "own"), "placed")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own")).alias("m"))
+    gone = placed.select("own").join(first.select(F.col("m.own").alias("own")), "own", "left_anti")
+    return rows.join(gone, rows[key] == gone["own"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 ORACLE = """
 with recursive worded as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x != '') as w

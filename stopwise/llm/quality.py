@@ -199,7 +199,24 @@ def judge(
     )
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` whose identifier :func:`judge` keeps; a row with a null identifier stays if such a row is kept."""
-    good = judge(docs, id_col=id_col, **how).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(good, docs[id_col].eqNullSafe(good["kept_id"]), "left_semi")
+def keep_good(
+    docs: DataFrame,
+    cutoff: float = CUTOFF,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    source_col: str = "source",
+    min_group: int = MIN_GROUP,
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, each by its own verdict, whatever their identifiers.
+
+    A verdict rests on text, language and source alone, so rows are joined by a SHA-256 of the text and by those two.
+    """
+    content = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    key = F.struct(content.alias("k_text"), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(k) for c, k in ((lang_col, "k_lang"), (source_col, "k_source"))])
+    k = "row_verdict"
+    while k.lower() in {c.lower() for c in docs.columns}:
+        k += "_"
+    keyed = docs.withColumn(k, key)
+    good = judge(keyed, cutoff, k, text_col, lang_col, source_col, min_group).filter("kept").select("doc_id.*").distinct()
+    same = [keyed[k][c] == good[c] for c in good.columns]
+    return keyed.join(good, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -23,3 +23,24 @@ def test_stages_keep_columns_and_decide(spark):
     assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in single.collect()}
     rows = stages["packing"](spark, mixed, SF).collect()
     assert sum(r.piece == 0 for r in rows) == mixed.count() and max(r.length for r in rows) <= 1024
+
+
+def test_copies_go_whatever_their_identifiers(spark):
+    text, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "wv")
+    near = text.replace("w59", "x")
+    rows = [(5, text, 1), (5, text, 2), (5, text, 2), (7, near, 3), (None, text, 4), (None, near, 5), (None, other, 6), (None, other, 6), (5, "one two three", 7), (9, None, 8), (None, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key int")
+    single = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF)
+    got = sorted((str(r.doc_id), r.text or "") for r in single.collect())
+    assert single.columns == docs.columns
+    assert got == sorted([("5", text), ("None", other), ("5", "one two three"), ("9", ""), ("None", "")])
+    assert neardup.keep_single(docs.limit(0)).count() == 0
+
+
+def test_quality_verdicts_are_of_rows_not_identifiers(spark):
+    good, bad = " ".join(f"w{k}" for k in range(60)), "too short"
+    rows = [(1, good, "en", "s"), (1, bad, "en", "s"), (None, good, None, None), (None, bad, None, None), (None, None, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", good), ("None", good)]
