@@ -35,7 +35,7 @@ INLINE = frozenset(
 )
 #: What an opening tag ends.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-PATH_DIMS, WORD_DIMS, FIGURES, HIDDEN = 96, 24, 8, 20
+PATH_DIMS, WORD_DIMS, FIGURES, HIDDEN = 192, 24, 8, 20
 
 
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
@@ -94,7 +94,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
                     stack.pop()
                 attrs = m["attrs"]
                 marks = [n.lower() for got in _MARKS.findall(attrs) for n in _NAME.findall("".join(got))] if "=" in attrs else []
-                stack.append((tag, tuple("." + n for n in marks[:8])))
+                stack.append((tag, tuple("." + n for n in dict.fromkeys(marks))))
     text(page[at:] if not page[at:].startswith("<") or page[at : at + 2] == "< " else "")
     close()
     return found
@@ -113,6 +113,12 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return out
 
 
+@lru_cache(1 << 14)
+def _depth(path: tuple[str, ...]) -> int:
+    """Tags of the path; their marks do not count."""
+    return sum(not k.startswith(".") for k in path)
+
+
 def vectors(found: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
     """One row per block: hashed path, hashed words, and figures on length, links, place, depth and punctuation."""
     out = np.zeros((len(found), PATH_DIMS + WORD_DIMS + FIGURES), np.float32)
@@ -122,7 +128,7 @@ def vectors(found: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
         slots = [_slot(w, WORD_DIMS) for w in text.lower().split()]
         out[k, PATH_DIMS:-FIGURES] = np.bincount(slots, minlength=WORD_DIMS) / len(slots)
         size = len(text)
-        out[k, -FIGURES:] = (np.log1p(size) / 8, linked, k / n, (n - k) / n, len(path) / 12, min(1, 20 * text.count(",") / size), min(1, 20 * text.count(".") / size), text[-1] in ".!?")
+        out[k, -FIGURES:] = (np.log1p(size) / 8, linked, k / n, (n - k) / n, _depth(path) / 12, min(1, 20 * text.count(",") / size), min(1, 20 * text.count(".") / size), text[-1] in ".!?")
     return out
 
 
@@ -202,10 +208,28 @@ _PARTS = {
     "comments": ("comments comment replies disqus discussion responses", "reply said wrote great post thanks comment ago like"),
     "share": ("share social tags meta byline toolbar", "share tweet facebook follow us print email"),
 }
+#: Classes that say how an element looks, not what it is; on dressed pages they stand before the telling one.
+_LOOKS = (
+    "w-full md:w-1/2 px-4 mb-8 flex flex-col items-center justify-between text-gray-700 bg-white rounded-lg shadow-md border-t hidden lg:block grid gap-6 max-w-7xl mx-auto py-2 "
+    "text-sm font-bold leading-tight space-y-4 hover:underline col-span-8 order-2 relative absolute z-10 row d-flex p-3 mt-4 w-100 overflow-hidden uppercase tracking-wide sm:inline"
+).split()
+_DRESSED = re.compile(r"<(div|section|article|main|nav|header|footer|aside|form|p|ul|li|h[1-4])\b([^>]*)>")
+
+
+def made_page(rng: random.Random, dressed: float = 0.4) -> tuple[str, list[bool]]:
+    """A page made up by rule and, for each of its blocks, whether it is of the article.
+
+    A share ``dressed`` of the pages has elements with up to twelve classes of looks before the one that tells what they are.
+    """
+    looks = rng.random() < dressed
 
+    def dress(m: re.Match) -> str:
+        if rng.random() < 0.3:
+            return m[0]
+        names = " ".join(rng.sample(_LOOKS, rng.randint(1, 12)))
+        attrs = m[2].replace('class="', f'class="{names} ') if 'class="' in m[2] else f'{m[2]} class="{names}"'
+        return f"<{m[1]}{attrs}>"
 
-def made_page(rng: random.Random) -> tuple[str, list[bool]]:
-    """A page made up by rule and, for each of its blocks, whether it is of the article."""
     syllables = [rng.choice("bcdfglmnprstvwz") + rng.choice("aeiouéäñ") + rng.choice(["", "n", "r", "s", "t", "ch"]) for _ in range(40)]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
 
@@ -222,7 +246,7 @@ def made_page(rng: random.Random) -> tuple[str, list[bool]]:
         return " ".join(rng.choice(stock) if rng.random() < 0.5 else word() for _ in range(rng.randint(1, 10))) if rng.random() < 0.7 else prose()
 
     out: list[tuple[str, bool | None]] = []  # markup (None) and texts (whether article)
-    put = lambda markup: out.append((markup, None))
+    put = lambda markup: out.append((_DRESSED.sub(dress, markup) if looks else markup, None))
     say = lambda text, main: out.append((text, main))
 
     def part(kind: str, inside: bool = False) -> None:

@@ -79,6 +79,20 @@ def test_blocks_of_odd_markup():
     assert text("a < b") == ["a < b"] and text("") == [] and text(None) == []
 
 
+def test_marks_behind_many_utility_classes():
+    looks = "w-full md:w-1/2 px-4 mb-8 flex-col"
+    plain = extract.blocks('<div class="cookie-banner" role="navigation">we use them</div>')
+    assert {".cookie", ".banner", ".navigation"} <= set(extract.blocks(f'<div class="{looks} cookie-banner" role="navigation">we use them</div>')[0][0])
+    assert {".cookie", ".banner", ".navigation"} <= set(plain[0][0])
+    model, draw, wrong, total = extract.trained(), random.Random(78), 0, 0
+    for _ in range(150):
+        page, truth = extract.made_page(draw, dressed=1.0)
+        if truth:
+            wrong += int((extract.labels(model, [extract.vectors(extract.blocks(page))])[0] != np.array(truth)).sum())
+            total += len(truth)
+    assert wrong / total < 0.02
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(0)
     m = extract.Labeller(rng)
