@@ -87,13 +87,16 @@ def improved_tour(points: DataFrame, sweeps: int = 1000) -> DataFrame:
     return _ordered(points, lambda km: two_opt(km, nearest_order(km), sweeps))
 
 
-def group_tours(points: DataFrame, labels: DataFrame, whole: bool = True) -> DataFrame:
-    """``problem_id, label, stop_seq, point_idx``: each group's own path, best open (``whole``) or nearest from its first."""
+def group_tours(points: DataFrame, labels: DataFrame, whole: bool = True, sweeps: int = 0) -> DataFrame:
+    """``problem_id, label, stop_seq, point_idx``: each group's own path, best open (``whole``) or nearest from its first.
+
+    With ``sweeps``, the nearest path from the first point, then 2-opt.
+    """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["seq", "point_idx"], kind="stable").reset_index(drop=True)
         km = matrix(p["lat"].to_numpy(), p["lng"].to_numpy())
-        found = best_open(km) if whole else nearest_order(km)
+        found = two_opt(km, nearest_order(km), sweeps) if sweeps else best_open(km) if whole else nearest_order(km)
         return pd.DataFrame({"problem_id": p["problem_id"].iloc[0], "label": p["label"].iloc[0], "stop_seq": range(1, len(p) + 1), "point_idx": p["point_idx"].to_numpy()[found]})
 
     seq = F.col("seq") if "seq" in labels.columns else F.lit(0).alias("seq")

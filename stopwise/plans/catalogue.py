@@ -632,7 +632,7 @@ def _plan(strategy: str) -> Query:
     return lambda spark, sf_dir: Planner(spark, fx.CONFIG).run(fx.many(spark, sf_dir), strategy).metrics
 
 
-for _name in ("tsp", "cluster", "overnight", "area_expansion", "fence"):
+for _name in ("tsp", "cluster", "overnight", "area_expansion", "fence", "dbscan", "road_network", "j_style"):
     _QUERIES[f"plan_{_name}"] = _plan(_name)
 
 

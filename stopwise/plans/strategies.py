@@ -95,5 +95,5 @@ def overnight_trips(points: DataFrame, config: PlanConfig) -> DataFrame:
     near, far = (typed.filter(F.col("trip_type") == k) for k in ("single_day", "overnight"))
     days = tsp(near, single_day(config))
     labels = growth.grouped(far, growth.chain_greedy(c.max_daily_points, base, farthest=True))
-    parts = overnight.halves(tours.group_tours(points, labels, True))
+    parts = overnight.halves(tours.group_tours(points, labels, sweeps=100))
     return overnight.renumbered(days, parts)

@@ -4,10 +4,12 @@ import json
 import os
 import zipfile
 
+import numpy as np
 import pytest
 
 from stopwise import config
-from stopwise.plans import exports, fixtures
+from stopwise.operators import growth, tours
+from stopwise.plans import catalogue, exports, fixtures, strategies
 from stopwise.plans.planner import Planner
 from stopwise.sources import tables
 
@@ -65,6 +67,27 @@ def test_plan_from_files(spark, tmp_path):
         Planner(spark, config.PlanConfig()).run(plan.points, "no such strategy")
 
 
+def test_overnight_groups_are_improved_tours_cut_in_half(spark):
+    c = config.overridden(fixtures.CONFIG, {"constraints.max_daily_points": "9"})
+    base = (c.base_point.lat, c.base_point.lng)
+    rng, want, rows, differ = np.random.default_rng(4), set(), [], 0
+    for problem in range(6):
+        lat, lng = base[0] + 3 + rng.random(9) / 2, base[1] + 3 + rng.random(9) / 2
+        first = growth.chain_greedy(9, base, farthest=True)(lat, lng, tours.matrix(lat, lng))[0]
+        km = tours.matrix(lat[first], lng[first])
+        order = tours.two_opt(km, tours.nearest_order(km, 0), 100)
+        differ += order != tours.best_open(km)
+        want |= {(problem, 1 if k < 4 else 2, k + 1 if k < 4 else k - 3, first[o]) for k, o in enumerate(order)}
+        rows += [(problem, k, f"p{k}", float(a), float(b)) for k, (a, b) in enumerate(zip(lat, lng, strict=True))]
+    points = spark.createDataFrame(rows, "problem_id long, point_idx int, name string, lat double, lng double")
+    got = strategies.STRATEGIES["overnight"](points, c).select("problem_id", "day", "stop_seq", "point_idx").collect()
+    assert differ and {tuple(r) for r in got} == want
+
+
+def test_all_strategies_are_registered_queries():
+    assert {f"plan_{k}" for k in strategies.STRATEGIES} <= set(catalogue.queries())
+
+
 def test_empty_and_single_point_problems(spark):
     points = fixtures.many(spark, "/root/testdata/sf0.001")
     for name in ("tsp", "cluster", "overnight", "dbscan", "j_style", "area_expansion", "fence", "road_network"):
