@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Constraints
 from ..functions.geo import PLACES, drive_seconds, haversine_km
+from .tours import day_rollup
 
 
 def classify(points: DataFrame, base_lat: float | None, base_lng: float | None, threshold_km: float) -> DataFrame:
@@ -48,17 +50,34 @@ def two_day_totals(parts: DataFrame, points: DataFrame, stays: DataFrame, base_l
     first, last, one = F.element_at("s", 1), F.element_at("s", -1), F.col("part") == 1
     ends = F.when(one, leg(base, first) + leg(last, F.col("h"))).otherwise(leg(F.col("h"), first) + leg(last, base))
     out = day.select("problem_id", "label", "part", "point_count", F.round(inner + ends, PLACES).alias("km"))
-    sec = drive_seconds(F.col("km"), speed_kmh)
-    return out.select("problem_id", "label", "part", "point_count", F.round("km", 1).alias("drive_distance_km"), F.round((sec / 60 + F.col("point_count") * stop_min) / 60, 1).alias("total_time_hours"))
+    minutes, stay = drive_seconds(F.col("km"), speed_kmh) / 60, F.col("point_count") * stop_min
+    return out.select(
+        "problem_id", "label", "part", "point_count", F.round("km", 1).alias("drive_distance_km"), F.round(minutes, 1).alias("drive_time_min"),
+        F.round(stay, 1).alias("stop_time_min"), F.round((minutes + stay) / 60, 1).alias("total_time_hours"),
+    )
+
+
+def day_totals(stops: DataFrame, points: DataFrame, limits: Constraints, base: tuple[float, float] | None, speed_kmh: float = 35.0) -> DataFrame:
+    """The days of :func:`renumbered` stops with their ``trip_type`` and, of trips with a night away, the stay (``hotel_lat``,
+    ``hotel_lng``, ``hotel_near_idx``). Single days bear the round trip's overhead, the others their ways to base and stay."""
+    single = day_rollup(stops.filter("trip_type = 'single_day'"), points, limits, speed_kmh).withColumn("trip_type", F.lit("single_day"))
+    if base is None:
+        return single.withColumns({"hotel_lat": F.lit(None).cast("double"), "hotel_lng": F.lit(None).cast("double"), "hotel_near_idx": F.lit(None).cast("int")})
+    parts = stops.filter("trip_type = 'overnight'")
+    stays = hotels(points, parts.select("problem_id", "point_idx", "label"), limits.overnight_hotel_radius_km)
+    numbers = parts.select("problem_id", "label", "part", "day").distinct()
+    nights = two_day_totals(parts, points, stays, *base, limits.stop_time_per_point_min, speed_kmh).join(numbers, ["problem_id", "label", "part"])
+    nights = nights.join(stays.select("problem_id", "label", F.col("lat").alias("hotel_lat"), F.col("lng").alias("hotel_lng"), F.col("near_idx").alias("hotel_near_idx")), ["problem_id", "label"])
+    return single.unionByName(nights.drop("label", "part").withColumn("trip_type", F.lit("overnight")), allowMissingColumns=True)
 
 
 def renumbered(single: DataFrame, parts: DataFrame) -> DataFrame:
-    """One run of day numbers per problem: the single-day plan's days first, then each group's days."""
+    """One run of day numbers per problem: the single-day plan's days first, then each group's days, with ``label, part``."""
     last = single.groupBy("problem_id").agg(F.max("day").alias("last"))
     order = Window.partitionBy("problem_id").orderBy("label", "part")
     later = parts.join(last, "problem_id", "left").withColumn("day", (F.coalesce("last", F.lit(0)) + F.dense_rank().over(order)).cast("int"))
-    later = later.select("problem_id", "day", "stop_seq", "point_idx", F.lit("overnight").alias("trip_type"))
-    return single.select("problem_id", "day", "stop_seq", "point_idx", F.lit("single_day").alias("trip_type")).unionByName(later)
+    later = later.select("problem_id", "day", "stop_seq", "point_idx", F.lit("overnight").alias("trip_type"), "label", "part")
+    return single.select("problem_id", "day", "stop_seq", "point_idx", F.lit("single_day").alias("trip_type")).unionByName(later, allowMissingColumns=True)
 
 
 def trip_counts(points: DataFrame, stops: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PlanConfig, load, overridden
-from ..operators import match, metrics, pairs, tours
+from ..operators import match, metrics, overnight, pairs, tours
 from ..sources import tables
 from .strategies import STRATEGIES
 
@@ -55,12 +55,30 @@ class Planner:
         name, c = strategy or self.config.strategy.name, self.config.constraints
         if name not in STRATEGIES:
             raise ValueError(f"no strategy {name}; there are {', '.join(sorted(STRATEGIES))}")
-        stops = STRATEGIES[name](points, self.config)
-        days = tours.day_rollup(stops, points, c, self.config.distance.avg_speed_kmh, overhead=name != "overnight")
-        left = points.join(stops.select("problem_id", "point_idx"), ["problem_id", "point_idx"], "left_anti").select("problem_id", "point_idx", "name")
-        left = left.join(pairs.nearest(points).select("problem_id", "point_idx", "nearest_km"), ["problem_id", "point_idx"], "left")
+        config = self._with_base(points)
+        stops = STRATEGIES[name](points, config)
+        if "trip_type" in stops.columns:
+            base = config.base_point
+            days = overnight.day_totals(stops, points, c, None if base.lat is None or base.lng is None else (base.lat, base.lng), config.distance.avg_speed_kmh)
+        else:
+            days = tours.day_rollup(stops, points, c, config.distance.avg_speed_kmh)
+        left = points.join(stops.select("problem_id", "point_idx"), ["problem_id", "point_idx"], "left_anti")
+        near = pairs.nearest(points, of=left).select("problem_id", "point_idx", "nearest_km")
+        left = left.select("problem_id", "point_idx", "name").join(near, ["problem_id", "point_idx"], "left")
         return Plan(name, points, stops, days, left, tours.plan_metrics(days, c))
 
+    def _with_base(self, points: DataFrame) -> PlanConfig:
+        """The configuration with the base's coordinate: as given, else by its name in ``strategy.options.gazetteer`` (a
+        Parquet table ``name, lng, lat``), else that of the point of this name."""
+        base = self.config.base_point
+        if not base.name or (base.lat is not None and base.lng is not None):
+            return self.config
+        path = self.config.strategy.options.get("gazetteer")
+        known = self.spark.read.parquet(path) if path else points
+        given = self.spark.createDataFrame([(0, base.name, base.lng, base.lat)], "problem_id long, name string, lng double, lat double")
+        found = overnight.base_coordinate(given, known.filter(F.col("name") == base.name)).first()
+        return replace(self.config, base_point=replace(base, lng=found["lng"], lat=found["lat"]))
+
     def compare(self, strategies: list[str], points: DataFrame | None = None) -> DataFrame:
         """One row per problem and metric, a column per strategy."""
         points = self.points() if points is None else points
