@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
+from . import shared
 
 
 def _side(points: DataFrame, tag: str) -> DataFrame:
@@ -48,14 +49,61 @@ def within(points: DataFrame, km: float) -> DataFrame:
     return near.filter(F.col("km") <= km)
 
 
-def nearest(points: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """``problem_id, point_idx, nearest_idx, nearest_km``; null for a point alone; ties go to the lowest index."""
-    near = both_ways(edges if edges is not None else pairs(points))
-    best = near.groupBy("problem_id", F.col("i").alias("point_idx")).agg(F.min(F.struct("km", "j")).alias("b"))
-    out = points.select("problem_id", "point_idx").join(best, ["problem_id", "point_idx"], "left")
+def nearest(points: DataFrame, edges: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
+    """``problem_id, point_idx, nearest_idx, nearest_km``; null for a point alone; ties go to the lowest index.
+
+    ``of`` names the points asked about, else all. Without ``edges``, points meet those in the grid cells around them only:
+    cells start at a size that holds few points and double for the points whose nearest is not yet certain, being farther
+    than a cell is wide. Every round is a join by cell and is written to the shared folder.
+    """
+    asked = (points if of is None else of).select("problem_id", "point_idx").distinct()
+    if edges is not None:
+        best = both_ways(edges).groupBy("problem_id", F.col("i").alias("point_idx")).agg(F.min(F.struct("km", "j")).alias("b"))
+    else:
+        best = _nearest_by_rings(points.select("problem_id", "point_idx", "lat", "lng"), asked)
+    out = asked.join(best, ["problem_id", "point_idx"], "left")
     return out.select("problem_id", "point_idx", F.col("b.j").alias("nearest_idx"), F.col("b.km").alias("nearest_km"))
 
 
+#: Points that a first cell holds on average, and the km beyond which no two places on earth are apart.
+_CELL_POINTS, _FARTHEST_KM = 4, 20_100.0
+
+
+def _nearest_by_rings(points: DataFrame, asked: DataFrame) -> DataFrame:
+    """``problem_id, point_idx, b (km, j)`` of the asked points that are not alone."""
+    n = F.count(F.lit(1))
+    height, width = (F.max("lat") - F.min("lat")) * 111.0, (F.max("lng") - F.min("lng")) * 111.0
+    sizes = points.groupBy("problem_id").agg(n.alias("n"), F.max(F.abs("lat")).alias("far"), F.greatest(F.lit(0.01), F.sqrt(F.greatest(height, F.lit(0.01)) * F.greatest(width, F.lit(0.01)) * _CELL_POINTS / n)).alias("cell_km")).filter("n > 1")
+    sizes = shared.cut(sizes, "cells")
+    left, found = shared.cut(points.join(asked, ["problem_id", "point_idx"], "left_semi"), "asked"), None
+    scale = 1.0
+    while not left.isEmpty():
+        cells = sizes.select("problem_id", "far", (F.col("cell_km") * scale).alias("cell_km"))
+        # the other side also stands beyond the antimeridian
+        lng = F.col("lng")
+        twice = points.withColumn("lng", F.explode(F.when(lng > 90, F.array(lng, lng - 360)).when(lng < -90, F.array(lng, lng + 360)).otherwise(F.array(lng))))
+        i, j = (_celled(side, cells) for side in (left, twice))
+        steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
+        i = i.select("problem_id", F.col("point_idx").alias("i"), F.col("lat").alias("lat_i"), F.col("lng").alias("lng_i"), "cell_km", "cy", "cx", steps.alias("s"))
+        i = i.withColumns({"cy": F.col("cy") + F.col("s.dy"), "cx": F.col("cx") + F.col("s.dx")})
+        j = j.select("problem_id", F.col("point_idx").alias("j"), F.col("lat").alias("lat_j"), F.col("lng").alias("lng_j"), "cy", "cx")
+        met = i.join(j, ["problem_id", "cy", "cx"]).filter("i != j")
+        best = met.groupBy("problem_id", F.col("i").alias("point_idx"), "cell_km").agg(F.min(F.struct(_km().alias("km"), "j")).alias("b"))
+        best = shared.cut(best.filter((F.col("b.km") <= F.col("cell_km")) | (F.col("cell_km") > _FARTHEST_KM)).select("problem_id", "point_idx", "b"), "nearest")
+        found = best if found is None else found.unionByName(best)
+        left = shared.cut(left.join(best, ["problem_id", "point_idx"], "left_anti").join(sizes.select("problem_id"), "problem_id", "left_semi"), "asked")
+        scale *= 2.0
+    empty = points.limit(0).select("problem_id", "point_idx", F.struct(F.lit(0.0).alias("km"), F.col("point_idx").alias("j")).alias("b"))
+    return empty if found is None else found
+
+
+def _celled(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """Adds the grid cell of each point, ``cy, cx``; a cell is ``cell_km`` wide at the least."""
+    step = F.col("cell_km") / 111.0
+    east = step / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.col("far") + step))))
+    return points.join(cells, "problem_id").withColumns({"cy": F.floor(F.col("lat") / step), "cx": F.floor(F.col("lng") / east)})
+
+
 def split_outliers(points: DataFrame, threshold_km: float) -> DataFrame:
     """Adds ``nearest_km`` and ``is_outlier``: whether the nearest point is over ``threshold_km`` away; 0 is off."""
     near = nearest(points).drop("nearest_idx")
