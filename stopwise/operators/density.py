@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shared
 from .pairs import both_ways, within
 
 
-def _spread(nodes: DataFrame, links: DataFrame, folder: str | None, most_rounds: int = 100) -> DataFrame:
+def _spread(nodes: DataFrame, links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """``problem_id, point_idx, low``: the least index that each node reaches, by rounds of taking the neighbours' least and
-    jumping to its own; every round is checkpointed to the shared folder."""
-    spark = nodes.sparkSession
-    if folder and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    now = nodes.withColumn("low", F.col("point_idx")).checkpoint()
-    links = links.checkpoint()
+    jumping to its own; every round is written to the shared folder."""
+    now = shared.cut(nodes.withColumn("low", F.col("point_idx")), "low")
+    links = shared.cut(links, "links")
     for _ in range(most_rounds):
         said = links.join(now.select("problem_id", F.col("point_idx").alias("j"), F.col("low").alias("l_j")), ["problem_id", "j"])
         best = said.groupBy("problem_id", F.col("i").alias("point_idx")).agg(F.min("l_j").alias("near"))
         step = now.join(best, ["problem_id", "point_idx"], "left").select("problem_id", "point_idx", F.col("low").alias("was"), F.least("low", F.coalesce("near", "low")).alias("low"))
         jump = step.select("problem_id", F.col("point_idx").alias("low"), F.col("low").alias("lower"))
-        after = step.join(jump, ["problem_id", "low"]).select("problem_id", "point_idx", "was", F.least("low", "lower").alias("low")).checkpoint()
+        after = step.join(jump, ["problem_id", "low"]).select("problem_id", "point_idx", "was", F.least("low", "lower").alias("low"))
+        after = shared.cut(after, "low")
         moved = not after.filter("low < was").isEmpty()
         now = after.drop("was")
         if not moved:
@@ -29,24 +28,24 @@ def _spread(nodes: DataFrame, links: DataFrame, folder: str | None, most_rounds:
     raise RuntimeError(f"groups did not settle in {most_rounds} rounds")
 
 
-def groups(points: DataFrame, edges: DataFrame, least: int, folder: str | None = None) -> DataFrame:
+def groups(points: DataFrame, edges: DataFrame, least: int) -> DataFrame:
     """Labels from the pairs in reach: a point with ``least`` points in reach, itself included, is core; components of core
     points are numbered by their lowest core index; a border point joins the lowest label in reach; noise is -1."""
     near = both_ways(edges)
     core = near.groupBy("problem_id", F.col("i").alias("point_idx")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") + 1 >= least)
     core = core.select("problem_id", "point_idx") if least > 1 else points.select("problem_id", "point_idx")
     links = near.select("problem_id", "i", "j").join(core.withColumnRenamed("point_idx", "i"), ["problem_id", "i"], "left_semi").join(core.withColumnRenamed("point_idx", "j"), ["problem_id", "j"], "left_semi")
-    low = _spread(core, links, folder)
+    low = _spread(core, links)
     numbered = low.withColumn("label", (F.dense_rank().over(Window.partitionBy("problem_id").orderBy("low")) - 1).cast("int")).select("problem_id", "point_idx", "label")
     reach = near.join(numbered.withColumnsRenamed({"point_idx": "j", "label": "l"}), ["problem_id", "j"]).groupBy("problem_id", F.col("i").alias("point_idx")).agg(F.min("l").alias("border"))
     out = points.select("problem_id", "point_idx").join(numbered, ["problem_id", "point_idx"], "left").join(reach, ["problem_id", "point_idx"], "left")
     return out.select("problem_id", "point_idx", F.coalesce("label", "border", F.lit(-1)).alias("label"))
 
 
-def dbscan(points: DataFrame, eps_km: float = 5.0, least: int = 3, folder: str | None = None) -> DataFrame:
-    return groups(points, within(points, eps_km), least, folder)
+def dbscan(points: DataFrame, eps_km: float = 5.0, least: int = 3) -> DataFrame:
+    return groups(points, within(points, eps_km), least)
 
 
-def road_dbscan(points: DataFrame, edges: DataFrame, eps_km: float = 5.0, least: int = 3, folder: str | None = None) -> DataFrame:
+def road_dbscan(points: DataFrame, edges: DataFrame, eps_km: float = 5.0, least: int = 3) -> DataFrame:
     """The same over given distances (``problem_id, i, j, km``), such as those of :func:`~.pairs.road_pairs`."""
-    return groups(points, edges.filter(F.col("km") <= eps_km), least, folder)
+    return groups(points, edges.filter(F.col("km") <= eps_km), least)

@@ -51,7 +51,7 @@ def cluster(points: DataFrame, config: PlanConfig) -> DataFrame:
 @register("dbscan")
 def dbscan(points: DataFrame, config: PlanConfig) -> DataFrame:
     o = config.strategy.options
-    return _days_of(points, density.dbscan(points, float(o.get("dbscan_eps_km", 5.0)), int(o.get("dbscan_min_samples", 3)), o.get("checkpoint_dir")), False)
+    return _days_of(points, density.dbscan(points, float(o.get("dbscan_eps_km", 5.0)), int(o.get("dbscan_min_samples", 3))), False)
 
 
 @register("road_network")
@@ -61,7 +61,7 @@ def road_network(points: DataFrame, config: PlanConfig) -> DataFrame:
     edges = pairs.pairs(points)
     if o.get("road_edges"):
         edges = pairs.road_pairs(edges, points.sparkSession.read.parquet(o["road_edges"]))
-    labels = density.road_dbscan(points, edges, float(o.get("road_network_eps_km", 5.0)), int(o.get("road_network_min_samples", 3)), o.get("checkpoint_dir"))
+    labels = density.road_dbscan(points, edges, float(o.get("road_network_eps_km", 5.0)), int(o.get("road_network_min_samples", 3)))
     return _days_of(points, labels, False)
 
 
