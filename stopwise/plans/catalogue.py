@@ -399,12 +399,17 @@ _SQL_DBSCAN = """,
 
 @query("with recursive " + ",".join([fx.SQL_ONE, fx.SQL_PAIRS, fx.SQL_BOTH]) + _SQL_DBSCAN.replace("{eps}", "4"))
 def cl_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density.dbscan(fx.one(spark, sf_dir), 4.0, 3, "/tmp/checkpoints")
+    return density.dbscan(fx.one(spark, sf_dir), 4.0, 3)
 
 
 @query("with recursive " + ",".join([fx.SQL_MANY, fx.SQL_PAIRS.replace("pairs as", "plain as"), fx.SQL_ROAD, "pairs as (select p.problem_id,p.i,p.j,round(coalesce(km*detour,km),8) as km from plain p left join road r on r.problem_id=p.problem_id and r.i=p.i and r.j=p.j)", fx.SQL_BOTH]) + _SQL_DBSCAN.replace("{eps}", "25"))
 def cl_road(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density.road_dbscan(fx.many(spark, sf_dir), jn_road_fallback(spark, sf_dir), 25.0, 3, "/tmp/checkpoints")
+    return density.road_dbscan(fx.many(spark, sf_dir), jn_road_fallback(spark, sf_dir), 25.0, 3)
+
+
+def _named(name: str, f: Query) -> Query:
+    f.__name__ = name
+    return f
 
 
 def _labels(kernel: growth.Kernel) -> Query:
@@ -428,6 +433,40 @@ def cl_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return growth.grouped(fx.many(spark, sf_dir), growth.chain_greedy(5, (fx.BASE_LAT, fx.BASE_LNG)))
 
 
+#: The same, the first stop of a group being the farthest from the depot.
+_SQL_CHAIN_FAR = _SQL_CHAIN.replace("order by base_km, point_idx", "order by base_km desc, point_idx").replace("then b.base_km else", "then -b.base_km else")
+
+#: Greedy groups of {most}: the next point is the one of least {grow} for the group, or, of a new group, of most {seed}.
+_SQL_GREEDY = """,
+ grow as (
+  select problem_id, point_idx, 0 as label, 0 as seq, [point_idx] as seen, [point_idx] as own from (
+   select b.problem_id, b.point_idx, row_number() over (partition by b.problem_id order by {first} desc, b.point_idx) as n from pts b) where n=1
+  union all
+  select problem_id, point_idx, label, seq, seen, own from (
+   select g.problem_id, b.point_idx, case when g.seq={last} then g.label+1 else g.label end as label, case when g.seq={last} then 0 else g.seq+1 end as seq,
+    list_append(g.seen,b.point_idx) as seen, case when g.seq={last} then [b.point_idx] else list_append(g.own,b.point_idx) end as own,
+    row_number() over (partition by g.problem_id order by case when g.seq={last} then -{seed} else {grow} end, b.point_idx) as n
+   from grow g join pts b on b.problem_id=g.problem_id and not list_contains(g.seen,b.point_idx)) where n=1)
+ select problem_id, point_idx, cast(label as int) as label, cast(seq as int) as seq from grow"""
+
+
+def _greedy_sql(most: int, seed: str, grow: str) -> str:
+    """``seed`` and ``grow`` with ``{of}`` for the condition on the points q that they look at."""
+    parts = {"{first}": seed.replace("{of}", "true"), "{seed}": seed.replace("{of}", "not list_contains(g.seen,q.point_idx)"), "{grow}": grow.replace("{of}", "list_contains(g.own,q.point_idx)"), "{last}": str(most - 1)}
+    sql = _SQL_GREEDY
+    for k, v in parts.items():
+        sql = sql.replace(k, v)
+    return "with recursive " + fx.SQL_MANY + sql
+
+
+_SQL_TO_MEAN = "(select " + fx.SQL_KM.format(a="b", b="m") + " from (select avg(q.lat) as lat, avg(q.lng) as lng from pts q where q.problem_id=b.problem_id and {of}) m)"
+_SQL_TO_ALL = "(select round({f}(" + fx.SQL_KM.format(a="b", b="q") + "),9) from pts q where q.problem_id=b.problem_id and {of})"
+_SQL_KERNELS = {
+    "cl_overnight_chain": "with recursive " + fx.SQL_MANY + _SQL_CHAIN_FAR,
+    "cl_centroid": _greedy_sql(5, _SQL_TO_MEAN, _SQL_TO_MEAN),
+    "cl_isolation": _greedy_sql(6, _SQL_TO_ALL.replace("{f}", "avg"), _SQL_TO_ALL.replace("{f}", "min")),
+}
+
 _SQL_SEEDS = """,
  centre as (select problem_id, avg(lat) as lat, avg(lng) as lng from pts group by 1),
  seeds as (
@@ -468,7 +507,29 @@ for _name, _kernel in {
     "cl_jstyle": growth.compact_circles(2, 1, 4, rounds=10),
     "cl_overnight_chain": growth.chain_greedy(5, (fx.BASE_LAT, fx.BASE_LNG), farthest=True),
 }.items():
-    _QUERIES[_name] = _labels(_kernel)
+    query(_SQL_KERNELS.get(_name))(_named(_name, _labels(_kernel)))
+
+
+def _invariant(name: str, most: int | None) -> Query:
+    """Whether a grouping names every point once and no group has more than ``most``."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        labels = _QUERIES[name](spark, sf_dir)
+        sizes = labels.groupBy("problem_id", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("point_idx").alias("own"))
+        fits = F.lit(True) if most is None else F.max(F.when(F.col("label") >= 0, F.col("n"))) <= most
+        whole = sizes.groupBy("problem_id").agg(F.sum("n").alias("points"), F.coalesce(fits, F.lit(True)).alias("fits"))
+        once = labels.groupBy("problem_id").agg((F.count_distinct("point_idx") == F.count(F.lit(1))).alias("once"))
+        return whole.join(once, "problem_id").select("problem_id", "points", "once", "fits")
+
+    return run
+
+
+_SQL_INVARIANT = "select cast(s_nationkey as bigint) as problem_id, count(*) as points, true as once, true as fits from supplier group by 1"
+for _name, _most in {
+    "cl_capped_link": 6, "cl_voronoi": 6, "cl_kmeans_split": 6, "cl_kmeans_separated": None, "cl_grid_merged": 6, "cl_balance": None, "cl_chain_growth": None,
+    "cl_greedy46": 6, "cl_region_grow": None, "cl_area": 6, "cl_jstyle": None,
+}.items():
+    query(_SQL_INVARIANT)(_named(f"{_name}_invariant", _invariant(_name, _most)))
 
 
 @query()
@@ -504,7 +565,12 @@ def geo_lens_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("problem_id", "label_a", "label_b", *[F.round(c, 6).alias(c) for c in ("depth", "term", "shared")])
 
 
-@query()
+@query(_SQL_CIRCLES + """, cp as (select a.problem_id, sqrt(pow(b.lat-a.lat,2)+pow(b.lng-a.lng,2)) as d, a.r as ra, b.r as rb from circles a join circles b on a.problem_id=b.problem_id and a.label<b.label),
+ each as (select problem_id, greatest(0,ra+rb-d) as depth, case when d>0 then (ra+rb)/d else 0 end as term,
+  case when d>=ra+rb then 0 when d<=abs(ra-rb) then pi()*pow(least(ra,rb),2) else ra*ra*acos(greatest(-1,least(1,(d*d+ra*ra-rb*rb)/(2*d*ra))))+rb*rb*acos(greatest(-1,least(1,(d*d+rb*rb-ra*ra)/(2*d*rb))))-sqrt(greatest(0,(-d+ra+rb)*(d+ra-rb)*(d-ra+rb)*(d+ra+rb)))/2 end as shared from cp),
+ o as (select problem_id, sum(shared) as overlap, sum(depth) as depth, sum(term) as separation from each group by 1),
+ a as (select problem_id, sum(pi()*r*r) as area from circles group by 1)
+ select a.problem_id, round(area,6) as area, round(coalesce(overlap,0),6) as overlap, round(coalesce(depth,0),6) as depth, round(coalesce(separation,0),6) as separation, round(area+5*pow(coalesce(overlap,0),2)+0.8e0*coalesce(separation,0),6) as cost from a left join o using (problem_id)""")
 def geo_circle_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.circle_cost(metrics.circles(*_fenced(spark, sf_dir)))
 
@@ -542,10 +608,13 @@ _SQL_QUALITY = _SQL_F + ", " + fx.SQL_PAIRS + """, lp as (select p.*, a.label as
  sz as (select problem_id, label, count(*) as n from fenced group by 1,2)"""
 
 
-@query(_SQL_QUALITY + """ select s.problem_id, groups, mean_size, min_size, max_size, std_size, variation, mean_spread, max_spread, mean_gap, min_gap, has_overlap, round(mean_gap/mean_spread,6) as separation
+_SQL_FIGURES = """ select s.problem_id, groups, mean_size, min_size, max_size, std_size, variation, mean_spread, max_spread, mean_gap, min_gap, has_overlap, round(mean_gap/mean_spread,6) as separation
  from (select problem_id, count(*) as groups, round(avg(n),6) as mean_size, min(n) as min_size, max(n) as max_size, round(stddev_pop(n),6) as std_size, round(stddev_pop(n)/avg(n),6) as variation from sz group by 1) s
  join (select problem_id, round(avg(max_km),6) as mean_spread, max(max_km) as max_spread from inside group by 1) i on i.problem_id=s.problem_id
- join (select problem_id, round(avg(min_km),6) as mean_gap, min(min_km) as min_gap, bool_or(min_km<1) as has_overlap from between_ group by 1) b on b.problem_id=s.problem_id""")
+ join (select problem_id, round(avg(min_km),6) as mean_gap, min(min_km) as min_gap, bool_or(min_km<1) as has_overlap from between_ group by 1) b on b.problem_id=s.problem_id"""
+
+
+@query(_SQL_QUALITY + _SQL_FIGURES)
 def met_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.quality(*_fenced(spark, sf_dir))
 
@@ -560,7 +629,13 @@ def met_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.gaps(*_fenced(spark, sf_dir))
 
 
-@query()
+_SQL_SCORES = ", q as (" + _SQL_FIGURES + "), scored as (" + " union all ".join(
+    f"select problem_id, '{k}' as kind, {n} as ordinal, greatest(0, round(100-{w[0]}*mean_spread+{w[1]}*coalesce(separation,0)-{w[2]}*{w[4]}-case when has_overlap then {w[3]} else 0 end,6)) as score from q"
+    for n, (k, w) in enumerate(metrics.SCORES.items())
+) + ") select *, row_number() over (partition by problem_id order by score desc, ordinal) as rank from scored"
+
+
+@query(_SQL_QUALITY + _SQL_SCORES)
 def met_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = metrics.quality(*_fenced(spark, sf_dir))
     scored = [q.select("problem_id", F.lit(k).alias("kind"), F.lit(n).alias("ordinal"), metrics.score(k, F.col("mean_spread"), F.col("separation"), F.col(metrics.SCORES[k][4]), F.col("has_overlap")).alias("score")) for n, k in enumerate(metrics.SCORES)]
@@ -610,7 +685,7 @@ def sch_hotel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overnight.hotels(*_fenced(spark, sf_dir))
 
 
-@query(_SQL_F + ", t as (select problem_id, label, row_number() over (partition by label order by point_idx) as r, count(*) over (partition by label) as n, point_idx from fenced) select problem_id, label, cast(case when r<=n//2 then 1 else 2 end as int) as part, cast(case when r<=n//2 then r else r-n//2 end as int) as stop_seq, point_idx from t")
+@query(_SQL_F + ", t as (select problem_id, label, row_number() over (partition by label order by point_idx) as r, count(*) over (partition by label) as n, point_idx from fenced) select problem_id, label, cast(case when n<=1 or r<=n//2 then 1 else 2 end as int) as part, cast(case when n<=1 or r<=n//2 then r else r-n//2 end as int) as stop_seq, point_idx from t")
 def sch_half_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overnight.halves(_in_index_order(spark, sf_dir))
 
@@ -622,7 +697,22 @@ def _in_index_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.withColumn("stop_seq", F.row_number().over(Window.partitionBy("problem_id", "label").orderBy("point_idx")))
 
 
-@query()
+_SQL_NIGHTS = _SQL_F + """, l as (select * from pts join fenced using (problem_id, point_idx)),
+ h as (select problem_id, label, round(avg(lat),9) as lat, round(avg(lng),9) as lng from l group by 1,2),
+ t as (select *, row_number() over (partition by problem_id,label order by point_idx) as r, count(*) over (partition by problem_id,label) as n from l),
+ p as (select *, case when n<=1 or r<=n//2 then 1 else 2 end as part from t),
+ s as (select *, row_number() over (partition by problem_id,label,part order by r) as k_, count(*) over (partition by problem_id,label,part) as m,
+  lead(lat) over (partition by problem_id,label,part order by r) as n_lat, lead(lng) over (partition by problem_id,label,part order by r) as n_lng from p),
+ d as (select {lat} as lat, {lng} as lng),
+ w as (select s.problem_id, s.label, part, case when k_=m then 0 else {next} end
+   + case when k_=1 then case when part=1 then {s_d} else {s_h} end else 0 end + case when k_=m then case when part=1 then {s_h} else {s_d} end else 0 end as km
+  from s join h on h.problem_id=s.problem_id and h.label=s.label, d, lateral (select s.n_lat as lat, s.n_lng as lng) x),
+ g as (select problem_id, label, part, count(*) as point_count, round(sum(km),6) as km from w group by 1,2,3)
+ select problem_id, label, cast(part as int) as part, point_count, round(km,1) as drive_distance_km, round(km/35.0e0*60,1) as drive_time_min, point_count*15.0e0 as stop_time_min, round((km/35.0e0*60+point_count*15.0e0)/60,1) as total_time_hours from g"""
+_SQL_NIGHTS = _SQL_NIGHTS.replace("{lat}", f"{fx.BASE_LAT}e0").replace("{lng}", f"{fx.BASE_LNG}e0").replace("{next}", fx.SQL_KM.format(a="s", b="x")).replace("{s_d}", fx.SQL_KM.format(a="s", b="d")).replace("{s_h}", fx.SQL_KM.format(a="s", b="h"))
+
+
+@query(_SQL_NIGHTS)
 def sch_overnight_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, labels = _fenced(spark, sf_dir)
     return overnight.two_day_totals(overnight.halves(_in_index_order(spark, sf_dir)), points, overnight.hotels(points, labels), fx.BASE_LAT, fx.BASE_LNG, 15.0)
@@ -633,7 +723,32 @@ def _plan(strategy: str) -> Query:
 
 
 for _name in ("tsp", "cluster", "overnight", "area_expansion", "fence", "dbscan", "road_network", "j_style"):
-    _QUERIES[f"plan_{_name}"] = _plan(_name)
+    query()(_named(f"plan_{_name}", _plan(_name)))
+
+
+def _plan_invariant(strategy: str) -> Query:
+    """Whether every point is in one place of the plan's days or left out, and the figures count the days' points."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = Planner(spark, fx.CONFIG).run(fx.many(spark, sf_dir), strategy)
+        held = p.stops.select("problem_id", "point_idx").union(p.unassigned.select("problem_id", "point_idx"))
+        held = held.groupBy("problem_id").agg(F.count(F.lit(1)).alias("points"), F.count_distinct("point_idx").alias("own"))
+        stops = p.stops.groupBy("problem_id").agg(F.count(F.lit(1)).alias("stops"), F.count_distinct("day").alias("days"))
+        same = (F.coalesce("total_points", F.lit(0)) == F.coalesce("stops", F.lit(0))) & (F.coalesce("total_days", F.lit(0)) == F.coalesce("days", F.lit(0)))
+        both = held.join(stops, "problem_id", "left").join(p.metrics, "problem_id", "left")
+        return both.select("problem_id", "points", (F.col("points") == F.col("own")).alias("once"), same.alias("fits"))
+
+    return run
+
+
+for _name in ("tsp", "cluster", "overnight", "area_expansion", "fence", "dbscan", "road_network", "j_style"):
+    query(_SQL_INVARIANT)(_named(f"plan_{_name}_invariant", _plan_invariant(_name)))
+
+
+@query("select cast(s_nationkey as bigint) as problem_id, m as metric from supplier, unnest(['total_days','total_points','total_distance_km','total_hours','max_day_points','avg_day_distance','overtime_days']) t(m) group by 1,2")
+def cmp_strategies_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each problem has a row for each figure."""
+    return cmp_strategies(spark, sf_dir).select("problem_id", "metric")
 
 
 @query()
