@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where it is unset and the master
+    is local; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _own:
         _own[key] = "file://" + tempfile.mkdtemp(prefix="stopwise-")
@@ -43,7 +46,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def drop_written(df: DataFrame) -> None:
+def drop_written(df: DataFrame | None) -> None:
     """Removes a table made by :func:`written`, once nothing reads it any more."""
     path = getattr(df, "_written_at", None)
     if path:

@@ -12,20 +12,19 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?P<inside>.*?)(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.S | re.I,
-)
+_RAW = {k: re.compile(rf"</{k}\s*>", re.I) for k in "script style noscript template iframe svg textarea title".split()}
+_TAG_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9-]*")
+_CUT_OFF = re.compile(r"[a-zA-Z!?]|/[a-zA-Z]")
+_TAG_BREAK = re.compile(r"[\"'>]")
 _MARKS = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 #: Elements without an end tag, and elements that stand inside a run of text.
@@ -36,15 +35,92 @@ INLINE = frozenset(
 #: What an opening tag ends.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PATH_DIMS, WORD_DIMS, FIGURES, HIDDEN = 192, 24, 8, 20
-
-
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
+#: Blocks that are read at once, of many short pages or as a stretch of a long one.
+CELLS = 20_000
+
+
+class _Tags:
+    """Cuts a page into texts and tags in one pass over it, whatever is left open."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last_quote = {q: page.rfind(q) for q in "\"'"}
+        self.last_end, self.last_data_end, self.quotes = page.rfind(">"), page.rfind("]]>"), True
+
+    def _tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag, outside quotes; once quotes do not close, the first ``>`` ends every tag."""
+        start = at
+        while self.quotes and (m := _TAG_BREAK.search(self.page, at)):
+            if m[0] == ">":
+                return m.start()
+            if m.start() >= self.last_quote[m[0]]:
+                break
+            at = self.page.index(m[0], m.end()) + 1
+        self.quotes = False
+        return self.page.find(">", start)
+
+    def __iter__(self) -> Iterator[tuple[str, bool, str, str]]:
+        """(text before, whether an end tag, tag or '', attributes); the text behind the last tag comes with the tag ''."""
+        page, at, begun = self.page, 0, 0
+        while (lt := page.find("<", at)) >= 0:
+            kept = ""
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                end = len(page) if end < 0 else end + 3
+                name = attrs = ""
+                closes = False
+            elif page.startswith("<![CDATA[", lt) and lt < self.last_data_end:
+                end = page.index("]]>", lt) + 3
+                kept, name, attrs, closes = page[lt + 9 : end - 3], "", "", False
+            elif lt > self.last_end:  # as in browsers, a tag that the page's end cuts off is no text
+                if _CUT_OFF.match(page, lt + 1):
+                    break
+                at = lt + 1
+                continue
+            elif page.startswith(("<!", "<?"), lt):
+                end, name, attrs, closes = page.index(">", lt) + 1, "", "", False
+            else:
+                closes = page.startswith("</", lt)
+                m = _TAG_NAME.match(page, lt + 1 + closes)
+                if not m or (gt := self._tag_end(m.end())) < 0:
+                    at = lt + 1
+                    continue
+                name, attrs, end = m[0].lower(), page[m.end() : gt], gt + 1
+                if name in _RAW and not closes:
+                    shut = _RAW[name].search(page, end)
+                    end = shut.end() if shut else len(page)
+            yield page[begun:lt] + kept, closes, name, attrs
+            at = begun = end
+        yield page[begun : lt if lt >= 0 else len(page)], False, "", ""
+
+
+class Path:
+    """Open tags and their marks, outermost first, with a bit for the slot of each; an element adds to its parent's path."""
+
+    __slots__ = ("bits", "depth", "names", "parent")
+
+    def __init__(self, parent: Path | None, names: tuple[str, ...]):
+        self.parent, self.names = parent, names
+        self.depth, self.bits = (parent.depth + 1, parent.bits) if parent else (0, 0)
+        for name in names:
+            self.bits |= 1 << _slot(name, PATH_DIMS)
+
+    def __iter__(self) -> Iterator[str]:
+        levels, at = [], self
+        while at:
+            levels.append(at.names)
+            at = at.parent
+        return (name for names in reversed(levels) for name in names)
+
+
+def blocks(page: str | None) -> list[tuple[Path, str, float]]:
     """(path of tags and their marks, text, share of it in links) of the non-empty blocks of a whole page, in page order."""
-    page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    found: list[tuple[tuple[str, ...], str, float]] = []
+    root = Path(None, ())
+    stack: list[tuple[str, Path]] = []
+    opened: Counter = Counter()
+    found: list[tuple[Path, str, float]] = []
     run: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, in_link = 0, 0
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -57,45 +133,42 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         nonlocal linked
         whole = " ".join("".join(run).split())
         if whole:
-            path = tuple(m for tag, marks in stack for m in (tag, *marks))
-            found.append((path, whole, min(1.0, linked / len(whole))))
+            found.append((stack[-1][1] if stack else root, whole, min(1.0, linked / len(whole))))
         run.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        if m["raw"]:
-            if m["raw"].lower() == "textarea":
-                close()
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
+    for before, closes, tag, attrs in _Tags(page or ""):
+        text(before)
+        if not tag or (tag in _RAW and tag != "textarea" and not closes):
             continue
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:-3])
+        if tag == "textarea" and not closes:
+            close()
             continue
         if tag == "a":
-            in_link = 0 if m["close"] else 1
+            in_link = 0 if closes else 1
         if tag == "br":
             run.append(" ")
         elif tag in INLINE:
             continue
         else:
             close()
-            if m["close"]:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-                if k is not None:
-                    del stack[k:]
+            if closes:
+                if opened[tag]:
+                    while stack[-1][0] != tag:
+                        pop()
+                    pop()
             elif tag not in VOID:
                 in_link = 0
                 if stack and stack[-1][0] == "p":
-                    stack.pop()
+                    pop()
                 if stack and stack[-1][0] in _ENDS.get(tag, ()):
-                    stack.pop()
-                attrs = m["attrs"]
+                    pop()
                 marks = [n.lower() for got in _MARKS.findall(attrs) for n in _NAME.findall("".join(got))] if "=" in attrs else []
-                stack.append((tag, tuple("." + n for n in dict.fromkeys(marks))))
-    text(page[at:] if not page[at:].startswith("<") or page[at : at + 2] == "< " else "")
+                stack.append((tag, Path(stack[-1][1] if stack else root, (tag, *("." + n for n in dict.fromkeys(marks))))))
+                opened[tag] += 1
     close()
     return found
 
@@ -106,29 +179,20 @@ def _slot(kind: str, dims: int) -> int:
 
 
 @lru_cache(1 << 14)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH_DIMS, np.float32)
-    for k in path:
-        out[_slot(k, PATH_DIMS)] = 1
-    return out
-
-
-@lru_cache(1 << 14)
-def _depth(path: tuple[str, ...]) -> int:
-    """Tags of the path; their marks do not count."""
-    return sum(not k.startswith(".") for k in path)
+def _path_vector(bits: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits.to_bytes(PATH_DIMS // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
 
 
-def vectors(found: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
-    """One row per block: hashed path, hashed words, and figures on length, links, place, depth and punctuation."""
-    out = np.zeros((len(found), PATH_DIMS + WORD_DIMS + FIGURES), np.float32)
-    n = max(1, len(found))
-    for k, (path, text, linked) in enumerate(found):
-        out[k, :PATH_DIMS] = _path_vector(path)
+def vectors(found: list[tuple[Path, str, float]], lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """A row for each block from ``lo`` to ``hi``: hashed path, hashed words, and figures on length, links, place, depth and punctuation."""
+    some, n = found[lo:hi], max(1, len(found))
+    out = np.zeros((len(some), PATH_DIMS + WORD_DIMS + FIGURES), np.float32)
+    for k, (path, text, linked) in enumerate(some):
+        out[k, :PATH_DIMS] = _path_vector(path.bits)
         slots = [_slot(w, WORD_DIMS) for w in text.lower().split()]
         out[k, PATH_DIMS:-FIGURES] = np.bincount(slots, minlength=WORD_DIMS) / len(slots)
         size = len(text)
-        out[k, -FIGURES:] = (np.log1p(size) / 8, linked, k / n, (n - k) / n, _depth(path) / 12, min(1, 20 * text.count(",") / size), min(1, 20 * text.count(".") / size), text[-1] in ".!?")
+        out[k, -FIGURES:] = (np.log1p(size) / 8, linked, (lo + k) / n, (n - lo - k) / n, path.depth / 12, min(1, 20 * text.count(",") / size), min(1, 20 * text.count(".") / size), text[-1] in ".!?")
     return out
 
 
@@ -144,9 +208,11 @@ class Labeller:
             self.p["c" + side] = np.repeat([0.0, 1.0, 0.0, 0.0], h)
         self.p["o"], self.p["q"] = rng.normal(0, 0.2, 2 * h + d), np.zeros(1)
 
-    def _read(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool) -> tuple[np.ndarray, list]:
+    def _read(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool, state: tuple | None = None) -> tuple[np.ndarray, list, tuple]:
+        """Outputs, what the gradients need, and the state at the end, from which a further stretch goes on."""
         n, t, _ = x.shape
-        h, c, out, tape = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)), np.zeros((n, t, HIDDEN)), []
+        h, c = state or (np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)))
+        out, tape = np.zeros((n, t, HIDDEN)), []
         z_in = x @ self.p["w" + side] + self.p["c" + side]
         for k in range(t) if side == "f" else range(t - 1, -1, -1):
             z = z_in[:, k] + h @ self.p["u" + side]
@@ -159,13 +225,32 @@ class Labeller:
                 tape.append((k, h, c, i, f, o, a, s, m))
             c, h = m * new + (1 - m) * c, m * (o * s) + (1 - m) * h
             out[:, k] = h
-        return out, tape
+        return out, tape, (h, c)
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        f, tf = self._read(x, mask, "f", keep)
-        b, tb = self._read(x, mask, "b", keep)
+        f, tf, _ = self._read(x, mask, "f", keep)
+        b, tb, _ = self._read(x, mask, "b", keep)
         wide = np.concatenate([f, b, x], 2)
-        return 1 / (1 + np.exp(-np.clip(wide @ self.p["o"] + self.p["q"], -30, 30))), wide, tf, tb
+        return self._said(wide), wide, tf, tb
+
+    def _said(self, wide: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(wide @ self.p["o"] + self.p["q"], -30, 30)))
+
+    def read_long(self, found: list[tuple[Path, str, float]], cells: int = CELLS) -> np.ndarray:
+        """What :meth:`forward` says of one page, read by stretches of ``cells`` blocks: the whole page is the context, and
+        only its outputs are kept."""
+        stretches = [(lo, min(lo + cells, len(found))) for lo in range(0, len(found), cells)]
+        back, state = np.zeros((len(found), HIDDEN), np.float32), None
+        for lo, hi in reversed(stretches):
+            x = vectors(found, lo, hi)[None].astype(np.float64)
+            out, _, state = self._read(x, np.ones(x.shape[:2]), "b", False, state)
+            back[lo:hi] = out[0]
+        said, state = np.zeros(len(found)), None
+        for lo, hi in stretches:
+            x = vectors(found, lo, hi)[None].astype(np.float64)
+            out, _, state = self._read(x, np.ones(x.shape[:2]), "f", False, state)
+            said[lo:hi] = self._said(np.concatenate([out, back[None, lo:hi], x], 2))[0]
+        return said
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         said, wide, tf, tb = self.forward(x, mask, True)
@@ -323,9 +408,8 @@ def made_page(rng: random.Random, dressed: float = 0.4) -> tuple[str, list[bool]
     return page.replace(" qqyes", "").replace(" qqno", ""), truth
 
 
-@lru_cache(1)
 def trained(seed: int = 5, pages: int = 1600, epochs: int = 14) -> Labeller:
-    """The labeller, trained by Adam on made-up pages; some seconds, once per process."""
+    """The labeller, trained by Adam on made-up pages, in half a minute."""
     rng, draw = np.random.default_rng(seed), random.Random(seed)
     rows, truths = [], []
     while len(rows) < pages:
@@ -356,7 +440,28 @@ def trained(seed: int = 5, pages: int = 1600, epochs: int = 14) -> Labeller:
     return model
 
 
-def labels(model: Labeller, rows: list[np.ndarray], cells: int = 60_000) -> list[np.ndarray]:
+_shared: dict[int, Labeller] = {}
+
+
+def shared(spark: SparkSession, seed: int = 5) -> Labeller:
+    """The trained labeller, made in one task, once per driver and seed; the driver gets its parameters, under a megabyte."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                p = trained(k).p
+                cols = [pa.array(list(p)), pa.array([list(v.shape) for v in p.values()], pa.list_(pa.int32())), pa.array([v.tobytes() for v in p.values()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["name", "shape", "raw"])
+
+    if seed not in _shared:
+        made = spark.range(seed, seed + 1, 1, 1).mapInArrow(learn, "name string, shape array<int>, raw binary").collect()
+        own = Labeller.__new__(Labeller)
+        own.p = {r["name"]: np.frombuffer(r["raw"]).reshape(r["shape"]) for r in made}
+        _shared[seed] = own
+    return _shared[seed]
+
+
+def labels(model: Labeller, rows: list[np.ndarray], cells: int = 3 * CELLS) -> list[np.ndarray]:
     """Whether each block is of the article; batches hold pages of like length and at most ``cells`` blocks, or one page."""
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(rows)
     order = sorted((k for k in range(len(rows)) if len(rows[k])), key=lambda k: len(rows[k]))
@@ -372,13 +477,36 @@ def labels(model: Labeller, rows: list[np.ndarray], cells: int = 60_000) -> list
     return out
 
 
+def article(model: Labeller, pages: list[str | None]) -> list[str]:
+    """The main text of each page. Pages are read together up to ``CELLS`` blocks; longer ones alone, by stretches."""
+    out, found, group = [""] * len(pages), [], []
+
+    def say(own: list[int], cut: list, said: list[np.ndarray]) -> None:
+        for k, f, y in zip(own, cut, said, strict=True):
+            out[k] = " ".join(b[1] for b, keep in zip(f, y, strict=True) if keep)
+
+    for k, page in enumerate(pages):
+        cut = blocks(page)
+        if len(cut) > CELLS:
+            say([k], [cut], [model.read_long(cut) >= 0.5])
+            continue
+        found.append(cut)
+        group.append(k)
+        if sum(map(len, found)) > CELLS:
+            say(group, found, labels(model, [vectors(f) for f in found]))
+            found, group = [], []
+    say(group, found, labels(model, [vectors(f) for f in found]))
+    return out
+
+
 def main_text(pages: DataFrame, model: Labeller | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars``: the article of every whole page, its blocks joined by one space.
 
-    A null page is empty and gives ''. Repeated rows give a row each; null identifiers and urls are carried; other columns
-    are not read. An empty table gives no rows. The model that is sent to the tasks has a fixed size (under a megabyte).
+    A null page is empty and gives ''. A tag that is not closed before the page ends is text; quotes that do not close end at
+    the next ``>``. Repeated rows give a row each; null identifiers and urls are carried; other columns are not read. An
+    empty table gives no rows. The model that is sent to the tasks has a fixed size (under a megabyte).
     """
-    sent = pages.sparkSession.sparkContext.broadcast((model or trained()).p)
+    sent = pages.sparkSession.sparkContext.broadcast((model or shared(pages.sparkSession)).p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Labeller.__new__(Labeller)
@@ -386,8 +514,7 @@ def main_text(pages: DataFrame, model: Labeller | None = None, id_col: str = "pa
         for batch in batches:
             for lo in range(0, batch.num_rows, 400):
                 part = batch.slice(lo, 400)
-                found = [blocks(p) for p in part.column(2).to_pylist()]
-                texts = [" ".join(b[1] for b, y in zip(f, said, strict=True) if y) for f, said in zip(found, labels(own, [vectors(f) for f in found]), strict=True)]
+                texts = article(own, part.column(2).to_pylist())
                 cols = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 
