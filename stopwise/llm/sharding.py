@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, written
 
-#: Bytes of records that a bucket holds on average; pass two keeps one bucket per task in memory.
-BUCKET_BYTES = 8 << 20
+#: Bytes of records that a bucket holds on average: at least the first, at most the second, between them as many as make
+#: MOST_BUCKETS of the input. Pass two keeps one bucket per task in memory.
+BUCKET_BYTES, LARGEST_BUCKET, MOST_BUCKETS = 8 << 20, 256 << 20, 10_000
 
 
 def _unit(*cols: Column) -> Column:
@@ -28,12 +29,29 @@ def shard_of(key: Column, n_shards: int, seed: int = 0) -> Column:
     return F.greatest(F.lit(0), F.lit(0), *jumps)
 
 
+def _numbered(records: DataFrame) -> DataFrame:
+    """Adds ``copy``: rows that repeat identifier and text are numbered from 1, all others have 1.
+
+    Repeated rows are found by hash alone, and only if there are any are their texts met: each once, with its count, from
+    which the copies are made again. So a row that is a third of the table goes to no single task.
+    """
+    records = records.withColumn("same", F.xxhash64("doc_id", "text"))
+    repeated = records.groupBy("doc_id", "same").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeated = written(repeated, "repeated")
+    if repeated.isEmpty():
+        return records.drop("same").withColumn("copy", F.lit(1).cast("long"))
+    met = (records["doc_id"].eqNullSafe(repeated["doc_id"])) & (records["same"] == repeated["same"])
+    alone = records.join(repeated, met, "left_anti").drop("same").withColumn("copy", F.lit(1).cast("long"))
+    once = records.join(repeated, met, "left_semi").groupBy("doc_id", "text", "size").agg(F.count(F.lit(1)).alias("n"))
+    return alone.union(once.select("doc_id", "text", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")))
+
+
 def two_pass_shuffle(
     docs: DataFrame,
     n_shards: int = 40,
     seed: int = 17,
     path: str | None = None,
-    bucket_bytes: int = BUCKET_BYTES,
+    bucket_bytes: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -41,8 +59,8 @@ def two_pass_shuffle(
 
     Columns: ``doc_id, text, size, shard, bucket, slot, grown_shard``. A null text takes 16 bytes and stays null; a null
     identifier is a key like any other; repeated rows and ids are kept, each in a slot of its own, and rows with one
-    identifier share a shard. Buckets are chosen by identifier and text, so copies of one text spread evenly. Slots
-    run from 0 without gaps in every shard. Other columns are not read. An empty table gives no rows.
+    identifier share a shard. Buckets are chosen by identifier, text and the number of the copy, so copies of one text, and
+    of one row, spread evenly. Slots run from 0 without gaps in every shard. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "shards")
@@ -50,9 +68,11 @@ def two_pass_shuffle(
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
     records = docs.select(key.alias("doc_id"), text.alias("text"), size.alias("size"))
     total = records.agg(F.sum("size")).first()[0] or 0
+    bucket_bytes = bucket_bytes or min(LARGEST_BUCKET, max(BUCKET_BYTES, total // MOST_BUCKETS))
     per_shard = max(1, -(-total // (n_shards * bucket_bytes)))
+    records = _numbered(records)
     keyed = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    within = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(per_shard)).cast("int")
+    within = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text", "copy"), F.lit(per_shard)).cast("int")
     records = records.withColumns({"shard": shard_of(keyed, n_shards, seed), "grown_shard": shard_of(keyed, n_shards + 1, seed)})
     records = records.withColumn("bucket", F.col("shard") * per_shard + within)
     scattered = records.repartitionById(n_shards * per_shard, F.col("bucket"))
