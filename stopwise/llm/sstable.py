@@ -32,8 +32,9 @@ BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 _FOOTER = struct.Struct("<QQQQQQQB8s")
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, first_key binary, last_key binary, bytes long"
-#: Lookup sends the manifest, one short row per shard, to every task; beyond this many shards it is refused.
-MAX_MANIFEST = 100_000
+#: Bytes of text of a shard, if the session's number of shuffle partitions does not make it smaller; runs of shards whose
+#: borders are sent to all tasks by a lookup; parts into which rows with one identifier are dealt.
+SHARD_BYTES, MOST_RUNS, SALTS = 256 << 20, 10_000, 64
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -184,12 +185,16 @@ def write_tables(
     """Writes every row's ids into shards in ascending identifier order and returns their manifest, itself written.
 
     A null text counts as empty (the end id alone); a null identifier comes first; rows with equal identifiers are all
-    kept, next to each other, in the order of their texts. Only the two named columns are read. An empty table gives
-    no shards. A shard is written under a temporary name and renamed, so a repeated task replaces it by the same bytes.
+    kept, next to each other, in the order of their texts within a shard. Only the two named columns are read. An empty table gives
+    no shards. A shard is written under a temporary name and renamed, so a repeated task replaces it by the same bytes; what
+    lost tasks leave is removed in the end. Shards are as many as the bytes of text ask for, and an identifier that many
+    rows share may have several.
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "sstable")
-    n_shards = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n_shards is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+        n_shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, made, end = TaskContext.get().partitionId(), None, np.array([end_id], "<u4")
@@ -217,8 +222,16 @@ def write_tables(
 
     arrow = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("bytes", pa.int64())])
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("body"))
-    sorted_rows = rows.repartitionByRange(n_shards, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "body")
-    return written(sorted_rows.mapInArrow(run, MANIFEST), "manifest")
+    order = [F.col("key").asc_nulls_first(), "same", "salt"]
+    rows = rows.withColumns({"same": F.xxhash64("body"), "salt": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))})
+    sorted_rows = rows.repartitionByRange(n_shards, *order).sortWithinPartitions(order[0], "body").select("key", "body")
+    found = written(sorted_rows.mapInArrow(run, MANIFEST), "manifest")
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for left in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/*.draft")) or []:
+        fs.delete(left.getPath(), False)
+    return found
 
 
 def _open(path: str) -> TableReader:
@@ -253,26 +266,36 @@ def read_tables(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """Ids of the asked documents: ``doc_id, ids``; a key without documents gives no row."""
-    rows = manifest.orderBy("shard").limit(MAX_MANIFEST + 1).collect()
-    if len(rows) > MAX_MANIFEST:
-        raise ValueError(f"more than {MAX_MANIFEST} shards")
-    lasts, firsts, paths = [bytes(r.last_key) for r in rows], [bytes(r.first_key) for r in rows], [r.path for r in rows]
+    """Ids of the asked documents: ``doc_id, ids``; a key without documents gives no row, one in several shards those of all.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        readers: dict[int, TableReader] = {}
+    A key first finds its runs of consecutive shards, of which there are at most ``MOST_RUNS``, then, by a join, the shards of
+    the run that may hold it; a shard is opened once, for all its keys.
+    """
+    width = max(1, -(-(manifest.agg(F.max("shard")).first()[0] or 0) // MOST_RUNS))
+    runs = manifest.groupBy(F.floor(F.col("shard") / width).alias("run")).agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")).orderBy("run").collect()
+    places, lows, highs = [r.run for r in runs], [bytes(r.lo) for r in runs], [bytes(r.hi) for r in runs]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            out = []
             for doc_id in batch.column(0).to_pylist():
                 key = key_of(doc_id)
-                k = bisect.bisect_left(lasts, key)
-                if k < len(paths) and firsts[k] <= key:
-                    if k not in readers:
-                        readers.clear()
-                        readers[k] = _open(paths[k])
-                    found += [(doc_id, v.tolist()) for v in readers[k].get(key)]
+                out += [(doc_id, key, places[k]) for k in range(bisect.bisect_left(highs, key), bisect.bisect_right(lows, key))]
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], names=["doc_id", "key", "run"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, reader = None, None
+        for batch in batches:
+            found = []
+            for doc_id, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != path:
+                    path, reader = own, _open(own)
+                found += [(doc_id, v.tolist()) for v in reader.get(key_of(doc_id))]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
+    asked = keys.select(F.col(key_col).cast("long").alias("doc_id")).distinct().mapInArrow(place, "doc_id long, key binary, run long")
+    shards = manifest.select(F.floor(F.col("shard") / width).alias("run"), "path", "first_key", "last_key")
+    held = asked.join(shards, "run").filter("first_key <= key and key <= last_key").select("doc_id", "path")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = keys.select(F.col(key_col).cast("long").alias("doc_id")).distinct()
-    return asked.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "doc_id long, ids array<long>")
+    return held.repartition(n, "path").sortWithinPartitions("path", "doc_id").mapInArrow(run, "doc_id long, ids array<long>")

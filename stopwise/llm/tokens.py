@@ -1,10 +1,10 @@
-"""Token ids of whole texts from a public tokenizer file, fast on texts full of rare words.
+"""Token ids of whole texts from a public tokenizer file, by the tokenizers library.
 
-Merging is done by tiktoken with the ranks of the same file, several times faster on unseen words than the
-tokenizers library. For a vocabulary with word ends, numpy marks the end of each piece first. Texts for which equality
-cannot be shown (special-token strings, apostrophes, control characters, text that is not in composed form) go to the
-tokenizers library whole, and so does all text of a file whose layout is not one of the two known ones. All ways give
-the ids of the tokenizers library.
+The library cuts a text into pieces before it merges, so a text may be handed to it in parts where a cut is certain, and a part
+that came before need not be encoded again. Two known layouts have such places: one drops white space (any ASCII white space
+parts it), the other keeps one space before a word (a single space between two other characters does). Of a part of plain
+letters, digits and signs the pieces are known, so the library's model merges them without its rules; other parts go through
+the whole library. Texts that hold a special token, and files of another layout, go to the library whole.
 """
 
 from __future__ import annotations
@@ -12,16 +12,17 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
+import struct
 
-import numpy as np
-
-_SPECIAL = "<|"
-_SPACE, _LETTER, _NUMBER = 1, 2, 3
-#: Apostrophes, control characters, and letters whose lower case depends on their place or on the library.
-_ODD = re.compile("['\x00-\x08\x0b-\x1f\x7f-\x9f\u0130\u03a3]")
-#: Fixed value: how a byte-level tokenizer cuts text before merging.
-_SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Where a text may be parted if the pieces keep their space, and what makes that not every space of it.
+_BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
+_OTHER_SPACE = re.compile(r"\A |  |[^\S \n]| \n|\n | \Z|\0")
+#: Characters that are letters, digits or signs, and have one lower case and composed form, in every version of Unicode; no
+#: apostrophe, as contractions have rules of their own. The pieces are what either layout makes of them.
+_SIMPLE = re.compile(" ?[!-&(-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+_LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
+#: Parts that an encoder remembers, of at most so many characters each; then it starts anew.
+REMEMBERED, LONGEST = 800_000, 48
 
 
 def default_file(name: str) -> str:
@@ -31,11 +32,12 @@ def default_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def byte_symbols() -> dict[str, int]:
+def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary, by rule."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    found = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return [found[b] for b in range(256)]
 
 
 class Encoder:
@@ -46,69 +48,66 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.known: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
-        pre, norm, model = made.get("pre_tokenizer") or {}, made.get("normalizer"), made["model"]
-        splits = [p for p in pre.get("pretokenizers", []) if p.get("type") == "Split"]
-        self.kind = "whole"
-        if model.get("type") == "BPE" and self._ordered(model):
-            if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-                self.kind, pattern, end = "spaced", _SPACED, b""
-            elif splits and splits[0].get("behavior") == "Removed" and model.get("end_of_word_suffix"):
-                self.kind, pattern, end = "bare", r"[^\x00]+\x00", b"\x00"
-        if self.kind != "whole":
-            import regex
-            import tiktoken
-
-            symbols, suffix = byte_symbols(), model.get("end_of_word_suffix") or "\0"
-            ranks = {}
-            for token, k in model["vocab"].items():
-                stem = token.removesuffix(suffix)
-                if all(c in symbols for c in stem):
-                    ranks[bytes(symbols[c] for c in stem) + end * (stem != token)] = k
-            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            if end:  # the kind of each character of the basic plane
-                every = "".join(map(chr, [*range(0xD800), *[32] * 0x800, *range(0xE000, 0x10000)]))
-                self.kinds = np.zeros(0x10000, np.uint8)
-                for k, pattern in ((_SPACE, r"\s"), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
-                    self.kinds[[m.start() for m in regex.finditer(pattern, every)]] = k
-
-    @staticmethod
-    def _ordered(model: dict) -> bool:
-        """Whether merging by lowest id is merging by first rule."""
-        vocab = model["vocab"]
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        made = [vocab["".join(p)] for p in pairs]
-        return all(a < b for a, b in zip(made, made[1:], strict=False))
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _pieces(self, text: str) -> str | None:
-        """The text in lower case without white space, a zero character after each piece."""
-        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        if codes.max(initial=0) > 0xFFFF:
+        pre, norm = made.get("pre_tokenizer") or {}, made.get("normalizer") or {}
+        steps = pre.get("pretokenizers") or [{}]
+        bare = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and r"[^\s\p{L}\p{N}]+" in (steps[0].get("pattern") or {}).get("Regex", "")
+        spaced = not norm and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        plain = {"NFC", "Lowercase", "Replace"} >= {n.get("type") for n in norm.get("normalizers") or [norm] if n}
+        self.parts = spaced or (bare and plain and not made.get("post_processor"))
+        specials = [t["content"] for t in made.get("added_tokens") or []]
+        self.special, self.hint = re.compile("|".join(map(re.escape, specials)), re.I) if specials else None, os.path.commonprefix(specials)[:2]
+        self.hint = "" if self.hint.lower() != self.hint.upper() else self.hint
+        self.kind = "spaced" if spaced else "bare" if self.parts else "whole"
+        self.spaced = spaced
+        space, numbers = (" ?", "[0-9]+") if spaced else ("", "[0-9]")
+        self.pieces = re.compile(f"{space}[{_LETTERS}]+|{space}{numbers}|{space}[^ 0-9{_LETTERS}]+").findall
+        self.symbols = byte_symbols()
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+
+    def _merged(self, part: str) -> bytes:
+        """Ids of a part of simple characters: its pieces need no rules, so the library's model merges them at once."""
+        part = part if self.spaced else part.lower()
+        pieces = (part,) if part[1:].isalpha() and (part[0] == " " or part[0].isalpha()) else self.pieces(part)  # most are one word
+        tokenize, symbols = self.model.tokenize, self.symbols
+        ids = [t.id for p in pieces for t in tokenize(p.replace(" ", symbols[32]) if p.isascii() else "".join([symbols[b] for b in p.encode()]))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _parts(self, text: str) -> list[bytes] | None:
+        """The parts of a text, None if it goes to the library whole."""
+        if not self.parts or (self.special is not None and self.hint in text and self.special.search(text)):
             return None
-        kinds = self.kinds[codes]
-        ends = np.ones(len(codes), bool)
-        ends[:-1] = (kinds[1:] != kinds[:-1]) | (kinds[:-1] == _NUMBER)
-        keep = kinds != _SPACE
-        codes, ends = codes[keep], ends[keep]
-        put = np.arange(len(codes)) + np.cumsum(ends) - ends
-        out = np.zeros(len(codes) + int(ends.sum()), "<u4")
-        out[put] = codes
-        return out.tobytes().decode("utf-32-le")
+        if not self.spaced:
+            return text.encode().split()  # at ASCII white space, as bytes
+        if _OTHER_SPACE.search(text):
+            return [p.encode() for p in _BEFORE_SPACE.split(text)]
+        return text.replace(" ", "\0 ").encode().split(b"\0")  # single spaces alone, all between other characters
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            piece = None
-            if self.kind != "whole" and _SPECIAL not in text:
-                piece = text
-                if self.kind == "bare":
-                    plain = not _ODD.search(text) and unicodedata.is_normalized("NFC", text)
-                    piece = self._pieces(text) if plain else None
-            out.append(self._whole(text) if piece is None else np.array(self.fast.encode_ordinary(piece), "<u4").tobytes())
+        parted = [self._parts(t) for t in texts]
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = set().union(*filter(None, parted)) - known.keys()
+        odd = []
+        for raw in new:
+            part = raw.decode()
+            if _SIMPLE.fullmatch(part):
+                known[raw] = self._merged(part)
+            else:
+                odd.append(raw)
+        known.update(zip(odd, self._library([p.decode() for p in odd]), strict=True))
+        whole = iter(self._library([t for t, parts in zip(texts, parted, strict=True) if parts is None]))
+        out = [next(whole) if parts is None else b"".join(map(known.__getitem__, parts)) for parts in parted]
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
         return out
 
 

@@ -1,5 +1,6 @@
 """Token ids, sorted string tables and packing: equality with the library, exact round trips, the packing laws."""
 
+import random
 import zlib
 
 import numpy as np
@@ -19,6 +20,28 @@ def test_ids_equal_the_library(name):
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(TEXTS)] == want
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_random_texts_equal_the_library(name):
+    rng, e = random.Random(1), encoder(default_file(name))
+    any_char = lambda: chr(rng.choice([rng.randrange(32, 127), rng.choice([32, 32, 32, 10, 9, 13, 0xA0, 0x3000, 0x301, 0x3A3, 0x130, 39]), rng.randrange(0, 0xD800), rng.randrange(0xE000, 0x110000)]))
+    texts = ["".join(any_char() for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    texts += ["".join(rng.choice("ab é\n.'1 ") for _ in range(rng.randint(0, 12))) for _ in range(5000)]
+    texts += ["a\u0cdcb", "a\u0c5cb", "x <|ENDOFTEXT|> y", "x" * 5000, " ́a b́", "ΑΣ ΑΣΣ Σ"]
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == want
+
+
+def test_lookup_over_runs_of_shards_and_a_hot_identifier(spark, monkeypatch):
+    monkeypatch.setattr(sstable, "MOST_RUNS", 3)
+    rows = [(k, f"text {k}") for k in range(200)] + [(77, "hot " + str(k % 5)) for k in range(300)]
+    manifest = sstable.write_tables(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), default_file("word_bpe_49k.json"), n_shards=12)
+    assert manifest.count() > 6 and sstable.read_tables(manifest).count() == 500
+    spread = [r for r in manifest.collect() if bytes(r.first_key) <= sstable.key_of(77) <= bytes(r.last_key)]
+    assert len(spread) > 2
+    found = sstable.lookup(spark, manifest, spark.createDataFrame([(k,) for k in (0, 77, 199, 500)], "doc_id long"))
+    assert sorted(r.doc_id for r in found.collect()) == [0] + [77] * 301 + [199]
+
+
 def table(spark):
     rows = [(k * 3 - 20, TEXTS[k % len(TEXTS)], k) for k in range(90)] + [(None, "null id", 1), (7, None, 2), (7, "again", 3), (7, "again", 3)]
     return spark.createDataFrame(rows, "doc_id long, text string, key int")
