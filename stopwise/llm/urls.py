@@ -9,15 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, written
 from .components import components
 
-#: Rules are part of each task's plan; more than this are refused.
-MAX_RULES = 1000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -46,15 +43,30 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def matched(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
-    """Name and verdict of the longest rule that fits, nulls without one; among equally long ones the first by name."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    name = verdict = F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: (len(r.name), [-ord(c) for c in r.name])):
-        fits = ((host == rule.host) | F.endswith(host, F.lit("." + rule.host))) & F.startswith(path, F.lit(rule.path))
-        name, verdict = F.when(fits, rule.name).otherwise(name), F.when(fits, rule.verdict).otherwise(verdict)
-    return name, verdict
+def rule_table(spark: SparkSession, rules: list[Rule] | DataFrame) -> DataFrame:
+    """``verdict, host, path, name`` of the rules, each host and path once; ``allow`` comes before ``block``."""
+    rows = rules if isinstance(rules, DataFrame) else spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
+    return rows.groupBy("host", "path").agg(F.min("verdict").alias("verdict")).withColumn("name", F.concat("host", "path"))
+
+
+def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``host, path, rule, own`` of the distinct ``host, path`` of ``urls`` that a rule fits: name and verdict of the longest.
+
+    A url meets rules by equality alone: its host's suffixes with the rules' hosts, then, for each length that a path of
+    such a host's rules has, the beginning of its path with the rules' paths. So the rules may be of any number, on any
+    number of hosts. Among equally long rules the first by name wins.
+    """
+    places = urls.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    ends = places.select("host", "path", F.explode(suffixes).alias("rule_host"))
+    lengths = rules.select(F.col("host").alias("rule_host"), F.length("path").alias("size")).distinct()
+    met = ends.join(lengths, "rule_host").filter(F.col("size") <= F.length("path"))
+    met = met.withColumn("rule_path", F.expr("substring(path, 1, size)"))
+    known = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict", F.col("name").alias("rule"))
+    fits = met.join(known, ["rule_host", "rule_path"])
+    best = fits.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("size"), "rule", "verdict")).alias("b"))
+    return best.select("host", "path", F.col("b.rule").alias("rule"), F.col("b.verdict").alias("own"))
 
 
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -79,7 +91,7 @@ def node(url: Column) -> Column:
 
 def judge(
     pages: DataFrame,
-    rules: list[Rule],
+    rules: list[Rule] | DataFrame,
     redirects: DataFrame | None = None,
     id_col: str = "page_id",
     url_col: str = "url",
@@ -87,7 +99,7 @@ def judge(
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every row of ``pages``.
 
-    ``redirects`` (``u, v`` urls) adds edges to those in the pages. A null url, or one without ``://``, has empty host
+    ``rules`` is a list or a table (``verdict, host, path``) of any size. ``redirects`` (``u, v`` urls) adds edges to those in the pages. A null url, or one without ``://``, has empty host
     and path, fits no rule and is allowed unless an alias says otherwise (null has none). Null html has no edges.
     Repeated rows and ids are judged row by row; other columns are not read. An empty table gives no rows.
     """
@@ -96,13 +108,13 @@ def judge(
     if redirects is not None:
         edges = edges.union(redirects.select(node(F.col("u")).alias("u"), node(F.col("v")).alias("v")))
     joined = components(edges)
-    _, own = matched(host_of(F.col("node")), path_of(F.col("node")), rules)
-    told = joined.withColumn("own", own).groupBy("component").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"))
+    listed = rule_table(pages.sparkSession, rules)
+    placed = joined.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))})
+    told = placed.join(matched(placed, listed), ["host", "path"], "left").groupBy("component").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"))
     told = joined.join(told, "component").select("node", F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow").alias("alias_verdict"))
     told = written(told, "aliases")
-    rule, verdict = matched(F.col("host"), F.col("path"), rules)
     judged = rows.select("page_id", node(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    judged = judged.join(told, "node", "left").withColumns({"rule": rule, "own": verdict})
+    judged = judged.join(told, "node", "left").join(matched(judged, listed), ["host", "path"], "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("own", "alias_verdict", F.lit("allow")).alias("verdict"))
 
 
