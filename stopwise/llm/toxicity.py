@@ -30,8 +30,8 @@ _READ_AS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"
 #: Share of the words of clean documents that may pass for toxic ones; it sets the bar of a word's margin.
 CLEAN_SHARE = 1 / 4000
 #: Bounds of the sample that the machine is fitted on: documents of each label, bytes of text, word
-#: types, landmarks; the bar is set on 500 clean documents of the sample.
-SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_WORDS, LANDMARKS = 2500, 24 << 20, 18_000, 256
+#: types, landmarks, clean documents that the bar is set on. All are parameters of :func:`train`.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_WORDS, LANDMARKS, BAR_DOCS = 2500, 24 << 20, 18_000, 256, 500
 
 
 def _classes() -> np.ndarray:
@@ -177,14 +177,15 @@ def _order(word: str) -> bytes:
     return hashlib.blake2b(word.encode(), digest_size=8).digest()
 
 
-def fit(texts: list[str | None], labels: list[int], words: int = SAMPLE_WORDS, landmarks: int = LANDMARKS) -> Model:
-    """Fits the machine on labelled texts. Without both labels the model scores everything 0."""
+def fit(texts: list[str | None], labels: list[int], words: int = SAMPLE_WORDS, landmarks: int = LANDMARKS, bar_docs: int = BAR_DOCS) -> Model:
+    """Fits the machine on labelled texts. Without both labels, or without a word of two letters, all texts score next to 0."""
     pos, neg = Counter(), Counter()
     for text, label in zip(texts, labels, strict=True):
         (pos if label else neg).update({w for w in (text or "").lower().split() if any(_CLASSES[min(ord(c), 0xFFFF)] not in (0, 255) for c in w)})
     n_pos, n_neg = sum(map(bool, labels)), len(labels) - sum(map(bool, labels))
+    nothing = Model(np.zeros(_KINDS**3, np.float32), -2.0, 0.0, np.array([-9.0, 0.0, 0.0]))
     if not n_pos or not n_neg:
-        return Model(np.zeros(_KINDS**3, np.float32), -2.0, 0.0, np.array([-9.0, 0.0, 0.0]))
+        return nothing
     clean = lambda w: "".join(c for c in w if _CLASSES[min(ord(c), 0xFFFF)] not in (0, 255))
     merged_pos, merged_neg = Counter(), Counter()
     for merged, counted in ((merged_pos, pos), (merged_neg, neg)):
@@ -198,6 +199,8 @@ def fit(texts: list[str | None], labels: list[int], words: int = SAMPLE_WORDS, l
     rest = sorted({*ranked[words // 3 :], *often[words // 3 :]}, key=_order)
     chosen = list(dict.fromkeys([*ranked[: words // 3], *often[: words // 3], *rest[: words // 3]]))
     marks = list(dict.fromkeys([*ranked[: landmarks // 2], *sorted(merged_neg, key=_order)[: landmarks // 2]]))
+    if not marks:
+        return nothing
     letters, word, _ = spans(" ".join(marks))
     codes = np.unique(np.concatenate([c for _, c, _ in _features(letters, word)]))
     at_marks = _matrix(marks, codes).astype(np.float64)
@@ -216,7 +219,7 @@ def fit(texts: list[str | None], labels: list[int], words: int = SAMPLE_WORDS, l
     table = np.zeros(_KINDS**3, np.float32)
     table[codes] = project @ w[1:]
     model = Model(table, float(w[0]), 0.0, np.zeros(3))
-    clean_words = np.concatenate([[-1.0], *[model.margins(t or "") for t, label in zip(texts, labels, strict=True) if not label][:500]])
+    clean_words = np.concatenate([[-1.0], *[model.margins(t or "") for t, label in zip(texts, labels, strict=True) if not label][:bar_docs]])
     model.bar = float(np.clip(np.quantile(clean_words, 1 - CLEAN_SHARE), 0.0, 0.6))
     described = np.array([model.describe(t) for t in texts])
     y = np.where(np.array(labels) > 0, 1.0, -1.0)
@@ -224,8 +227,11 @@ def fit(texts: list[str | None], labels: list[int], words: int = SAMPLE_WORDS, l
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fits on a bounded sample: per label at most ``sample_docs`` documents by hash of the identifier, and 24 MB of text.
+def train(
+    docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS,
+    sample_bytes: int = SAMPLE_BYTES, sample_words: int = SAMPLE_WORDS, landmarks: int = LANDMARKS, bar_docs: int = BAR_DOCS,
+) -> Model:
+    """Fits on a bounded sample: per label at most ``sample_docs`` documents by hash of the identifier, ``sample_bytes`` of text.
 
     ``usable`` limits the labelled rows by their identifier, named ``key``. Rows with a null label or identifier are left out.
     The machine is fitted in one task over the sample, sorted, so a repeated task gives the same one; the driver gets the
@@ -234,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True))
-        made = fit([r[1] for r in rows], [r[2] for r in rows])
+        made = fit([r[1] for r in rows], [r[2] for r in rows], sample_words, landmarks, bar_docs)
         cols = [pa.array([made.table.tobytes()], pa.binary()), *[pa.array([x], pa.float64()) for x in (made.bias, made.bar)], pa.array([made.logistic.tolist()], pa.list_(pa.float64()))]
         yield pa.RecordBatch.from_arrays(cols, names=["table", "bias", "bar", "logistic"])
 
@@ -243,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     marked = marked.filter(usable) if usable is not None else marked
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     sized = marked.join(texts.select("key", F.octet_length("body").alias("size")), "key")
-    picked, budget = [], SAMPLE_BYTES
+    picked, budget = [], sample_bytes
     for label in (1, 0):
         some = sized.filter(F.col("label") == label).orderBy(F.xxhash64("key"), "key").limit(sample_docs).collect()
         for row in some:
