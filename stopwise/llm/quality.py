@@ -1,10 +1,12 @@
 """Quality rules: fixed limits first, then robust multivariate outliers per language and source.
 
-For each group a minimum-covariance-determinant estimate (Rousseeuw and Van Driessen, 1999) is found by concentration
-steps from a deterministic start: the half of the rows nearest to the current centre, in the current covariance, gives
-the next centre and covariance. A document goes when the squared Mahalanobis distance of its transformed statistics
-exceeds ``cutoff``. Everything is DataFrame functions. A step needs no sort of rows: distances are counted in narrow
-bins with the sums of each bin, so a group of any size is pre-aggregated before the shuffle.
+For each group a minimum-covariance-determinant estimate (Rousseeuw and Van Driessen, 1999) is searched by concentration
+steps: the half of the rows nearest to the current centre, in the current covariance, gives the next centre and covariance,
+whose determinant is not larger. All starts (medians, all rows, small draws of rows) take two steps in one pass each, the
+two of least determinant go on until it falls no more, and the least one is kept. Rows near to it then give the final
+estimate. A document goes when the squared Mahalanobis distance of its transformed statistics exceeds ``cutoff``.
+Everything is DataFrame functions. A step needs no sort of rows: distances are counted in narrow bins with the sums of each
+bin, so a group of any size is pre-aggregated before the shuffle.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 #: The statistics and, for each, the standard deviation below which spread is not believed.
-FLOORS = {"x_length": 0.06, "x_symbols": 0.03, "x_lines": 0.08, "x_repeats": 0.08}
-#: Share of a group that an estimate rests on, concentration steps, bins per unit of ln(d^2), and the squared distance
-#: that rejects (a chi-squared value with four degrees is above 50 once in 10^9).
-CORE, STEPS, BINS, CUTOFF = 0.5, 5, 16, 50.0
+FLOORS = {"x_length": 0.06, "x_symbols": 0.03, "x_lines": 0.06, "x_repeats": 0.06}
+#: Share of a group that an estimate rests on, most concentration steps, bins per unit of ln(d^2), rows of a drawn start.
+CORE, STEPS, BINS, DRAWN = 0.5, 20, 16, 12
+#: Squared distances: what 0.975 of a four-variate normal keep within, for the final estimate, and what one in 10^8 exceeds,
+#: which rejects: the chance of any false rejection among a million documents of such a group is one in a hundred.
+NEAR_SHARE, NEAR, CUTOFF = 0.975, 11.14, 43.2
 #: Groups with fewer rows are pooled per language.
 MIN_GROUP = 30
 
@@ -124,12 +128,22 @@ def _distance(names: list[str]) -> Column:
     return total
 
 
+_GROUP = ["g_lang", "g_source"]
+
+
+def _sums(names: list[str]) -> list[Column]:
+    """``n, s_i, s_ij``: what a centre and a covariance are made of."""
+    k = range(len(names))
+    return [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s_{i}{j}") for i in k for j in k if j <= i]]
+
+
 def _with_factor(moments: DataFrame, names: list[str], scale: float) -> DataFrame:
-    """Centre and Cholesky factor from ``n, s_i, s_ij``, with the floors added to the diagonal."""
+    """Centre, Cholesky factor and half the logarithm of the determinant from ``n, s_i, s_ij``; no variance is below its floor."""
     k = range(len(names))
+    keys = [c for c in (*_GROUP, "start") if c in moments.columns]
     out = moments.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in k})
-    cov = {f"c_{i}{j}": scale * (F.col(f"s_{i}{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) + (FLOORS[names[i]] ** 2 if i == j else 0.0) for i in k for j in k if j <= i}
-    out = out.withColumns(cov)
+    cov = {(i, j): scale * (F.col(f"s_{i}{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) for i in k for j in k if j <= i}
+    out = out.withColumns({f"c_{i}{j}": F.greatest(c, F.lit(FLOORS[names[i]] ** 2)) if i == j else c for (i, j), c in cov.items()})
     for j in k:
         square = F.col(f"c_{j}{j}")
         for t in range(j):
@@ -142,29 +156,70 @@ def _with_factor(moments: DataFrame, names: list[str], scale: float) -> DataFram
                 rest = rest - F.col(f"l_{i}{t}") * F.col(f"l_{j}{t}")
             below[f"l_{i}{j}"] = rest / F.col(f"l_{j}{j}")
         out = out.withColumns(below) if below else out
-    return out.select("g_lang", "g_source", *[f"m_{i}" for i in k], *[f"l_{i}{j}" for i in k for j in k if j <= i])
+    det = F.log("l_00")
+    for i in k[1:]:
+        det = det + F.log(f"l_{i}{i}")
+    return out.select(*keys, *[f"m_{i}" for i in k], *[f"l_{i}{j}" for i in k for j in k if j <= i], det.alias("det"))
 
 
-def estimates(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFrame:
-    """A centre and a factor for each ``g_lang, g_source`` of ``rows``; a written table with one short row per group."""
-    names, group = list(FLOORS), ["g_lang", "g_source"]
+def _starts(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The starts of every group: medians with the floors doubled, all rows, two draws of some rows by hash."""
     k = range(len(names))
-    start = rows.groupBy(*group).agg(*[F.percentile_approx(c, 0.5, 2000).alias(f"m_{i}") for i, c in enumerate(names)])
+    whole = written(rows.groupBy(*_GROUP).agg(*_sums(names), *[F.percentile_approx(c, 0.5, 2000).alias(f"median_{i}") for i, c in enumerate(names)]), "moments")
     nominal = {f"l_{i}{j}": F.lit(2 * FLOORS[names[i]] if i == j else 0.0) for i in k for j in k if j <= i}
-    now = written(start.withColumns(nominal), "centres")
-    for _ in range(steps):
-        d2 = rows.join(now, group).withColumn("d2", _distance(names))
-        binned = d2.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-9) * BINS).cast("int"))
-        sums = [F.sum(c).alias(f"s_{i}") for i, c in enumerate(names)]
-        sums += [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s_{i}{j}") for i in k for j in k if j <= i]
-        bins = binned.groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
-        whole = Window.partitionBy(*group)
+    medians = whole.select(*_GROUP, F.lit(0).alias("start"), *[F.col(f"median_{i}").alias(f"m_{i}") for i in k]).withColumns({**nominal, "det": F.lit(0.0)})
+    draw = F.pmod(F.xxhash64(*names), F.greatest(F.lit(1), F.floor(F.col("n") / DRAWN)))
+    drawn = rows.join(whole.select(*_GROUP, "n"), _GROUP).select(*_GROUP, *names, draw.alias("draw")).filter("draw < 2")
+    few = drawn.groupBy(*_GROUP, (F.col("draw") + 2).cast("int").alias("start")).agg(*_sums(names))
+    every = whole.select(*_GROUP, F.lit(1).alias("start"), *[c for c in whole.columns if c == "n" or c.startswith("s_")])
+    return medians.unionByName(_with_factor(every.unionByName(few), names, 1.0))
+
+
+def estimates(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFrame:
+    """A centre and a factor for each ``g_lang, g_source`` of ``rows``; a written table with one short row per group."""
+    names = list(FLOORS)
+    by = [*_GROUP, "start"]
+    sums = [c for c in _sums(names)]
+    now = written(_starts(rows, names), "centres")
+    for at in range(steps):
+        binned = rows.join(now, _GROUP).withColumn("bin", F.floor(F.log(_distance(names) + 1e-9) * BINS).cast("int"))
+        bins = binned.groupBy(*by, "bin").agg(*sums)
+        whole = Window.partitionBy(*by)
         bins = bins.withColumns({"before": F.sum("n").over(whole.orderBy("bin")) - F.col("n"), "all": F.sum("n").over(whole)})
         kept = bins.filter(F.col("before") < F.col("all") * core)
-        moments = kept.groupBy(*group).agg(*[F.sum(c).alias(c) for c in ["n", *[f"s_{i}" for i in k], *[f"s_{i}{j}" for i in k for j in k if j <= i]]])
-        last, now = now, written(_with_factor(moments, names, core_factor(core)), "centres")
+        moments = kept.groupBy(*by).agg(*[F.sum(c).alias(c) for c in bins.columns if c == "n" or c.startswith("s_")])
+        new = _with_factor(moments, names, core_factor(core)).join(now.select(*by, F.col("det").alias("last_det")), by)
+        if at == 1:
+            best = Window.partitionBy(*_GROUP).orderBy("det", "start")
+            new = new.withColumn("place", F.row_number().over(best)).filter("place <= 2").drop("place")
+        last, now = now, written(new, "centres")
         drop_written(last)
-    return now
+        # bins make a step coarse, so that the determinant may also rise a little in the end
+        if at > 1 and now.filter("det < last_det - 1e-3").isEmpty():
+            break
+    least = now.groupBy(*_GROUP).agg(F.min(F.struct("det", "start", *[c for c in now.columns if c[:2] in ("m_", "l_")])).alias("b")).select(*_GROUP, "b.*").drop("start", "det")
+    least = written(least, "centres")
+    drop_written(now)
+    near = rows.join(least, _GROUP).filter(_distance(names) <= NEAR).groupBy(*_GROUP).agg(*sums)
+    return written(_with_factor(near, names, core_factor(NEAR_SHARE)).drop("det"), "centres")
+
+
+def _keyed(docs: DataFrame, carried: list[Column], text_col: str, lang_col: str, source_col: str, min_group: int) -> DataFrame:
+    """``carried`` with the statistics and the group of each row, written to the shared folder."""
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(g) for c, g in ((lang_col, "lang_key"), (source_col, "source_key"))]
+    counted = statistics(docs.select(*carried, F.col(text_col).alias("q_body"), *keys), "q_body").drop("q_body")
+    counted = written(counted.select("*", *transformed()), "statistics")
+    sizes = counted.filter(~F.col("q_base_failed")).groupBy("lang_key", "source_key").agg(F.count(F.lit(1)).alias("rows"))
+    keyed = counted.join(written(sizes, "sizes"), ["lang_key", "source_key"], "left")
+    small = F.coalesce(F.col("rows"), F.lit(0)) < min_group
+    return keyed.select("*", F.col("lang_key").alias("g_lang"), F.when(small, "\x01").otherwise(F.col("source_key")).alias("g_source"))
+
+
+def _scored(keyed: DataFrame, cutoff: float) -> DataFrame:
+    """Adds ``d2`` and ``q_kept``; the estimates are short rows, which Spark sends to all tasks unless they are many."""
+    found = estimates(keyed.filter(~F.col("q_base_failed")).select("g_lang", "g_source", *FLOORS))
+    scored = keyed.join(found, _GROUP, "left").withColumn("d2", F.when(~F.col("q_base_failed"), _distance(list(FLOORS))))
+    return scored.withColumn("q_kept", ~F.col("q_base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff))
 
 
 def judge(
@@ -182,20 +237,12 @@ def judge(
     ``min_group`` rows are pooled per language. Null and empty texts fail the base rules. Repeated rows and ids are
     judged row by row; other columns of ``docs`` are not read. An empty table gives no rows.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("q_body"), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(g) for c, g in ((lang_col, "lang_key"), (source_col, "source_key"))])
-    counted = statistics(base, "q_body").drop("q_body")
-    counted = written(counted.select("*", *transformed()), "statistics")
-    sizes = counted.filter(~F.col("q_base_failed")).groupBy("lang_key", "source_key").agg(F.count(F.lit(1)).alias("rows"))
-    small = F.coalesce(F.col("rows"), F.lit(0)) < min_group
-    keyed = counted.join(sizes, ["lang_key", "source_key"], "left")
-    keyed = keyed.select("*", F.col("lang_key").alias("g_lang"), F.when(small, "\x01").otherwise(F.col("source_key")).alias("g_source"))
-    found = estimates(keyed.filter(~F.col("q_base_failed")).select("g_lang", "g_source", *FLOORS))
-    scored = keyed.join(found, ["g_lang", "g_source"], "left").withColumn("d2", F.when(~F.col("q_base_failed"), _distance(list(FLOORS))))
+    scored = _scored(_keyed(docs, [F.col(id_col).alias("doc_id")], text_col, lang_col, source_col, min_group), cutoff)
     return scored.select(
         "doc_id",
         *[F.col(f"q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")],
         "d2",
-        (~F.col("q_base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)).alias("kept"),
+        F.col("q_kept").alias("kept"),
     )
 
 
@@ -209,14 +256,7 @@ def keep_good(
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, each by its own verdict, whatever their identifiers.
 
-    A verdict rests on text, language and source alone, so rows are joined by a SHA-256 of the text and by those two.
+    Rows are written once, whole, beside their statistics, and judged in place: no text is shuffled.
     """
-    content = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    key = F.struct(content.alias("k_text"), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(k) for c, k in ((lang_col, "k_lang"), (source_col, "k_source"))])
-    k = "row_verdict"
-    while k.lower() in {c.lower() for c in docs.columns}:
-        k += "_"
-    keyed = docs.withColumn(k, key)
-    good = judge(keyed, cutoff, k, text_col, lang_col, source_col, min_group).filter("kept").select("doc_id.*").distinct()
-    same = [keyed[k][c] == good[c] for c in good.columns]
-    return keyed.join(good, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = _scored(_keyed(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row")], text_col, lang_col, source_col, min_group), cutoff)
+    return scored.filter("q_kept").select("q_row.*")
