@@ -1,8 +1,9 @@
 """Best-fit packing of documents into token sequences by the sum-of-squares rule.
 
 Each piece goes where the squared counts of open bins per residual gap become smallest (Csirik et al., 2006). Packing
-is per input partition: the state is one count per gap and the open bins, so memory is bounded by the sequence length
-and the window, and nothing is shuffled. Pieces of a window are placed longest first.
+is per input partition and nothing is shuffled, so the number of sequences depends a little on how the input is cut. The
+state is one count per gap and a number for each open bin (eight bytes), of which a partition has as many as it has
+sequences that are not full. Pieces of a window are placed longest first.
 """
 
 from __future__ import annotations
@@ -68,7 +69,8 @@ def pack_documents(
 ) -> DataFrame:
     """Packs every row's whole text; one row per piece.
 
-    Columns: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` and, ``with_ids``, the piece's ``ids``.
+    Columns: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` and, ``with_ids``, the piece's ``ids`` and
+    ``row_id``, which tells rows with one identifier apart.
     Only ``id_col`` and ``text_col`` are read, so other columns cannot clash. A null text counts as empty and gives one
     piece that holds the end id; a null or repeated id is carried as it is, each row being a document of its own. Ties
     between gaps go to the smallest gap. An empty table gives no rows.
@@ -78,6 +80,7 @@ def pack_documents(
         own, encode = TaskContext.get().partitionId() << 40, encoder(tokenizer_path).encode
         bins, end = SumOfSquares(capacity), np.array([end_id], "<u4").tobytes()
         rows: list[tuple] = []
+        row_id = own
 
         def placed() -> pa.RecordBatch:
             at: list[tuple[int, int]] = [(0, 0)] * len(rows)
@@ -87,7 +90,7 @@ def pack_documents(
             found = dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), cols, strict=False))
             found |= {"sequence_id": [own + b for b, _ in at], "offset": [o for _, o in at]}
             if with_ids:
-                found["ids"] = cols[5]
+                found |= {"ids": cols[5], "row_id": cols[6]}
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) for f in arrow], schema=arrow)
 
@@ -97,10 +100,11 @@ def pack_documents(
                 ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 for key, raw in zip(ids, encode([t or "" for t in texts]), strict=True):
                     raw += end
+                    row_id += 1
                     for k, (start, length) in enumerate(pieces(len(raw) // 4, capacity)):
                         own_ids = raw[4 * start : 4 * (start + length)]
                         row = (key, k, start, length, zlib.crc32(own_ids))
-                        rows.append((*row, np.frombuffer(own_ids, "<u4").tolist()) if with_ids else row)
+                        rows.append((*row, np.frombuffer(own_ids, "<i4"), row_id) if with_ids else row)
                 if len(rows) >= WINDOW:
                     yield placed()
         if rows:
@@ -109,7 +113,7 @@ def pack_documents(
     kinds = [("doc_id", docs.schema[id_col].dataType, pa.int64()), ("piece", T.IntegerType(), pa.int32())]
     kinds += [(c, T.LongType(), pa.int64()) for c in ("start", "length", "ids_crc32", "sequence_id", "offset")]
     if with_ids:
-        kinds.append(("ids", T.ArrayType(T.LongType()), pa.list_(pa.int64())))
+        kinds += [("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), ("row_id", T.LongType(), pa.int64())]
     arrow = pa.schema([pa.field(name, kind) for name, _, kind in kinds])
     schema = T.StructType([T.StructField(name, kind) for name, kind, _ in kinds])
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(run, schema)
