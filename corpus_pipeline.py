@@ -37,8 +37,8 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens."""
-    return packing.pack_documents(docs, default_file("byte_bpe_50k.json"))
+    """Sequences of at most 1024 tokens, with the ids of each piece."""
+    return packing.pack_documents(docs, default_file("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [
