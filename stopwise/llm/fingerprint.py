@@ -4,7 +4,8 @@ A document is its words with their counts. For each sample, every weighted term
 (2010), whose seeds come from a hash of term and sample alone; the smallest value is the document's sample. Two
 documents share a sample with the chance of their generalised Jaccard similarity, so the share of equal samples
 estimates it. The value itself identifies the winning (term, level), hence a sample is one ``min`` of a double: all
-samples are one hash aggregate of fixed width with partial sums, in generated code.
+samples are one hash aggregate of fixed width with partial sums, in generated code. Three logarithms a sample and term are
+the cost, so terms that a product of uniforms shows to be no winner are passed by first.
 """
 
 from __future__ import annotations
@@ -12,33 +13,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, written
+from .common import words, written
 
 #: Samples of a fingerprint; the likeness has a standard error of at most 1 / (2 sqrt(SAMPLES)).
 SAMPLES = 64
 #: An odd number whose odd multiples tell the samples' hashes of one term apart.
 _STEP = 0x1E3779B97F4A7C15
+#: A sample's smallest value is exponential with the document's number of words as its rate, so it exceeds BOUND / words
+#: with a chance of e^-30 (10^-13). Terms whose value is shown to exceed that by a cheap bound cannot win a sample.
+BOUND = 30.0
 
 
-def _value(term: Column, log_weight: Column, k: int) -> Column:
-    """The logarithm of a term's sampling value: ln c - ln y - r with r, c ~ Gamma(2, 1) and b uniform."""
-    a = F.xxhash64(term.bitwiseXOR(F.lit(_STEP * (2 * k + 1) % (1 << 62))))
-    b = F.xxhash64(a)
-    high = lambda h: (F.shiftrightunsigned(h, 32).cast("double") + 0.5) * (2.0**-32)
-    low = lambda h: (h.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) * (2.0**-32)
-    r = -F.ln(high(a) * low(a))
-    log_c = F.ln(-F.ln(high(b) * low(b)))
-    beta = (F.shiftrightunsigned(F.xxhash64(b), 11).cast("double") + 0.5) * (2.0**-53)
-    level = (log_weight / r + beta).cast("long").cast("double")  # never negative, so the cast is the floor
+def _double(bits: Column) -> Column:
+    return bits.cast("double")
+
+
+def _quarters(h: Column) -> list[Column]:
+    """The four 16-bit parts of a hash."""
+    return [F.shiftrightunsigned(h, 48), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(h, 16).bitwiseAND(F.lit(0xFFFF)), h.bitwiseAND(F.lit(0xFFFF))]
+
+
+def _value(h: Column, log_weight: Column) -> Column:
+    """The logarithm of a term's sampling value: ln c - ln y - r with r, c ~ Gamma(2, 1) and b uniform.
+
+    Each of four uniforms has 16 bits of ``h``, which is the hash of term and sample, and 16 bits of a hash of that.
+    """
+    more = F.xxhash64(h)
+    u = [(_double(x) + _double(y) * 2.0**-16 + 2.0**-17) * 2.0**-16 for x, y in zip(_quarters(h), _quarters(more), strict=True)]
+    r = -F.ln(u[0] * u[1])
+    log_c = F.ln(-F.ln(u[2] * u[3]))
+    beta = (_double(F.shiftrightunsigned(F.xxhash64(more), 11)) + 0.5) * (2.0**-53)
+    level = _double((log_weight / r + beta).cast("long"))  # never negative, so the cast is the floor
     return log_c - r * (level - beta) - r
 
 
+def _may_win(h: Column, cut: Column) -> Column:
+    """Whether a term's value can be at most ``cut`` / 2^64.
+
+    With level <= ln(w) / r + b the value is at least c e^-r / w, where e^-r = u0 u1 and c >= 1 - u2 u3. The first 16 bits
+    of each uniform bound it from below, so no logarithm is taken. ``cut`` holds the weight.
+    """
+    t = _quarters(h)
+    return _double(t[0]) * _double(t[1]) * (2.0**32 - (_double(t[2]) + 1.0) * (_double(t[3]) + 1.0)) <= cut
+
+
 def samples(texts: DataFrame, keys: list[str], text_col: str, n: int = SAMPLES) -> DataFrame:
     """``keys`` and ``samples`` (array of ``n`` integers) for every row with a word in its text; ``keys`` must be unique."""
-    terms = texts.select(*keys, F.explode(F.split(text_col, WORD_BREAK)).alias("cws_word")).filter("cws_word != ''")
-    terms = terms.select(*keys, F.xxhash64("cws_word").alias("cws_term"))
-    weighted = terms.groupBy(*keys, "cws_term").agg(F.ln(F.count(F.lit(1))).alias("cws_weight"))
-    least = weighted.groupBy(*keys).agg(*[F.min(_value(F.col("cws_term"), F.col("cws_weight"), k)).alias(f"cws_{k}") for k in range(n)])
+    # words are counted within their row: hashes in order, the places at which a new one begins, and the next such place
+    counted = texts.select(*keys, F.sort_array(F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w))).alias("cws_terms"))
+    begins = F.transform("cws_terms", lambda x, i: F.when((i == 0) | (F.get("cws_terms", i - 1) != x), i))
+    counted = counted.select("*", F.size("cws_terms").alias("cws_n"), F.filter(begins, lambda i: i.isNotNull()).alias("cws_begin"))
+    ends = F.concat(F.slice("cws_begin", F.lit(2), F.greatest(F.size("cws_begin") - 1, F.lit(0))), F.array("cws_n"))
+    counted = counted.filter("cws_n > 0").withColumn("cws_end", ends)
+    # the outer form, for which Spark adds no filters that make the arrays again; they are not empty
+    terms = counted.select(*keys, "cws_terms", "cws_n", F.explode_outer(F.arrays_zip("cws_begin", "cws_end")).alias("cws_at"))
+    count = F.col("cws_at.cws_end") - F.col("cws_at.cws_begin")
+    weighted = terms.select(*keys, "cws_n", F.get("cws_terms", F.col("cws_at.cws_begin")).alias("cws_term"), count.alias("cws_count"))
+    hashes = [F.xxhash64(F.col("cws_term").bitwiseXOR(F.lit(_STEP * (2 * k + 1) % (1 << 62)))).alias(f"cws_h{k}") for k in range(n)]
+    drawn = weighted.select(*keys, F.ln("cws_count").alias("cws_weight"), (F.col("cws_count") * (BOUND * 2.0**64) / F.col("cws_n")).alias("cws_cut"), *hashes)
+    least = drawn.groupBy(*keys).agg(*[F.min(F.when(_may_win(F.col(f"cws_h{k}"), F.col("cws_cut")), _value(F.col(f"cws_h{k}"), F.col("cws_weight")))).alias(f"cws_{k}") for k in range(n)])
     return least.select(*keys, F.array(*[F.hash(f"cws_{k}") for k in range(n)]).alias("samples"))
 
 
