@@ -3,19 +3,24 @@
 1. Every whole text becomes its set of word shingles (64-bit hashes) and 360 minima in 60 bands of six; documents with
    equal sets are one class, represented by the least identifier. At a similarity of 0.8 a pair shares no band with a
    chance of (1 - 0.8^6)^60, about 10^-8.
-2. Small buckets of a band give all their pairs. Pairs whose minima agree too rarely are out, the others are confirmed on
-   full sets.
+2. A bucket with few members outside its largest component gives the pairs of these with all (at first every document is a
+   component, so these are all pairs of small buckets). Pairs whose minima agree too rarely are out (a pair at 0.8 with a chance of
+   3 in 10^7, five standard errors), the others are confirmed on full sets.
 3. A large bucket gives no pairs but those of each member with a pivot, the member that shares most buckets, or one that
-   all members have from other buckets. The full
-   overlap o = |x & p| and the rest x - p are kept. Of two members a, b, |a & b| <= min(o_a, o_b) + |rest_a & rest_b|. So
-   a pair that is not joined yet can only be a link if min(o_a, o_b) reaches what a link needs, found by an equality
-   join on set sizes, or if the rests share a shingle, found by an equality join on those. Such pairs are confirmed too.
-   No link of a large group is lost, and its pairs are never all made.
+   all members have from other buckets. The full overlap o = |x & p| and the rest x - p are kept. Of two members a, b,
+   |a & b| <= min(o_a, o_b) + |rest_a & rest_b|. So a pair that is not joined yet can only be a link if min(o_a, o_b)
+   reaches what a link needs, or if the rests share a shingle among their rarest ones: with the sizes known, all rests
+   being in one order of rarity, the first shared shingle lies in a prefix whose length the sizes bound, shorter still on
+   the smaller side. Each such shingle, and each class of sizes, is a new and smaller bucket, so step 2 follows again.
+   Buckets that one component has to itself are dropped at once. After LEVELS rounds, the members outside the largest
+   component of a bucket are compared with all of it, however many they are. No link is lost to the size of a group, and what its members share with its pivot makes
+   no pairs.
 4. Components of the links, by alternating large-star and small-star.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -31,10 +36,14 @@ from .components import components
 BANDS, ROWS = 60, 6
 #: Pairs whose minima agree this far below the threshold are not confirmed: five standard errors of 360 minima at 0.8.
 SLACK = 0.105
-#: Members up to which a bucket gives all its pairs; beyond, it is compared by way of a pivot.
-SMALL = 20
-#: Identifiers of documents to confirm up to which they are sent to all tasks (some 64 MB); beyond, texts are shuffled.
-SENT_IDS = 2_000_000
+#: Members outside a bucket's largest component up to which they meet all members; beyond, it is compared by way of a pivot: of the
+#: buckets of bands, and of those of later rounds, in which most members are of one component.
+SMALL, LATER_SMALL = 20, 64
+#: Rounds of pivots; size classes of the members of a pivot, as a ratio; members of a pivot on which rarity is counted.
+LEVELS, SIZE_STEP, RARITY_SAMPLE = 4, 1.05, 64
+#: Bits of the filter of documents to confirm: sixteen for each, at most so many (8 MB). Beyond some ten million documents the
+#: filter lets more of the others pass, up to all of them; their sets are made and dropped by the exact join that follows.
+FILTER_BITS = 1 << 26
 
 
 @lru_cache
@@ -134,22 +143,37 @@ def _likely(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "m_a", "m_b").mapInArrow(run, "a long, b long, guess double")
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """``key, found``: the full sets, made again, of the documents of these pairs alone.
+def _sets(docs: DataFrame, pairs: DataFrame, width: int, most_bits: int = FILTER_BITS) -> DataFrame:
+    """``key, found``: the full sets, made again, of the documents of these pairs, and of few others.
 
-    Their identifiers are counted: up to ``SENT_IDS`` they are broadcast and no text is shuffled; beyond, Spark joins by key.
+    A Bloom filter of the identifiers, of bounded size, is sent to all tasks, so texts are not shuffled. Whoever joins the
+    result by identifier is rid of the others.
     """
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "asked")
+    bits = min(most_bits, max(1 << 12, 1 << (16 * asked.count()).bit_length()))
+    one, two = F.xxhash64("key"), F.xxhash64(F.xxhash64("key"))
+    places = [x.bitwiseAND(F.lit(bits - 1)) for h in (one, two) for x in (h, F.shiftrightunsigned(h, 32))]
+    held = asked.select(F.explode(F.array(*places)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    found = held.toArrow()  # at most most_bits / 64 rows
+    filled = np.zeros(bits // 64, np.uint64)
+    filled[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    drop_written(asked)
+    sent = docs.sparkSession.sparkContext.broadcast(filled)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            passed = np.ones(batch.num_rows, bool)
+            for k in range(2, 6):
+                at = batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64)
+                passed &= (sent.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            some = batch.filter(pa.array(passed))
+            for lo in range(0, some.num_rows, 500):
+                part = some.slice(lo, 500)
                 found = [shingles(t, width).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["key", "found"])
 
-    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "asked")
-    asked = F.broadcast(asked) if asked.count() <= SENT_IDS else asked
-    return docs.join(asked, "key", "left_semi").select("key", "body").mapInArrow(sets, "key long, found binary")
+    known = docs.filter("key is not null").select("key", "body", *[p.alias(f"at_{k}") for k, p in enumerate(places)])
+    return known.mapInArrow(sets, "key long, found binary")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, rest: bool) -> DataFrame:
@@ -180,42 +204,129 @@ def _linked(percent: int):
     return F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent
 
 
-def _crossing(spokes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of spokes of one pivot that may be links and are in different components."""
+def _around(rows: DataFrame, table: DataFrame, salts: int = 16) -> DataFrame:
+    """Adds to ``rows`` what ``table`` has on their pivot ``a``; a pivot with most of the rows is dealt to several tasks."""
+    table = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")).join(table, ["a", "salt"], "left").drop("salt")
+
+
+def _next_buckets(spokes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """``bucket, doc_id, n, lead, own, kind``: every pair of spokes of one pivot that may be a link between two components
+    shares a bucket, in which one that leads meets one that is there on its own; with ``n`` given, the smaller one leads."""
     t = percent / 100
+    union = F.col("n_a") + F.col("n_b") - F.col("both")
+    kind = F.when(_linked(percent), "L").when(F.col("both") >= union * (2 * t - 1), "M").otherwise("F").alias("kind")
     own = spokes.join(joined.select(F.col("node").alias("b"), "component"), "b", "left")
-    own = own.select("a", "b", F.coalesce("component", "b").alias("part"), F.col("n_b").alias("n"), F.col("both").alias("o"), "rest", F.when(_linked(percent), "L").when(F.col("both") >= (F.col("n_a") + F.col("n_b") - F.col("both")) * (2 * t - 1), "M").otherwise("F").alias("kind"))
-    own = written(own, "spokes")
-    pair = (F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b"))
-    # by size: the other's size is between t n and what the own overlap allows; most members allow none
-    top = F.floor(F.col("o") * (1 + t) / t + 1e-9) - F.col("n")
-    low = F.ceil(F.col("n") * t - 1e-9)
-    open_ = own.filter("kind != 'L'").withColumn("low", low).withColumn("top", F.least(top, F.floor(F.col("n") / t + 1e-9))).filter("low <= top")
-    open_ = open_.select("a", F.col("b").alias("b1"), F.col("part").alias("p1"), F.col("o").alias("o1"), F.col("n").alias("n1"), F.explode(F.sequence("low", "top")).alias("n"))
-    sized = own.select("a", F.col("b").alias("b2"), F.col("part").alias("p2"), F.col("o").alias("o2"), "n")
-    enough = F.least("o1", "o2") * (1 + t) + 1e-9 >= (F.col("n1") + F.col("n")) * t
-    by_size = open_.join(sized, ["a", "n"]).filter((F.col("p1") != F.col("p2")) & enough).select(*pair)
-    # by rest: a shared shingle outside the pivot; shingles within one component are no use
+    own = written(own.select("a", "b", F.coalesce("component", "b").alias("part"), F.col("n_b").alias("n"), F.col("both").alias("o"), "rest", kind), "spokes")
     near, far = F.col("kind") == "L", F.col("kind") == "F"
+    low, size_class = F.ceil(F.col("n") * t - 1e-9), lambda n: F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
+    top = F.least(F.floor(F.col("o") * (1 + t) / t + 1e-9) - F.col("n"), F.floor(F.col("n") / t + 1e-9))
     around = own.groupBy("a").agg(
+        F.count(F.lit(1)).alias("width"),
+        F.min("n").alias("least"),
+        F.max(~near & (low <= top)).alias("open"),
         F.max(F.when(near, F.col("part"))).alias("home"),
         *[f(F.when(c, F.col("part"))).alias(k) for c, of in ((~near, "n"), (~near & ~far, "m")) for k, f in ((f"lo_{of}", F.min), (f"hi_{of}", F.max))],
     )
-    # members without a partner of a fit kind in another component are left out before their shingles are listed
+    around = written(around, "around")
+    # members without a partner of a fit kind in another component are out; by the triangle inequality a member far from the
+    # pivot has no link with one that the pivot has
     other = lambda of: (F.col(f"lo_{of}") != F.col("part")) | (F.col(f"hi_{of}") != F.col("part"))
     partnered = F.when(near, other("m")).when(far, other("n")).otherwise(F.coalesce(F.col("home") != F.col("part"), F.lit(False)) | other("n"))
-    # a link needs |a & b| >= t n of either, min(o_a, o_b) at most of it from the pivot: the rests share that many more, so
-    # already their first |rest| - more + 1 shingles, in the one order that all rests have, share one
-    more = F.greatest(F.lit(1), F.ceil(F.col("n") * t - 1e-9) - F.col("o")).cast("int")
-    first = F.slice("rest", 1, F.greatest(F.lit(0), F.size("rest") - more + 1))
-    spread = own.join(around, "a").filter(partnered).select("a", "b", "part", "kind", F.explode(first).alias("g"))
-    useful = spread.groupBy("a", "g").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.max(F.col("kind") != "L").alias("k")).filter("x != y and k").select("a", "g")
-    spread = spread.join(useful, ["a", "g"], "left_semi")
-    left, right = (spread.select("a", "g", F.col("b").alias(f"b{k}"), F.col("part").alias(f"p{k}"), F.col("kind").alias(f"k{k}")) for k in (1, 2))
-    # by the triangle inequality a member far from the pivot has no link with one that the pivot has
-    fair = "p1 < p2 and not (k1 = 'L' and k2 in ('L', 'F')) and not (k2 = 'L' and k1 = 'F')"
-    by_rest = left.join(right, ["a", "g"]).filter(fair).select(*pair)
-    return by_size.union(by_rest).distinct()
+    placed = _around(own, around).filter(partnered)
+    # by size: the partner's size lies between t n and what the own overlap with the pivot allows; most members allow none.
+    # Of a pair one at least is no link of the pivot; it leads in the classes of its partner's size,
+    # where the partner is on its own
+    fit = placed.filter(F.col("open") & (low <= top))
+    mine = F.when(~near, F.transform(F.sequence(size_class(F.greatest(low, F.lit(1))), size_class(top)), lambda g: F.struct(F.lit(True).alias("lead"), g.alias("g"))))
+    classes = F.concat(F.coalesce(mine, F.array().cast("array<struct<lead:boolean,g:int>>")), F.array(F.struct(F.lit(False).alias("lead"), size_class(F.col("n")).alias("g"))))
+    sized = fit.select("a", "b", "kind", F.explode(classes).alias("s"))
+    sized = sized.select(F.xxhash64("a", F.lit("size"), "s.g").alias("bucket"), F.col("b").alias("doc_id"), F.lit(0).cast("long").alias("n"), "s.lead", (~F.col("s.lead")).alias("own"), "kind")
+    # by rest: shingles that a sample of the members shows to be common come last, in one order for all members of a pivot
+    drawn = _around(own, around.select("a", "width")).filter(F.pmod(F.xxhash64("b"), F.col("width")) < RARITY_SAMPLE)
+    common = drawn.select("a", F.explode("rest").alias("g")).groupBy("a", "g").agg(F.count(F.lit(1)).alias("times")).filter("times > 2")
+    common = common.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("times", "g"))).alias("c")).select("a", F.col("c.g").alias("common"))
+    ordered = _around(placed, common)
+    rest = F.when(F.col("common").isNull(), F.col("rest")).otherwise(F.concat(F.array_except("rest", "common"), F.array_intersect("common", "rest")))
+    need = lambda least: F.greatest(F.lit(1), F.ceil((F.col("n") + least) * (t / (1 + t)) - 1e-9) - F.col("o"))
+    reach = lambda least: F.greatest(F.lit(0), F.size("rest") - need(least) + 1).cast("int")
+    first = F.slice(rest, F.lit(1), reach(F.greatest(low, F.col("least"))))
+    shared = ordered.select("a", "b", "kind", "n", reach(F.col("n")).alias("short"), F.posexplode(first).alias("at", "g"))
+    shared = shared.select(F.xxhash64("a", "g").alias("bucket"), F.col("b").alias("doc_id"), "n", (F.col("at") < F.col("short")).alias("lead"), F.lit(True).alias("own"), "kind")
+    return sized.unionByName(shared)
+
+
+def _pivots(large: DataFrame, lend: bool) -> DataFrame:
+    """``a, b``: each member of the large buckets with its bucket's pivot; with ``lend``, it may be that of other buckets."""
+    central = large.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    ranked = large.select("bucket", "doc_id").join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct("times", F.xxhash64("doc_id").alias("draw"), "doc_id")).alias("m"))
+    own = written(large.join(ranked.select("bucket", F.col("m.doc_id").alias("pivot")), "bucket").select("bucket", "doc_id", "pivot"), "pivots")
+    if not lend:
+        spokes = written(own.filter("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "spokes")
+        drop_written(own)
+        return spokes
+    # a bucket whose members are all with one larger pivot is left to that one, so that few members have several pivots
+    held = own.select("doc_id", "pivot").distinct()
+    widest = held.join(held.groupBy("pivot").agg(F.count(F.lit(1)).alias("width")), "pivot").groupBy("doc_id").agg(F.max(F.struct("width", "pivot")).alias("w"))
+    agreed = own.join(widest.select("doc_id", F.col("w.pivot").alias("wide")), "doc_id").groupBy("bucket").agg(F.min("wide").alias("lo"), F.max("wide").alias("hi"))
+    spokes = own.join(agreed, "bucket").withColumn("pivot", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("pivot")))
+    spokes = spokes.filter("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    spokes = written(spokes, "spokes")
+    drop_written(own)
+    return spokes
+
+
+def _linked_parts(docs: DataFrame, heads: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
+    """``node, component`` of the documents that have a link; ``placed`` has ``bucket, doc_id`` of the bands."""
+    members = placed.select("bucket", "doc_id", F.lit(0).cast("long").alias("n"), F.lit(True).alias("lead"), F.lit(True).alias("own"), F.lit("M").alias("kind"))
+    joined = sets = None
+    for level in range(LEVELS):
+        if joined is None:  # every document is a part of its own
+            parted = members.withColumn("part", F.col("doc_id"))
+            useful = parted.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.max("part").alias("main")).filter("m > 1").select("bucket", (F.col("m") - 1).alias("others"), "main")
+        else:
+            # most shingles are of one document: their buckets go before anything is joined
+            met = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.max("lead").alias("led"), F.max("own").alias("met")).filter("m > 1 and led and met")
+            parted = members.join(met.select("bucket"), "bucket", "left_semi").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+            parted = written(parted.withColumn("part", F.coalesce("component", "doc_id")).drop("component"), "parted")
+            # the largest part of a bucket need not be compared within itself: the others meet all
+            by_part = parted.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("m"))
+            useful = by_part.groupBy("bucket").agg(F.sum("m").alias("m"), F.max(F.struct("m", "part")).alias("top"))
+            useful = useful.filter("m > top.m").select("bucket", (F.col("m") - F.col("top.m")).alias("others"), F.col("top.part").alias("main"))
+        mates = written(parted.join(useful, "bucket"), "mates")
+        drop_written(members)
+        drop_written(parted)
+        if level and mates.isEmpty():
+            drop_written(mates)
+            break
+        last = level == LEVELS - 1
+        most = LATER_SMALL if level else SMALL
+        small, large = (mates, mates.limit(0)) if last else (mates.filter(F.col("others") <= most), mates.filter(F.col("others") > most))
+        left, right = (df.select("bucket", "main", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "lead", "own", "kind", "part")]) for df, k in ((small.filter("part != main"), "x"), (small, "y")))
+        meet = "part_x != part_y and (part_y = main or doc_id_x < doc_id_y) and (lead_x and own_y and n_x <= n_y or lead_y and own_x and n_y <= n_x) and concat(kind_x, kind_y) not in ('LF', 'FL')"
+        close = left.join(right.drop("main"), "bucket").filter(meet).select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
+        close = written(_likely(close, heads, percent / 100 - SLACK), "likely")
+        spokes = None if large.isEmpty() else _pivots(large, level == 0)
+        if sets is None:  # the pairs of later levels are of these documents too
+            asked = close.select("a", "b") if spokes is None else close.select("a", "b").union(spokes)
+            sets = written(_sets(docs, asked, width), "sets")
+        links, measured = _measured(close, sets, False).filter(_linked(percent)).select("a", "b"), None
+        if spokes is not None:
+            measured = written(_measured(spokes, sets, True), "measured")
+            links = links.union(measured.filter(_linked(percent)).select("a", "b"))
+        links = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        links, before = written(links, "links"), None
+        if joined is None or not links.isEmpty():
+            both = links if joined is None else links.union(joined.select(F.col("node").alias("u"), F.col("component").alias("v")))
+            before, joined = joined, written(components(both), "joined")
+        for done in (mates, close, spokes, links, before):
+            drop_written(done)
+        if measured is None:
+            break
+        members = written(_next_buckets(measured, joined, percent), "members")
+        drop_written(measured)
+    drop_written(sets)
+    return joined
 
 
 def near_duplicates(
@@ -238,37 +349,12 @@ def near_duplicates(
     classes = written(live.groupBy("same").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("members")), "classes")
     heads = live.join(classes.select(F.col("same").alias("own"), "head"), (F.col("doc_id") == F.col("head")) & (F.col("same") == F.col("own")), "left_semi")
     heads = written(heads.select("doc_id", "bands", "minima"), "heads")
-    placed = heads.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    mates = written(placed.join(shared, "bucket"), "mates")
-    small, large = mates.filter(F.col("n") <= SMALL), mates.filter(F.col("n") > SMALL)
-    left, right = (small.select("bucket", F.col("doc_id").alias(k)) for k in "ab")
-    close = left.join(right, "bucket").filter("a < b").select("a", "b").distinct()
-    close = written(_likely(close, heads, percent / 100 - SLACK), "likely")
-    central = large.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
-    ranked = large.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct("times", F.xxhash64("doc_id").alias("draw"), "doc_id")).alias("m"))
-    own = written(large.join(ranked.select("bucket", F.col("m.doc_id").alias("pivot")), "bucket").select("bucket", "doc_id", "pivot"), "pivots")
-    # a bucket whose members are all with one larger pivot is left to that one, so that few members have several pivots
-    held = own.select("doc_id", "pivot").distinct()
-    widest = held.join(held.groupBy("pivot").agg(F.count(F.lit(1)).alias("width")), "pivot").groupBy("doc_id").agg(F.max(F.struct("width", "pivot")).alias("w"))
-    agreed = own.join(widest.select("doc_id", F.col("w.pivot").alias("wide")), "doc_id").groupBy("bucket").agg(F.min("wide").alias("lo"), F.max("wide").alias("hi"))
-    spokes = own.join(agreed, "bucket").withColumn("pivot", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("pivot")))
-    spokes = spokes.filter("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    spokes = written(spokes, "spokes")
-    sets = written(_sets(docs, close.select("a", "b").union(spokes), width), "sets")  # later pairs are of these documents too
-    links = written(_measured(close, sets, False).filter(_linked(percent)).select("a", "b"), "links")
-    spokes = written(_measured(spokes, sets, True), "spokes")
-    links = links.union(spokes.filter(_linked(percent)).select("a", "b"))
-    joined = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined")
-    second = written(_likely(_crossing(spokes, joined, percent), heads, percent / 100 - SLACK), "second")
-    more = written(_measured(second, sets, False).filter(_linked(percent)).select("a", "b"), "links")
-    # components of components: joined parts are nodes already
-    part_of = joined.select(F.col("node"), F.col("component"))
-    ends = more.join(part_of.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(part_of.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-    merged = components(ends.select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))).withColumnsRenamed({"node": "from", "component": "into"})
+    slim = written(signed.select("doc_id", "n_shingles", "same"), "sets_of")
+    drop_written(signed)
+    signed = slim
+    joined = _linked_parts(docs, heads, heads.select("doc_id", F.explode("bands").alias("bucket")), width, percent)
     heads_of = heads.select(F.col("doc_id").alias("head")).distinct()
-    final = heads_of.join(joined, heads_of["head"] == joined["node"], "left").withColumn("part", F.coalesce("component", "head"))
-    final = final.join(merged, final["part"] == merged["from"], "left").select("head", F.coalesce("into", "part").alias("component_id"))
+    final = heads_of.join(joined, heads_of["head"] == joined["node"], "left").select("head", F.coalesce("component", "head").alias("component_id"))
     by_class = written(classes.join(final, "head").select("same", "head", "component_id"), "final")
     # rows with one identifier and different texts are one node: what shares it is joined once more
     repeated = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -278,7 +364,7 @@ def near_duplicates(
         ties = out.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
         tied = components(ties).withColumnsRenamed({"node": "from", "component": "into"})
         out = out.join(tied, out["component_id"] == tied["from"], "left").withColumn("component_id", F.coalesce("into", "component_id")).drop("from", "into")
-    for done in (mates, own, close, second, sets):
+    for done in (classes, heads, joined):
         drop_written(done)
     kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))

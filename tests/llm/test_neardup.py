@@ -52,6 +52,54 @@ def test_large_group_of_near_copies_and_chains(spark):
     assert got == brute(rows, 4, 80)
 
 
+def footers(n, spread=0):
+    """Documents of 100 shared words, 18 own ones and one of three footers of 16 words: no two are a link."""
+    rng = random.Random(n)
+    shared = [f"s{k}" for k in range(100)]
+    foot = [[f"f{j}_{k}" for k in range(16)] for j in range(3)]
+    return [(k, " ".join(shared + [f"o{k}_{j}" for j in range(18 + rng.randint(0, spread))] + foot[k % 3])) for k in range(n)]
+
+
+def test_hot_passage_gives_no_pairs(spark, monkeypatch):
+    seen, likely = [], neardup._likely
+
+    def counting(pairs, signed, least):
+        seen.append(pairs.count())
+        return likely(pairs, signed, least)
+
+    monkeypatch.setattr(neardup, "_likely", counting)
+    for spread in (0, 6):
+        made = []
+        for n in (200, 400):
+            seen.clear()
+            got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(footers(n, spread), "doc_id long, text string"), 4, 80).collect()}
+            assert got == {k: k for k in range(n)}
+            assert sum(seen[1:]) <= n  # past the small buckets of bands, of 19 partners a member at most, nothing is compared
+            made.append(seen[0])
+        assert made[-1] <= 2.5 * made[-2], made
+
+
+def test_group_within_a_hot_passage_is_found(spark):
+    rng = random.Random(4)
+    rows = footers(120)
+    inner = rows[0][1].split()[:100] + [f"i{k}" for k in range(34)]  # as far from the others, but near copies of each other
+    rows += [(1000 + k, " ".join(edited(rng, inner, rng.choice([0, 1, 2, 3])))) for k in range(70)]
+    halves = [f"h{k}" for k in range(200)]  # parts of one text, each near its neighbours alone
+    rows += [(2000 + k, " ".join(halves[k : k + 120])) for k in range(80)] + [(2999, " ".join(halves))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 4, 80).collect()} == brute(rows, 4, 80)
+
+
+def test_filter_that_lets_all_pass_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 3)
+    monkeypatch.setattr(neardup._sets, "__defaults__", (1 << 12,))
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(400)}" for _ in range(90)]
+    rows = [(k, " ".join(edited(rng, base, rng.choice([0, 1, 2, 3, 5, 7])))) for k in range(60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert got == brute(rows, 4, 80)
+
+
 def test_repeated_rows_null_ids_and_clashing_columns(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(5, text, 1, b"x"), (5, text, 2, b"y"), (7, text, 3, b"z"), (None, text, 4, b""), (9, None, 5, None)]
