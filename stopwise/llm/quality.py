@@ -204,21 +204,24 @@ def estimates(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFr
     return written(_with_factor(near, names, core_factor(NEAR_SHARE)).drop("det"), "centres")
 
 
-def _keyed(docs: DataFrame, carried: list[Column], text_col: str, lang_col: str, source_col: str, min_group: int) -> DataFrame:
-    """``carried`` with the statistics and the group of each row, written to the shared folder."""
+def _measured(docs: DataFrame, carried: list[Column], text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """``carried`` with the statistics, ``lang_key`` and ``source_key`` of each row."""
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(g) for c, g in ((lang_col, "lang_key"), (source_col, "source_key"))]
     counted = statistics(docs.select(*carried, F.col(text_col).alias("q_body"), *keys), "q_body").drop("q_body")
-    counted = written(counted.select("*", *transformed()), "statistics")
-    sizes = counted.filter(~F.col("q_base_failed")).groupBy("lang_key", "source_key").agg(F.count(F.lit(1)).alias("rows"))
-    keyed = counted.join(written(sizes, "sizes"), ["lang_key", "source_key"], "left")
-    small = F.coalesce(F.col("rows"), F.lit(0)) < min_group
-    return keyed.select("*", F.col("lang_key").alias("g_lang"), F.when(small, "\x01").otherwise(F.col("source_key")).alias("g_source"))
+    return counted.select("*", *transformed())
+
 
+def _scored(counted: DataFrame, known: DataFrame, cutoff: float, min_group: int) -> DataFrame:
+    """Adds ``d2`` and ``q_kept`` to ``counted`` rows by the estimates over ``known``, a written table of the same statistics.
 
-def _scored(keyed: DataFrame, cutoff: float) -> DataFrame:
-    """Adds ``d2`` and ``q_kept``; the estimates are short rows, which Spark sends to all tasks unless they are many."""
-    found = estimates(keyed.filter(~F.col("q_base_failed")).select("g_lang", "g_source", *FLOORS))
-    scored = keyed.join(found, _GROUP, "left").withColumn("d2", F.when(~F.col("q_base_failed"), _distance(list(FLOORS))))
+    Sizes and estimates are short rows, which Spark sends to all tasks unless they are many.
+    """
+    sizes = known.filter(~F.col("q_base_failed")).groupBy("lang_key", "source_key").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = written(sizes, "sizes")
+    small = F.coalesce(F.col("rows"), F.lit(0)) < min_group
+    grouped = lambda df: df.join(sizes, ["lang_key", "source_key"], "left").select("*", F.col("lang_key").alias("g_lang"), F.when(small, "\x01").otherwise(F.col("source_key")).alias("g_source"))
+    found = estimates(grouped(known.filter(~F.col("q_base_failed"))).select(*_GROUP, *FLOORS))
+    scored = grouped(counted).join(found, _GROUP, "left").withColumn("d2", F.when(~F.col("q_base_failed"), _distance(list(FLOORS))))
     return scored.withColumn("q_kept", ~F.col("q_base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff))
 
 
@@ -237,7 +240,8 @@ def judge(
     ``min_group`` rows are pooled per language. Null and empty texts fail the base rules. Repeated rows and ids are
     judged row by row; other columns of ``docs`` are not read. An empty table gives no rows.
     """
-    scored = _scored(_keyed(docs, [F.col(id_col).alias("doc_id")], text_col, lang_col, source_col, min_group), cutoff)
+    counted = written(_measured(docs, [F.col(id_col).alias("doc_id")], text_col, lang_col, source_col), "statistics")
+    scored = _scored(counted, counted, cutoff, min_group)
     return scored.select(
         "doc_id",
         *[F.col(f"q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")],
@@ -256,7 +260,9 @@ def keep_good(
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, each by its own verdict, whatever their identifiers.
 
-    Rows are written once, whole, beside their statistics, and judged in place: no text is shuffled.
+    The statistics are written without the texts for the estimates, and made again where the rows are judged, so no text is
+    shuffled or written twice.
     """
-    scored = _scored(_keyed(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row")], text_col, lang_col, source_col, min_group), cutoff)
-    return scored.filter("q_kept").select("q_row.*")
+    known = written(_measured(docs, [], text_col, lang_col, source_col), "statistics")
+    rows = _measured(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row")], text_col, lang_col, source_col)
+    return _scored(rows, known, cutoff, min_group).filter("q_kept").select("q_row.*")
