@@ -22,7 +22,7 @@ _OTHER_SPACE = re.compile(r"\A |  |[^\S \n]| \n|\n | \Z|\0")
 _SIMPLE = re.compile(" ?[!-&(-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 _LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
 #: Parts that an encoder remembers, of at most so many characters each; then it starts anew.
-REMEMBERED, LONGEST = 800_000, 48
+REMEMBERED, LONGEST = 400_000, 48
 
 
 def default_file(name: str) -> str:
