@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from .config import summary, to_yaml
 from .plans import exports
 from .plans.planner import Planner
+from .registers import EXPORTERS
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -31,10 +32,11 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     plan = planner.run()
     spark.createDataFrame([(to_yaml(planner.config),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/config_used")
-    exports.plan_json(plan.days, plan.stops, plan.points, plan.unassigned, plan.strategy).write.mode("overwrite").json(f"{out}/plan")
-    exports.write_rows(exports.rows(plan.stops, plan.points, plan.days), f"{out}/rows")
-    exports.geojson(plan.points, plan.stops).write.mode("overwrite").json(f"{out}/map")
-    exports.report(plan.days, plan.stops, plan.points).write.mode("overwrite").parquet(f"{out}/report")
+    made = {name: exporter(plan) for name, exporter in EXPORTERS.known.items()}
+    made.pop("json").write.mode("overwrite").json(f"{out}/plan")
+    exports.write_rows(made.pop("rows"), f"{out}/rows")
+    for name, table in made.items():
+        table.write.mode("overwrite").format("parquet" if name == "report" else "json").save(f"{out}/{name}")
     plan.metrics.show(20, False)
     return 0
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import circle_polygon
 from ..functions.text import day_label, field
+from ..operators.clean import UNMATCHED, VAGUE, WRONG_DISTRICT
 from ..operators.growth import hulls
+from ..registers import EXPORTERS
 
 
 def plan_json(days: DataFrame, stops: DataFrame, points: DataFrame, unassigned: DataFrame, strategy: str) -> DataFrame:
@@ -63,14 +65,32 @@ def geojson(points: DataFrame, stops: DataFrame) -> DataFrame:
     return joined.select("problem_id", F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}")).alias("collection"))
 
 
-def report(days: DataFrame, stops: DataFrame, points: DataFrame) -> DataFrame:
-    """``problem_id, line_no, line``: the plan as Markdown, a heading per day and a line per stop."""
-    heads = days.select("problem_id", "day", F.lit(0).alias("stop_seq"), F.format_string("## %s: %d stops, %.1f km, %.1f h", day_label(F.col("day")), F.col("point_count"), F.col("drive_distance_km"), F.col("total_time_hours")).alias("line"))
-    body = stops.join(points.select("problem_id", "point_idx", "name"), ["problem_id", "point_idx"]).select("problem_id", "day", "stop_seq", F.format_string("%d. %s", F.col("stop_seq"), F.col("name")).alias("line"))
-    order = Window.partitionBy("problem_id").orderBy("day", "stop_seq")
-    return heads.unionByName(body).select("problem_id", F.row_number().over(order).alias("line_no"), "line")
+def report(days: DataFrame, stops: DataFrame, points: DataFrame, unassigned: DataFrame | None = None) -> DataFrame:
+    """``problem_id, line_no, line``: the plan as Markdown, a heading per day and a line per stop, the totals, and what is left out."""
+    heads = days.select("problem_id", F.lit(0).alias("part"), "day", F.lit(0).alias("stop_seq"), F.format_string("## %s: %d stops, %.1f km, %.1f h", day_label(F.col("day")), F.col("point_count"), F.col("drive_distance_km"), F.col("total_time_hours")).alias("line"))
+    body = stops.join(points.select("problem_id", "point_idx", "name"), ["problem_id", "point_idx"]).select("problem_id", F.lit(0).alias("part"), "day", "stop_seq", F.format_string("%d. %s", F.col("stop_seq"), F.col("name")).alias("line"))
+    sums = days.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n"), F.sum("point_count").alias("p"), F.sum("drive_distance_km").alias("km"), F.sum("total_time_hours").alias("h"))
+    total = sums.select("problem_id", F.lit(1).alias("part"), F.lit(0).alias("day"), F.lit(0).alias("stop_seq"), F.format_string("Total: %d days, %d stops, %.1f km, %.1f h", "n", "p", "km", "h").alias("line"))
+    lines = heads.unionByName(body).unionByName(total)
+    if unassigned is not None:
+        left = unassigned.select("problem_id", F.lit(2).alias("part"), F.lit(1).alias("day"), F.col("point_idx").alias("stop_seq"), F.format_string("- %s (%.2f km from the nearest)", "name", F.coalesce("nearest_km", F.lit(0.0))).alias("line"))
+        title = unassigned.select("problem_id").distinct().select("problem_id", F.lit(2).alias("part"), F.lit(0).alias("day"), F.lit(0).alias("stop_seq"), F.lit("## Left out").alias("line"))
+        lines = lines.unionByName(title).unionByName(left)
+    order = Window.partitionBy("problem_id").orderBy("part", "day", "stop_seq")
+    return lines.select("problem_id", F.row_number().over(order).alias("line_no"), "line")
+
+
+#: Statuses of rows that are to be corrected by hand.
+TO_CORRECT = ("FAIL", "WRONG", UNMATCHED, VAGUE, WRONG_DISTRICT)
 
 
 def failed_sheet(rows_: DataFrame) -> DataFrame:
     """The rows to correct by hand, with an empty column for the correction."""
-    return rows_.filter("status != 'OK'").select("row_id", "address", "status", F.lit("").alias("fixed"))
+    return rows_.filter(F.col("status").isin(*TO_CORRECT)).select("row_id", "address", "status", F.lit("").alias("fixed"))
+
+
+EXPORTERS.register("json")(lambda p: plan_json(p.days, p.stops, p.points, p.unassigned, p.strategy))
+EXPORTERS.register("rows")(lambda p: rows(p.stops, p.points, p.days))
+EXPORTERS.register("map")(lambda p: geojson(p.points, p.stops))
+EXPORTERS.register("report")(lambda p: report(p.days, p.stops, p.points, p.unassigned))
+EXPORTERS.register("regions")(lambda p: region_shapes(p.points, p.stops))

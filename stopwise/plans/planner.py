@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 from ..config import PlanConfig, load, overridden
 from ..operators import match, metrics, overnight, pairs, tours
+from ..registers import DISTANCES, GEOCODERS
 from ..sources import tables
 from .strategies import STRATEGIES
 
 
+@GEOCODERS.register("gazetteer")
+def _gazetteer(spark: SparkSession, config: PlanConfig) -> DataFrame:
+    return spark.read.parquet(config.strategy.options["gazetteer"])
+
+
 @dataclass
 class Plan:
     """``days`` and ``stops`` of a strategy, the points that it leaves out, and the plan's figures."""
@@ -55,6 +61,7 @@ class Planner:
         name, c = strategy or self.config.strategy.name, self.config.constraints
         if name not in STRATEGIES:
             raise ValueError(f"no strategy {name}; there are {', '.join(sorted(STRATEGIES))}")
+        DISTANCES.pick(self.config.distance.provider)
         config = self._with_base(points)
         stops = STRATEGIES[name](points, config)
         if "trip_type" in stops.columns:
@@ -68,13 +75,13 @@ class Planner:
         return Plan(name, points, stops, days, left, tours.plan_metrics(days, c))
 
     def _with_base(self, points: DataFrame) -> PlanConfig:
-        """The configuration with the base's coordinate: as given, else by its name in ``strategy.options.gazetteer`` (a
-        Parquet table ``name, lng, lat``), else that of the point of this name."""
+        """The configuration with the base's coordinate: as given, else by its name by the geocoder of
+        ``strategy.options.geocoder`` (``gazetteer``: the Parquet table ``name, lng, lat`` of that option), else that of the point of this name."""
         base = self.config.base_point
         if not base.name or (base.lat is not None and base.lng is not None):
             return self.config
-        path = self.config.strategy.options.get("gazetteer")
-        known = self.spark.read.parquet(path) if path else points
+        geocoder = self.config.strategy.options.get("geocoder", "gazetteer" if self.config.strategy.options.get("gazetteer") else None)
+        known = GEOCODERS.pick(geocoder)(self.spark, self.config) if geocoder else points
         given = self.spark.createDataFrame([(0, base.name, base.lng, base.lat)], "problem_id long, name string, lng double, lat double")
         found = overnight.base_coordinate(given, known.filter(F.col("name") == base.name)).first()
         return replace(self.config, base_point=replace(base, lng=found["lng"], lat=found["lat"]))

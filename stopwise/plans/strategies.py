@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import PlanConfig, single_day
 from ..operators import density, growth, overnight, pairs, slices, tours
+from ..registers import DISTANCES
 
 #: A strategy gives ``problem_id, day, stop_seq, point_idx`` for the points and options that it gets.
 Strategy = Callable[[DataFrame, PlanConfig], DataFrame]
@@ -54,13 +55,23 @@ def dbscan(points: DataFrame, config: PlanConfig) -> DataFrame:
     return _days_of(points, density.dbscan(points, float(o.get("dbscan_eps_km", 5.0)), int(o.get("dbscan_min_samples", 3))), False)
 
 
+@DISTANCES.register("haversine")
+def _haversine(points: DataFrame, config: PlanConfig) -> DataFrame:
+    return pairs.pairs(points)
+
+
+@DISTANCES.register("road")
+def _road(points: DataFrame, config: PlanConfig) -> DataFrame:
+    """Road distances of ``strategy.options.road_edges`` (a Parquet table) where it has them, else great-circle ones."""
+    return pairs.road_pairs(pairs.pairs(points), points.sparkSession.read.parquet(config.strategy.options["road_edges"]))
+
+
 @register("road_network")
 def road_network(points: DataFrame, config: PlanConfig) -> DataFrame:
-    """Density groups over road distances in ``strategy.options.road_edges`` (a Parquet table), else great-circle ones."""
+    """Density groups over the distances of the configured provider; ``road`` if there are road edges."""
     o = config.strategy.options
-    edges = pairs.pairs(points)
-    if o.get("road_edges"):
-        edges = pairs.road_pairs(edges, points.sparkSession.read.parquet(o["road_edges"]))
+    name = config.distance.provider
+    edges = DISTANCES.pick("road" if name == "haversine" and o.get("road_edges") else name)(points, config)
     labels = density.road_dbscan(points, edges, float(o.get("road_network_eps_km", 5.0)), int(o.get("road_network_min_samples", 3)))
     return _days_of(points, labels, False)
 

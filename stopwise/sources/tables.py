@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import cell, without
+from ..registers import READERS
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
@@ -71,24 +72,39 @@ class _SheetReader(DataSourceReader):
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """Adds ``row_no`` in file order. Files are small tables kept by hand, so the order is taken in one window."""
-    return df.withColumn("_at", F.monotonically_increasing_id()).withColumn("row_no", F.row_number().over(Window.orderBy("_at")) - F.lit(1).cast("long")).drop("_at")
+    """Adds ``row_no`` in file order: each partition's rows are numbered by themselves, from the count of those before it."""
+    at = F.monotonically_increasing_id()
+    df = df.withColumns({"_part": F.shiftright(at, 33).cast("int"), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = df.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_from"))
+    return df.join(starts, "_part").withColumn("row_no", F.col("_from") + F.col("_at")).drop("_part", "_at", "_from")
+
+
+@READERS.register("csv")
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    return _numbered(spark.read.csv(path, header=True, multiLine=True, escape='"'))
+
+
+@READERS.register("json")
+def _json(spark: SparkSession, path: str) -> DataFrame:
+    return _numbered(spark.read.json(path, multiLine=True, primitivesAsString=True))
+
+
+@READERS.register("parquet")
+def _parquet(spark: SparkSession, path: str) -> DataFrame:
+    return _numbered(spark.read.parquet(path))
+
+
+@READERS.register("xlsx")
+def _xlsx(spark: SparkSession, path: str) -> DataFrame:
+    spark.dataSource.register(SheetSource)
+    return spark.read.format("xlsx").load(path)
 
 
 def read_table(spark: SparkSession, path: str, kind: str = "") -> DataFrame:
-    """A .csv, .json, .parquet or .xlsx table with ``row_no``; ``kind`` overrides the file's ending."""
-    kind = kind or path.rpartition(".")[2].lower()
-    if kind == "csv":
-        return _numbered(spark.read.csv(path, header=True, multiLine=True, escape='"'))
-    if kind == "json":
-        df = spark.read.json(path, multiLine=True, primitivesAsString=True)
-        return _numbered(df)
-    if kind == "parquet":
-        return _numbered(spark.read.parquet(path))
-    if kind == "xlsx":
-        spark.dataSource.register(SheetSource)
-        return spark.read.format("xlsx").load(path)
-    raise ValueError(f"no reader for {kind}")
+    """A .csv, .json, .parquet or .xlsx table, or one of a registered reader, with ``row_no``; ``kind`` overrides the ending."""
+    return READERS.pick(kind or path.rpartition(".")[2].lower())(spark, path)
 
 
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
