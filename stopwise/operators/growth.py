@@ -487,6 +487,12 @@ def compact_circles(k: int, least: int, most: int, rounds: int = 50, penalty: fl
             if not moved:
                 break
         label = best.copy()
+
+        def shared(label: np.ndarray, g: int, circle: tuple) -> list[int]:
+            """The members of g in a circle, from its centre outwards."""
+            away = lambda i: np.hypot(x[i, 0] - circle[0], x[i, 1] - circle[1])
+            return sorted((int(i) for i in np.flatnonzero(label == g) if away(i) <= circle[2]), key=lambda i: (away(i), i))
+
         for _ in range(post_rounds):  # overlaps
             found = rings(label)
             deep = [t for t in sorted(overlaps(found), reverse=True) if t[0] > tolerance]
@@ -496,9 +502,12 @@ def compact_circles(k: int, least: int, most: int, rounds: int = 50, penalty: fl
             for _, a, b in deep:
                 for g, h in ((a, b), (b, a)):
                     size = np.bincount(label, minlength=kk)
-                    inside = [i for i in np.flatnonzero(label == g) if np.hypot(x[i, 0] - found[h][0], x[i, 1] - found[h][1]) <= found[h][2]]
-                    inside.sort(key=lambda i: (np.hypot(x[i, 0] - found[h][0], x[i, 1] - found[h][1]), i))
-                    label[inside[: max(0, min(per_move, size[g] - lo, hi - size[h]))]] = h
+                    inside, theirs = shared(label, g, found[h]), shared(label, h, found[g])
+                    if size[h] >= hi and (g, h) == (a, b):  # a full neighbour gives a point for each that it takes
+                        n = min(per_move, len(inside), len(theirs))
+                        label[inside[:n]], label[theirs[:n]] = h, g
+                    else:
+                        label[inside[: max(0, min(per_move, size[g] - lo, hi - size[h]))]] = h
             if sum(t[0] for t in overlaps(rings(label))) >= before:
                 label = kept
                 break
