@@ -499,12 +499,12 @@ for _name, _kernel in {
     "cl_kmeans_split": growth.kmeans_capped(6),
     "cl_kmeans_separated": growth.kmeans_separated(3, 6),
     "cl_grid_merged": growth.grid_merged(10.0, 3, 6),
-    "cl_balance": growth.voronoi_balanced(2, 1, 3),
+    "cl_balance": growth.voronoi_balanced(2, 1, 1000),
     "cl_chain_growth": growth.chain_growth(2),
     "cl_greedy46": growth.greedy_between(4, 6),
     "cl_region_grow": growth.region_growth(2, 40.0),
     "cl_area": growth.area_expansion(300.0, 2, 6),
-    "cl_jstyle": growth.compact_circles(2, 1, 4, rounds=10),
+    "cl_jstyle": growth.compact_circles(3, 1, 1000),
     "cl_overnight_chain": growth.chain_greedy(5, (fx.BASE_LAT, fx.BASE_LNG), farthest=True),
 }.items():
     query(_SQL_KERNELS.get(_name))(_named(_name, _labels(_kernel)))
@@ -777,3 +777,114 @@ def snk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def src_made_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.made_points(spark)
+
+
+# Small steps of the reports and comparisons
+
+_SQL_TWO = "with " + fx.SQL_MANY + ", n as (select *, row_number() over (partition by problem_id order by point_idx) as n, count(*) over (partition by problem_id) as m from pts)"
+
+
+@query("with " + fx.SQL_ONE + " select point_idx, printf('%.6f,%.6f', lng, lat) as at from pts")
+def fn_lng_lat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.one(spark, sf_dir).select("point_idx", text.lng_lat(F.col("lng"), F.col("lat")).alias("at"))
+
+
+@query(_SQL_TWO + " select problem_id, point_idx, case when n=1 then 'green' when n=m then 'red' else 'blue' end as marker from n")
+def fn_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("problem_id")
+    place = F.row_number().over(own.orderBy("point_idx"))
+    return fx.many(spark, sf_dir).select("problem_id", "point_idx", text.marker(place, F.count(F.lit(1)).over(own)).alias("marker"))
+
+
+@query("with " + fx.SQL_ONE + " select point_idx, sqrt(pow(lat-29.85e0,2)+pow(lng-107.08e0,2))<=0.1e0+1e-10 as inside from pts")
+def fn_in_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inside = geo.in_circle(F.col("lat"), F.col("lng"), F.lit(fx.BASE_LAT), F.lit(fx.BASE_LNG), F.lit(0.1))
+    return fx.one(spark, sf_dir).select("point_idx", inside.alias("inside"))
+
+
+@query("with " + fx.SQL_ONE + " select point_idx, cast(k as int) as k, case k when 0 then lat else 29.85e0 end as lat, case k when 0 then lng else 107.08e0 end as lng from pts, range(0,2) t(k)")
+def fn_straight_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = geo.straight_line(F.col("lat"), F.col("lng"), F.lit(fx.BASE_LAT), F.lit(fx.BASE_LNG))
+    return fx.one(spark, sf_dir).select("point_idx", F.posexplode(line).alias("k", "c")).select("point_idx", "k", "c.lat", "c.lng")
+
+
+@query("with " + fx.SQL_ONE + " select point_idx, name from pts order by point_idx limit 7")
+def ord_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.one(spark, sf_dir).select("point_idx", "name").orderBy("point_idx").limit(7)
+
+
+@query("with " + fx.SQL_ONE + """, k as (select *, {km} as base_km from pts, (select 107.08e0 as d_lng, 29.85e0 as d_lat) d, lateral (select d.d_lat as lat, d.d_lng as lng) b)
+ select cast(0 as bigint) as problem_id, count(*) filter (where base_km<=25) as single_day_points, count(*) filter (where base_km>25) as overnight_points from k""".replace("{km}", fx.SQL_KM.format(a="pts", b="b")))
+def agg_trip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = fx.one(spark, sf_dir)
+    typed = overnight.classify(points, fx.BASE_LAT, fx.BASE_LNG, 25.0)
+    stops = typed.select("problem_id", F.lit(1).alias("day"), "trip_type")
+    return overnight.trip_counts(typed, stops).select("problem_id", "single_day_points", "overnight_points")
+
+
+@query("with " + fx.SQL_MANY + ", f as (select problem_id, min(point_idx) as p from pts group by 1) select f.problem_id, lng, lat from f join pts on pts.problem_id=f.problem_id and point_idx=p where f.problem_id%3<>0 union all select problem_id, 107.08e0, 29.85e0 from f where problem_id%3=0")
+def sch_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third problem's base is given, the others' is that of their first point, found by its name."""
+    points = fx.many(spark, sf_dir)
+    given, own = F.col("problem_id") % 3 == 0, F.min_by("name", "point_idx")
+    asked = points.groupBy("problem_id").agg(own.alias("name")).select("problem_id", "name", F.when(given, fx.BASE_LNG).alias("lng"), F.when(given, fx.BASE_LAT).alias("lat"))
+    return overnight.base_coordinate(asked, points)
+
+
+@query("with recursive " + fx.SQL_MANY + _SQL_DAYS + ", o as (select * from days), n as (select problem_id, day, drive_distance_km*0.75e0 as km from days) select o.problem_id, o.day, case when drive_distance_km<>0 then round((drive_distance_km-km)/drive_distance_km*100,6) else 0 end as better from o join n on n.problem_id=o.problem_id and n.day=o.day")
+def cmp_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, stops = _planned(spark, sf_dir)
+    days = tours.day_rollup(stops, points, fx.LIMITS)
+    km = F.col("drive_distance_km")
+    return days.select("problem_id", "day", metrics.improvement(km, km * 0.75).alias("better"))
+
+
+_SQL_PLACED = "with " + fx.SQL_VALIDATED + ", s as (select row_id, case when given='FAIL' then 'FAIL' when row_id%5=0 then 'WRONG' when row_id%11=0 then '" + clean.VAGUE + "' else 'OK' end as status, formatted as address, case when row_id%2=0 then ' fixed ' else ' ' end as fixed from found)"
+
+
+def _to_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = f"case when given='FAIL' then 'FAIL' when row_id%5=0 then 'WRONG' when row_id%11=0 then '{clean.VAGUE}' else 'OK' end as status"
+    return fx.validated(spark, sf_dir).selectExpr("row_id", status, "formatted as address", "case when row_id%2=0 then ' fixed ' else ' ' end as fixed")
+
+
+@query(_SQL_PLACED + " select row_id, address, status, '' as fixed from s where status<>'OK'")
+def snk_failed_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.failed_sheet(_to_correct(spark, sf_dir))
+
+
+@query(_SQL_PLACED + " select row_id, case when trim(fixed)<>'' then trim(fixed) else address end as address from s")
+def snk_final_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.final_list(_to_correct(spark, sf_dir))
+
+
+@query("with " + fx.SQL_VALIDATED + " select c_custkey as row_id, c_name, given from customer left join found on row_id=c_custkey and row_id%3<>0")
+def jn_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey as row_id", "c_name")
+    return clean.attach(rows, fx.validated(spark, sf_dir).filter("row_id % 3 != 0").select("row_id", "given"))
+
+
+@query("select o_custkey, max(o_orderkey) as o_orderkey from orders group by 1")
+def win_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.latest_per_key(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+@query("with recursive " + fx.SQL_MANY + _SQL_DAYS + ", c as (select problem_id, day, count(*) as n from split group by 1,2) select problem_id, cast(day as int) as day, case when n>=3 then 'hull' else 'circle' end as kind from c")
+def geo_region_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, stops = _planned(spark, sf_dir)
+    return exports.region_shapes(points, stops).select("problem_id", F.col("day").cast("int").alias("day"), "kind")
+
+
+@query("with recursive " + fx.SQL_MANY + _SQL_DAYS + ", " + fx.SQL_ROAD + """, s as (select s.problem_id, s.day, s.n as k, s.point_idx, max(s.n) over (partition by s.problem_id, s.day) as m from split s),
+ b as (select problem_id, min(point_idx) as base from pts group by 1),
+ l as (select s.problem_id, s.day, case when k=1 then base else lag(point_idx) over (partition by s.problem_id, s.day order by k) end as i, point_idx as j from s join b using (problem_id)
+  union all select s.problem_id, s.day, point_idx, base from s join b using (problem_id) where k=m),
+ w as (select l.problem_id, l.day, r.detour from l left join road r on r.problem_id=l.problem_id and r.i=least(l.i,l.j) and r.j=greatest(l.i,l.j))
+ select problem_id, cast(day as int) as day, round(sum(coalesce(detour,0)),6) as road_km, count(*) filter (where detour is null) as failed_legs from w where problem_id=3 group by 1,2""")
+def agg_actual_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day totals of one problem over base, stops, base by the road table, whose detour factors stand for km."""
+    points, stops = _planned(spark, sf_dir)
+    own = stops.filter("problem_id = 3")
+    base = points.filter("problem_id = 3").agg(F.min("point_idx")).first()[0]
+    return tours.actual_totals(own, fx.road(spark, sf_dir).withColumnRenamed("detour", "road_km"), base if base is not None else 0)
