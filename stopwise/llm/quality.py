@@ -208,7 +208,10 @@ def _measured(docs: DataFrame, carried: list[Column], text_col: str, lang_col: s
     """``carried`` with the statistics, ``lang_key`` and ``source_key`` of each row."""
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(g) for c, g in ((lang_col, "lang_key"), (source_col, "source_key"))]
     counted = statistics(docs.select(*carried, F.col(text_col).alias("q_body"), *keys), "q_body").drop("q_body")
-    return counted.select("*", *transformed())
+    counted = counted.select("*", *transformed())
+    # an array of one struct, laid out again: a generator lets no filter through, which would put the statistics in its place
+    figures = [c for c in counted.columns if c.startswith(("q_n_", "q_word_", "q_base_", "x_"))]
+    return counted.select(*[c for c in counted.columns if c not in figures], F.inline(F.array(F.struct(*figures))))
 
 
 def _scored(counted: DataFrame, known: DataFrame, cutoff: float, min_group: int) -> DataFrame:
