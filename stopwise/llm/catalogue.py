@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, fingerprint, mixing, neardup, packing, quality, sharding, sstable, toxicity, urls
+from . import divergence, extract, fingerprint, mixing, neardup, packing, quality, sharding, sstable, substrings, toxicity, urls, variants
 from .common import table
 from .tokens import default_file
 
@@ -64,6 +64,18 @@ def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_vocabulary_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op13_parity_mask_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_string_kernel_toxicity,
@@ -76,9 +88,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_best_fit_packing,
         op9_poisson_replication,
         op10_robust_outliers,
+        op11_vocabulary_automaton,
+        op12_super_kmer_dedup,
+        op13_parity_mask_variants,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_redirect_equivalence": urls.ORACLE, "op5_minhash_near_dedup": neardup.ORACLE, "op9_poisson_replication": mixing.ORACLE}
+    return {
+        "op4_redirect_equivalence": urls.ORACLE,
+        "op5_minhash_near_dedup": neardup.ORACLE,
+        "op9_poisson_replication": mixing.ORACLE,
+        "op11_vocabulary_automaton": divergence.ORACLE,
+        "op12_super_kmer_dedup": substrings.ORACLE,
+        "op13_parity_mask_variants": variants.ORACLE,
+    }
