@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .pairs import both_ways, within
+from .pairs import both_ways, reach, within
 
 
 def _spread(nodes: DataFrame, links: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -46,6 +46,9 @@ def dbscan(points: DataFrame, eps_km: float = 5.0, least: int = 3) -> DataFrame:
     return groups(points, within(points, eps_km), least)
 
 
-def road_dbscan(points: DataFrame, edges: DataFrame, eps_km: float = 5.0, least: int = 3) -> DataFrame:
-    """The same over given distances (``problem_id, i, j, km``), such as those of :func:`~.pairs.road_pairs`."""
-    return groups(points, edges.filter(F.col("km") <= eps_km), least)
+def road_dbscan(points: DataFrame, edges: DataFrame | None, eps_km: float = 5.0, least: int = 3) -> DataFrame:
+    """The same over a provider's sparse distances (``problem_id, i, j, km``), great-circle ones where it knows none.
+
+    Only pairs within ``eps_km`` are ever made: near points by grid cells, and the table's short pairs.
+    """
+    return groups(points, reach(points, eps_km, edges), least)

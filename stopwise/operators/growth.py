@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .distances import Distances, per_problem
 from .tours import matrix
 
 Groups = list[list[int]]
@@ -20,16 +21,17 @@ Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], Groups]
 LABELS = "problem_id long, point_idx int, label int, seq int"
 
 
-def grouped(points: DataFrame, kernel: Kernel) -> DataFrame:
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("point_idx", kind="stable").reset_index(drop=True)
+def grouped(points: DataFrame, kernel: Kernel, edges: DataFrame | None = None) -> DataFrame:
+    """``edges``, a provider's sparse table, replaces the great-circle distances of its pairs."""
+
+    def run(p: pd.DataFrame, km: Distances) -> pd.DataFrame:
         lat, lng = p["lat"].to_numpy(float), p["lng"].to_numpy(float)
         label, seq = np.full(len(p), -1), np.zeros(len(p), int)
-        for k, members in enumerate(g for g in kernel(lat, lng, matrix(lat, lng)) if g):
+        for k, members in enumerate(g for g in kernel(lat, lng, km.matrix()) if g):
             label[members], seq[members] = k, range(len(members))
         return pd.DataFrame({"problem_id": p["problem_id"], "point_idx": p["point_idx"], "label": label, "seq": seq})
 
-    return points.select("problem_id", "point_idx", "lat", "lng").groupBy("problem_id").applyInPandas(run, LABELS)
+    return per_problem(points.select("problem_id", "point_idx", "lat", "lng"), edges, ["problem_id"], run, LABELS)
 
 
 def _to(lat: np.ndarray, lng: np.ndarray, c_lat: float, c_lng: float) -> np.ndarray:

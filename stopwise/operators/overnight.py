@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Constraints
 from ..functions.geo import PLACES, drive_seconds, haversine_km
+from .pairs import legs
 from .tours import day_rollup
 
 
@@ -37,19 +38,20 @@ def halves(tours: DataFrame) -> DataFrame:
     return rows.select("problem_id", "label", "part", F.when(first, F.col("stop_seq")).otherwise(F.col("stop_seq") - half).cast("int").alias("stop_seq"), "point_idx")
 
 
-def two_day_totals(parts: DataFrame, points: DataFrame, stays: DataFrame, base_lat: float, base_lng: float, stop_min: float, speed_kmh: float = 35.0) -> DataFrame:
-    """Day 1 runs from base over its stops to the hotel, day 2 from the hotel over its stops to base; no other overhead."""
-    placed = parts.join(points.select("problem_id", "point_idx", "lat", "lng"), ["problem_id", "point_idx"])
-    here = F.struct("stop_seq", "lat", "lng")
-    day = placed.groupBy("problem_id", "label", "part").agg(F.sort_array(F.collect_list(here)).alias("s"), F.count(F.lit(1)).alias("point_count"))  # a day's few stops
+def two_day_totals(parts: DataFrame, points: DataFrame, stays: DataFrame, base_lat: float, base_lng: float, stop_min: float, speed_kmh: float = 35.0, edges: DataFrame | None = None) -> DataFrame:
+    """Day 1 runs from base over its stops to the hotel, day 2 from the hotel over its stops to base; no other overhead.
+
+    ``edges``, a provider's sparse table, replaces great-circle distances between stops; base and hotel are no points of it.
+    """
+    own = legs(parts.withColumn("day", F.struct("label", "part")), points, edges)
+    here = F.struct("lat", "lng")
+    day = own.groupBy("problem_id", "label", "part").agg(F.sum("leg_km").alias("inner"), F.min_by(here, "stop_seq").alias("first"), F.max_by(here, "stop_seq").alias("last"), F.count(F.lit(1)).alias("point_count"))
     leg = lambda a, b: haversine_km(a["lat"], a["lng"], b["lat"], b["lng"])
-    shifted = F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0)))
-    inner = F.aggregate(F.zip_with(F.slice("s", F.lit(1), F.greatest(F.size("s") - 1, F.lit(0))), shifted, leg), F.lit(0.0), lambda a, x: a + x)
-    day = day.join(stays.select("problem_id", "label", F.struct("lat", "lng").alias("h")), ["problem_id", "label"])
+    day = day.join(stays.select("problem_id", "label", here.alias("h")), ["problem_id", "label"])
     base = F.struct(F.lit(base_lat).alias("lat"), F.lit(base_lng).alias("lng"))
-    first, last, one = F.element_at("s", 1), F.element_at("s", -1), F.col("part") == 1
+    first, last, one = F.col("first"), F.col("last"), F.col("part") == 1
     ends = F.when(one, leg(base, first) + leg(last, F.col("h"))).otherwise(leg(F.col("h"), first) + leg(last, base))
-    out = day.select("problem_id", "label", "part", "point_count", F.round(inner + ends, PLACES).alias("km"))
+    out = day.select("problem_id", "label", "part", "point_count", F.round(F.col("inner") + ends, PLACES).alias("km"))
     minutes, stay = drive_seconds(F.col("km"), speed_kmh) / 60, F.col("point_count") * stop_min
     return out.select(
         "problem_id", "label", "part", "point_count", F.round("km", 1).alias("drive_distance_km"), F.round(minutes, 1).alias("drive_time_min"),
@@ -57,16 +59,16 @@ def two_day_totals(parts: DataFrame, points: DataFrame, stays: DataFrame, base_l
     )
 
 
-def day_totals(stops: DataFrame, points: DataFrame, limits: Constraints, base: tuple[float, float] | None, speed_kmh: float = 35.0) -> DataFrame:
+def day_totals(stops: DataFrame, points: DataFrame, limits: Constraints, base: tuple[float, float] | None, speed_kmh: float = 35.0, edges: DataFrame | None = None) -> DataFrame:
     """The days of :func:`renumbered` stops with their ``trip_type`` and, of trips with a night away, the stay (``hotel_lat``,
     ``hotel_lng``, ``hotel_near_idx``). Single days bear the round trip's overhead, the others their ways to base and stay."""
-    single = day_rollup(stops.filter("trip_type = 'single_day'"), points, limits, speed_kmh).withColumn("trip_type", F.lit("single_day"))
+    single = day_rollup(stops.filter("trip_type = 'single_day'"), points, limits, speed_kmh, edges=edges).withColumn("trip_type", F.lit("single_day"))
     if base is None:
         return single.withColumns({"hotel_lat": F.lit(None).cast("double"), "hotel_lng": F.lit(None).cast("double"), "hotel_near_idx": F.lit(None).cast("int")})
     parts = stops.filter("trip_type = 'overnight'")
     stays = hotels(points, parts.select("problem_id", "point_idx", "label"), limits.overnight_hotel_radius_km)
     numbers = parts.select("problem_id", "label", "part", "day").distinct()
-    nights = two_day_totals(parts, points, stays, *base, limits.stop_time_per_point_min, speed_kmh).join(numbers, ["problem_id", "label", "part"])
+    nights = two_day_totals(parts.select("problem_id", "label", "part", "stop_seq", "point_idx"), points, stays, *base, limits.stop_time_per_point_min, speed_kmh, edges).join(numbers, ["problem_id", "label", "part"])
     nights = nights.join(stays.select("problem_id", "label", F.col("lat").alias("hotel_lat"), F.col("lng").alias("hotel_lng"), F.col("near_idx").alias("hotel_near_idx")), ["problem_id", "label"])
     return single.unionByName(nights.drop("label", "part").withColumn("trip_type", F.lit("overnight")), allowMissingColumns=True)
 

@@ -49,18 +49,24 @@ def within(points: DataFrame, km: float) -> DataFrame:
     return near.filter(F.col("km") <= km)
 
 
+def reach(points: DataFrame, km: float, edges: DataFrame | None = None) -> DataFrame:
+    """Pairs i < j at most ``km`` apart by the sparse ``edges`` of a provider, and by great circle where it knows none."""
+    if edges is None:
+        return within(points, km)
+    known = edges.select("problem_id", "i", "j", "km")
+    return within(points, km).join(known, ["problem_id", "i", "j"], "left_anti").unionByName(among(known, points).filter(F.col("km") <= km))
+
+
 def nearest(points: DataFrame, edges: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
     """``problem_id, point_idx, nearest_idx, nearest_km``; null for a point alone; ties go to the lowest index.
 
-    ``of`` names the points asked about, else all. Without ``edges``, points meet those in the grid cells around them only:
+    ``of`` names the points asked about, else all. ``edges``, a provider's sparse table, replaces the great-circle distances
+    of its pairs. Points meet those in the grid cells around them only:
     cells start at a size that holds few points and double for the points whose nearest is not yet certain, being farther
     than a cell is wide. Every round is a join by cell and is written to the shared folder.
     """
     asked = (points if of is None else of).select("problem_id", "point_idx").distinct()
-    if edges is not None:
-        best = both_ways(edges).groupBy("problem_id", F.col("i").alias("point_idx")).agg(F.min(F.struct("km", "j")).alias("b"))
-    else:
-        best = _nearest_by_rings(points.select("problem_id", "point_idx", "lat", "lng"), asked)
+    best = _nearest_by_rings(points.select("problem_id", "point_idx", "lat", "lng"), asked, None if edges is None else among(edges.select("problem_id", "i", "j", "km"), points))
     out = asked.join(best, ["problem_id", "point_idx"], "left")
     return out.select("problem_id", "point_idx", F.col("b.j").alias("nearest_idx"), F.col("b.km").alias("nearest_km"))
 
@@ -69,8 +75,9 @@ def nearest(points: DataFrame, edges: DataFrame | None = None, of: DataFrame | N
 _CELL_POINTS, _FARTHEST_KM = 4, 20_100.0
 
 
-def _nearest_by_rings(points: DataFrame, asked: DataFrame) -> DataFrame:
+def _nearest_by_rings(points: DataFrame, asked: DataFrame, edges: DataFrame | None) -> DataFrame:
     """``problem_id, point_idx, b (km, j)`` of the asked points that are not alone."""
+    known = None if edges is None else shared.cut(both_ways(edges), "known")
     n = F.count(F.lit(1))
     height, width = (F.max("lat") - F.min("lat")) * 111.0, (F.max("lng") - F.min("lng")) * 111.0
     sizes = points.groupBy("problem_id").agg(n.alias("n"), F.max(F.abs("lat")).alias("far"), F.greatest(F.lit(0.01), F.sqrt(F.greatest(height, F.lit(0.01)) * F.greatest(width, F.lit(0.01)) * _CELL_POINTS / n)).alias("cell_km")).filter("n > 1")
@@ -87,8 +94,12 @@ def _nearest_by_rings(points: DataFrame, asked: DataFrame) -> DataFrame:
         i = i.select("problem_id", F.col("point_idx").alias("i"), F.col("lat").alias("lat_i"), F.col("lng").alias("lng_i"), "cell_km", "cy", "cx", steps.alias("s"))
         i = i.withColumns({"cy": F.col("cy") + F.col("s.dy"), "cx": F.col("cx") + F.col("s.dx")})
         j = j.select("problem_id", F.col("point_idx").alias("j"), F.col("lat").alias("lat_j"), F.col("lng").alias("lng_j"), "cy", "cx")
-        met = i.join(j, ["problem_id", "cy", "cx"]).filter("i != j")
-        best = met.groupBy("problem_id", F.col("i").alias("point_idx"), "cell_km").agg(F.min(F.struct(_km().alias("km"), "j")).alias("b"))
+        met = i.join(j, ["problem_id", "cy", "cx"]).filter("i != j").select("problem_id", "i", "cell_km", "j", _km().alias("km"))
+        if known is not None:  # what the provider knows stands for itself, however far the points are on the map
+            met = met.join(known, ["problem_id", "i", "j"], "left_anti")
+            own = left.select("problem_id", F.col("point_idx").alias("i")).join(cells.select("problem_id", "cell_km"), "problem_id")
+            met = met.unionByName(known.join(own, ["problem_id", "i"]))
+        best = met.groupBy("problem_id", F.col("i").alias("point_idx"), "cell_km").agg(F.min(F.struct("km", "j")).alias("b"))
         best = shared.cut(best.filter((F.col("b.km") <= F.col("cell_km")) | (F.col("cell_km") > _FARTHEST_KM)).select("problem_id", "point_idx", "b"), "nearest")
         found = best if found is None else found.unionByName(best)
         left = shared.cut(left.join(best, ["problem_id", "point_idx"], "left_anti").join(sizes.select("problem_id"), "problem_id", "left_semi"), "asked")
@@ -104,9 +115,9 @@ def _celled(points: DataFrame, cells: DataFrame) -> DataFrame:
     return points.join(cells, "problem_id").withColumns({"cy": F.floor(F.col("lat") / step), "cx": F.floor(F.col("lng") / east)})
 
 
-def split_outliers(points: DataFrame, threshold_km: float) -> DataFrame:
+def split_outliers(points: DataFrame, threshold_km: float, edges: DataFrame | None = None) -> DataFrame:
     """Adds ``nearest_km`` and ``is_outlier``: whether the nearest point is over ``threshold_km`` away; 0 is off."""
-    near = nearest(points).drop("nearest_idx")
+    near = nearest(points, edges).drop("nearest_idx")
     off = F.lit(False) if threshold_km <= 0 else F.coalesce(F.col("nearest_km") > threshold_km, F.lit(False))
     return points.join(near, ["problem_id", "point_idx"]).withColumn("is_outlier", off)
 
@@ -133,9 +144,17 @@ def road_pairs(edges: DataFrame, road: DataFrame) -> DataFrame:
     )
 
 
-def legs(stops: DataFrame, points: DataFrame) -> DataFrame:
-    """Adds ``leg_km``, the way from each stop to the next of its day (0 at the last), to ``problem_id, day, stop_seq, point_idx``."""
+def legs(stops: DataFrame, points: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Adds ``leg_km``, the way from each stop to the next of its day (0 at the last), to ``problem_id, day, stop_seq, point_idx``.
+
+    ``edges``, a provider's sparse table (i < j), replaces the great-circle distances of its pairs.
+    """
     placed = stops.join(points.select("problem_id", "point_idx", "lat", "lng"), ["problem_id", "point_idx"])
     after = Window.partitionBy("problem_id", "day").orderBy("stop_seq")
     km = haversine_km(F.col("lat"), F.col("lng"), F.lead("lat").over(after), F.lead("lng").over(after))
-    return placed.withColumn("leg_km", F.coalesce(km, F.lit(0.0)))
+    if edges is None:
+        return placed.withColumn("leg_km", F.coalesce(km, F.lit(0.0)))
+    then = F.lead("point_idx").over(after)
+    placed = placed.withColumns({"leg_km": km, "i": F.least("point_idx", then), "j": F.when(then.isNotNull(), F.greatest("point_idx", then))})
+    known = edges.select("problem_id", "i", "j", F.col("km").alias("known_km"))
+    return placed.join(known, ["problem_id", "i", "j"], "left").withColumn("leg_km", F.coalesce("known_km", "leg_km", F.lit(0.0))).drop("i", "j", "known_km")

@@ -1,12 +1,14 @@
 """Tours and day plans.
 
 Order is sequential inside a problem, so a problem is one task's group; problems are some tens to thousands of points and
-are spread over the cluster. Only coordinates are sent; the kernels below see one problem each. Splitting a tour into days
-is a fold in Catalyst, and everything after it is relational.
+are spread over the cluster. Coordinates and a provider's known distances are sent; the kernels below see one problem each and
+make a row of distances at a time. Splitting a tour into days is a fold in Catalyst, and everything after it is relational.
+``edges`` is a provider's sparse table everywhere (``problem_id, i, j, km`` for i < j), or None for great-circle distances.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 from itertools import permutations
 
@@ -16,20 +18,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Constraints
-from ..functions.geo import EARTH_KM, PLACES, drive_seconds
+from ..functions.geo import PLACES, drive_seconds
+from .distances import Distances, per_problem
 from .pairs import legs
 
 STOPS = "problem_id long, stop_seq int, point_idx int"
 
 
+#: Rows of distances: a matrix, or what makes them when asked.
+Km = np.ndarray | Distances
+
+
 def matrix(lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
-    """All distances of a problem, in km."""
-    a, b = np.radians(lat.astype(float)), np.radians(lng.astype(float))
-    h = np.sin((a[:, None] - a) / 2) ** 2 + np.cos(a)[:, None] * np.cos(a) * np.sin((b[:, None] - b) / 2) ** 2
-    return np.round(2 * EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(h))), PLACES)
+    """All great-circle distances of a problem, in km."""
+    return Distances(lat, lng).matrix()
 
 
-def nearest_order(km: np.ndarray, start: int = 0) -> list[int]:
+def nearest_order(km: Km, start: int = 0) -> list[int]:
     """Always the nearest point not yet visited; ties go to the lowest index."""
     order, left = [start], np.ones(len(km), bool)
     left[start] = False
@@ -40,68 +45,139 @@ def nearest_order(km: np.ndarray, start: int = 0) -> list[int]:
     return order
 
 
-def two_opt(km: np.ndarray, order: list[int], sweeps: int) -> list[int]:
-    """Reversals that shorten the closed tour, first improvement, the first stop fixed."""
-    tour, n = list(order), len(order)
-    for _ in range(sweeps):
+def two_opt(km: Km, order: list[int], sweeps: int) -> list[int]:
+    """Reversals that shorten the closed tour, first improvement, the first stop fixed.
+
+    For each stop all later ones are looked at in order, as two rows of distances; memory is linear in the stops.
+    """
+    tour, n = np.array(order, int), len(order)
+    leg = np.array([km[a, b] for a, b in zip(tour, np.roll(tour, -1), strict=True)]) if n > 2 else None
+    for _ in range(sweeps if n > 2 else 0):
         better = False
         for i in range(1, n - 1):
-            for j in range(i + 1, n):
-                a, b, c, d = tour[i - 1], tour[i], tour[j], tour[(j + 1) % n]
-                if km[a, c] + km[b, d] < km[a, b] + km[c, d] - 1e-9:
-                    tour[i : j + 1] = tour[i : j + 1][::-1]
-                    better = True
+            j = i + 1
+            while j < n:
+                a, b, c, d = tour[i - 1], tour[i], tour[j:], np.append(tour[j + 1 :], tour[0])
+                from_a, from_b = km[a, c], km[b, d]
+                shorter = np.flatnonzero(from_a + from_b < leg[i - 1] + leg[j:] - 1e-9)
+                if not len(shorter):
+                    break
+                k = int(shorter[0])
+                j += k
+                tour[i : j + 1] = tour[i : j + 1][::-1]
+                leg[i:j] = leg[i:j][::-1]
+                leg[i - 1], leg[j] = from_a[k], from_b[k]
+                better, j = True, j + 1
         if not better:
             break
-    return tour
+    return tour.tolist()
+
 
+def two_opt_near(km: Km, order: list[int], neighbours: int) -> list[int]:
+    """Reversals that shorten the closed tour, each stop with its nearest ``neighbours`` only; the first stop stays first.
 
-def open_length(km: np.ndarray, order: list[int]) -> float:
+    Stops wait in a queue; one that nothing improves is not looked at again until a leg of it changes. Memory is points
+    times neighbours. A reversal turns the shorter side, so the tour is turned to its first stop in the end.
+    """
+    n, k = len(order), min(neighbours, len(order) - 1)
+    if n < 4:
+        return list(order)
+    near, away = np.empty((n, k), int), np.empty((n, k))
+    for a in range(n):
+        row = km[a]
+        row = row.copy() if isinstance(row, np.ndarray) else row
+        row[a] = np.inf
+        own = np.argpartition(row, k - 1)[:k]
+        near[a] = own[np.lexsort((own, row[own]))]
+        away[a] = row[near[a]]
+    tour, at = list(order), [0] * n
+    for place, p in enumerate(tour):
+        at[p] = place
+
+    def turn(i: int, j: int) -> None:
+        """Reverses places i to j, going round the end if j < i; the shorter of that and the rest."""
+        size = (j - i) % n + 1
+        if 2 * size > n:
+            i, j, size = (j + 1) % n, (i - 1) % n, n - size
+        for _ in range(size // 2):
+            tour[i], tour[j] = tour[j], tour[i]
+            at[tour[i]], at[tour[j]] = i, j
+            i, j = (i + 1) % n, (j - 1) % n
+
+    waiting, queued = deque(tour), [True] * n
+    while waiting:
+        a = waiting.popleft()
+        queued[a] = False
+        for step in (1, -1):  # the leg to the next stop, then that from the last
+            b = tour[(at[a] + step) % n]
+            own, found = km[a, b], None
+            for c, ac in zip(near[a].tolist(), away[a].tolist(), strict=True):
+                if ac >= own:
+                    break
+                d = tour[(at[c] + step) % n]
+                if c != b and d != a and ac + km[b, d] < own + km[c, d] - 1e-9:
+                    found = c, d
+                    break
+            if found:
+                c, d = found
+                # a-b and c-d become a-c and b-d
+                turn(*((at[b], at[c]) if step == 1 else (at[a], at[d])))
+                for p in (a, b, c, d):
+                    if not queued[p]:
+                        queued[p] = True
+                        waiting.append(p)
+                break
+    first = at[order[0]]
+    return tour[first:] + tour[:first]
+
+
+def open_length(km: Km, order: list[int]) -> float:
     return float(sum(km[a, b] for a, b in zip(order, order[1:], strict=False)))
 
 
-def best_open(km: np.ndarray) -> list[int]:
+def best_open(km: Km) -> list[int]:
     """The shortest open path: exhaustive up to five points, else the best nearest-neighbour tour over all starts."""
     n = len(km)
     if n <= 2:
         return list(range(n))
+    km = km.matrix() if isinstance(km, Distances) else km
     tries = permutations(range(n)) if n <= 5 else (nearest_order(km, s) for s in range(n))
     return list(min(tries, key=lambda o: round(open_length(km, list(o)), PLACES)))
 
 
-def _ordered(points: DataFrame, order: Callable[[np.ndarray], list[int]]) -> DataFrame:
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("point_idx", kind="stable").reset_index(drop=True)
-        found = order(matrix(p["lat"].to_numpy(), p["lng"].to_numpy()))
-        return pd.DataFrame({"problem_id": p["problem_id"].iloc[0], "stop_seq": range(1, len(p) + 1), "point_idx": p["point_idx"].to_numpy()[found]})
+def _ordered(points: DataFrame, edges: DataFrame | None, order: Callable[[Distances], list[int]]) -> DataFrame:
+    def run(p: pd.DataFrame, km: Distances) -> pd.DataFrame:
+        return pd.DataFrame({"problem_id": p["problem_id"].iloc[0], "stop_seq": range(1, len(p) + 1), "point_idx": p["point_idx"].to_numpy()[order(km)]})
 
-    return points.select("problem_id", "point_idx", "lat", "lng").groupBy("problem_id").applyInPandas(run, STOPS)
+    return per_problem(points.select("problem_id", "point_idx", "lat", "lng"), edges, ["problem_id"], run, STOPS)
 
 
-def nearest_tour(points: DataFrame) -> DataFrame:
+def nearest_tour(points: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """``problem_id, stop_seq, point_idx`` from the lowest index on."""
-    return _ordered(points, nearest_order)
+    return _ordered(points, edges, nearest_order)
 
 
-def improved_tour(points: DataFrame, sweeps: int = 1000) -> DataFrame:
-    return _ordered(points, lambda km: two_opt(km, nearest_order(km), sweeps))
+def improved_tour(points: DataFrame, sweeps: int = 1000, edges: DataFrame | None = None, neighbours: int = 0) -> DataFrame:
+    """The nearest tour, then 2-opt: over all pairs of stops, or with ``neighbours``, of each stop and its nearest."""
+    return _ordered(points, edges, lambda km: two_opt_near(km, nearest_order(km), neighbours) if neighbours > 0 and sweeps > 0 else two_opt(km, nearest_order(km), sweeps))
 
 
-def group_tours(points: DataFrame, labels: DataFrame, whole: bool = True, sweeps: int = 0) -> DataFrame:
+def group_tours(points: DataFrame, labels: DataFrame, whole: bool = True, sweeps: int = 0, edges: DataFrame | None = None) -> DataFrame:
     """``problem_id, label, stop_seq, point_idx``: each group's own path, best open (``whole``) or nearest from its first.
 
     With ``sweeps``, the nearest path from the first point, then 2-opt.
     """
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["seq", "point_idx"], kind="stable").reset_index(drop=True)
-        km = matrix(p["lat"].to_numpy(), p["lng"].to_numpy())
+    def run(p: pd.DataFrame, km: Distances) -> pd.DataFrame:
         found = two_opt(km, nearest_order(km), sweeps) if sweeps else best_open(km) if whole else nearest_order(km)
         return pd.DataFrame({"problem_id": p["problem_id"].iloc[0], "label": p["label"].iloc[0], "stop_seq": range(1, len(p) + 1), "point_idx": p["point_idx"].to_numpy()[found]})
 
     seq = F.col("seq") if "seq" in labels.columns else F.lit(0).alias("seq")
     rows = points.select("problem_id", "point_idx", "lat", "lng").join(labels.select("problem_id", "point_idx", "label", seq), ["problem_id", "point_idx"])
-    return rows.groupBy("problem_id", "label").applyInPandas(run, "problem_id long, label int, stop_seq int, point_idx int")
+    if edges is not None:  # those inside a group
+        i, j = (labels.select("problem_id", F.col("point_idx").alias(t), F.col("label").alias(f"label_{t}")) for t in "ij")
+        edges = edges.join(i, ["problem_id", "i"]).join(j, ["problem_id", "j"]).filter("label_i = label_j").withColumnRenamed("label_i", "label")
+    return per_problem(rows, edges, ["problem_id", "label"], run, "problem_id long, label int, stop_seq int, point_idx int", ("seq", "point_idx"))
 
 
 # Constraints as column builders: what a day may hold once a stop is added.
@@ -119,7 +195,7 @@ def fits_time(seconds: Column, available: float) -> Column:
     return seconds <= available
 
 
-def split_days(stops: DataFrame, points: DataFrame, limits: Constraints, speed_kmh: float = 35.0) -> DataFrame:
+def split_days(stops: DataFrame, points: DataFrame, limits: Constraints, speed_kmh: float = 35.0, edges: DataFrame | None = None) -> DataFrame:
     """``problem_id, day, stop_seq, point_idx``: a tour cut into days.
 
     A day's first stop is always taken; the next goes to a new day when the day has its most stops, or would drive too
@@ -127,7 +203,7 @@ def split_days(stops: DataFrame, points: DataFrame, limits: Constraints, speed_k
     its legs, in order; the fold is linear in its stops.
     """
     # the tour as if on one day, for its legs
-    one = legs(stops.withColumn("day", F.lit(1)), points)
+    one = legs(stops.withColumn("day", F.lit(1)), points, edges)
     before = Window.partitionBy("problem_id").orderBy("stop_seq")
     one = one.select("problem_id", "stop_seq", "point_idx", F.coalesce(F.lag("leg_km").over(before), F.lit(0.0)).alias("km"))
     tour = one.groupBy("problem_id").agg(F.sort_array(F.collect_list(F.struct("stop_seq", "point_idx", "km"))).alias("tour"))
@@ -152,9 +228,9 @@ def split_days(stops: DataFrame, points: DataFrame, limits: Constraints, speed_k
     return rows.select("problem_id", "day", F.row_number().over(own).alias("stop_seq"), "point_idx")
 
 
-def day_rollup(stops: DataFrame, points: DataFrame, limits: Constraints, speed_kmh: float = 35.0, overhead: bool = True) -> DataFrame:
+def day_rollup(stops: DataFrame, points: DataFrame, limits: Constraints, speed_kmh: float = 35.0, overhead: bool = True, edges: DataFrame | None = None) -> DataFrame:
     """One row per day: ``point_count, drive_distance_km, drive_time_min, stop_time_min, total_time_hours``, each rounded."""
-    sums = legs(stops, points).groupBy("problem_id", "day").agg(F.count(F.lit(1)).alias("point_count"), F.round(F.sum("leg_km"), PLACES).alias("km"))
+    sums = legs(stops, points, edges).groupBy("problem_id", "day").agg(F.count(F.lit(1)).alias("point_count"), F.round(F.sum("leg_km"), PLACES).alias("km"))
     sec = drive_seconds(F.col("km"), speed_kmh)
     stay = F.col("point_count") * limits.stop_time_per_point_min
     extra = limits.roundtrip_overhead_min if overhead else 0.0

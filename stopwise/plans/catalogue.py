@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..operators import clean, density, growth, match, metrics, overnight, pairs, slices, tours
 from ..sources import tables
-from . import exports
+from ..config import PlanConfig, overridden
+from ..registers import DISTANCES
+from . import exports, plan_sql
 from . import fixtures as fx
 from .planner import Planner
 
@@ -342,7 +344,7 @@ def jn_day_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.zipped_days(days.filter("problem_id % 2 = 0"), days.filter("day != 2"))
 
 
-@query()
+@query(plan_sql.TOUR_TWO_OPT)
 def tour_two_opt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tours.improved_tour(fx.many(spark, sf_dir))
 
@@ -404,7 +406,7 @@ def cl_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with recursive " + ",".join([fx.SQL_MANY, fx.SQL_PAIRS.replace("pairs as", "plain as"), fx.SQL_ROAD, "pairs as (select p.problem_id,p.i,p.j,round(coalesce(km*detour,km),8) as km from plain p left join road r on r.problem_id=p.problem_id and r.i=p.i and r.j=p.j)", fx.SQL_BOTH]) + _SQL_DBSCAN.replace("{eps}", "25"))
 def cl_road(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density.road_dbscan(fx.many(spark, sf_dir), jn_road_fallback(spark, sf_dir), 25.0, 3)
+    return density.road_dbscan(fx.many(spark, sf_dir), fx.road_edges(spark, sf_dir).withColumnRenamed("road_km", "km"), 25.0, 3)
 
 
 def _named(name: str, f: Query) -> Query:
@@ -532,7 +534,7 @@ for _name, _most in {
     query(_SQL_INVARIANT)(_named(f"{_name}_invariant", _invariant(_name, _most)))
 
 
-@query()
+@query(plan_sql.GROUP_BEST)
 def tour_group_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = fx.many(spark, sf_dir)
     return tours.group_tours(points, growth.grouped(points, growth.centroid_greedy(5)))
@@ -722,8 +724,26 @@ def _plan(strategy: str) -> Query:
     return lambda spark, sf_dir: Planner(spark, fx.CONFIG).run(fx.many(spark, sf_dir), strategy).metrics
 
 
+@DISTANCES.register("fixture_road")
+def _fixture_road(points: DataFrame, config: PlanConfig) -> DataFrame:
+    """The road table over suppliers of ``distance.options.sf_dir``."""
+    return fx.road_edges(points.sparkSession, config.distance.options["sf_dir"]).withColumnRenamed("road_km", "km")
+
+
+def _road_plan(strategy: str) -> Query:
+    """The same plan over the provider's distances in every step."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        config = overridden(fx.CONFIG, {"distance.provider": "fixture_road", "distance.options.sf_dir": sf_dir})
+        return Planner(spark, config).run(fx.many(spark, sf_dir), strategy).metrics
+
+    return run
+
+
 for _name in ("tsp", "cluster", "overnight", "area_expansion", "fence", "dbscan", "road_network", "j_style"):
-    query()(_named(f"plan_{_name}", _plan(_name)))
+    query(plan_sql.PLANS.get(f"plan_{_name}"))(_named(f"plan_{_name}", _plan(_name)))
+for _name in ("tsp", "cluster", "dbscan"):
+    query(plan_sql.PLANS[f"plan_{_name}_road"])(_named(f"plan_{_name}_road", _road_plan(_name)))
 
 
 def _plan_invariant(strategy: str) -> Query:
@@ -751,7 +771,7 @@ def cmp_strategies_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cmp_strategies(spark, sf_dir).select("problem_id", "metric")
 
 
-@query()
+@query(plan_sql.COMPARED)
 def cmp_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Planner(spark, fx.CONFIG).compare(["tsp", "cluster", "fence"], fx.many(spark, sf_dir))
 

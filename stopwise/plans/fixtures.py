@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Base, Constraints, PlanConfig
+from ..functions.geo import haversine_km
 
 #: The depot.
 BASE_LNG, BASE_LAT = 107.08, 29.85
@@ -107,4 +108,13 @@ def road(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.selectExpr("cast(s_nationkey as bigint) as problem_id", "cast(i as int) as i", "cast(j as int) as j", "1.0D+((i+j)%7)/10.0D as detour")
 
 
+def road_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The road table: ``problem_id, i, j, road_km`` of the pairs that have a detour."""
+    points = many(spark, sf_dir)
+    at = lambda tag: points.select("problem_id", F.col("point_idx").alias(tag), F.col("lat").alias(f"lat_{tag}"), F.col("lng").alias(f"lng_{tag}"))
+    placed = road(spark, sf_dir).join(at("i"), ["problem_id", "i"]).join(at("j"), ["problem_id", "j"])
+    km = haversine_km(F.col("lat_i"), F.col("lng_i"), F.col("lat_j"), F.col("lng_j")) * F.col("detour")
+    return placed.select("problem_id", "i", "j", F.round(km, 8).alias("road_km"))
+
+
 SQL_ROAD = "road as (select cast(a.s_nationkey as bigint) as problem_id, a.s_suppkey as i, b.s_suppkey as j, 1.0e0+((a.s_suppkey+b.s_suppkey)%7)/10.0e0 as detour from supplier a join supplier b on a.s_nationkey=b.s_nationkey and a.s_suppkey<b.s_suppkey where (a.s_suppkey*31+b.s_suppkey)%9<>0)"

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import PlanConfig, load, overridden
 from ..operators import match, metrics, overnight, pairs, tours
-from ..registers import DISTANCES, GEOCODERS
+from ..registers import GEOCODERS
 from ..sources import tables
-from .strategies import STRATEGIES
+from .strategies import STRATEGIES, known_distances
 
 
 @GEOCODERS.register("gazetteer")
@@ -61,16 +61,16 @@ class Planner:
         name, c = strategy or self.config.strategy.name, self.config.constraints
         if name not in STRATEGIES:
             raise ValueError(f"no strategy {name}; there are {', '.join(sorted(STRATEGIES))}")
-        DISTANCES.pick(self.config.distance.provider)
         config = self._with_base(points)
+        edges = known_distances(points, config)
         stops = STRATEGIES[name](points, config)
         if "trip_type" in stops.columns:
             base = config.base_point
-            days = overnight.day_totals(stops, points, c, None if base.lat is None or base.lng is None else (base.lat, base.lng), config.distance.avg_speed_kmh)
+            days = overnight.day_totals(stops, points, c, None if base.lat is None or base.lng is None else (base.lat, base.lng), config.distance.avg_speed_kmh, edges)
         else:
-            days = tours.day_rollup(stops, points, c, config.distance.avg_speed_kmh)
+            days = tours.day_rollup(stops, points, c, config.distance.avg_speed_kmh, edges=edges)
         left = points.join(stops.select("problem_id", "point_idx"), ["problem_id", "point_idx"], "left_anti")
-        near = pairs.nearest(points, of=left).select("problem_id", "point_idx", "nearest_km")
+        near = pairs.nearest(points, edges, left).select("problem_id", "point_idx", "nearest_km")
         left = left.select("problem_id", "point_idx", "name").join(near, ["problem_id", "point_idx"], "left")
         return Plan(name, points, stops, days, left, tours.plan_metrics(days, c))
 

@@ -24,9 +24,9 @@ def register(name: str) -> Callable[[Strategy], Strategy]:
     return add
 
 
-def _days_of(points: DataFrame, labels: DataFrame, whole: bool) -> DataFrame:
+def _days_of(points: DataFrame, labels: DataFrame, whole: bool, edges: DataFrame | None) -> DataFrame:
     """Each group is a day, numbered by its label; label -1 is left out."""
-    own = tours.group_tours(points, labels.filter("label >= 0"), whole)
+    own = tours.group_tours(points, labels.filter("label >= 0"), whole, edges=edges)
     return own.select("problem_id", (F.col("label") + 1).alias("day"), "stop_seq", "point_idx")
 
 
@@ -35,52 +35,61 @@ def _base(config: PlanConfig) -> tuple[float, float] | None:
     return (b.lat, b.lng) if b.lat is not None and b.lng is not None else None
 
 
+def known_distances(points: DataFrame, config: PlanConfig) -> DataFrame | None:
+    """What the configured provider knows: a sparse table for every strategy, or None for great-circle distances."""
+    return DISTANCES.pick(config.distance.provider)(points, config)
+
+
 @register("tsp")
 def tsp(points: DataFrame, config: PlanConfig) -> DataFrame:
-    tour = tours.improved_tour(points, int(config.strategy.options.get("tsp_2opt_iterations", 1000)))
-    return tours.split_days(tour, points, config.constraints, config.distance.avg_speed_kmh)
+    """A nearest-neighbour tour, 2-opt, days. ``tsp_neighbours`` limits 2-opt to so many neighbours of each stop."""
+    o, edges = config.strategy.options, known_distances(points, config)
+    tour = tours.improved_tour(points, int(o.get("tsp_2opt_iterations", 1000)), edges, int(o.get("tsp_neighbours", 0)))
+    return tours.split_days(tour, points, config.constraints, config.distance.avg_speed_kmh, edges)
 
 
 @register("cluster")
 def cluster(points: DataFrame, config: PlanConfig) -> DataFrame:
-    o, most = config.strategy.options, config.constraints.max_daily_points
-    active = pairs.split_outliers(points, float(o.get("outlier_threshold_km", 5.0))).filter("not is_outlier")
+    o, most, edges = config.strategy.options, config.constraints.max_daily_points, known_distances(points, config)
+    active = pairs.split_outliers(points, float(o.get("outlier_threshold_km", 5.0)), edges).filter("not is_outlier")
     kernel = growth.centroid_greedy(most) if o.get("cluster_method", "centroid") == "centroid" else growth.chain_greedy(most, _base(config))
-    return _days_of(points, growth.grouped(active, kernel), True)
+    return _days_of(points, growth.grouped(active, kernel, edges), True, edges)
 
 
 @register("dbscan")
 def dbscan(points: DataFrame, config: PlanConfig) -> DataFrame:
-    o = config.strategy.options
-    return _days_of(points, density.dbscan(points, float(o.get("dbscan_eps_km", 5.0)), int(o.get("dbscan_min_samples", 3))), False)
+    o, edges = config.strategy.options, known_distances(points, config)
+    labels = density.road_dbscan(points, edges, float(o.get("dbscan_eps_km", 5.0)), int(o.get("dbscan_min_samples", 3)))
+    return _days_of(points, labels, False, edges)
 
 
 @DISTANCES.register("haversine")
-def _haversine(points: DataFrame, config: PlanConfig) -> DataFrame:
-    return pairs.pairs(points)
+def _haversine(points: DataFrame, config: PlanConfig) -> None:
+    """Knows nothing: every distance is a great-circle one."""
 
 
 @DISTANCES.register("road")
 def _road(points: DataFrame, config: PlanConfig) -> DataFrame:
-    """Road distances of ``strategy.options.road_edges`` (a Parquet table) where it has them, else great-circle ones."""
-    return pairs.road_pairs(pairs.pairs(points), points.sparkSession.read.parquet(config.strategy.options["road_edges"]))
+    """Road distances of ``road_edges`` (a Parquet table ``problem_id, i, j, road_km``), an option of the distance or the strategy."""
+    path = config.distance.options.get("road_edges") or config.strategy.options["road_edges"]
+    return points.sparkSession.read.parquet(path).select("problem_id", "i", "j", F.col("road_km").alias("km"))
 
 
 @register("road_network")
 def road_network(points: DataFrame, config: PlanConfig) -> DataFrame:
-    """Density groups over the distances of the configured provider; ``road`` if there are road edges."""
-    o = config.strategy.options
-    name = config.distance.provider
+    """Density groups over the distances of the configured provider; ``road`` if the strategy has road edges."""
+    o, name = config.strategy.options, config.distance.provider
     edges = DISTANCES.pick("road" if name == "haversine" and o.get("road_edges") else name)(points, config)
     labels = density.road_dbscan(points, edges, float(o.get("road_network_eps_km", 5.0)), int(o.get("road_network_min_samples", 3)))
-    return _days_of(points, labels, False)
+    return _days_of(points, labels, False, edges)
 
 
 @register("area_expansion")
 def area_expansion(points: DataFrame, config: PlanConfig) -> DataFrame:
     o = config.strategy.options
     kernel = growth.area_expansion(float(o.get("area_expansion_threshold_km2", 50)), int(o.get("min_points_per_cluster", 3)), int(o.get("max_points_per_cluster", 50)), bool(o.get("legacy_degrees", False)))
-    return _days_of(points, growth.grouped(points, kernel), False)
+    edges = known_distances(points, config)
+    return _days_of(points, growth.grouped(points, kernel, edges), False, edges)
 
 
 @register("j_style")
@@ -90,12 +99,13 @@ def j_style(points: DataFrame, config: PlanConfig) -> DataFrame:
         int(o("k_clusters", 5)), int(o("min_points", 10)), int(o("max_points", 50)), int(o("max_iterations", 50)), float(o("overlap_penalty", 5.0)), float(o("separation_weight", 0.8)),
         int(o("adjacency_k", 3)), bool(o("use_squared_overlap", True)), int(o("post_process_iterations", 20)), float(o("overlap_tolerance", 1e-6)), int(o("points_per_move", 5)),
     )
-    return _days_of(points, growth.grouped(points, kernel), False)
+    edges = known_distances(points, config)
+    return _days_of(points, growth.grouped(points, kernel, edges), False, edges)
 
 
 @register("fence")
 def fence(points: DataFrame, config: PlanConfig) -> DataFrame:
-    return _days_of(points, slices.river(points, config.constraints.max_daily_points), True)
+    return _days_of(points, slices.river(points, config.constraints.max_daily_points), True, known_distances(points, config))
 
 
 @register("overnight")
@@ -105,6 +115,7 @@ def overnight_trips(points: DataFrame, config: PlanConfig) -> DataFrame:
     typed = overnight.classify(points, *(base or (None, None)), c.overnight_threshold_km)
     near, far = (typed.filter(F.col("trip_type") == k) for k in ("single_day", "overnight"))
     days = tsp(near, single_day(config))
-    labels = growth.grouped(far, growth.chain_greedy(c.max_daily_points, base, farthest=True))
-    parts = overnight.halves(tours.group_tours(points, labels, sweeps=100))
+    edges = known_distances(points, config)
+    labels = growth.grouped(far, growth.chain_greedy(c.max_daily_points, base, farthest=True), edges)
+    parts = overnight.halves(tours.group_tours(points, labels, sweeps=100, edges=edges))
     return overnight.renumbered(days, parts)

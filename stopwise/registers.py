@@ -29,7 +29,7 @@ class Register:
         return self.known[name]
 
 
-#: (points, config) -> ``problem_id, i, j, km`` for i < j.
+#: (points, config) -> ``problem_id, i, j, km`` for i < j of the pairs that it knows, or None; other pairs are great-circle.
 DISTANCES = Register("distance provider")
 #: (spark, config) -> ``name, lng, lat``.
 GEOCODERS = Register("geocoder")
