@@ -7,8 +7,11 @@ component allowed, else one that a rule blocks makes it blocked, else it is allo
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,14 +72,61 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("host", "path", F.col("b.rule").alias("rule"), F.col("b.verdict").alias("own"))
 
 
+_FOUND = re.compile(r"<!--|<(script|style|noscript|template|textarea|title|link|meta)\b", re.I)
+_BREAK = re.compile(r"[\"'>]")
+_CANONICAL = re.compile(r"\brel\s*=\s*[\"']?canonical\b", re.I | re.A)
+_REFRESH = re.compile(r"\bhttp-equiv\s*=\s*[\"']?refresh\b", re.I | re.A)
+_HREF = re.compile(r"\bhref\s*=\s*[\"']?([^\"'\s>]+)", re.I | re.A)
+_URL = re.compile(r"\burl\s*=\s*[\"']?([^\"'\s>]+)", re.I | re.A)
+
+
+def page_targets(page: str) -> tuple[str | None, str | None]:
+    """The targets of the first canonical link and of the first refresh redirect; comments, scripts and the like are passed over.
+
+    One pass: a search goes on where the last one ended, and once nothing closes a comment, element or quote, nothing will.
+    """
+    at, canonical, refresh, quotes = 0, None, None, True
+    while (canonical is None or refresh is None) and (m := _FOUND.search(page, at)):
+        name = (m[1] or "").lower()
+        if name not in ("link", "meta"):
+            end = page.find("-->", m.end()) if not name else -1
+            if name:
+                close = re.compile(rf"</{name}\b", re.I).search(page, m.end())
+                end = close.end() if close else -1
+            if end < 0:
+                break  # open to the end of the page
+            at = end
+            continue
+        end = m.end()
+        while quotes and (q := _BREAK.search(page, end)) and q[0] != ">":
+            closed = page.find(q[0], q.end())
+            quotes, end = closed >= 0, closed + 1 if closed >= 0 else m.end()
+        end = page.find(">", end)
+        if end < 0:
+            break
+        tag, at = page[m.end() : end], end + 1
+        if name == "link" and canonical is None and _CANONICAL.search(tag):
+            canonical = found[1] if (found := _HREF.search(tag)) else ""
+        elif name == "meta" and refresh is None and _REFRESH.search(tag):
+            refresh = found[1] if (found := _URL.search(tag)) else ""
+    return canonical or None, refresh or None
+
+
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``u, v``: each page's url and the target of its canonical link or its refresh redirect, without fragments."""
-    html, url = F.col(html_col), F.col(url_col)
-    link = F.regexp_extract(html, r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    meta = F.regexp_extract(html, r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    href = F.regexp_extract(link, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    target = F.regexp_extract(meta, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    found = pages.select(url.alias("from"), F.explode(F.array(href, target)).alias("to")).filter("`from` is not null and to != ''")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls, targets = [], []
+            for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for to in page_targets(page):
+                    if to:
+                        urls.append(url)
+                        targets.append(to)
+            yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(targets, pa.string())], names=["from", "to"])
+
+    asked = pages.select(F.col(url_col).alias("from"), F.col(html_col).alias("html")).filter("`from` is not null and html rlike '(?i)canonical|refresh'")
+    found = asked.mapInArrow(run, "`from` string, `to` string")
     site = F.regexp_extract("from", r"^[^/?#]*://[^/?#]*", 0)
     scheme = F.regexp_extract("from", r"^[^/?#]*:", 0)
     whole = F.when(F.startswith("to", F.lit("//")), F.concat(scheme, F.col("to"))).when(F.startswith("to", F.lit("/")), F.concat(site, F.col("to"))).otherwise(F.col("to"))
