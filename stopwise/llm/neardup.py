@@ -393,7 +393,8 @@ def keep_single(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     placed = written(found.join(ids, "own"), "placed")
     first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own")).alias("m"))
     gone = placed.select("own").join(first.select(F.col("m.own").alias("own")), "own", "left_anti")
-    return rows.join(gone, rows[key] == gone["own"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # dealt by key at any size: who goes grows with the rows
+    return rows.join(gone.hint("merge"), rows[key] == gone["own"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = """
