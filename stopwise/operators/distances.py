@@ -12,6 +12,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, PLACES
 
@@ -77,4 +78,5 @@ def per_problem(points: DataFrame, edges: DataFrame | None, keys: list[str], run
 
     if edges is None:
         return points.groupBy(*keys).applyInPandas(alone, schema)
-    return points.groupBy(*keys).cogroup(edges.select(*keys, "i", "j", "km").groupBy(*keys)).applyInPandas(both, schema)
+    known = edges.select(*[F.col(k).alias(f"own_{k}") for k in keys], "i", "j", "km")  # a table made from the same points has the same columns
+    return points.groupBy(*keys).cogroup(known.groupBy(*[f"own_{k}" for k in keys])).applyInPandas(both, schema)

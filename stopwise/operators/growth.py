@@ -321,21 +321,37 @@ def plane(lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
     return np.column_stack([(lng - lng.mean()) * 111.0 * np.cos(np.radians(lat.mean())), (lat - lat.mean()) * 111.0])
 
 
-def hull(x: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull, anticlockwise; points on an edge are dropped."""
-    p = np.unique(x, axis=0)
-    if len(p) <= 2:
-        return p
-
-    def side(rows: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+def on_hull(x: np.ndarray, slack: float = 0.0) -> np.ndarray:
+    """Positions of the corners of the convex hull, anticlockwise from the westmost. Points on an edge, to within rounding (a
+    10^-12 of the extent), are dropped; with ``slack``, they are kept if they are within it (twice the area of their triangle).
+    Equal points count once."""
+    order = np.lexsort((np.arange(len(x)), x[:, 1], x[:, 0]))
+    if len(order):
+        p = x[order]
+        order = order[np.append(True, (p[1:] != p[:-1]).any(axis=1))]
+    if len(order) <= 2:
+        return order
+    at, least = x.tolist(), -slack if slack else 1e-12 * float(np.prod(np.ptp(x, axis=0)))
+
+    def side(rows: list[int]) -> list[int]:
+        out: list[int] = []
         for q in rows:
-            while len(out) > 1 and np.cross(np.append(out[-1] - out[-2], 0), np.append(q - out[-1], 0))[2] <= 0:
+            while len(out) > 1:
+                (ax, ay), (bx, by), (cx, cy) = at[out[-2]], at[out[-1]], at[q]
+                if (bx - ax) * (cy - by) - (by - ay) * (cx - bx) > least:
+                    break
                 out.pop()
             out.append(q)
         return out
 
-    return np.array(side(p)[:-1] + side(p[::-1])[:-1])
+    rows = order.tolist()
+    ring = side(rows)[:-1] + side(rows[::-1])[:-1]
+    return np.array(list(dict.fromkeys(ring)), int)
+
+
+def hull(x: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull, anticlockwise; points on an edge are dropped."""
+    return x[on_hull(x)]
 
 
 def hull_area(x: np.ndarray) -> float:
@@ -383,12 +399,12 @@ def enclosing_circle(x: np.ndarray) -> tuple[float, float, float]:
         return c, float(np.hypot(*(a - c)))
 
     def through(a, b, c):
-        d = 2 * (a[0] * (b[1] - c[1]) + b[0] * (c[1] - a[1]) + c[0] * (a[1] - b[1]))
+        (bx, by), (cx, cy) = b - a, c - a  # from a on, so that far places lose no digits
+        d = 2 * (bx * cy - by * cx)
         if abs(d) < 1e-10:
             return max((over(a, b), over(a, c), over(b, c)), key=lambda t: t[1])
-        s = (a**2).sum(), (b**2).sum(), (c**2).sum()
-        o = np.array([s[0] * (b[1] - c[1]) + s[1] * (c[1] - a[1]) + s[2] * (a[1] - b[1]), s[0] * (c[0] - b[0]) + s[1] * (a[0] - c[0]) + s[2] * (b[0] - a[0])]) / d
-        return o, float(np.hypot(*(a - o)))
+        o = np.array([cy * (bx * bx + by * by) - by * (cx * cx + cy * cy), bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)]) / d
+        return a + o, float(np.hypot(*o))
 
     if not len(x):
         return 0.0, 0.0, 0.0
@@ -516,27 +532,3 @@ def compact_circles(k: int, least: int, most: int, rounds: int = 50, penalty: fl
         return [np.flatnonzero(label == g).tolist() for g in range(kk)]
 
     return run
-
-
-def circle_of_groups(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """``problem_id, label, lat, lng, r``: the least enclosing circle of each group, in degrees."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("point_idx", kind="stable")
-        a, b, r = enclosing_circle(p[["lat", "lng"]].to_numpy(float))
-        return pd.DataFrame({"problem_id": [p["problem_id"].iloc[0]], "label": [p["label"].iloc[0]], "lat": [round(a, 9)], "lng": [round(b, 9)], "r": [round(r, 9)]})
-
-    rows = points.select("problem_id", "point_idx", "lat", "lng").join(labels.select("problem_id", "point_idx", "label"), ["problem_id", "point_idx"])
-    return rows.groupBy("problem_id", "label").applyInPandas(run, "problem_id long, label int, lat double, lng double, r double")
-
-
-def hulls(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """``problem_id, label, corners, area_km2``: the convex hull of each group."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        lat, lng = p["lat"].to_numpy(float), p["lng"].to_numpy(float)
-        corners = [{"lat": float(a), "lng": float(b)} for b, a in hull(np.column_stack([lng, lat]))]
-        return pd.DataFrame({"problem_id": [p["problem_id"].iloc[0]], "label": [p["label"].iloc[0]], "corners": [corners], "area_km2": [round(hull_area(plane(lat, lng)), 6)]})
-
-    rows = points.select("problem_id", "point_idx", "lat", "lng").join(labels.select("problem_id", "point_idx", "label"), ["problem_id", "point_idx"])
-    return rows.groupBy("problem_id", "label").applyInPandas(run, "problem_id long, label int, corners array<struct<lat: double, lng: double>>, area_km2 double")

@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import degrees_apart, haversine_km, lens_area, planar_km
-from .pairs import pairs
+from ..functions.geo import EARTH_KM, degrees_apart, haversine_km, lens_area, planar_km
+from . import shared
+from .shapes import diameters
 
 
 def sizes(labels: DataFrame) -> DataFrame:
@@ -18,23 +19,60 @@ def sizes(labels: DataFrame) -> DataFrame:
     return n.groupBy("problem_id").agg(F.count(F.lit(1)).alias("groups"), F.round(mean, 6).alias("mean_size"), F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.round(std, 6).alias("std_size"), F.round(std / mean, 6).alias("variation"))
 
 
-def _labelled(points: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = pairs(points)
-    for side in "ij":
-        rows = rows.join(labels.select("problem_id", F.col("point_idx").alias(side), F.col("label").alias(f"l_{side}")), ["problem_id", side])
-    return rows
-
-
 def spread(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """``problem_id, label, max_km``: each group's largest distance, 0 for a single point."""
-    far = _labelled(points, labels).filter("l_i = l_j").groupBy("problem_id", F.col("l_i").alias("label")).agg(F.max("km").alias("max_km"))
+    """``problem_id, label, max_km``: each group's largest distance, 0 for a single point; see :func:`.shapes.diameters`."""
+    far = diameters(points, labels)
     return labels.select("problem_id", "label").distinct().join(far, ["problem_id", "label"], "left").withColumn("max_km", F.coalesce("max_km", F.lit(0.0)))
 
 
+def _to_box(lat: Column, lng: Column, box: str) -> Column:
+    """A distance in km that no point of the box of degrees ``box`` comes below, seen from (lat, lng)."""
+    north = F.greatest(F.lit(0.0), lat - F.col(f"{box}.n"), F.col(f"{box}.s") - lat)
+    round_ = lambda c: F.pmod(c, F.lit(360.0))
+    inside = (lng >= F.col(f"{box}.w")) & (lng <= F.col(f"{box}.e"))
+    east = F.when(inside, 0.0).otherwise(F.least(round_(F.col(f"{box}.w") - lng), round_(lng - F.col(f"{box}.e"))))
+    # to the meridian of the box's nearer side, where the way to it is under a quarter of the globe
+    across = F.when(east < 90.0, F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(east)))).otherwise(F.lit(0.0))
+    return F.lit(EARTH_KM) * F.greatest(F.radians(north), across) - 1e-5
+
+
 def gaps(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """``problem_id, label_a, label_b, min_km``: the least distance of each pair of groups."""
-    apart = _labelled(points, labels).filter("l_i != l_j")
-    return apart.groupBy("problem_id", F.least("l_i", "l_j").alias("label_a"), F.greatest("l_i", "l_j").alias("label_b")).agg(F.min("km").alias("min_km"))
+    """``problem_id, label_a, label_b, min_km``: the least distance of each pair of groups.
+
+    A pair of points gives a distance that is reached: the point of one group nearest to the other's box, the other's point
+    nearest to that, and back. Only points that are as near to the other group's box are left; these meet in grid cells
+    of that width. So a point meets each group once, and points of two groups meet only along their border.
+    """
+    rows = points.select("problem_id", "point_idx", "lat", "lng").join(labels.select("problem_id", "point_idx", "label"), ["problem_id", "point_idx"])
+    rows = shared.cut(rows, "labelled")
+    box = F.struct(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lng").alias("w"), F.max("lng").alias("e"))
+    boxes = rows.groupBy("problem_id", "label").agg(box.alias("box"))
+    a, b = (boxes.select("problem_id", F.col("label").alias(f"label_{k}"), F.col("box").alias(f"box_{k}")) for k in "ab")
+    both = shared.cut(a.join(b, "problem_id").filter("label_a < label_b"), "boxes")
+    pair = ["problem_id", "label_a", "label_b"]
+    of = lambda side: rows.withColumnRenamed("label", f"label_{side}").select("problem_id", f"label_{side}", "point_idx", "lat", "lng")
+    best = lambda km: F.min(F.struct(km.alias("km"), "point_idx", "lat", "lng"))
+    met = both.join(of("a"), ["problem_id", "label_a"]).groupBy(*pair).agg(best(_to_box(F.col("lat"), F.col("lng"), "box_b")).alias("at"))
+    for side in "ba":
+        far = haversine_km(F.col("lat"), F.col("lng"), F.col("at.lat"), F.col("at.lng"))
+        met = met.join(of(side), ["problem_id", f"label_{side}"]).groupBy(*pair).agg(best(far).alias("at"))
+    bound = both.join(met.select(*pair, F.col("at.km").alias("bound")), pair)
+    bound = shared.cut(bound.withColumn("far", F.greatest(*[F.abs(F.col(f"box_{k}.{e}")) for k in "ab" for e in "sn"])), "bounds")
+
+    def border(side: str, other: str) -> DataFrame:
+        near = bound.join(of(side), ["problem_id", f"label_{side}"]).filter(_to_box(F.col("lat"), F.col("lng"), f"box_{other}") <= F.col("bound"))
+        lng = F.col("lng")
+        if side == "b":  # it also stands beyond the antimeridian
+            near = near.withColumn("lng", F.explode(F.when(lng > 90, F.array(lng, lng - 360)).when(lng < -90, F.array(lng, lng + 360)).otherwise(F.array(lng))))
+        step = F.greatest(F.col("bound"), F.lit(0.001)) / 111.0
+        wide = step / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.col("far") + step))))
+        cells = {"cy": F.floor(F.col("lat") / step), "cx": F.floor(F.col("lng") / wide)}
+        return near.withColumns(cells).select(*pair, F.col("lat").alias(f"lat_{side}"), F.col("lng").alias(f"lng_{side}"), "cy", "cx")
+
+    around = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
+    left = border("a", "b").withColumn("s", around).withColumns({"cy": F.col("cy") + F.col("s.dy"), "cx": F.col("cx") + F.col("s.dx")}).drop("s")
+    met = left.join(border("b", "a"), [*pair, "cy", "cx"])
+    return met.groupBy(*pair).agg(F.min(haversine_km(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))).alias("min_km"))
 
 
 def quality(points: DataFrame, labels: DataFrame, overlap_km: float = 1.0) -> DataFrame:

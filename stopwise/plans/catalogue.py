@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import clean, density, growth, match, metrics, overnight, pairs, slices, tours
+from ..operators import clean, density, growth, match, metrics, overnight, pairs, shapes, slices, tours
 from ..sources import tables
 from ..config import PlanConfig, overridden
 from ..registers import DISTANCES
@@ -594,14 +594,35 @@ def geo_circumcircle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return three.select("problem_id", geo.circumcircle(*at).alias("c")).select("problem_id", *[F.round(f"c.{k}", 4).alias(k) for k in ("x", "y", "r")])
 
 
-@query()
+#: The least of all circles over two points or through three that hold the whole group.
+_SQL_MEC = _SQL_F + """, l as (select problem_id, label, point_idx, lat, lng from pts join fenced using (problem_id, point_idx)),
+ two as (select a.problem_id, a.label, (a.lat+b.lat)/2 as x, (a.lng+b.lng)/2 as y, sqrt(pow(a.lat-b.lat,2)+pow(a.lng-b.lng,2))/2 as r from l a join l b on a.problem_id=b.problem_id and a.label=b.label and a.point_idx<b.point_idx),
+ d as (select a.problem_id, a.label, a.lat, a.lng, b.lat-a.lat as bx, b.lng-a.lng as by_, c.lat-a.lat as cx, c.lng-a.lng as cy from l a join l b on a.problem_id=b.problem_id and a.label=b.label and a.point_idx<b.point_idx
+  join l c on c.problem_id=a.problem_id and c.label=a.label and b.point_idx<c.point_idx),
+ o as (select problem_id, label, lat, lng, (cy*(bx*bx+by_*by_)-by_*(cx*cx+cy*cy))/(2*(bx*cy-by_*cx)) as ox, (bx*(cx*cx+cy*cy)-cx*(bx*bx+by_*by_))/(2*(bx*cy-by_*cx)) as oy from d where abs(2*(bx*cy-by_*cx))>=1e-10),
+ tries as (select * from two union all select problem_id, label, lat+ox, lng+oy, sqrt(ox*ox+oy*oy) from o union all select problem_id, label, any_value(lat), any_value(lng), 0 from l group by 1,2 having count(distinct (lat,lng))=1),
+ fits as (select * from tries t where not exists (select 1 from l where l.problem_id=t.problem_id and l.label=t.label and sqrt(pow(l.lat-t.x,2)+pow(l.lng-t.y,2))>t.r+1e-10))
+ select problem_id, label, round(arg_min(x,r),9) as lat, round(arg_min(y,r),9) as lng, round(min(r),9) as r from fits group by 1,2"""
+
+
+@query(_SQL_MEC)
 def geo_mec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return growth.circle_of_groups(*_fenced(spark, sf_dir))
+    return shapes.circle_of_groups(*_fenced(spark, sf_dir))
 
 
-@query()
+#: An edge of the hull goes from a corner to another with all the rest to its left, or between them on it.
+_SQL_HULL = _SQL_F + """, l as (select *, avg(lat) over (partition by problem_id,label) as mla, 1e-12*(max(lat) over (partition by problem_id,label)-min(lat) over (partition by problem_id,label))*(max(lng) over (partition by problem_id,label)-min(lng) over (partition by problem_id,label)) as e from pts join fenced using (problem_id, point_idx)),
+ k as (select problem_id, label, point_idx, lng*111e0*cos(radians(mla)) as x, lat*111e0 as y, lng, lat, e from l),
+ edges as (select a.problem_id, a.label, a.x*b.y-b.x*a.y as twice, pow(a.x-b.x,2)+pow(a.y-b.y,2) as square from k a join k b on a.problem_id=b.problem_id and a.label=b.label and a.point_idx<>b.point_idx
+  where not exists (select 1 from k c where c.problem_id=a.problem_id and c.label=a.label and c.point_idx not in (a.point_idx,b.point_idx)
+   and (b.lng-a.lng)*(c.lat-b.lat)-(b.lat-a.lat)*(c.lng-b.lng)<=c.e and ((b.lng-a.lng)*(c.lat-b.lat)-(b.lat-a.lat)*(c.lng-b.lng)<-c.e or (c.lng-a.lng)*(c.lng-b.lng)+(c.lat-a.lat)*(c.lat-b.lat)>0)))
+ select problem_id, label, cast(count(*) as int) as corners, round(case when count(*)=2 then max(square) else sum(twice)/2 end,6) as area_km2 from edges group by 1,2
+ union all select problem_id, label, 1, 0 from l group by 1,2 having count(*)=1"""
+
+
+@query(_SQL_HULL)
 def geo_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return growth.hulls(*_fenced(spark, sf_dir)).select("problem_id", "label", F.size("corners").alias("corners"), "area_km2")
+    return shapes.hulls(*_fenced(spark, sf_dir)).select("problem_id", "label", F.size("corners").alias("corners"), "area_km2")
 
 
 _SQL_QUALITY = _SQL_F + ", " + fx.SQL_PAIRS + """, lp as (select p.*, a.label as la, b.label as lb from pairs p join fenced a on a.point_idx=p.i join fenced b on b.point_idx=p.j),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import circle_polygon
 from ..functions.text import day_label, field
 from ..operators.clean import UNMATCHED, VAGUE, WRONG_DISTRICT
-from ..operators.growth import hulls
+from ..operators.shapes import hulls
 from ..registers import EXPORTERS
 
 
