@@ -180,6 +180,11 @@ def improvement(before: Column, after: Column) -> Column:
     return F.when(before != 0, F.round((before - after) / before * 100, 6)).otherwise(0.0)
 
 
+def differences(table: DataFrame, first: str, second: str) -> DataFrame:
+    """``problem_id, metric``, the figures of two strategies of :func:`compared`, and ``difference``: the second less the first."""
+    return table.select("problem_id", "metric", first, second, F.round(F.col(second) - F.col(first), 6).alias("difference"))
+
+
 def compared(metrics: DataFrame, strategies: list[str]) -> DataFrame:
     """One row per problem and metric, a column per strategy."""
     names = ("total_days", "total_points", "total_distance_km", "total_hours", "max_day_points", "avg_day_distance", "overtime_days")

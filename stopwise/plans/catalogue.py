@@ -5,13 +5,14 @@ A query is added with :func:`query`; its SQL, if any, is given there too, with t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import clean, density, growth, match, metrics, overnight, pairs, shapes, slices, tours
+from ..operators import clean, density, growth, match, metrics, overnight, pairs, shapes, shared, slices, tours
 from ..sources import tables
 from ..config import PlanConfig, overridden
 from ..registers import DISTANCES
@@ -464,6 +465,7 @@ def _greedy_sql(most: int, seed: str, grow: str) -> str:
 _SQL_TO_MEAN = "(select " + fx.SQL_KM.format(a="b", b="m") + " from (select avg(q.lat) as lat, avg(q.lng) as lng from pts q where q.problem_id=b.problem_id and {of}) m)"
 _SQL_TO_ALL = "(select round({f}(" + fx.SQL_KM.format(a="b", b="q") + "),9) from pts q where q.problem_id=b.problem_id and {of})"
 _SQL_KERNELS = {
+    "cl_capped_link": plan_sql.CAPPED_LINK,
     "cl_overnight_chain": "with recursive " + fx.SQL_MANY + _SQL_CHAIN_FAR,
     "cl_centroid": _greedy_sql(5, _SQL_TO_MEAN, _SQL_TO_MEAN),
     "cl_isolation": _greedy_sql(6, _SQL_TO_ALL.replace("{f}", "avg"), _SQL_TO_ALL.replace("{f}", "min")),
@@ -792,6 +794,17 @@ def cmp_strategies_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cmp_strategies(spark, sf_dir).select("problem_id", "metric")
 
 
+@query(plan_sql.DIFFERENCES)
+def cmp_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.differences(Planner(spark, fx.CONFIG).compare(["tsp", "fence"], fx.many(spark, sf_dir)), "tsp", "fence")
+
+
+@query(plan_sql.REGIONS)
+def geo_region_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes_ = exports.region_shapes(*_planned(spark, sf_dir))
+    return shapes_.select("problem_id", F.col("day").cast("int").alias("day"), "kind", F.explode("corners").alias("c")).select("problem_id", "day", "kind", F.round("c.lat", 6).alias("lat"), F.round("c.lng", 6).alias("lng"))
+
+
 @query(plan_sql.COMPARED)
 def cmp_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Planner(spark, fx.CONFIG).compare(["tsp", "cluster", "fence"], fx.many(spark, sf_dir))
@@ -815,7 +828,11 @@ def snk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.report(tours.day_rollup(stops, points, fx.LIMITS), stops, points)
 
 
-@query()
+_SQL_DRAW = "(((id+42)*(7919+104729*{k})+4241*{k})%10007)/10007.0e0*{m}e0"
+
+
+@query("select cast(0 as bigint) as problem_id, cast(id as int) as point_idx, concat('P',id) as name, case when id>=80 then 107.08e0+{a}-0.5e0 else 106.75e0+(id%6)*0.13e0+({b}-0.03e0) end as lng, case when id>=80 then 29.85e0+{c}-0.5e0 else 29.78e0+((id%6)*5%6)*0.03e0+({d}-0.03e0) end as lat from range(85) r(id)".format(
+    a=_SQL_DRAW.format(k=3, m="1.0"), b=_SQL_DRAW.format(k=1, m="0.06"), c=_SQL_DRAW.format(k=4, m="1.0"), d=_SQL_DRAW.format(k=2, m="0.06")))
 def src_made_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.made_points(spark)
 
@@ -929,3 +946,27 @@ def agg_actual_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = stops.filter("problem_id = 3")
     base = points.filter("problem_id = 3").agg(F.min("point_idx")).first()[0]
     return tours.actual_totals(own, fx.road(spark, sf_dir).withColumnRenamed("detour", "road_km"), base if base is not None else 0)
+
+
+@query("with recursive " + fx.SQL_MANY + _SQL_DAYS + " select s.problem_id, cast(s.day as bigint) as day, cast(n as bigint) as \"index\", name, case when n=1 then drive_distance_km end as day_km, case when n=1 then total_time_hours end as day_hours from split s join pts p on p.problem_id=s.problem_id and p.point_idx=s.point_idx join days d on d.problem_id=s.problem_id and d.day=s.day")
+def snk_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a plan, written as spreadsheets and read back."""
+    points, stops = _planned(spark, sf_dir)
+    path = f"{shared.folder(spark)}/sheets-{uuid.uuid4().hex[:12]}"
+    exports.write_rows(exports.rows(stops, points, tours.day_rollup(stops, points, fx.LIMITS), ["day", "index", "name"]), path, "xlsx", ("problem_id", "day", "index"))
+    back = tables.read_table(spark, path, "xlsx")
+    number = lambda c: F.col(c).cast("double").alias(c)
+    return back.select(*[F.col(c).cast("long").alias(c) for c in ("problem_id", "day", "index")], "name", number("day_km"), number("day_hours"))
+
+
+@query("""with places as (select c_custkey as row_no, case when c_custkey%3=0 then c_name else concat('Zone.',c_name,'/',c_nationkey) end as address, cast(c_custkey as double) as lng, cast(c_nationkey as double) as lat from customer),
+ names as (select distinct concat('Zone.',c_name) as name, c_name as short from customer where c_custkey%4<>0 union select distinct c_name, c_name from customer where c_custkey%4=0),
+ one as (select name, max(row_no) as row_no from names join places on address=name group by 1),
+ two as (select name, min(row_no) as row_no from names join places on contains(address, short) where name not in (select name from one) group by 1)
+ select name, lng, lat from names left join (select * from one union all select * from two) f using (name) left join places p on p.row_no=f.row_no""")
+def jn_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of names for the maps, by the whole name, else as a part of an address."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    places = c.selectExpr("c_custkey as row_no", "case when c_custkey%3=0 then c_name else concat('Zone.',c_name,'/',c_nationkey) end as address", "cast(c_custkey as double) as lng", "cast(c_nationkey as double) as lat")
+    names = c.selectExpr("case when c_custkey%4<>0 then concat('Zone.',c_name) else c_name end as name")
+    return exports.located(names, places, "Zone.")

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import circle_polygon
-from ..functions.text import day_label, field
+from ..functions.text import day_label, field, without
 from ..operators.clean import UNMATCHED, VAGUE, WRONG_DISTRICT
+from ..operators.match import containing
 from ..operators.shapes import hulls
 from ..registers import EXPORTERS
+from ..sources.sheets import write_sheets
 
 
 def plan_json(days: DataFrame, stops: DataFrame, points: DataFrame, unassigned: DataFrame, strategy: str) -> DataFrame:
@@ -35,14 +37,30 @@ def rows(stops: DataFrame, points: DataFrame, days: DataFrame, columns: list[str
     return full.select("problem_id", *chosen, F.when(first, F.col("drive_distance_km")).alias("day_km"), F.when(first, F.col("total_time_hours")).alias("day_hours"))
 
 
-def write_rows(table: DataFrame, path: str, kind: str = "csv") -> None:
-    """Writes rows as csv, json or parquet."""
-    writer = table.write.mode("overwrite")
-    if kind not in ("csv", "json", "parquet"):
+def write_rows(table: DataFrame, path: str, kind: str = "csv", order: tuple[str, ...] = ()) -> None:
+    """Writes rows as csv, json, parquet, or xlsx (a folder of sheets, by default in order of all columns)."""
+    if kind not in ("csv", "json", "parquet", "xlsx"):
         raise ValueError(f"no writer for {kind}")
+    if kind == "xlsx":
+        write_sheets(table, path, list(order) or table.columns)
+        return
+    writer = table.write.mode("overwrite")
     (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
 
 
+def located(names: DataFrame, places: DataFrame, prefix: str = "") -> DataFrame:
+    """``name, lng, lat`` of ``names`` by ``places`` (``row_no, address, lng, lat``): by the whole name, else by the first place, in
+    its own order, that holds the name without ``prefix``; null where there is none."""
+    asked = names.select("name").distinct()
+    first = F.min(F.struct("row_no", "lng", "lat"))
+    exact = places.groupBy(F.col("address").alias("name")).agg(F.max(F.struct("row_no", "lng", "lat")).alias("at"))  # a later row replaces an earlier one
+    rest = asked.join(exact, "name", "left_anti").withColumn("x", without(F.col("name"), prefix) if prefix else F.col("name"))
+    held = containing(rest.select("x"), places.select(F.col("address").alias("y")))
+    loose = rest.join(held, "x").join(places.withColumnRenamed("address", "y"), "y").groupBy("name").agg(first.alias("at"))
+    found = exact.join(asked, "name", "left_semi").unionByName(loose)
+    return asked.join(found, "name", "left").select("name", "at.lng", "at.lat")
+
+
 def region_shapes(points: DataFrame, stops: DataFrame) -> DataFrame:
     """``problem_id, day, kind, corners``: a hull of three or more stops, a padded circle around two, 300 m around one."""
     labels = stops.select("problem_id", "point_idx", F.col("day").alias("label"))
@@ -53,14 +71,18 @@ def region_shapes(points: DataFrame, stops: DataFrame) -> DataFrame:
     return found.select("problem_id", F.col("label").alias("day"), F.when(F.size("corners") >= 3, "hull").otherwise("circle").alias("kind"), F.when(F.size("corners") >= 3, F.col("corners")).otherwise(ring).alias("corners"))
 
 
-def geojson(points: DataFrame, stops: DataFrame) -> DataFrame:
-    """``problem_id, collection``: a FeatureCollection with a point per stop and a line per day."""
+def geojson(points: DataFrame, stops: DataFrame, regions: bool = False) -> DataFrame:
+    """``problem_id, collection``: a FeatureCollection with a point per stop and a line per day, and with ``regions`` the area of each day."""
     full = stops.join(points.select("problem_id", "point_idx", "name", "lng", "lat"), ["problem_id", "point_idx"])
     spot = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("lng", "lat").alias("coordinates")).alias("geometry"), F.struct("day", "stop_seq", "name").alias("properties"))
     spots = full.select("problem_id", "day", "stop_seq", F.to_json(spot).alias("f"))
     path = full.groupBy("problem_id", "day").agg(F.transform(F.sort_array(F.collect_list(F.struct("stop_seq", "lng", "lat"))), lambda x: F.array(x["lng"], x["lat"])).alias("line"))
     line = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), F.col("line").alias("coordinates")).alias("geometry"), F.struct("day").alias("properties"))
     lines = path.select("problem_id", "day", F.lit(0).alias("stop_seq"), F.to_json(line).alias("f"))
+    if regions:
+        ring = F.transform(F.concat("corners", F.slice("corners", 1, 1)), lambda c: F.array(c["lng"], c["lat"]))
+        area = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.struct("day", "kind").alias("properties"))
+        lines = lines.unionByName(region_shapes(points, stops).select("problem_id", "day", F.lit(-1).alias("stop_seq"), F.to_json(area).alias("f")))
     joined = spots.unionByName(lines).groupBy("problem_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("day", "stop_seq", "f"))), lambda x: x["f"]), ",").alias("f"))
     return joined.select("problem_id", F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}")).alias("collection"))
 
@@ -91,6 +113,6 @@ def failed_sheet(rows_: DataFrame) -> DataFrame:
 
 EXPORTERS.register("json")(lambda p: plan_json(p.days, p.stops, p.points, p.unassigned, p.strategy))
 EXPORTERS.register("rows")(lambda p: rows(p.stops, p.points, p.days))
-EXPORTERS.register("map")(lambda p: geojson(p.points, p.stops))
+EXPORTERS.register("map")(lambda p: geojson(p.points, p.stops, regions=True))
 EXPORTERS.register("report")(lambda p: report(p.days, p.stops, p.points, p.unassigned))
 EXPORTERS.register("regions")(lambda p: region_shapes(p.points, p.stops))

@@ -165,8 +165,40 @@ PLANS = {
     "plan_road_network": query(DIST, dbscan(), end="select * from dbscans"),
 }
 _FIGURES = ("total_days", "total_points", "total_distance_km", "total_hours", "max_day_points", "avg_day_distance", "overtime_days")
+_FIGURE_ROWS = lambda *of: " figures as (" + " union all ".join(f"select problem_id, '{s}' as strategy, '{m}' as metric, cast({m} as double) as value from {t}" for s, t in of for m in _FIGURES) + ")"
 COMPARED = query(
     DIST, tsp(), cluster(), fence(),
-    " figures as (" + " union all ".join(f"select problem_id, '{s}' as strategy, '{m}' as metric, cast({m} as double) as value from {t}" for s, t in (("tsp", "tsp"), ("cluster", "clusters"), ("fence", "fences")) for m in _FIGURES) + ")",
+    _FIGURE_ROWS(("tsp", "tsp"), ("cluster", "clusters"), ("fence", "fences")),
     end="select problem_id, metric, " + ", ".join(f"max(value) filter (strategy='{s}') as {s}" for s in ("tsp", "cluster", "fence")) + " from figures group by 1,2",
 )
+DIFFERENCES = query(
+    DIST, tsp(), fence(), _FIGURE_ROWS(("tsp", "tsp"), ("fence", "fences")),
+    end="select problem_id, metric, tsp, fence, round(fence-tsp,6) as difference from (select problem_id, metric, max(value) filter (strategy='tsp') as tsp, max(value) filter (strategy='fence') as fence from figures group by 1,2)",
+)
+
+#: Pairs by distance, one a step; two groups become one if together they have at most six points.
+CAPPED_LINK = query(
+    DIST,
+    """ n as (select *, row_number() over (partition by problem_id order by point_idx) as place, count(*) over (partition by problem_id) as size from pts),
+ e as (select p.problem_id, a.place as x, b.place as y, row_number() over (partition by p.problem_id order by km, i, j) as step from pairs p join n a on a.problem_id=p.problem_id and a.point_idx=i join n b on b.problem_id=p.problem_id and b.point_idx=j where km<=25),
+ grow as (
+  select problem_id, range(1, any_value(size)+1) as owner, 0 as step from n group by problem_id
+  union all
+  select g.problem_id, case when owner[x]<>owner[y] and len(list_filter(owner, lambda o: o=owner[x] or o=owner[y]))<=6
+   then list_transform(owner, lambda o: case when o=greatest(owner[x],owner[y]) then least(owner[x],owner[y]) else o end) else owner end, e.step from grow g join e on e.problem_id=g.problem_id and e.step=g.step+1),
+ last as (select problem_id, arg_max(owner, step) as owner from grow group by 1),
+ told as (select n.problem_id, point_idx, owner[place] as o from n join last using (problem_id))""",
+    end="select problem_id, point_idx, cast(dense_rank() over (partition by problem_id order by o)-1 as int) as label, cast(row_number() over (partition by problem_id, o order by point_idx)-1 as int) as seq from told",
+)
+
+#: Corners of the areas of days: of three stops or more those of the hull, else a circle.
+REGIONS = query(
+    DIST, tour("best", sweeps=False), _fill(_SPLIT, out="split", tour="best", seconds="5100"),
+    """ spots as (select s.problem_id, s.day, s.point_idx, lat, lng from split s join pts p on p.problem_id=s.problem_id and p.point_idx=s.point_idx),
+ ext as (select problem_id, day, count(*) as n, avg(lat) as mla, avg(lng) as mln, 1e-12*(max(lat)-min(lat))*(max(lng)-min(lng)) as e, sqrt(pow(max(lat)-min(lat),2)+pow(max(lng)-min(lng),2))/2 as half from spots group by 1,2),
+ corner as (select distinct a.problem_id, a.day, a.lat, a.lng from spots a join spots b on b.problem_id=a.problem_id and b.day=a.day and b.point_idx<>a.point_idx join ext on ext.problem_id=a.problem_id and ext.day=a.day
+  where n>=3 and not exists (select 1 from spots c where c.problem_id=a.problem_id and c.day=a.day and c.point_idx not in (a.point_idx,b.point_idx)
+   and (b.lng-a.lng)*(c.lat-b.lat)-(b.lat-a.lat)*(c.lng-b.lng)<=e and ((b.lng-a.lng)*(c.lat-b.lat)-(b.lat-a.lat)*(c.lng-b.lng)<-e or (c.lng-a.lng)*(c.lng-b.lng)+(c.lat-a.lat)*(c.lat-b.lat)>0))),
+ ring as (select problem_id, day, mla+r*sin(radians(k*10.0e0)) as lat, mln+r*cos(radians(k*10.0e0)) as lng from (select *, case n when 2 then half+0.002e0 else 0.3e0/111e0 end as r from ext where n<3), range(0,36) t(k))""",
+    end="select problem_id, cast(day as int) as day, 'hull' as kind, round(lat,6) as lat, round(lng,6) as lng from corner union all select problem_id, cast(day as int), 'circle', round(lat,6), round(lng,6) from ring",
+)

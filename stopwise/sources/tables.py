@@ -5,80 +5,25 @@ Every reader gives STRING cells and ``row_no`` (0-based), as names like 001 must
 
 from __future__ import annotations
 
-import re
-import zipfile
-from collections.abc import Iterator
 from typing import Any
-from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import cell, without
 from ..registers import READERS
-
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-
-
-def sheet_rows(path: str) -> Iterator[list[str | None]]:
-    """The rows of the first sheet of an .xlsx file as text cells."""
-    with zipfile.ZipFile(path) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-                shared.append("".join(t.text or "" for t in item.iter(f"{{{_NS['m']}}}t")))
-        name = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rpartition("/")[2])[0]))[0]
-        for row in ElementTree.fromstring(z.read(name)).iter(f"{{{_NS['m']}}}row"):
-            cells: dict[int, str | None] = {}
-            for at, c in enumerate(row.findall("m:c", _NS)):
-                letters = re.match(r"[A-Z]*", c.get("r", ""))[0]
-                k = sum((ord(x) - 64) * 26**p for p, x in enumerate(reversed(letters))) - 1 if letters else at
-                value, kind = c.find("m:v", _NS), c.get("t")
-                if kind == "inlineStr":
-                    cells[k] = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-                elif value is not None:
-                    cells[k] = shared[int(value.text)] if kind == "s" else value.text
-            yield [cells.get(k) for k in range(max(cells, default=-1) + 1)]
-
-
-class SheetSource(DataSource):
-    """``spark.read.format("xlsx").load(path)``; the first row names the columns."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "xlsx"
-
-    def schema(self) -> str:
-        head = next(sheet_rows(self.options["path"]))
-        return ", ".join(f"`{h}` string" for h in head) + ", row_no long"
-
-    def reader(self, schema: Any) -> DataSourceReader:
-        return _SheetReader(self.options["path"], len(schema) - 1)
-
-
-class _SheetReader(DataSourceReader):
-    def __init__(self, path: str, width: int):
-        self.path, self.width = path, width
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]  # a sheet holds about a million rows at most
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        rows = sheet_rows(self.path)
-        next(rows, None)
-        for k, row in enumerate(rows):
-            yield (*(row + [None] * self.width)[: self.width], k)
-
+from .sheets import read_sheets
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """Adds ``row_no`` in file order: each partition's rows are numbered by themselves, from the count of those before it."""
-    at = F.monotonically_increasing_id()
-    df = df.withColumns({"_part": F.shiftright(at, 33).cast("int"), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))})
-    counts = df.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_from"))
-    return df.join(starts, "_part").withColumn("row_no", F.col("_from") + F.col("_at")).drop("_part", "_at", "_from")
+    """Adds ``row_no`` to the rows of files, in order of the files' names, and within a file of its blocks and rows.
+
+    A block is read by one task from its first row to its last, so its rows have consecutive ids there.
+    """
+    named = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    counts = named.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    starts = counts.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")) - F.col("_first")).alias("_from"))
+    return named.join(starts, ["_file", "_block"]).withColumn("row_no", F.col("_from") + F.col("_at")).drop("_file", "_block", "_at", "_from")
 
 
 @READERS.register("csv")
@@ -96,14 +41,12 @@ def _parquet(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(spark.read.parquet(path))
 
 
-@READERS.register("xlsx")
-def _xlsx(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(SheetSource)
-    return spark.read.format("xlsx").load(path)
+READERS.register("xlsx")(read_sheets)
+READERS.register("xls")(read_sheets)
 
 
 def read_table(spark: SparkSession, path: str, kind: str = "") -> DataFrame:
-    """A .csv, .json, .parquet or .xlsx table, or one of a registered reader, with ``row_no``; ``kind`` overrides the ending."""
+    """A .csv, .json, .parquet, .xlsx or .xls table, or one of a registered reader, with ``row_no``; ``kind`` overrides the ending."""
     return READERS.pick(kind or path.rpartition(".")[2].lower())(spark, path)
 
 
