@@ -970,3 +970,66 @@ def jn_located(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = c.selectExpr("c_custkey as row_no", "case when c_custkey%3=0 then c_name else concat('Zone.',c_name,'/',c_nationkey) end as address", "cast(c_custkey as double) as lng", "cast(c_nationkey as double) as lat")
     names = c.selectExpr("case when c_custkey%4<>0 then concat('Zone.',c_name) else c_name end as name")
     return exports.located(names, places, "Zone.")
+
+
+# Older sheets, surveys and corrections
+
+_RAW_CELLS = ["s_suppkey as row_no", "case when s_suppkey%9=0 then ' ' else concat('k',s_suppkey%40) end as key", "case when s_suppkey%7=0 then 'nan' else concat(' org-',s_nationkey) end as org", "case when s_suppkey%6=0 then concat('Zo路',s_suppkey) when s_suppkey%6=1 then '' else concat('路',s_suppkey%50) end as fix"]
+_SQL_CELLS = "cells as (select " + ", ".join(_RAW_CELLS) + " from supplier)"
+_SQL_CELL = "nullif(nullif(trim({c}),''),'nan')"
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(*_RAW_CELLS)
+
+
+@query("with " + _SQL_CELLS + ", k as (select row_no, " + _SQL_CELL.format(c="key") + " as key, coalesce(" + _SQL_CELL.format(c="org") + ",'') as org from cells) select key, min(row_no) as seq, arg_max(org, row_no) as org from k where key is not null group by key")
+def src_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.survey(_cells(spark, sf_dir), "key", {"org": "org"}).select("key", "seq", F.col("attrs")["org"].alias("org"))
+
+
+@query("with " + _SQL_CELLS + ", k as (select row_no, " + _SQL_CELL.format(c="key") + " as original, " + _SQL_CELL.format(c="fix") + " as fix from cells), b as (select row_no, original, fix as corrected from k union all select row_no, original, concat('Zone.',fix) from k where not starts_with(fix,'Zo')) select corrected, arg_max(original, row_no) as original from b where corrected is not null and original is not null group by corrected")
+def src_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.corrections(_cells(spark, sf_dir), "key", None, "Zone.")
+
+
+@query("with " + fx.SQL_RAW + " select row_no, trim(name_raw) as name, cast(row_no%25 as varchar) as nation from raw where trim(name_raw)<>'' and lower(trim(name_raw))<>'nan'")
+def src_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.raw_rows(spark, sf_dir).withColumn("tag", (F.col("row_no") % 25).cast("string"))
+    found = tables.points(rows, {"name": "name_raw", "coordinates": "coord_micro", "metadata": {"nation": "tag"}})
+    return found.select(F.col("point_id").cast("long").alias("row_no"), "name", F.col("metadata")["nation"].alias("nation"))
+
+
+@query("with " + fx.SQL_RAW + ", k as (select row_no, " + _SQL_CELL.format(c="name_raw") + " as name, try_cast(split_part(coord_micro,',',1) as double) as lng, try_cast(split_part(coord_micro,',',2) as double) as lat from raw) select row_no, name, trim(replace(replace(name,'Zone.',''),'Supplier','')) as short_name, lng, lat from k where lng is not null and lat is not null")
+def src_older_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tables.older_addresses(fx.raw_rows(spark, sf_dir), "name_raw", "coord_micro", ("Zone.", "Supplier"))
+    return found.withColumn("short_name", F.trim("short_name"))
+
+
+@query("with " + _SQL_CELLS + " select row_no-2 as row_no, " + ", ".join(_SQL_CELL.format(c=c) + f" as {n}" for c, n in (("key", "first"), ("org", "second"), ("fix", "third"))) + " from cells where row_no>=2 and " + _SQL_CELL.format(c="org") + " is not null")
+def src_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.by_position(_cells(spark, sf_dir), ["first", "second", "third"])
+
+
+@query("""with n as (select c_custkey as row_no, case when c_custkey%11=0 then concat(c_name,'老师') when c_custkey%13=0 then ' ' when c_custkey%3=0 then concat('Zone.',c_name,'  x') else concat(c_name,'.b') end as n from customer),
+ t as (select row_no, trim(regexp_replace(replace(trim(n),'.','·'),' {2,}',' ','g')) as name from n where trim(n)<>'' and not regexp_matches(n,'联系|老师|电话'))
+ select row_no, case when starts_with(name,'Zone') then name else concat('Zone',name) end as name from t""")
+def src_raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = "case when c_custkey%11=0 then concat(c_name,'老师') when c_custkey%13=0 then ' ' when c_custkey%3=0 then concat('Zone.',c_name,'  x') else concat(c_name,'.b') end as n"
+    return tables.raw_names(spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey as row_no", n), "n", "Zone")
+
+
+@query("with " + fx.SQL_ONE + " select point_idx, round(" + fx.SQL_KM.format(a="p", b="d") + "/35*60,6) as minutes from pts p, (select 107.08e0 as lng, 29.85e0 as lat) d")
+def fn_drive_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    km = geo.haversine_km(F.col("lat"), F.col("lng"), F.lit(fx.BASE_LAT), F.lit(fx.BASE_LNG))
+    return fx.one(spark, sf_dir).select("point_idx", F.round(geo.drive_minutes(km), 6).alias("minutes"))
+
+
+@query("with recursive " + fx.SQL_MANY + _SQL_DAYS + " select s.problem_id, cast(day as int) as day, cast(n as int) as stop_seq, name from split s join pts p on p.problem_id=s.problem_id and p.point_idx=s.point_idx")
+def src_plan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan's JSON documents, written and read back as its stops."""
+    points, stops = _planned(spark, sf_dir)
+    left = points.limit(0).withColumn("nearest_km", F.lit(0.0))
+    path = f"{shared.folder(spark)}/plans-{uuid.uuid4().hex[:12]}"
+    exports.plan_json(tours.day_rollup(stops, points, fx.LIMITS), stops, points, left, "tsp").write.json(path)
+    return tables.read_plans(spark, path)

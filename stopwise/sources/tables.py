@@ -14,6 +14,7 @@ from ..functions.text import cell, without
 from ..registers import READERS
 from .sheets import read_sheets
 
+
 def _numbered(df: DataFrame) -> DataFrame:
     """Adds ``row_no`` to the rows of files, in order of the files' names, and within a file of its blocks and rows.
 
@@ -50,11 +51,21 @@ def read_table(spark: SparkSession, path: str, kind: str = "") -> DataFrame:
     return READERS.pick(kind or path.rpartition(".")[2].lower())(spark, path)
 
 
+def _stops_of(days: DataFrame, *keys: str) -> DataFrame:
+    listed = days.select(*keys, F.explode("days").alias("d"))
+    return listed.select(*keys, F.col("d.day").cast("int").alias("day"), F.posexplode("d.points").alias("at", "name")).select(*keys, "day", (F.col("at") + 1).alias("stop_seq"), "name")
+
+
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
-    """The days of an earlier plan's JSON, one row per stop: ``day, stop_seq, name``."""
-    plan = spark.read.json(path, multiLine=True)
-    days = plan.select(F.explode("days").alias("d"))
-    return days.select(F.col("d.day").cast("int").alias("day"), F.posexplode("d.points").alias("at", "name")).select("day", (F.col("at") + 1).alias("stop_seq"), "name")
+    """The days of an earlier plan's JSON document, one row per stop: ``day, stop_seq, name``."""
+    return _stops_of(spark.read.json(path, multiLine=True))
+
+
+def read_plans(spark: SparkSession, path: str) -> DataFrame:
+    """The same of exported plans, a line of JSON with ``problem_id, plan`` each: ``problem_id, day, stop_seq, name``."""
+    lines = spark.read.schema("problem_id long, plan string").json(path)
+    days = lines.select("problem_id", F.from_json("plan", "days array<struct<day: int, points: array<string>>>").alias("p"))
+    return _stops_of(days.select("problem_id", "p.days"), "problem_id")
 
 
 def skip_rows(table: DataFrame, k: int) -> DataFrame:
