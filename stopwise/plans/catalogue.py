@@ -765,7 +765,7 @@ def _road_plan(strategy: str) -> Query:
 
 for _name in ("tsp", "cluster", "overnight", "area_expansion", "fence", "dbscan", "road_network", "j_style"):
     query(plan_sql.PLANS.get(f"plan_{_name}"))(_named(f"plan_{_name}", _plan(_name)))
-for _name in ("tsp", "cluster", "dbscan"):
+for _name in ("tsp", "cluster", "overnight", "dbscan"):
     query(plan_sql.PLANS[f"plan_{_name}_road"])(_named(f"plan_{_name}_road", _road_plan(_name)))
 
 
@@ -794,6 +794,15 @@ def cmp_strategies_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cmp_strategies(spark, sf_dir).select("problem_id", "metric")
 
 
+@query("with " + fx.SQL_MANY + """, t as (select problem_id, {km}>25 as far from pts p, (select 107.08e0 as lng, 29.85e0 as lat) d), n as (select problem_id, count(*) filter (where not far) as single_day_points, count(*) filter (where far) as overnight_points from t group by 1)
+ select *, cast(2*(overnight_points//5) + case overnight_points%5 when 0 then 0 when 1 then 1 else 2 end as bigint) as overnight_days from n""".replace("{km}", fx.SQL_KM.format(a="p", b="d")))
+def agg_trip_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of each kind and days with a night away, of whole plans: groups of five have two days, a point alone has one."""
+    points = fx.many(spark, sf_dir)
+    stops = Planner(spark, fx.CONFIG).run(points, "overnight").stops
+    return overnight.trip_counts(overnight.classify(points, fx.BASE_LAT, fx.BASE_LNG, 25.0), stops)
+
+
 @query(plan_sql.DIFFERENCES)
 def cmp_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.differences(Planner(spark, fx.CONFIG).compare(["tsp", "fence"], fx.many(spark, sf_dir)), "tsp", "fence")

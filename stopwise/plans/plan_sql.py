@@ -202,3 +202,37 @@ REGIONS = query(
  ring as (select problem_id, day, mla+r*sin(radians(k*10.0e0)) as lat, mln+r*cos(radians(k*10.0e0)) as lng from (select *, case n when 2 then half+0.002e0 else 0.3e0/111e0 end as r from ext where n<3), range(0,36) t(k))""",
     end="select problem_id, cast(day as int) as day, 'hull' as kind, round(lat,6) as lat, round(lng,6) as lng from corner union all select problem_id, cast(day as int), 'circle', round(lat,6), round(lng,6) from ring",
 )
+
+#: Points over 25 km from the depot go in groups of five, the first the farthest, cut in two days with a night at their middle.
+_DEPOT = "(select 107.08e0 as lng, 29.85e0 as lat) d"
+_FROM_DEPOT = fx.SQL_KM.format(a="p", b="d")
+_NIGHTS = """
+ depot as (select p.*, {km} as base_km from pts p, {depot}),
+ close_by as (select * from depot where base_km<=25), far as (select * from depot where base_km>25),
+ chain as (
+  select problem_id, point_idx, 0 as label, 0 as seq, [point_idx] as seen from (select *, row_number() over (partition by problem_id order by base_km desc, point_idx) as n from far) where n=1
+  union all
+  select problem_id, point_idx, label, seq, seen from (
+   select g.problem_id, b.point_idx, case when g.seq=4 then g.label+1 else g.label end as label, case when g.seq=4 then 0 else g.seq+1 end as seq, list_append(g.seen,b.point_idx) as seen,
+    row_number() over (partition by g.problem_id order by case when g.seq=4 then -b.base_km else t.km end, b.point_idx) as n
+   from chain g join far b on b.problem_id=g.problem_id and not list_contains(g.seen,b.point_idx) join dist t on t.problem_id=g.problem_id and t.i=g.point_idx and t.j=b.point_idx) where n=1)""".replace("{km}", _FROM_DEPOT).replace("{depot}", _DEPOT)
+_NIGHT_DAYS = """
+ hotel as (select problem_id, label, round(avg(lat),9) as lat, round(avg(lng),9) as lng from chain join pts using (problem_id, point_idx) group by 1,2),
+ sized as (select *, count(*) over (partition by problem_id, label) as size from far_tour),
+ halved as (select problem_id, label, case when size<=1 or stop_seq<=size//2 then 1 else 2 end as part, case when size<=1 or stop_seq<=size//2 then stop_seq else stop_seq-size//2 end as n, point_idx from sized),
+ way as (select h.problem_id, h.label, h.part, h.n, max(h.n) over (partition by h.problem_id, h.label, h.part) as m, lat, lng, coalesce(t.km,0) as leg from halved h join pts p on p.problem_id=h.problem_id and p.point_idx=h.point_idx
+  left join halved v on v.problem_id=h.problem_id and v.label=h.label and v.part=h.part and v.n=h.n-1 left join dist t on t.problem_id=h.problem_id and t.i=v.point_idx and t.j=h.point_idx),
+ night_km as (select p.problem_id, p.label, p.part, count(*) as point_count, round(sum(leg + case when n=1 then case when part=1 then {base} else {stay} end else 0 end + case when n=m then case when part=1 then {stay} else {base} end else 0 end),6) as km
+  from way p join hotel h on h.problem_id=p.problem_id and h.label=p.label, {depot} group by 1,2,3),
+ all_days as (select problem_id, point_count, drive_distance_km, total_time_hours from single_days union all select problem_id, point_count, round(km,1), round((km/35*60+point_count*15.0e0)/60,1) from night_km)""".replace("{base}", _FROM_DEPOT).replace("{stay}", fx.SQL_KM.format(a="p", b="h")).replace("{depot}", _DEPOT)
+
+
+def overnight() -> str:
+    return ",".join([
+        _NIGHTS, tour("single_tour", "close_by"), _fill(_SPLIT, out="single_stops", tour="single_tour", seconds="5100"), _fill(_DAYS, out="single_days", stops="single_stops"),
+        _fill(_WALK, out="far_walk", groups="chain"), _fill(_TWO_OPT, out="far_tour", walk="far_walk"), _NIGHT_DAYS, _fill(_METRICS, out="overnights", days="all_days"),
+    ])
+
+
+PLANS["plan_overnight"] = query(DIST, overnight(), end="select * from overnights")
+PLANS["plan_overnight_road"] = query(DIST_ROAD, overnight(), end="select * from overnights")
