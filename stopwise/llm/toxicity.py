@@ -2,9 +2,10 @@
 
 The kernel of two spans (words of a sentence) counts their shared three-letter subsequences with gaps, each weighted by
 DECAY to the letters that it spans, at most SPAN; word ends are letters too. Inserted characters, spaced-out words and
-digits for letters so leave most of the kernel in place. Sentences of labelled documents carry the document's label to
-their words. Words nearest to 256 landmarks are the features of a squared-hinge machine; because the kernel has explicit
-features, machine and landmarks fold into one fixed table of weights, and scoring a text is one vectorised pass over its
+digits for letters so leave most of the kernel in place. The machine is fitted on words of labelled documents, each
+weighed by the documents of either label that hold it, less what chance would give; words of clean documents that look
+toxic after a first fit are examples of the second. Similarities to 256 landmarks are the features of a squared-hinge machine;
+because the kernel has explicit features, machine and landmarks fold into one fixed table of weights, and scoring a text is one vectorised pass over its
 letters, whole texts at any length. A document's score is the logistic of how many and how dense its toxic words are.
 """
 
@@ -29,6 +30,8 @@ _ACCENTED = "äöüßàâçéèêëîïôùûáíóúñ"
 _READ_AS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 #: Share of the words of clean documents that may pass for toxic ones; it sets the bar of a word's margin.
 CLEAN_SHARE = 1 / 4000
+#: Words that chance may put among those held to be toxic, as a share of them.
+FALSE_WORDS = 0.5
 #: Bounds of the sample that the machine is fitted on: documents of each label, bytes of text, word
 #: types, landmarks, clean documents that the bar is set on. All are parameters of :func:`train`.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_WORDS, LANDMARKS, BAR_DOCS = 2500, 24 << 20, 18_000, 256, 500
@@ -173,6 +176,17 @@ def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, hing
     return w
 
 
+def _chance_floor(in_pos: np.ndarray, in_neg: np.ndarray, n_pos: int, n_neg: int) -> float:
+    """What a word's count in toxic documents must exceed its due by, so that few words do by chance.
+
+    How many words clean documents have as much too often shows what chance makes: at the floor at most FALSE_WORDS of those.
+    """
+    over_pos, over_neg = in_pos - 2 * in_neg * n_pos / n_neg, (in_neg - 2 * in_pos * n_neg / n_pos) * min(1.0, n_pos / n_neg)
+    found = [(floor, int((over_pos > floor).sum()), int((over_neg > floor).sum())) for floor in np.arange(1.5, 41.5)]
+    good = [floor for floor, p, n in found if p and n <= FALSE_WORDS * p]
+    return float(good[0] if good else min((n / p, floor) for floor, p, n in found if p)[1] if found[0][1] else 1.5)
+
+
 def _order(word: str) -> bytes:
     return hashlib.blake2b(word.encode(), digest_size=8).digest()
 
@@ -208,19 +222,33 @@ def fit(texts: list[str | None], labels: list[int], words: int = SAMPLE_WORDS, l
     good = values > 1e-5 * values[-1]
     whiten = vectors[:, good] / np.sqrt(values[good])
     project = at_marks.T @ whiten  # codes -> Nystroem features
-    x = np.concatenate([_matrix(chosen[lo : lo + 500], codes) @ project for lo in range(0, len(chosen), 500)])
-    x = np.hstack([np.ones((len(x), 1)), x])
-    in_pos, in_neg = (np.array([m[w] for w in chosen], float) for m in (merged_pos, merged_neg))
-    # words that single toxic documents hold say nothing; what a word's count exceeds its due by clean ones makes it toxic
-    due = in_neg * n_pos / n_neg
-    weight_pos, weight_neg = np.maximum(0, in_pos - 1.5 - 2 * due), due + 0.1
-    some = weight_pos > 0
-    w = _newton(np.vstack([x[some], x]), np.repeat([1.0, -1.0], [some.sum(), len(x)]), np.concatenate([weight_pos[some], weight_neg]), 0.05, True)
-    table = np.zeros(_KINDS**3, np.float32)
-    table[codes] = project @ w[1:]
-    model = Model(table, float(w[0]), 0.0, np.zeros(3))
+
+    def features_of(some_words: list[str]) -> np.ndarray:
+        x = np.concatenate([_matrix(some_words[lo : lo + 500], codes) @ project for lo in range(0, len(some_words), 500)])
+        return np.hstack([np.ones((len(x), 1)), x])
+
+    known = sorted({*merged_pos, *merged_neg})
+    floor = _chance_floor(np.array([merged_pos[w] for w in known], float), np.array([merged_neg[w] for w in known], float), n_pos, n_neg)
+    x = features_of(chosen)
+    for mined in (False, True):
+        in_pos, in_neg = (np.array([m[w] for w in chosen], float) for m in (merged_pos, merged_neg))
+        # what a word's count exceeds its due by clean documents, and chance, makes it toxic
+        due = in_neg * n_pos / n_neg
+        weight_pos, weight_neg = np.maximum(0, in_pos - floor - 2 * due), due + 0.1
+        some = weight_pos > 0
+        w = _newton(np.vstack([x[some], x]), np.repeat([1.0, -1.0], [some.sum(), len(x)]), np.concatenate([weight_pos[some], weight_neg]), 0.05, True)
+        table = np.zeros(_KINDS**3, np.float32)
+        table[codes] = project @ w[1:]
+        model = Model(table, float(w[0]), 0.0, np.zeros(3))
+        if not mined:  # words of clean documents that look most toxic so far are examples too
+            rest = sorted(set(merged_neg) - set(chosen))
+            margins = np.concatenate([model.margins(" ".join(rest[lo : lo + 20_000])) for lo in range(0, len(rest), 20_000)]) if rest else np.zeros(0)
+            hard = [rest[k] for k in np.lexsort((np.arange(len(rest)), -margins))[: words // 3]]
+            if not hard:
+                break
+            chosen, x = chosen + hard, np.vstack([x, features_of(hard)])
     clean_words = np.concatenate([[-1.0], *[model.margins(t or "") for t, label in zip(texts, labels, strict=True) if not label][:bar_docs]])
-    model.bar = float(np.clip(np.quantile(clean_words, 1 - CLEAN_SHARE), 0.0, 0.6))
+    model.bar = float(np.clip(np.quantile(clean_words, 1 - CLEAN_SHARE), 0.0, 0.9))
     described = np.array([model.describe(t) for t in texts])
     y = np.where(np.array(labels) > 0, 1.0, -1.0)
     model.logistic = _newton(described, y, np.ones(len(y)), 0.02, False)
