@@ -16,7 +16,7 @@ def _least(directed: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     linked = both.join(_least(both), "u").filter("v > u")
-    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")  # repeated edges go in the other star
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
