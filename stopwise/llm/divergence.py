@@ -12,6 +12,7 @@ sparse postings (terms with occurrences) and that base rate give every sum over
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -112,7 +113,7 @@ def occurrences(rows: DataFrame, kept: DataFrame, slices: int) -> DataFrame:
     spark, parts = rows.sparkSession, []
     for k in range(slices):
         part = kept.filter(F.col("slice") == k).select("lang", "term", "term_id").toArrow()  # at most SLICE_BYTES of terms
-        sent = spark.sparkContext.broadcast((f"{id(kept)}-{k}", *[part.column(c).to_pylist() for c in range(3)]))
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, *[part.column(c).to_pylist() for c in range(3)]))
 
         def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
             automata, held, size = _automata(sent), defaultdict(Counter), 0
