@@ -29,37 +29,38 @@ def by_correction(points: DataFrame, survey: DataFrame, corrections: DataFrame,
     return keyed.join(survey.select("key", "attrs"), "key").select("row_id", "attrs")
 
 
-def containing(inner: DataFrame, outer: DataFrame, size: int = 3) -> DataFrame:
+def containing(inner: DataFrame, outer: DataFrame, size: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
     """``x, y``: the distinct texts ``x`` of ``inner`` that stand in distinct texts ``y`` of ``outer``; nulls and '' in neither.
 
     An inverted index: ``y`` is entered under each of its runs of up to ``size`` characters. ``x`` is looked up by one of its
-    own, the whole of it if it is shorter, else the one with the fewest entries, and containment is then tested.
+    own, the whole of it if it is shorter, else the one with the fewest entries, and containment is then tested. With ``keys``,
+    only texts with equal keys meet.
     """
     runs = lambda c, k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substring(c, i, k))).otherwise(F.array().cast("array<string>"))
-    y, x = outer.filter("y != ''").select("y").distinct(), inner.filter("x != ''").select("x").distinct()
-    index = y.select("y", F.explode(F.array_distinct(F.concat(*[runs(F.col("y"), k) for k in range(1, size + 1)]))).alias("run"))
-    entries = index.groupBy("run").agg(F.count(F.lit(1)).alias("entries"))
-    own = x.select("x", F.explode(F.when(F.length("x") < size, F.array("x")).otherwise(F.array_distinct(runs(F.col("x"), size)))).alias("run"))
-    rarest = own.join(entries, "run", "left").groupBy("x").agg(F.min(F.struct(F.coalesce("entries", F.lit(0)).alias("entries"), "run")).alias("r"))
-    asked = rarest.filter("r.entries > 0").select("x", F.col("r.run").alias("run"))
-    return asked.join(index, "run").filter(F.contains(F.col("y"), F.col("x"))).select("x", "y")
+    y, x = outer.filter("y != ''").select(*keys, "y").distinct(), inner.filter("x != ''").select(*keys, "x").distinct()
+    index = y.select(*keys, "y", F.explode(F.array_distinct(F.concat(*[runs(F.col("y"), k) for k in range(1, size + 1)]))).alias("run"))
+    entries = index.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("entries"))
+    own = x.select(*keys, "x", F.explode(F.when(F.length("x") < size, F.array("x")).otherwise(F.array_distinct(runs(F.col("x"), size)))).alias("run"))
+    rarest = own.join(entries, [*keys, "run"], "left").groupBy(*keys, "x").agg(F.min(F.struct(F.coalesce("entries", F.lit(0)).alias("entries"), "run")).alias("r"))
+    asked = rarest.filter("r.entries > 0").select(*keys, "x", F.col("r.run").alias("run"))
+    return asked.join(index, [*keys, "run"]).filter(F.contains(F.col("y"), F.col("x"))).select(*keys, "x", "y")
 
 
 def fuzzy(points: DataFrame, survey: DataFrame, prefix: str = "", older: bool = False) -> DataFrame:
     """The first survey row, in its own order, whose key and the short name contain one another, as written or loosely.
 
-    Containment is looked up in an index of short runs of characters, both ways; no point is compared with all keys.
+    Containment is looked up in an index of short runs of characters, both ways and for both spellings at once; no point is
+    compared with all keys.
     """
     plain = loose_older if older else loose
-    left = _short(points, prefix).filter("short != ''").withColumn("plain", plain(F.col("short")))
-    right = survey.filter("key != ''").select("key", "seq", "attrs", plain(F.col("key")).alias("key_plain"))
-    fits = None
-    for own, its in (("short", "key"), ("plain", "key_plain")):
-        names, keys = left.select(F.col(own)), right.select(F.col(its))
-        in_key = containing(names.withColumnRenamed(own, "x"), keys.withColumnRenamed(its, "y")).select(F.col("x").alias(own), F.col("y").alias(its))
-        in_name = containing(keys.withColumnRenamed(its, "x"), names.withColumnRenamed(own, "y")).select(F.col("y").alias(own), F.col("x").alias(its))
-        met = left.join(in_key.union(in_name).distinct(), own).join(right, its).select("row_id", "seq", "key", "attrs")
-        fits = met if fits is None else fits.union(met)
+    both = lambda c: F.explode(F.array(F.struct(F.lit(False).alias("loosely"), F.col(c).alias("text")), F.struct(F.lit(True).alias("loosely"), plain(F.col(c)).alias("text")))).alias("s")
+    left = _short(points, prefix).filter("short != ''").select("row_id", both("short")).select("row_id", "s.*")
+    right = survey.filter("key != ''").select("key", "seq", "attrs", both("key")).select("key", "seq", "attrs", "s.*")
+    names, keys = left.select("loosely", "text").distinct(), right.select("loosely", "text").distinct()
+    side = lambda df, c, within: df.select("loosely", F.lit(within).alias("name_within"), F.col("text").alias(c))
+    met = containing(side(names, "x", True).union(side(keys, "x", False)), side(keys, "y", True).union(side(names, "y", False)), keys=("loosely", "name_within"))
+    pairs = met.select("loosely", F.when(F.col("name_within"), F.col("x")).otherwise(F.col("y")).alias("text"), F.when(F.col("name_within"), F.col("y")).otherwise(F.col("x")).alias("held")).distinct()
+    fits = pairs.join(left, ["loosely", "text"]).join(right.withColumnRenamed("text", "held"), ["loosely", "held"])
     return fits.groupBy("row_id").agg(F.min_by("attrs", F.struct("seq", "key")).alias("attrs"))
 
 
