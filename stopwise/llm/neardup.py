@@ -12,9 +12,9 @@
    reaches what a link needs, or if the rests share a shingle among their rarest ones: with the sizes known, all rests
    being in one order of rarity, the first shared shingle lies in a prefix whose length the sizes bound, shorter still on
    the smaller side. Each such shingle, and each class of sizes, is a new and smaller bucket, so step 2 follows again.
-   Buckets that one component has to itself are dropped at once. After LEVELS rounds, the members outside the largest
-   component of a bucket are compared with all of it, however many they are. No link is lost to the size of a group, and what its members share with its pivot makes
-   no pairs.
+   Buckets that one component has to itself are dropped at once. As soon as the members outside the largest component of
+   every bucket make few meetings with all of it (FEW for each document), or after LEVELS rounds however many they are,
+   these are compared. No link is lost to the size of a group, and what its members share with its pivot makes no pairs.
 4. Components of the links, by alternating large-star and small-star.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, written
-from .components import components
+from .components import components, stars
 
 BANDS, ROWS = 60, 6
 #: Pairs whose minima agree this far below the threshold are not confirmed: five standard errors of 360 minima at 0.8.
@@ -39,8 +39,10 @@ SLACK = 0.105
 #: Members outside a bucket's largest component up to which they meet all members; beyond, it is compared by way of a pivot: of the
 #: buckets of bands, and of those of later rounds, in which most members are of one component.
 SMALL, LATER_SMALL = 20, 64
-#: Rounds of pivots; size classes of the members of a pivot, as a ratio; members of a pivot on which rarity is counted.
-LEVELS, SIZE_STEP, RARITY_SAMPLE = 4, 1.05, 64
+#: Meetings, for each document, that a comparison in full may make: what is left is so compared as soon as it makes no more.
+FEW = 4
+#: Most rounds, by pivots but for the last; size classes of the members of a pivot, as a ratio; members of a pivot on which rarity is counted.
+LEVELS, SIZE_STEP, RARITY_SAMPLE = 8, 1.05, 64
 #: Bits of the filter of documents to confirm: sixteen for each, at most so many (8 MB). Beyond some ten million documents the
 #: filter lets more of the others pass, up to all of them; their sets are made and dropped by the exact join that follows.
 FILTER_BITS = 1 << 26
@@ -216,7 +218,7 @@ def _next_buckets(spokes: DataFrame, joined: DataFrame, percent: int) -> DataFra
     t = percent / 100
     union = F.col("n_a") + F.col("n_b") - F.col("both")
     kind = F.when(_linked(percent), "L").when(F.col("both") >= union * (2 * t - 1), "M").otherwise("F").alias("kind")
-    own = spokes.join(joined.select(F.col("node").alias("b"), "component"), "b", "left")
+    own = spokes.join(joined.select(F.col("u").alias("b"), F.col("v").alias("component")), "b", "left")
     own = written(own.select("a", "b", F.coalesce("component", "b").alias("part"), F.col("n_b").alias("n"), F.col("both").alias("o"), "rest", kind), "spokes")
     near, far = F.col("kind") == "L", F.col("kind") == "F"
     low, size_class = F.ceil(F.col("n") * t - 1e-9), lambda n: F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
@@ -277,7 +279,8 @@ def _pivots(large: DataFrame, lend: bool) -> DataFrame:
 
 
 def _linked_parts(docs: DataFrame, heads: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
-    """``node, component`` of the documents that have a link; ``placed`` has ``bucket, doc_id`` of the bands."""
+    """``u, v``: the documents that hang on a lesser one of their component, and the least of it; ``placed`` has ``bucket, doc_id`` of the bands."""
+    most_meetings = FEW * heads.count()
     members = placed.select("bucket", "doc_id", F.lit(0).cast("long").alias("n"), F.lit(True).alias("lead"), F.lit(True).alias("own"), F.lit("M").alias("kind"))
     joined = sets = None
     for level in range(LEVELS):
@@ -287,7 +290,7 @@ def _linked_parts(docs: DataFrame, heads: DataFrame, placed: DataFrame, width: i
         else:
             # most shingles are of one document: their buckets go before anything is joined
             met = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.max("lead").alias("led"), F.max("own").alias("met")).filter("m > 1 and led and met")
-            parted = members.join(met.select("bucket"), "bucket", "left_semi").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+            parted = members.join(met.select("bucket"), "bucket", "left_semi").join(joined.select(F.col("u").alias("doc_id"), F.col("v").alias("component")), "doc_id", "left")
             parted = written(parted.withColumn("part", F.coalesce("component", "doc_id")).drop("component"), "parted")
             # the largest part of a bucket need not be compared within itself: the others meet all
             by_part = parted.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("m"))
@@ -296,10 +299,12 @@ def _linked_parts(docs: DataFrame, heads: DataFrame, placed: DataFrame, width: i
         mates = written(parted.join(useful, "bucket"), "mates")
         drop_written(members)
         drop_written(parted)
-        if level and mates.isEmpty():
+        # what a comparison of all that is left would meet; few enough, no further round is worth its while
+        meetings = mates.agg(F.sum(F.col("others").cast("double"))).first()[0]
+        if level and meetings is None:
             drop_written(mates)
             break
-        last = level == LEVELS - 1
+        last = level == LEVELS - 1 or level > 0 and meetings <= most_meetings
         most = LATER_SMALL if level else SMALL
         small, large = (mates, mates.limit(0)) if last else (mates.filter(F.col("others") <= most), mates.filter(F.col("others") > most))
         left, right = (df.select("bucket", "main", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "lead", "own", "kind", "part")]) for df, k in ((small.filter("part != main"), "x"), (small, "y")))
@@ -317,8 +322,7 @@ def _linked_parts(docs: DataFrame, heads: DataFrame, placed: DataFrame, width: i
         links = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
         links, before = written(links, "links"), None
         if joined is None or not links.isEmpty():
-            both = links if joined is None else links.union(joined.select(F.col("node").alias("u"), F.col("component").alias("v")))
-            before, joined = joined, written(components(both), "joined")
+            before, joined = joined, stars(links if joined is None else links.union(joined))
         for done in (mates, close, spokes, links, before):
             drop_written(done)
         if measured is None:
@@ -354,7 +358,7 @@ def near_duplicates(
     signed = slim
     joined = _linked_parts(docs, heads, heads.select("doc_id", F.explode("bands").alias("bucket")), width, percent)
     heads_of = heads.select(F.col("doc_id").alias("head")).distinct()
-    final = heads_of.join(joined, heads_of["head"] == joined["node"], "left").select("head", F.coalesce("component", "head").alias("component_id"))
+    final = heads_of.join(joined, heads_of["head"] == joined["u"], "left").select("head", F.coalesce("v", "head").alias("component_id"))
     by_class = written(classes.join(final, "head").select("same", "head", "component_id"), "final")
     # rows with one identifier and different texts are one node: what shares it is joined once more
     repeated = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -362,7 +366,7 @@ def near_duplicates(
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))))
     if not repeated.isEmpty():
         ties = out.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-        tied = components(ties).withColumnsRenamed({"node": "from", "component": "into"})
+        tied = components(written(ties.distinct(), "ties")).withColumnsRenamed({"node": "from", "component": "into"})
         out = out.join(tied, out["component_id"] == tied["from"], "left").withColumn("component_id", F.coalesce("into", "component_id")).drop("from", "into")
     for done in (classes, heads, joined):
         drop_written(done)

@@ -157,7 +157,7 @@ def judge(
     edges = page_edges(rows)
     if redirects is not None:
         edges = edges.union(redirects.select(node(F.col("u")).alias("u"), node(F.col("v")).alias("v")))
-    joined = components(edges)
+    joined = components(written(edges.distinct(), "links"))
     listed = rule_table(pages.sparkSession, rules)
     placed = joined.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))})
     told = placed.join(matched(placed, listed), ["host", "path"], "left").groupBy("component").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"))

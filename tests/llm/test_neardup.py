@@ -100,6 +100,17 @@ def test_filter_that_lets_all_pass_changes_nothing(spark, monkeypatch):
     assert got == brute(rows, 4, 80)
 
 
+def test_rounds_to_the_last_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FEW", 0)  # nothing is compared in full before the last round
+    monkeypatch.setattr(neardup, "SMALL", 3)
+    monkeypatch.setattr(neardup, "LATER_SMALL", 3)
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    rows = [(k, " ".join(edited(rng, base, rng.choice([1, 2, 3, 4, 5, 6, 7])))) for k in range(90)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert got == brute(rows, 4, 80)
+
+
 def test_repeated_rows_null_ids_and_clashing_columns(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(5, text, 1, b"x"), (5, text, 2, b"y"), (7, text, 3, b"z"), (None, text, 4, b""), (9, None, 5, None)]
