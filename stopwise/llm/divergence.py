@@ -84,12 +84,13 @@ _built: dict[str, dict[str, ahocorasick.Automaton]] = {}
 
 
 def _automata(sent: Broadcast) -> dict[str, ahocorasick.Automaton]:
-    """An automaton of padded terms for each language; a worker keeps that of the last slice."""
-    name, langs, terms, ids = sent.value
+    """An automaton of padded terms for each language; a worker keeps that of the last slice. It gives places in the list of
+    the slice's terms: an automaton's numbers have 32 bits, term ids have more as soon as the vocabulary has two partitions."""
+    name, langs, terms, _ = sent.value
     if name not in _built:
         _built.clear()
         made: dict[str, ahocorasick.Automaton] = {}
-        for lang, term, at in zip(langs, terms, ids, strict=True):
+        for at, (lang, term) in enumerate(zip(langs, terms, strict=True)):
             if lang not in made:
                 made[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             made[lang].add_word(f" {term.decode('latin-1')} ", at)  # a character for each byte
@@ -117,9 +118,10 @@ def occurrences(rows: DataFrame, kept: DataFrame, slices: int) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
             automata, held, size = _automata(sent), defaultdict(Counter), 0
+            ids = sent.value[3]
 
             def out() -> pa.RecordBatch:
-                flat = [(lang, source, t, n) for (lang, source), c in held.items() for t, n in c.items()]
+                flat = [(lang, source, ids[t], n) for (lang, source), c in held.items() for t, n in c.items()]
                 kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
                 held.clear()
                 return pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], kind) for i, kind in enumerate(kinds)], names=["lang", "source", "term_id", "count"])

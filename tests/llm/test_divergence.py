@@ -68,6 +68,20 @@ def test_audit_equals_brute_force(spark, slice_bytes, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want and {w[2] for w in want} == {"pair", "term"}
 
 
+def test_vocabulary_of_many_partitions(spark):
+    """Ids of terms pass 32 bits as soon as the vocabulary has a second partition."""
+    rows = odd_rows()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.createDataFrame(rows, "lang string, source string, text string")
+        kept, _ = divergence.vocabulary(divergence._rows(docs, "text", "lang", "source"), 3)
+        assert kept.agg(F.max("term_id")).first()[0] >= 1 << 32
+        got = sorted(map(tuple, divergence.audit(docs, min_docs=3, top_terms=4).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == brute(rows, 3, 4)
+
+
 def test_slices_are_bounded_and_whole(spark):
     docs = spark.createDataFrame([("en", "s", f"aa bb cc {'z' * 300} w{chr(97 + k % 26)}") for k in range(60)], "lang string, source string, text string")
     kept, slices = divergence.vocabulary(divergence._rows(docs, "text", "lang", "source"), 2, 24)
