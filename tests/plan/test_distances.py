@@ -147,3 +147,11 @@ def test_a_provider_reaches_every_strategy(spark):
         assert {r.nearest_km for r in plan.unassigned.collect()} <= {4.0, None}, name
     with pytest.raises(ValueError):
         Planner(spark, config.overridden(fixtures.CONFIG, {"distance.provider": "no such"})).run(points, "tsp")
+
+
+def test_problems_are_not_laid_into_one_task(spark):
+    """Points are few bytes and much work, so AQE, which goes by bytes, must not join their partitions."""
+    points = spark.range(800).selectExpr("id % 40 as problem_id", "cast(id as int) as point_idx", "29.0D + id / 9000 as lat", "107.0D as lng")
+    labels = growth.grouped(points, growth.chain_greedy(5))
+    tasks = labels.select("problem_id", F.spark_partition_id().alias("task")).distinct()
+    assert tasks.select("task").distinct().count() == 4 and tasks.count() == 40
