@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from stopwise.llm import packing, sstable
-from stopwise.llm.tokens import default_file, encoder
+from stopwise.llm.tokens import Encoder, default_file, encoder
 
 TEXTS = ["", " ", "a  b", " lead", "tail ", "x\n\ny \n z", "é <|endoftext|> it's", "İstanbul ΣΑΣ ς", "a b c", "foo\n bar", "\x1c a \x85 b", "é 10,5%!!", "漢字 かな 😀 x", "don't WE'LL", "word " * 3000]
 
@@ -119,3 +119,22 @@ def test_sum_of_squares_picks_the_least():
         b, offset = bins.place(int(size))
         assert options[20 - offset] == min(options.values())
         level[b] = offset + int(size)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_a_word_is_merged_once_whatever_signs_and_lines_follow(name):
+    e, asked = Encoder(default_file(name)), []
+
+    class Counting:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, piece):
+            asked.append(piece)
+            return self.model.tokenize(piece)
+
+    e.model = Counting(e.model)
+    texts = ["so ontionti and", "so ontionti, and ontionti.\nThe ontionti ***\n\xa0ontionti", "\nontionti\n\nontionti "]
+    got = [np.frombuffer(raw, "<u4").tolist() for raw in e.encode(texts)]
+    assert got == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert len([p for p in asked if p.strip("\u0120") == "ontionti"]) <= 2  # with and without a space before it
