@@ -102,3 +102,22 @@ def test_survey_and_corrections(spark):
     assert [(r.key, r.attrs) for r in tables.survey(t, "key", {"org": "org"}).collect()] == [("k1", {"org": "b"})]
     fixes = tables.corrections(spark.createDataFrame([(0, "old", "重庆市路"), (1, "older", "路二")], "row_no long, o string, f string"), "o", None, "重庆市")
     assert sorted((r.corrected, r.original) for r in fixes.collect()) == [("路二", "older"), ("重庆市路", "old"), ("重庆市路二", "older")]
+
+
+def test_a_plan_makes_its_stops_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(points, config):
+        def run(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+
+        rows = points.selectExpr("problem_id", "1 as day", "cast(point_idx as int) as stop_seq", "point_idx").filter("point_idx > 2")
+        return rows.mapInPandas(run, rows.schema)
+
+    monkeypatch.setitem(strategies.STRATEGIES, "counted", counted)
+    points = spark.createDataFrame([(0, k, "n", 107.0 + k / 100, 29.8) for k in range(10)], "problem_id long, point_idx int, name string, lng double, lat double")
+    p = Planner(spark, fixtures.CONFIG).run(points, "counted")
+    assert (p.days.count(), p.stops.count(), p.unassigned.count(), p.metrics.first()["total_points"]) == (1, 7, 3, 7)
+    assert seen.value == 7
