@@ -74,3 +74,21 @@ def test_hull_of_lattice():
     x = np.array([[i, j] for i in range(3) for j in range(3)], float)
     assert len(growth.hull(x)) == 4 and growth.hull_area(x) == pytest.approx(4.0)
     assert growth.hull_area(x[:3]) == 4.0 or growth.hull_area(x[:3]) == 0.0
+
+
+def test_first_centres_of_many_points_are_the_plain_ones():
+    rng = np.random.default_rng(3)
+    spread = np.column_stack([29.75 + rng.random(3000) * 0.2, 106.7 + rng.random(3000) * 0.8])
+    for x, k in ((spread, 500), (np.repeat(spread[:300], 5, axis=0), 400), (spread[:97], 97), (np.repeat(spread[:2], 40, axis=0), 60), (np.round(spread, 2), 300)):
+        for seed in range(3):
+            one, two = np.random.default_rng(seed), np.random.default_rng(seed)
+            many = growth._Chances(x)
+            for _ in range(2):
+                assert (many.centres(k, one) == growth._first_centres(x, k, two)).all()
+            assert one.random() == two.random()
+
+
+def test_first_centres_do_not_look_at_all_points(monkeypatch):
+    x = np.random.default_rng(5).random((6000, 2))
+    monkeypatch.setattr(growth, "_first_centres", lambda *_: pytest.fail("all points for each centre"))
+    assert len(np.unique(growth.lloyd(x, 1000, restarts=1, rounds=1))) > 900
