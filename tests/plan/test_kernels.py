@@ -92,3 +92,23 @@ def test_first_centres_do_not_look_at_all_points(monkeypatch):
     x = np.random.default_rng(5).random((6000, 2))
     monkeypatch.setattr(growth, "_first_centres", lambda *_: pytest.fail("all points for each centre"))
     assert len(np.unique(growth.lloyd(x, 1000, restarts=1, rounds=1))) > 900
+
+
+def test_best_open_is_the_first_least_of_all_orders():
+    rng = np.random.default_rng(8)
+    for n in (3, 4, 5):
+        for k in range(40):
+            x = np.column_stack([29.8 + rng.integers(0, 3, n) / 50, 107 + rng.integers(0, 3, n) / 50])  # many ties
+            km = tours.Distances(x[:, 0], x[:, 1])
+            want = min(permutations(range(n)), key=lambda o: round(tours.open_length(km.matrix(), list(o)), 6))
+            assert tours.best_open(km) == list(want), (n, k)
+
+
+def test_part_of_distances_with_known_pairs():
+    rng = np.random.default_rng(2)
+    x = rng.random((9, 2))
+    i, j = (np.array(v) for v in zip(*[(a, b) for a, b in combinations(range(9), 2) if (a + 2 * b) % 3], strict=True))
+    km = tours.Distances(x[:, 0], x[:, 1], i, j, rng.random(len(i)))
+    for low, high in ((0, 9), (0, 4), (3, 4), (4, 9)):
+        own = km.part(low, high)
+        assert len(own) == high - low and (own.matrix() == km.matrix()[low:high, low:high]).all()
