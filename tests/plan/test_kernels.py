@@ -112,3 +112,51 @@ def test_part_of_distances_with_known_pairs():
     for low, high in ((0, 9), (0, 4), (3, 4), (4, 9)):
         own = km.part(low, high)
         assert len(own) == high - low and (own.matrix() == km.matrix()[low:high, low:high]).all()
+
+
+def plain_area(threshold, least, most):
+    """Area growth that asks every free point for the area of its hull."""
+
+    def run(lat, lng, km):
+        x, free, tried, out = growth.plane(lat, lng), set(range(len(lat))), set(), []
+        while seeds := free - tried:
+            g, now = [min(seeds, key=lambda i: (lng[i], i))], 0.0
+            tried.add(g[0])
+            while len(g) < most and free - set(g):
+                area, i = min((growth.hull_area(x[[*g, i]]), i) for i in free - set(g))
+                if area - now > threshold:
+                    break
+                g.append(i)
+                now = area
+            if len(g) >= least:
+                free -= set(g)
+                out.append(g)
+        return out
+
+    return run
+
+
+def many_places():
+    rng = np.random.default_rng(6)
+    spread = np.column_stack([29.75 + rng.random(90) * 0.2, 106.7 + rng.random(90) * 0.8])
+    yield from (spread, np.repeat(spread[:30], 3, 0)[rng.permutation(90)], np.column_stack([29.75 + rng.integers(0, 9, 90) / 50, 106.7 + rng.integers(0, 9, 90) / 50]))
+    yield from (np.column_stack([np.full(90, 29.8), 107 + rng.permutation(90) / 50]), np.column_stack([np.degrees(np.arcsin(rng.random(90) * 2 - 1)), rng.random(90) * 360 - 180]))
+
+
+def test_area_growth_is_that_of_asking_all_points():
+    for x in many_places():
+        for options in ((50.0, 3, 6), (0.01, 4, 5), (1e-6, 3, 4)):
+            assert growth.area_expansion(*options)(x[:, 0], x[:, 1], None) == plain_area(*options)(x[:, 0], x[:, 1], None), options
+
+
+def test_area_growth_does_not_look_at_all_points(monkeypatch):
+    x = np.column_stack([29.75 + (rng := np.random.default_rng(7)).random(9000) * 0.2, 106.7 + rng.random(9000) * 0.8])
+    looked, may_be_least = [], getattr(growth, "_may_be_least", lambda h, places, slack: range(len(x)))
+
+    def counted(*args):
+        looked.append(len(found := may_be_least(*args)))
+        return found
+
+    monkeypatch.setattr(growth, "_may_be_least", counted, raising=False)
+    groups = growth.area_expansion(300.0, 2, 6)(x[:, 0], x[:, 1], None)
+    assert sum(map(len, groups)) == 9000 and looked and np.mean(looked) < 1000
