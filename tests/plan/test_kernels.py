@@ -160,3 +160,41 @@ def test_area_growth_does_not_look_at_all_points(monkeypatch):
     monkeypatch.setattr(growth, "_may_be_least", counted, raising=False)
     groups = growth.area_expansion(300.0, 2, 6)(x[:, 0], x[:, 1], None)
     assert sum(map(len, groups)) == 9000 and looked and np.mean(looked) < 1000
+
+
+def plain_centroid(most):
+    """Centroid growth that works out the distance of every point that is left."""
+
+    def run(lat, lng, km):
+        at, left, out = tours.Distances(lat, lng), list(range(len(lat))), []
+        while left:
+            g = [left[int(at.to(lat[left].mean(), lng[left].mean(), np.array(left)).argmax())]]
+            left.remove(g[0])
+            while len(g) < most and left:
+                g.append(left[int(at.to(lat[g].mean(), lng[g].mean(), np.array(left)).argmin())])
+                left.remove(g[-1])
+            out.append(g)
+        return out
+
+    return run
+
+
+def test_centroid_growth_is_that_of_asking_all_points():
+    for x in many_places():
+        for most in (1, 5, 30):
+            assert growth.centroid_greedy(most)(x[:, 0], x[:, 1], None) == plain_centroid(most)(x[:, 0], x[:, 1], None), most
+
+
+def test_centroid_growth_does_not_work_out_all_distances(monkeypatch):
+    x = np.column_stack([29.75 + (rng := np.random.default_rng(7)).random(4000) * 0.2, 106.7 + rng.random(4000) * 0.8])
+    asked, to = [], tours.Distances.to
+    monkeypatch.setattr(tours.Distances, "to", lambda self, lat, lng, to_=slice(None): (asked.append(len(self.lat[to_])), to(self, lat, lng, to_))[1])
+    groups = growth.centroid_greedy(5)(x[:, 0], x[:, 1], None)
+    assert len(groups) == 800 and sum(asked) < 4000
+
+
+def test_points_without_a_place_are_grouped_too():
+    x = np.column_stack([29.75 + np.arange(12) / 50, 107 + np.arange(12) / 50])
+    x[[3, 7]] = np.nan
+    with np.errstate(invalid="ignore"):
+        assert sorted(i for g in growth.centroid_greedy(5)(x[:, 0], x[:, 1], None) for i in g) == list(range(12))
