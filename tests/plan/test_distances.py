@@ -1,5 +1,6 @@
 """Distances by a provider's table, and tours in linear memory."""
 
+import math
 import random
 import tracemalloc
 
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from stopwise import config
 from stopwise.operators import density, growth, pairs, tours
-from stopwise.operators.distances import Distances
-from stopwise.plans import fixtures
+from stopwise.operators.distances import Distances, Rule
+from stopwise.plans import catalogue, fixtures  # noqa: F401  the catalogue has the provider of the road plans
 from stopwise.plans.planner import Planner
 from stopwise.registers import DISTANCES
 
@@ -166,3 +167,80 @@ def test_density_groups_make_no_pairs_of_dense_places(spark, monkeypatch):
     monkeypatch.setattr(density, "within", lambda *a: pytest.fail("all pairs in reach"))
     assert sorted(map(tuple, density.dbscan(points, 4.0, 3).collect())) == want
     assert len({(p, label) for p, _, label in want}) > 4
+
+
+def detour(least=1.0):
+    return Rule(lambda i, j: (i * 31 + j) % 9 != 0, lambda i, j, km: km * (least + (i + j) % 7 / 10.0), least=least)
+
+
+def told(rule, pts):
+    """The table that holds what the rule tells."""
+    out = []
+    for p, own in pts.groupby("problem_id"):
+        idx, km = own["point_idx"].to_numpy(), tours.matrix(own["lat"].to_numpy(), own["lng"].to_numpy())
+        out += [(p, i, j, float(np.round(rule.km(int(i), int(j), km[a, b]), 8))) for a, i in enumerate(idx) for b, j in enumerate(idx) if i < j and rule.knows(int(i), int(j))]
+    return pd.DataFrame(out, columns=["problem_id", "i", "j", "km"]).astype({"problem_id": "int64", "i": "int32", "j": "int32", "km": "float64"})
+
+
+@pytest.mark.parametrize("least", [1.0, 0.4])
+def test_tours_by_a_rule_take_the_steps_of_its_table(least):
+    """Ties, equal points and opposite places included."""
+    rng, rule = random.Random(5), detour(least)
+    far = pd.DataFrame([(0, k, "f", math.degrees(math.asin(rng.random() * 2 - 1)), rng.random() * 360 - 180) for k in range(60)], columns=["problem_id", "point_idx", "name", "lat", "lng"])
+    grid = pd.DataFrame([(0, k, "g", 29.75 + rng.randrange(5) / 50, 107 + rng.randrange(5) / 50) for k in range(70)], columns=far.columns)
+    for pts in (some_points(rng, 1), some_points(rng, 2), some_points(rng, 5), some_points(rng, 90), grid, far):
+        pts = pts.assign(point_idx=pts["point_idx"] * 3 + 2)
+        idx, e = pts["point_idx"].to_numpy(), told(rule, pts)
+        places = pd.Index(idx)
+        km = Distances(pts["lat"], pts["lng"], rule=rule, idx=idx)
+        table = Distances(pts["lat"], pts["lng"], places.get_indexer(e["i"]), places.get_indexer(e["j"]), e["km"].to_numpy())
+        m = table.matrix()
+        assert (km.matrix() == m).all() and (km.part(0, len(pts) // 2).matrix() == m[: len(pts) // 2, : len(pts) // 2]).all() and not km.plain()
+        first = tours.nearest_order(m)
+        for own in (km, Distances(pts["lat"], pts["lng"])):
+            m = own.matrix()
+            assert tours.nearest_order(own) == (first := tours.nearest_order(m))
+            for sweeps in (1, 1000):
+                assert tours.two_opt(own, first, sweeps) == slow_two_opt(m, first, sweeps)
+
+
+def test_two_opt_by_a_rule_works_out_few_distances(monkeypatch):
+    """Of 600 stops, each row would be of 300 distances on average."""
+    rng = random.Random(6)
+    pts = some_points(rng, 600)
+    km, asked, circle = Distances(pts["lat"], pts["lng"], rule=detour(), idx=pts["point_idx"].to_numpy()), [], Distances._circle
+    monkeypatch.setattr(Distances, "_circle", lambda self, a, to: (asked.append(np.size(self.lat[to])), circle(self, a, to))[1])
+    tours.two_opt(km, tours.nearest_order(km), 1000)
+    assert np.mean(asked) < 60
+
+
+@pytest.mark.parametrize("least", [0.4, 0.0])
+def test_nearest_reach_and_legs_by_a_rule_are_those_of_its_table(spark, least):
+    rng = random.Random(7)
+    pts = some_points(rng, 40, 2)
+    rule = detour(least) if least else Rule(lambda i, j: (i + j) % 2 == 0, lambda i, j, km: km * 0 + (i * j) % 50 / 2.0)
+    e = told(rule, pts)
+    points = spark.createDataFrame(pts, "problem_id long, point_idx int, name string, lat double, lng double")
+    edges = spark.createDataFrame(e)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(pairs.nearest(points, rule)) == rows(pairs.nearest(points, edges))
+    assert rows(pairs.reach(points, 6.0, rule)) == rows(pairs.reach(points, 6.0, edges).select("problem_id", "i", "j", "km"))
+    stops = points.select("problem_id", (F.col("point_idx") % 3).alias("day"), (F.col("point_idx") % 7 * 100 + F.col("point_idx")).alias("stop_seq"), "point_idx")
+    cols = ["problem_id", "day", "stop_seq", "point_idx", "leg_km"]
+    assert rows(pairs.legs(stops, points, rule).select(cols)) == rows(pairs.legs(stops, points, edges).select(cols))
+
+
+def test_plans_by_a_rule_are_those_of_its_table(spark):
+    points = fixtures.many(spark, "/root/testdata/sf0.001")
+    DISTANCES.register("rule_for_test")(lambda points, config: fixtures.ROAD_RULE)
+    DISTANCES.register("table_for_test")(lambda points, config: fixtures.road_edges(spark, "/root/testdata/sf0.001").withColumnRenamed("road_km", "km"))
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    for name, parts in (("tsp", ["stops", "metrics"]), ("overnight", ["stops", "metrics"]), ("dbscan", ["stops", "unassigned"])):
+        by = {}
+        for kind in ("table", "rule"):
+            by[kind] = Planner(spark, config.overridden(fixtures.CONFIG, {"distance.provider": f"{kind}_for_test"})).run(points, name)
+        assert isinstance(by["rule"].edges, Rule) and by["table"].edges.columns == ["problem_id", "i", "j", "km"]
+        for part in parts:
+            assert rows(getattr(by["rule"], part)) == rows(getattr(by["table"], part)), (name, part)
+    config_of = config.overridden(fixtures.CONFIG, {"distance.provider": "fixture_road"})
+    assert isinstance(Planner(spark, config_of).run(points, "tsp").edges, Rule)  # the road plans of the catalogue write no table of pairs
