@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from stopwise import config
+from stopwise.functions import geo
 from stopwise.operators import density, growth, pairs, tours
 from stopwise.operators.distances import Distances, Rule
-from stopwise.plans import catalogue, fixtures  # noqa: F401  the catalogue has the provider of the road plans
+from stopwise.plans import catalogue, fixtures
 from stopwise.plans.planner import Planner
 from stopwise.registers import DISTANCES
 
@@ -244,3 +245,29 @@ def test_plans_by_a_rule_are_those_of_its_table(spark):
             assert rows(getattr(by["rule"], part)) == rows(getattr(by["table"], part)), (name, part)
     config_of = config.overridden(fixtures.CONFIG, {"distance.provider": "fixture_road"})
     assert isinstance(Planner(spark, config_of).run(points, "tsp").edges, Rule)  # the road plans of the catalogue write no table of pairs
+
+
+def test_pairs_of_one_problem_in_one_file_are_made_in_all_tasks(spark):
+    rng = random.Random(8)
+    pts = some_points(rng, 120, 2)
+    points = spark.createDataFrame(pts[pts["problem_id"] > 0], "problem_id long, point_idx int, name string, lat double, lng double").coalesce(1)
+    made = pairs.pairs(points)
+    assert made.dtypes == [("problem_id", "bigint"), ("i", "int"), ("j", "int"), ("km", "double")]
+    rows = made.withColumn("task", F.spark_partition_id()).collect()
+    want = full(pts[pts["problem_id"] > 0], None)
+    assert sorted((r.problem_id, r.i, r.j) for r in rows) == sorted(k for k in want if k[1] < k[2])
+    assert all(abs(r.km - want[r.problem_id, r.i, r.j]) < 2e-6 for r in rows)
+    assert len({r.task for r in rows}) == 4
+
+
+def test_km_of_pairs_are_haversine_km_to_the_bit(spark):
+    rng = random.Random(9)
+    place = lambda: (math.degrees(math.asin(rng.random() * 2 - 1)), rng.random() * 360 - 180)
+    rows = [(*place(), *place()) for _ in range(3000)] + [(29.8, 107.0, 29.8 + k * 1e-7, 107.0 + k * 1e-7) for k in range(2000)] + [(0.0, 0.0, 0.0, 180.0), (90.0, 5.0, -90.0, 5.0), (1.0, 1.0, 1.0, 1.0), (1.0, 1.0, None, 1.0)]
+    df = spark.createDataFrame(rows, "lat_i double, lng_i double, lat_j double, lng_j double").withColumns({f"cos_{t}": F.cos(F.radians(f"lat_{t}")) for t in "ij"})
+    wrong = geo.pair_km(df, "i", "j").withColumn("want", geo.haversine_km(*(F.col(c) for c in ("lat_i", "lng_i", "lat_j", "lng_j"))))
+    assert wrong.count() == len(rows) and wrong.filter("not km <=> want").count() == 0
+    # halves, numbers next to them, and numbers beyond the sure ones
+    x = [v for k in range(2000) for h in [(rng.randrange(10**9) + 0.5) / 1e6] for v in (h, float(np.nextafter(h, 0)), float(np.nextafter(h, 1e9)), rng.random() * 10 ** rng.randrange(-9, 15))]
+    df = spark.createDataFrame([(v, v) for v in [*x, 0.0, float("inf"), None]], "x double, y double")
+    assert geo.rounded(df, "x", 6).filter("not x <=> round(y, 6)").count() == 0 and geo.rounded(df, "x", 8).filter("not x <=> round(y, 8)").count() == 0
