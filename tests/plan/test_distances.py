@@ -271,3 +271,18 @@ def test_km_of_pairs_are_haversine_km_to_the_bit(spark):
     x = [v for k in range(2000) for h in [(rng.randrange(10**9) + 0.5) / 1e6] for v in (h, float(np.nextafter(h, 0)), float(np.nextafter(h, 1e9)), rng.random() * 10 ** rng.randrange(-9, 15))]
     df = spark.createDataFrame([(v, v) for v in [*x, 0.0, float("inf"), None]], "x double, y double")
     assert geo.rounded(df, "x", 6).filter("not x <=> round(y, 6)").count() == 0 and geo.rounded(df, "x", 8).filter("not x <=> round(y, 8)").count() == 0
+
+
+def test_road_pairs_by_a_rule_are_those_of_its_table(spark):
+    rng = random.Random(10)
+    pts = some_points(rng, 60)
+    edges = pairs.pairs(spark.createDataFrame(pts, "problem_id long, point_idx int, name string, lat double, lng double"))
+    table = spark.createDataFrame(told(detour(), pts)).withColumnRenamed("km", "road_km")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = rows(pairs.road_pairs(edges, detour()))
+    assert got == rows(pairs.road_pairs(edges, table)) and {r[-1] for r in got} == {True, False}
+
+
+def test_road_fallback_joins_no_table_of_pairs(spark):
+    plan = catalogue.queries()["jn_road_fallback"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # of points and points
