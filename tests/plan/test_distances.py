@@ -286,3 +286,15 @@ def test_road_pairs_by_a_rule_are_those_of_its_table(spark):
 def test_road_fallback_joins_no_table_of_pairs(spark):
     plan = catalogue.queries()["jn_road_fallback"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1  # of points and points
+
+
+@pytest.mark.parametrize("most", [0.0, 0.00305, 700.0, 21000.0])
+def test_near_pairs_are_those_of_haversine_km(spark, most):
+    rng = random.Random(11)
+    place = lambda: (math.degrees(math.asin(rng.random() * 2 - 1)), rng.random() * 360 - 180)
+    rows = [(*place(), *place()) for _ in range(800)] + [(29.8, 107.0, 29.8 + k * 1e-7, 107.0 + k * 1e-7) for k in range(500)] + [(0.0, 0.0, 0.0, 180.0), (90.0, 5.0, -90.0, 5.0), (1.0, 1.0, None, 1.0)]
+    df = spark.createDataFrame(rows, "lat_i double, lng_i double, lat_j double, lng_j double").withColumns({f"cos_{t}": F.cos(F.radians(f"lat_{t}")) for t in "ij"})
+    want = df.withColumn("km", geo.haversine_km(*(F.col(c) for c in ("lat_i", "lng_i", "lat_j", "lng_j")))).filter(F.col("km") <= most)
+    assert sorted(map(tuple, geo.near_km(df, "i", "j", most).collect())) == sorted(map(tuple, want.collect())) != []
+    plan = geo.near_km(df, "i", "j", most)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ASIN") == 1  # a filter would have it once for each time that it is named
